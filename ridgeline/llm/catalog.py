@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import simhash
+from ridgeline.llm import rabitq, simhash
 from ridgeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +29,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's SimHash of three-word shingles and its component at two or fewer differing bits."""
     got = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op2_embedding_near_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.93 or more within a label."""
+    return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
