@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import rabitq, simhash
+from ridgeline.llm import mixing, rabitq, simhash
 from ridgeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +35,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.93 or more within a label."""
     return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query("op3_source_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150% of all words by weights 3, 1, 2, at most 2 times each source, takes from each document."""
+    got = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
+    return got.select("doc_id", "size", "source_size", "target", "taken", F.to_json("draws").alias("draws"))
