@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import mixing, rabitq, simhash
+from ridgeline.llm import mixing, quality, rabitq, simhash, toxicity
 from ridgeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,17 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of 150% of all words by weights 3, 1, 2, at most 2 times each source, takes from each document."""
     got = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
     return got.select("doc_id", "size", "source_size", "target", "taken", F.to_json("draws").alias("draws"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity and grade of every whole document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return got.select("doc_id", F.col("tox_p").alias("p_toxic"), F.col("tox_severity").alias("severity"), F.col("tox_grade").alias("grade"), F.col("tox_toxic").alias("toxic"))
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A calibrated quality score of every whole document."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
