@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import mixing, quality, rabitq, simhash, toxicity
+from ridgeline.llm import licenses, mixing, ogg, packing, quality, rabitq, simhash, toxicity
 from ridgeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A calibrated quality score of every whole document."""
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+@query("op6_ogg_media")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as samples in an Ogg file, read back and verified."""
+    got = ogg.media_features(ogg.media_column(table(spark, sf_dir, "documents"), block=64))
+    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error")
+
+
+@query("op7_license_scan", licenses.oracle_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence rules that every whole document matches."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_best_fit_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens packed into sequences of at most 2048."""
+    got = packing.packed_documents(table(spark, sf_dir, "documents"), capacity=2048)
+    return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
