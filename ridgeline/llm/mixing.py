@@ -21,24 +21,29 @@ def _uniform(*parts) -> Column:
     return F.conv(F.substring(_key(*parts), 1, 13), 16, 10).cast("double") / float(16**13)
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hypergeometric(u: Column, good: Column, bad: Column, draws: Column) -> Column:
     """How many of draws, taken without return from good + bad items, are good: the inverse of the distribution at u.
 
-    Log-weights follow from the ratio of neighbours; one pass finds their largest, one their sum, one the quantile.
+    Log-weights follow from the ratio of neighbours; one pass lists them, one finds the quantile.
     """
-    low, high = F.greatest(F.lit(0).cast("long"), draws - bad), F.least(draws, good)
-    ks = F.sequence(low, high)
-    step = lambda k, w: w + F.when(k == low, 0.0).otherwise(F.log((good - k + 1).cast("double")) + F.log((draws - k + 1).cast("double")) - F.log(F.greatest(k, F.lit(1)).cast("double")) - F.log(F.greatest(bad - draws + k, F.lit(1)).cast("double")))
-    pair = lambda w, x: F.struct(w.alias("w"), x.alias("x"))
-    zero = pair(F.lit(0.0), F.lit(-1e300))
-    most = F.aggregate(ks, zero, lambda a, k: pair(step(k, a["w"]), F.greatest(a["x"], step(k, a["w"]))))["x"]
-    total = F.aggregate(ks, pair(F.lit(0.0), F.lit(0.0)), lambda a, k: pair(step(k, a["w"]), a["x"] + F.exp(step(k, a["w"]) - most)))["x"]
-    state = lambda w, x, n: F.struct(w.alias("w"), x.alias("x"), n.alias("n"))
-    return F.aggregate(
-        ks,
-        state(F.lit(0.0), F.lit(0.0), low),
-        lambda a, k: state(step(k, a["w"]), a["x"] + F.exp(step(k, a["w"]) - most) / total, F.when(a["x"] + F.exp(step(k, a["w"]) - most) / total <= u, F.least(k + 1, high)).otherwise(a["n"])),
-    )["n"]
+
+    def inverse(x: Column) -> Column:
+        low, high = F.greatest(F.lit(0).cast("long"), x["draws"] - x["bad"]), F.least(x["draws"], x["good"])
+        ratio = lambda k: F.log((x["good"] - k + 1) * (x["draws"] - k + 1) / (k * (x["bad"] - x["draws"] + k)).cast("double"))
+        logs = F.transform(F.sequence(low, high), lambda k: F.when(k == low, 0.0).otherwise(ratio(k)))
+        pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+        top = F.aggregate(logs, pair(F.lit(0.0), F.lit(0.0)), lambda a, r: pair(a["a"] + r, F.greatest(a["b"], a["a"] + r)))["b"]
+        total = lambda m: F.aggregate(logs, pair(F.lit(0.0), F.lit(0.0)), lambda a, r: pair(a["a"] + r, a["b"] + F.exp(a["a"] + r - m)))["b"]
+        state = lambda a, b, n: F.struct(a.alias("a"), b.alias("b"), n.alias("n"))
+        walk = lambda goal, m: F.aggregate(logs, state(F.lit(0.0), F.lit(0.0), low), lambda a, r: state(a["a"] + r, a["b"] + F.exp(a["a"] + r - m), F.when(a["b"] + F.exp(a["a"] + r - m) <= goal, F.least(a["n"] + 1, high)).otherwise(a["n"])))["n"]
+        return _let(top, lambda m: _let(total(m) * x["u"], lambda goal: walk(goal, m)))
+
+    return _let(F.struct(u.alias("u"), good.alias("good"), bad.alias("bad"), draws.alias("draws")), inverse)
 
 
 def targets(sized: DataFrame, weights: list[int], share: float, cap: float) -> DataFrame:
@@ -76,7 +81,7 @@ def shard_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
         def draw(a, x):
             n = hypergeometric(u(x), x["blocks"], a["rest"] - x["blocks"], a["draws"])
-            return F.transform(F.array(n), lambda n: F.struct(F.concat(a["left"], F.array(n)).alias("left"), (a["rest"] - x["blocks"]).alias("rest"), (a["draws"] - n).alias("draws")))[0]
+            return _let(n, lambda n: F.struct(F.concat(a["left"], F.array(n)).alias("left"), (a["rest"] - x["blocks"]).alias("rest"), (a["draws"] - n).alias("draws")))
 
         node = node.withColumn("left", F.aggregate("q", first, draw)["left"])
         half = lambda left: F.zip_with("q", "left", lambda x, n: F.struct(x["rank"].alias("rank"), x["source"].alias("source"), (n if left else x["blocks"] - n).alias("blocks")))
