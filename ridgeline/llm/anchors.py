@@ -106,11 +106,11 @@ def texts_in_parts(batches: Iterator[pa.RecordBatch], most: int = 1 << 21) -> It
             yield [keys[j] for j in part], [texts[j] for j in part]
 
 
-ANCHORS = "ah long, sh long, key long, lo int, n int, again boolean"
+ANCHORS = "ah long, sh long, age int, key long, lo int, n int, again boolean"
 
 
-def anchored(docs: DataFrame, symbols_of, window: int, gram: int) -> DataFrame:
-    """A row per segment of docs (key, text bytes): anchor hash, segment hash, key, first window lo, windows n, and again.
+def anchored(docs: DataFrame, symbols_of, window: int, gram: int, age: int = 0) -> DataFrame:
+    """A row per segment of docs (key, text bytes): anchor hash, segment hash, age, key, first window lo, windows n, and again.
 
     symbols_of: the symbols of a text, as 64-bit hashes. again: an earlier text of the same batch already has the segment, so
     the row needs no comparison any more; such rows have a random anchor, which spreads a passage that many texts share.
@@ -133,24 +133,25 @@ def anchored(docs: DataFrame, symbols_of, window: int, gram: int) -> DataFrame:
             first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0)) if len(new) else np.empty(0, np.int64)
             again = ~new & ((key != key[first]) | (lo != lo[first]))
             ah = np.where(again, mixed(key.astype(np.uint64) * _ODD[4] + lo.astype(np.uint64)), ah)
-            yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(key), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)], ["ah", "sh", "key", "lo", "n", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array(ah.view(np.int64)), pa.array(sh.view(np.int64)), pa.array(np.full(len(key), age, np.int32)), pa.array(key), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)], ["ah", "sh", "age", "key", "lo", "n", "again"])
 
     return docs.mapInArrow(run, ANCHORS)
 
 
-FOUND = "kind int, ah long, sh long, key long, lo int, n int"
+FOUND = "kind int, ah long, sh long, age int, key long, lo int, n int"
 REPEATED, UNSURE, FIRST = 0, 1, 2
 
 
 def judged(rows: DataFrame, keep_firsts: bool = False) -> DataFrame:
     """What follows from the anchors alone, by kind: REPEATED segments start earlier elsewhere, whole; UNSURE ones are the first
     of their kind, but share their anchor with others, so their windows must be compared; FIRST (if kept) are all firsts.
+    Rows of a smaller age are earlier; within an age those of a smaller key, then of a smaller place.
 
     Rows are dealt by anchor, sorted, and read as a stream: an anchor that many texts share needs no memory.
     """
 
     def run(batches):
-        cols = ["ah", "sh", "key", "lo", "n", "again"]
+        cols = ["ah", "sh", "age", "key", "lo", "n", "again"]
         held = None  # the first row of the latest segment hash, and whether another came before it under its anchor
         shared = False
         for b in batches:
@@ -181,14 +182,15 @@ def judged(rows: DataFrame, keep_firsts: bool = False) -> DataFrame:
             out = [(UNSURE, held)] if shared else []
             yield from _batches(out + ([(FIRST, held)] if keep_firsts else []))
 
-    dealt = rows.repartition("ah").sortWithinPartitions("ah", "sh", "key", "lo")
+    dealt = rows.repartition("ah").sortWithinPartitions("ah", "sh", "age", "key", "lo")
     return dealt.mapInArrow(run, FOUND)
 
 
 def _batches(parts):
+    names = ["ah", "sh", "age", "key", "lo", "n"]
     for kind, v in parts:
         if len(v["ah"]):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v["ah"]), kind, np.int32)), *(pa.array(v[c]) for c in ("ah", "sh", "key")), *(pa.array(v[c].astype(np.int32)) for c in ("lo", "n"))], ["kind", "ah", "sh", "key", "lo", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v["ah"]), kind, np.int32)), *(pa.array(v[c]) for c in names)], ["kind", *names])
 
 
 def union_of_spans(starts_: np.ndarray, ends_: np.ndarray) -> list[tuple[int, int]]:
@@ -203,6 +205,18 @@ def union_of_spans(starts_: np.ndarray, ends_: np.ndarray) -> list[tuple[int, in
     return list(zip(s[at].tolist(), e[np.append(at[1:], len(s)) - 1].tolist(), strict=True))
 
 
-def spans_by_document(spans: DataFrame) -> DataFrame:
-    """(key, spans): all spans (key, a, b) of a document as one list; as many as fit in one text."""
-    return spans.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+def with_lists(docs: DataFrame, rows: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """docs (key, text) and the list, by document, of its rows; the segments and spans of one text, so no more than it has places."""
+    return docs.join(rows.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("rows")), "key", how)
+
+
+def remaining(docs: DataFrame, spans: DataFrame, rows_of, schema: str) -> DataFrame:
+    """rows_of(doc_ids, texts, spans) of each batch of docs; spans are joined, apart and ascending. Documents without spans count too."""
+
+    def run(batches):
+        for b in batches:
+            cut = [union_of_spans(np.array([x["a"] for x in r or ()], np.int64), np.array([x["b"] for x in r or ()], np.int64)) for r in b.column("rows").to_pylist()]
+            if b.num_rows:
+                yield rows_of(b.column("doc_id"), b.column("text").to_pylist(), cut)
+
+    return with_lists(docs, spans, ["a", "b"], "left").select("doc_id", "text", "rows").mapInArrow(run, schema)

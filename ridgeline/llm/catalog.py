@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import licenses, mixing, ogg, packing, quality, rabitq, simhash, toxicity
+from ridgeline.llm import fingerprint_index, licenses, mixing, ogg, packing, quality, rabitq, simhash, suffix_dedup, toxicity
 from ridgeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens packed into sequences of at most 2048."""
     got = packing.packed_documents(table(spark, sf_dir, "documents"), capacity=2048)
     return got.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What windows of 20 words that start earlier leave of every whole document."""
+    got = fingerprint_index.without_repeats(table(spark, sf_dir, "documents"), window=20)
+    return got.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op10_suffix_array_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What strings of 100 bytes that start earlier leave of every whole document."""
+    got = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), length=100)
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
