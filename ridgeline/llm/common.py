@@ -54,6 +54,11 @@ def utf8(column: str = "text"):
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def sealed(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns needed and, as the struct row, all columns: no name of docs can clash with an operator's own."""
+    return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """df.mapInArrow, a function of one batch at a time."""
 

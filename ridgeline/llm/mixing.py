@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import WORD, staged
+from ridgeline.llm.anchors import document_keys
+from ridgeline.llm.common import WORD, sealed, staged
 
 BLOCK_DIGITS = 2  # a source's documents fall into 16**2 blocks by the first hex digits of their keys
 
@@ -137,15 +138,28 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
     return out.select("doc_id", "source", "key", "size", F.col("source_size").cast("long"), F.col("target").cast("double"), taken.alias("taken"), "draws")
 
 
+def mixed_rows(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, shards: int = 16, seed: int = 11) -> DataFrame:
+    """docs, columns as they are, with a row for each draw of a document by mix, its text cut to the words drawn (n_chars, if
+    there, is counted anew). Of rows alike in doc_id and text, each is drawn. Documents that the mix doesn't draw are left out."""
+    keyed = document_keys(sealed(docs, "doc_id", "text", "source"))
+    plan = mix(keyed.select(F.col("key").alias("doc_id"), "text", "source"), weights, share, cap, shards, seed)
+    draws = plan.select(F.col("doc_id").alias("key"), "size", "draws").dropDuplicates(["key"]).select("key", "size", F.explode("draws").alias("d"))
+    rows = keyed.select("key", "row").join(draws, "key")
+    part = F.col("d.words") < F.col("size")
+    rows = rows.select("row", part.alias("part"), F.when(part, _leading(F.col("row.text"), F.col("d.words"))).otherwise(F.col("row.text")).alias("new"))
+    made = {"text": F.col("new"), "n_chars": F.when(F.col("part"), F.length("new")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None)).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return rows.select(*[(made[c] if c in made else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def write_shards(docs: DataFrame, plan: DataFrame, path: str, seed: int = 11) -> None:
     """The mix as a table partitioned by shard: a row for each draw of a document, cut to its words, shuffled within its shard."""
     draws = plan.select(F.col("doc_id").alias("id"), F.posexplode("draws").alias("copy", "d")).select("id", "copy", "d.shard", "d.words")
     rows = docs.join(draws, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
-    rows = rows.withColumn("text", leading_words("text", "words")).withColumn("at", _key(seed, F.col("shard"), F.col("copy"), F.col("doc_id")))
+    rows = rows.withColumn("text", _leading(F.col("text"), F.col("words"))).withColumn("at", _key(seed, F.col("shard"), F.col("copy"), F.col("doc_id")))
     rows.repartitionByRange("shard", "at").sortWithinPartitions("shard", "at").drop("at").write.partitionBy("shard").parquet(path)
 
 
-def leading_words(text: str, words: str) -> Column:
+def _leading(text: Column, words: Column) -> Column:
     """A text up to the end of its first so many words; the whole text, white space included, if it has no more words."""
-    found = F.regexp_extract_all(F.col(text), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    return F.when(F.size(found) <= F.col(words), F.col(text)).otherwise(F.array_join(F.slice(found, 1, F.col(words).cast("int")), ""))
+    found = F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    return F.when(F.size(found) <= words, text).otherwise(F.array_join(F.slice(found, 1, words.cast("int")), ""))

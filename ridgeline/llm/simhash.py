@@ -32,9 +32,8 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.fromiter((h(joined[a:b], 42) for a, b in zip(at.tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)), np.uint64, len(at))
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """The SimHash of a text as a signed 64-bit number: a bit is 1 if it is set in over half the shingles; 0 without words."""
-    h = shingle_hashes(text, width)
+def packed_majority(h: np.ndarray) -> int:
+    """A signed 64-bit number whose bits are 1 where they are in over half of these; 0 for none."""
     if not len(h):
         return 0
     at = h.astype("<u8").view(np.uint8).reshape(-1, 8) + np.arange(0, 2048, 256)
@@ -42,6 +41,11 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """The SimHash of a text: a bit is 1 if it is set in over half the shingles; 0 without words."""
+    return packed_majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp) of each row. Only doc_id and text are read, so other columns can't clash; a null text is empty."""
 

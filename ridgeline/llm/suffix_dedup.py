@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import anchors
 from ridgeline.llm.anchors import REPEATED, UNSURE
-from ridgeline.llm.common import staged, utf8
+from ridgeline.llm.common import sealed, staged, utf8
 from ridgeline.llm.induced import repeated_windows
 
 LENGTH, GRAM = 100, 32
@@ -100,3 +100,37 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
         return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return anchors.remaining(docs, spans(docs, length, gram), rows_of, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
+    """The span of the characters that lie wholly in a span of bytes; empty (a, a) if none does."""
+    while a < b and text[a] & 0xC0 == 0x80:
+        a += 1
+    while b > a and b < len(text) and text[b] & 0xC0 == 0x80:
+        b -= 1
+    return a, max(a, b)
+
+
+def cut_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """docs, columns as they are, without the bytes of their texts that without_repeats removes; a character goes if all its
+    bytes do, and n_chars, if there, is counted anew. No row goes, and null texts stay null."""
+    keyed = anchors.document_keys(sealed(docs, "doc_id", "text"))
+    texts = keyed.select("key", utf8().alias("text"))
+    found = anchors.with_lists(keyed, spans(texts, length, gram), ["a", "b"], "left").select("row", utf8().alias("bytes"), "rows")
+    changed = F.col("rows").isNotNull() & F.col("row.text").isNotNull()
+
+    @F.pandas_udf("string")
+    def cut(texts, rows):
+        out = []
+        for text, r in zip(texts, rows, strict=True):
+            kept, at = [], 0
+            for a, b in anchors.union_of_spans(np.array([x["a"] for x in (r if r is not None else ())], np.int64), np.array([x["b"] for x in (r if r is not None else ())], np.int64)):
+                a, b = whole_characters(text, a, b)
+                kept.append(text[at:a])
+                at = b
+            out.append(b"".join([*kept, text[at:]]).decode())
+        return texts.__class__(out)
+
+    found = found.withColumn("new", F.when(changed, cut("bytes", "rows")).otherwise(F.col("row.text")))
+    made = {"text": F.col("new"), "n_chars": F.when(changed, F.length("new")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None)).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return found.select(*[(made[c] if c in made else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
