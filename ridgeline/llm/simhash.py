@@ -101,7 +101,7 @@ def covering_masks(bits: list[int], radius: int, n: float, p: np.ndarray, corr:
     least probes plus estimated candidates, from the share of ones of each bit over all fingerprints.
     """
     agree = 1 - 2 * p * (1 - p)
-    best: tuple[float, list[int]] | None = None
+    best: tuple[float, list[list[int]], list[int]] | None = None
     for m in range(1, min(len(bits), 2 * radius + 2) + 1):
         groups = correlated_groups(bits, corr, m)
         cost = [[0.0] * (radius + 2) for _ in groups]
@@ -116,15 +116,17 @@ def covering_masks(bits: list[int], radius: int, n: float, p: np.ndarray, corr:
             table.append([min(table[-1][k - u] + c[u] for u in range(k + 1)) for k in range(radius + 2)])
         if best is not None and table[-1][-1] >= best[0]:
             continue
-        k, masks = radius + 1, []
+        k, units = radius + 1, []
         for i in range(len(groups) - 1, -1, -1):
-            u = min(range(k + 1), key=lambda u: table[i][k - u] + cost[i][u])
-            if u:
-                whole = sum(1 << b for b in groups[i])
-                masks += [whole - sum(1 << b for b in out) for out in combinations(groups[i], u - 1)]
-            k -= u
-        best = table[-1][-1], masks
-    return sorted(best[1])
+            units.append(min(range(k + 1), key=lambda u: table[i][k - u] + cost[i][u]))  # noqa: B023
+            k -= units[-1]
+        best = table[-1][-1], groups, units[::-1]
+    masks = []
+    for g, u in zip(*best[1:], strict=True):
+        if u:
+            whole = sum(1 << b for b in g)
+            masks += [whole - sum(1 << b for b in out) for out in combinations(g, u - 1)]
+    return sorted(masks)
 
 
 def _long(x: int) -> int:
