@@ -59,7 +59,7 @@ def sealed(docs: DataFrame, *needed: str) -> DataFrame:
     return docs.select(*needed, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
-def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema) -> DataFrame:
     """df.mapInArrow, a function of one batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,9 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ridgeline.llm.common import arrow_map, utf8
+from ridgeline.llm.common import arrow_map, sealed, utf8
 
+NEW = ["tox_p", "tox_severity", "tox_grade", "tox_toxic"]
 PREFIXES = (4, 5, 6)  # a word's features: itself and its prefixes of so many bytes
 _PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))  # what is no letter becomes a space
 
@@ -128,24 +130,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs and, for each row, p_toxic = P(grade > 0), severity = the expected grade, grade = the likeliest one, and
     toxic = p_toxic >= 0.5. Whole texts count; null and empty texts hold no feature, and score as such. The new columns
     are named as said with a leading tox_, and columns of these names are replaced. No rows give no rows."""
-    docs = docs.drop("tox_p", "tox_severity", "tox_grade", "tox_toxic", "tox_text")
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    docs = docs.drop("tox_p", "tox_severity", "tox_grade", "tox_toxic")
     index, weights = model.index, model.weights
+    state: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known = known_by_worker(index)
+        known = state.setdefault("known", _Features(index))
         z = np.array([sum(weights[i] * np.log1p(n) for i, n in _values(t, known).items()) for t in batch.column("tox_text").to_pylist()], float)
         over = model.grades(z)
         p = np.column_stack([np.ones(len(z)), over]) - np.column_stack([over, np.zeros(len(z))])
         new = [pa.array(over[:, 0]), pa.array(over.sum(1)), pa.array(p.argmax(1).astype(np.int32)), pa.array(over[:, 0] >= 0.5)]
-        kept = [n for n in batch.schema.names if n != "tox_text"]
-        return pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + new, [*kept, "tox_p", "tox_severity", "tox_grade", "tox_toxic"])
-
-    state: dict = {}
-
-    def known_by_worker(index):
-        if "known" not in state:
-            state["known"] = _Features(index)
-        return state["known"]
+        return pa.RecordBatch.from_arrays([batch.column("row"), *new], ["row", *NEW])
 
-    return arrow_map(docs.withColumn("tox_text", utf8()), run, f"{fields}, tox_p double, tox_severity double, tox_grade int, tox_toxic boolean")
+    held = sealed(docs, "text").select("row", utf8().alias("tox_text"))
+    schema = StructType([held.schema["row"], *StructType.fromDDL("tox_p double, tox_severity double, tox_grade int, tox_toxic boolean").fields])
+    scored = arrow_map(held, run, schema)
+    return scored.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *NEW)
