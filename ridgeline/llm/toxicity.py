@@ -40,13 +40,13 @@ class Model:
 
 
 class _Features(dict):
-    """A word's features by word, kept for up to half a million words."""
+    """A word's features by word, kept for up to 100,000 words."""
 
     def __init__(self, index: dict[bytes, int]):
         self.index = index
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = tuple(self.index[t] for t in terms_of(word) if t in self.index)
         return found
