@@ -5,6 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ridgeline.functions import scalars
+from ridgeline.operators import blocks, codes, events, groups, pairs, verification
+from ridgeline.sources.tables import table, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,3 +25,192 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+EMB = "emb AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS owner, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings)"
+L2 = "round(sqrt(greatest(2 - 2 * list_dot_product(q.v, g.v), 0)), 12)"
+SCORES = f"""WITH {EMB},
+pairs AS (SELECT q.id AS q, q.owner AS q_owner, g.owner AS owner, g.id AS g, round(greatest(1 - {L2} / 2, 0), 12) AS s FROM emb q, emb g WHERE q.rn > 5 AND g.rn <= 5),
+scores AS (SELECT q, q_owner, owner, q_owner = owner AS genuine, round(max(s), 6) AS best, round(avg(s), 6) AS mean, round(list_avg(list(s ORDER BY s DESC)[1:3]), 6) AS top_mean, list(g ORDER BY s DESC, g)[1] AS best_id FROM pairs GROUP BY ALL)"""
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verification.scores(vectors(spark, sf_dir), count=5)
+
+
+@query("far_frr_table", f"""{SCORES}, t AS (SELECT round(CAST(0.2 AS DOUBLE) + i * CAST(0.01 AS DOUBLE), 10) AS threshold FROM range(37) r(i))
+SELECT threshold, count(*) FILTER (NOT genuine AND best >= threshold) AS fa, count(*) FILTER (genuine AND best < threshold) AS fr, round(fa / count(*) FILTER (NOT genuine), 6) AS far, round(fr / count(*) FILTER (genuine), 6) AS frr FROM t, scores GROUP BY threshold""")
+def far_frr_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verification.far_frr_table(_scores(spark, sf_dir), 0.2, 0.56, 0.01)
+
+
+@query("identity_scores", f"{SCORES} SELECT q, q_owner, owner, genuine, best, mean, top_mean, best_id FROM scores")
+def identity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir)
+
+
+@query("threshold_curve", f"""{SCORES}, c AS (SELECT best AS score, count(*) FILTER (genuine) AS g, count(*) FILTER (NOT genuine) AS i FROM scores GROUP BY best)
+SELECT score, CAST(sum(i) OVER (ORDER BY score DESC) AS BIGINT) AS far_n, CAST(sum(g) OVER (ORDER BY score) - g AS BIGINT) AS frr_n, CAST(sum(i) OVER () AS BIGINT) AS impostors, CAST(sum(g) OVER () AS BIGINT) AS genuines FROM c""")
+def threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verification.cumulative(_scores(spark, sf_dir))
+
+
+@query("zero_far_point", f"""{SCORES}, m AS (SELECT max(best) FILTER (NOT genuine) AS threshold_above FROM scores)
+SELECT threshold_above, count(*) FILTER (genuine AND best <= coalesce(threshold_above, -1)) AS fr, round(fr / count(*) FILTER (genuine), 6) AS frr, CAST(CASE WHEN count(*) FILTER (NOT genuine) > 0 THEN 0 END AS DOUBLE) AS far FROM scores, m GROUP BY threshold_above""")
+def zero_far_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verification.zero_far_point(_scores(spark, sf_dir))
+
+
+@query("per_owner_rates", f"""{SCORES} SELECT CAST(grouping(owner) AS INT) AS overall, owner, count(*) FILTER (genuine AND best < 0.36) AS fr, count(*) FILTER (NOT genuine AND best >= 0.36) AS fa, round(fr / nullif(count(*) FILTER (genuine), 0), 6) AS frr, round(fa / nullif(count(*) FILTER (NOT genuine), 0), 6) AS far FROM scores GROUP BY GROUPING SETS ((), (owner))""")
+def per_owner_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verification.per_owner_rates(_scores(spark, sf_dir), 0.36)
+
+
+@query("auc_eer", f"""{SCORES}, c AS (SELECT best AS score, count(*) FILTER (genuine) AS g, count(*) FILTER (NOT genuine) AS i FROM scores GROUP BY best),
+r AS (SELECT score, sum(i) OVER (ORDER BY score DESC) / sum(i) OVER () AS fpr, sum(g) OVER (ORDER BY score DESC) / sum(g) OVER () AS tpr FROM c),
+l AS (SELECT *, coalesce(lag(fpr) OVER (ORDER BY score DESC), 0) AS f0, coalesce(lag(tpr) OVER (ORDER BY score DESC), 0) AS t0 FROM r)
+SELECT round(sum((fpr - f0) * (tpr + t0) / 2), 6) AS auc, round(list((fpr + 1 - tpr) / 2 ORDER BY round(abs(fpr - (1 - tpr)), 9), score DESC)[1], 6) AS eer FROM l""")
+def auc_eer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verification.auc_eer(_scores(spark, sf_dir))
+
+
+@query("failure_topn", f"""{SCORES}, k AS (SELECT CASE WHEN genuine AND best < 0.36 THEN 'false_reject' WHEN NOT genuine AND best >= 0.36 THEN 'false_accept' END AS kind, q, owner, best FROM scores)
+SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY best DESC, q, owner) AS INT) AS rank, q, owner, best FROM k WHERE kind IS NOT NULL QUALIFY rank <= 20""")
+def failure_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verification.failures(_scores(spark, sf_dir), 0.36, 20)
+
+
+@query("score_components", f"{SCORES} SELECT genuine, count(*) AS n, count(*) FILTER (best >= 0.36) AS accepted, round(avg(best), 6) AS best_mean, round(avg(mean), 6) AS mean_mean, round(max(best), 6) AS best_max FROM scores GROUP BY genuine")
+def score_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _scores(spark, sf_dir).groupBy("genuine")
+    return got.agg(F.count("*").alias("n"), F.count_if(F.col("best") >= 0.36).alias("accepted"), F.round(F.avg("best"), 6).alias("best_mean"), F.round(F.avg("mean"), 6).alias("mean_mean"), F.round(F.max("best"), 6).alias("best_max"))
+
+
+NEAR = f"near AS (SELECT q.id AS q, g.id AS g, {L2} AS d, row_number() OVER (PARTITION BY q.id ORDER BY {L2}, g.id) AS rank FROM emb q, emb g WHERE q.id % 20 = 0 AND q.id <> g.id)"
+
+
+def _near(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    return blocks.nearest(rows.where("id % 20 = 0"), rows, k)
+
+
+@query("l2_topk", f"WITH {EMB}, {NEAR} SELECT q, g, round(d, 6) AS d, CAST(rank AS INT) AS rank FROM near WHERE rank <= 10")
+def l2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir, 10).withColumn("d", F.round("d", 6))
+
+
+@query("ratio_matches", f"WITH {EMB}, {NEAR} SELECT a.q, a.g, round(a.d, 6) AS d FROM near a JOIN near b ON a.q = b.q AND a.rank = 1 AND b.rank = 2 WHERE a.d < 0.97 * b.d AND b.d > 1e-12")
+def ratio_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.ratio_matches(_near(spark, sf_dir, 2), 0.97).withColumn("d", F.round("d", 6))
+
+
+SIDES = f"sides AS (SELECT a.id AS a, b.id AS b, round(sqrt(greatest(2 - 2 * list_dot_product(a.v, b.v), 0)), 12) AS d FROM emb a, emb b WHERE a.rn <= 5 AND b.rn > 5)"
+
+
+@query("mutual_nn", f"WITH {EMB}, {SIDES}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS f, row_number() OVER (PARTITION BY b ORDER BY d, a) AS k FROM sides) SELECT a AS q, b AS g, round(d, 6) AS d FROM r WHERE f = 1 AND k = 1")
+def mutual_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = verification.enrolled(vectors(spark, sf_dir))
+    a, b = rows.where("enrolled").drop("enrolled"), rows.where("not enrolled").drop("enrolled")
+    return pairs.mutual(blocks.nearest(a, b, 1), blocks.nearest(b, a, 1)).withColumn("d", F.round("d", 6))
+
+
+@query("point_groups", f"""WITH RECURSIVE {EMB}, {SIDES}, e AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS f FROM sides) WHERE f <= 2),
+both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(node, root) AS (SELECT a, a FROM both_ UNION SELECT both_.b, reach.root FROM reach JOIN both_ ON reach.node = both_.a) SELECT node, min(root) AS root FROM reach GROUP BY node""")
+def point_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = verification.enrolled(vectors(spark, sf_dir))
+    near = blocks.nearest(rows.where("enrolled").drop("enrolled"), rows.where("not enrolled").drop("enrolled"), 2)
+    return groups.point_groups(near.select(F.col("q").alias("a"), F.col("g").alias("b")))
+
+
+WHT = "list_sum(list_transform(range(64), lambda i: CASE WHEN bit_count((8 * j + b) & i) % 2 = 0 THEN v[i + 1] ELSE -v[i + 1] END))"
+
+
+@query("hadamard_codes", f"WITH {EMB} SELECT id, array_to_string(list_transform(range(8), lambda j: CAST(list_sum(list_transform(range(8), lambda b: CASE WHEN {WHT} >= 0 THEN 1 << b ELSE 0 END)) AS BIGINT)), ',') AS code FROM emb")
+def hadamard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = codes.coefficients(vectors(spark, sf_dir), 64).select("id", codes.signs(F.col("w")).alias("bits"))
+    return rows.select("id", F.array_join(codes.packed_bytes(F.col("bits"), 64).cast("array<string>"), ",").alias("code"))
+
+
+@query("bit_statistics", f"WITH {EMB}, w AS (SELECT k, avg(CASE WHEN v[k + 1] >= 0 THEN 1 ELSE 0 END) AS p FROM emb, range(64) r(k) GROUP BY k) SELECT round(avg(p), 6) AS one_fraction, round(avg(abs(p - 0.5)), 6) AS balance_error, round(avg(CASE WHEN p IN (0, 1) THEN 1 ELSE 0 END), 6) AS constant_ratio FROM w")
+def bit_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.bit_statistics(vectors(spark, sf_dir).select(codes.signs(F.col("v")).alias("bits")))
+
+
+@query("image_pairs", f"WITH {EMB} SELECT owner, a, b FROM (SELECT p.owner, p.id AS a, q.id AS b, row_number() OVER (PARTITION BY p.owner ORDER BY p.id, q.id) AS n FROM emb p JOIN emb q ON p.owner = q.owner AND p.id < q.id) WHERE n <= 100")
+def image_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.image_pairs(vectors(spark, sf_dir), 100)
+
+
+@query("group_split", "WITH c AS (SELECT DISTINCT o_custkey AS owner FROM orders WHERE o_custkey IS NOT NULL), r AS (SELECT owner, row_number() OVER (ORDER BY md5('42|' || owner), owner) AS pos, count(*) OVER () AS n FROM c) SELECT owner, CASE WHEN pos <= round_even(n * CAST(0.8 AS DOUBLE), 0) THEN 'train' WHEN pos <= round_even(n * CAST(0.9 AS DOUBLE), 0) THEN 'val' ELSE 'test' END AS split FROM r")
+def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.group_split(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner")))
+
+
+XY = "p AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS owner, 50 + 200 * CAST(embedding[1] AS DOUBLE) AS x, 50 + 200 * CAST(embedding[2] AS DOUBLE) AS y, 50 + 200 * CAST(embedding[3] AS DOUBLE) AS u, 50 + 200 * CAST(embedding[4] AS DOUBLE) AS v FROM embeddings)"
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places and scores from the first components of each vector."""
+    return vectors(spark, sf_dir).select("id", "owner", *[(F.col("v")[i] * 200 + 50).alias(n) for i, n in enumerate("xyuv")], F.col("v")[4].alias("score"))
+
+
+@query("affine_fit", f"""WITH {XY}, c AS (SELECT owner, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv FROM p GROUP BY owner),
+f AS (SELECT owner, c.n, sum((x - mx) * (u - mu) + (y - my) * (v - mv)) / sum((x - mx) ** 2 + (y - my) ** 2) AS a, sum((x - mx) * (v - mv) - (y - my) * (u - mu)) / sum((x - mx) ** 2 + (y - my) ** 2) AS b, any_value(mx) AS mx, any_value(my) AS my, any_value(mu) AS mu, any_value(mv) AS mv FROM p JOIN c USING (owner) GROUP BY owner, c.n)
+SELECT owner, n, round(a, 6) AS a, round(b, 6) AS b, round(mu - a * mx + b * my, 6) AS tx, round(mv - b * mx - a * my, 6) AS ty FROM f""")
+def affine_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pairs.affine_fit(_points(spark, sf_dir), "owner")
+    return got.select("owner", "n", *[F.round(c, 6).alias(c) for c in ("a", "b", "tx", "ty")])
+
+
+@query("dominant_angle", f"WITH {XY}, b AS (SELECT owner, CAST(least(floor((degrees(atan2(y - 50, x - 50)) + 180) / 10), 35) AS INT) AS bin, count(*) AS votes FROM p GROUP BY ALL) SELECT owner, list(bin ORDER BY votes DESC, bin)[1] * 10 - 180 + CAST(5 AS DOUBLE) AS angle, max(votes) AS votes FROM b GROUP BY owner")
+def dominant_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.dominant_angle(_points(spark, sf_dir), "owner", F.degrees(F.atan2(F.col("y") - 50, F.col("x") - 50)))
+
+
+@query("spaced_points")
+def spaced_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.spaced(_points(spark, sf_dir), "owner", 20.0)
+
+
+@query("counts_by_key", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def counts_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query("timing_summary", "WITH s AS (SELECT event_type, list(value ORDER BY value) AS l, round(avg(value), 6) AS mean FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, len(l) AS n, l[1] AS least, mean, l[CAST(round_even((len(l) - 1) * CAST(0.5 AS DOUBLE), 0) AS BIGINT) + 1] AS p50, l[CAST(round_even((len(l) - 1) * CAST(0.95 AS DOUBLE), 0) AS BIGINT) + 1] AS p95, l[-1] AS most FROM s")
+def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.timing_summary(table(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("best_so_far", "WITH b AS (SELECT user_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS best FROM events) SELECT user_id, max(best) AS best, count(*) FILTER (value >= best) AS bests FROM b GROUP BY user_id")
+def best_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events.best_so_far(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value")
+    return rows.groupBy("user_id").agg(F.max("best").alias("best"), F.count_if("is_best").alias("bests"))
+
+
+@query("weighted_mean", "SELECT user_id, round(coalesce(sum(value * (event_id % 7)) / nullif(sum(event_id % 7), 0), 0), 6) AS mean FROM events GROUP BY user_id")
+def weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.weighted_mean(table(spark, sf_dir, "events").withColumn("w", F.col("event_id") % 7), "user_id", "value", "w")
+
+
+@query("lru_library", "WITH l AS (SELECT user_id, event_type, max({'ts': ts, 'e': event_id}) AS last FROM events GROUP BY ALL) SELECT user_id, event_type, CAST(row_number() OVER (PARTITION BY user_id ORDER BY last DESC) AS INT) AS position FROM l QUALIFY position <= 3")
+def lru_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.library_contents(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"], 3)
+
+
+PMOD = "((({0}) % 360 + 360) % 360)"
+
+
+@query("angles", f"SELECT event_id, round(180 - {PMOD.format('180 - value * 7')}, 6) AS wrapped, round(abs({PMOD.format('value * 3 - value * 5 + 180')} - 180), 6) AS diff, round(least(diff, 180 - diff), 6) AS axis FROM events")
+def angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value")
+    diff = F.round(scalars.angle_diff(v * 3, v * 5), 6)
+    return table(spark, sf_dir, "events").select("event_id", F.round(scalars.wrap_angle(v * 7), 6).alias("wrapped"), diff.alias("diff"), F.round(F.least(diff, 180 - diff), 6).alias("axis"))
+
+
+TOKEN = "coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim(coalesce({0}, '')), '[^A-Za-z0-9._-]+', '_', 'g'), '_+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), ''), 'unknown')"
+
+
+@query("stable_ids", f"SELECT doc_id, left({TOKEN.format('source')} || '__' || {TOKEN.format('lang')} || '__' || doc_id || '__' || left(sha1(concat_ws('|', source, lang, doc_id)), 12), 180) AS stable_id, md5({TOKEN.format('text')}) AS token_md5 FROM documents")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.stable_id(F.col("source"), F.col("lang"), F.col("doc_id")).alias("stable_id"), F.md5(scalars.sanitize_token(F.col("text"))).alias("token_md5"))
