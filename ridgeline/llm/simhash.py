@@ -163,8 +163,9 @@ def near_links(classes: DataFrame, radius: int) -> DataFrame:
 
 def _verified(keyed: DataFrame, radius: int) -> DataFrame:
     def pairs(mask, key, fp):
-        """Links within the groups, comparing each row with those d places on while any group is that long."""
-        at, d, a, b = np.arange(len(fp)), 1, [], []
+        """Links that connect rows as all links within the groups do, comparing each row with those d places on while any group
+        is that long. Links are reduced to stars whenever they are many, so a dense bucket needs little memory."""
+        at, d, a, b, held = np.arange(len(fp)), 1, [], [], 0
         while True:
             at = at[at + d < len(fp)]
             at = at[(key[at] == key[at + d]) & (mask[at] == mask[at + d])]
@@ -173,6 +174,10 @@ def _verified(keyed: DataFrame, radius: int) -> DataFrame:
             hit = at[np.bitwise_count(fp[at] ^ fp[at + d]) <= radius]
             a.append(hit)
             b.append(hit + d)
+            held += len(hit)
+            if held > 200_000:
+                x, y = spanning(np.concatenate(a), np.concatenate(b))
+                a, b, held = [x], [y], len(x)
             d += 1
         none = np.empty(0, np.int64)
         return np.concatenate([none, *a]), np.concatenate([none, *b])

@@ -90,6 +90,14 @@ def test_a_large_bucket_is_split_and_loses_no_link(spark, monkeypatch):
     assert brute.components(order, lambda i, j: (i, j) in linked) == brute.components(order, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 2)
 
 
+def test_a_dense_bucket_is_one_component(spark):
+    rng = random.Random(6)
+    fps = sorted({sum(1 << b for b in rng.sample(range(20), rng.randint(0, 3))) for _ in range(3000)})
+    links = rows(simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long"), 6), "a", "b")
+    root, _ = simhash.spanning(np.array([a for a, _ in links]), np.array([b for _, b in links]))
+    assert len(fps) > 700 and sorted(root.tolist()) == fps[1:]
+
+
 def test_simhash_of_no_rows_and_null_ids(spark):
     assert rows(simhash.near_duplicates(table(spark, []))) == []
     got = rows(simhash.near_duplicates(table(spark, [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (9, None)])), "doc_id", "component_id")
