@@ -24,21 +24,28 @@ def _matrix(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat.field("id").to_numpy(), flat.field("owner").to_numpy(), v.flatten().to_numpy().reshape(len(flat), -1)
 
 
-def _each(queries: DataFrame, gallery: DataFrame, by: str, found, schema: str) -> DataFrame:
+def _distances(q: np.ndarray, g: np.ndarray, metric: str) -> np.ndarray:
+    """l2: of unit vectors; hamming: the share of differing signs of vectors of 1 and -1."""
+    if metric == "hamming":
+        return (1 - q @ g.T / q.shape[1]) / 2
+    return np.round(np.sqrt(np.maximum(2 - 2 * (q @ g.T), 0)), 12)
+
+
+def _each(queries: DataFrame, gallery: DataFrame, by: str, found, schema: str, metric: str = "l2") -> DataFrame:
     pairs = blocked(queries, "id").select(F.col("rows").alias("q")).crossJoin(blocked(gallery, by).select(F.col("rows").alias("g")))
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 q, g = _matrix(b.column("q").slice(i, 1)), _matrix(b.column("g").slice(i, 1))
-                d = np.round(np.sqrt(np.maximum(2 - 2 * (q[2] @ g[2].T), 0)), 12)
-                yield from found(q, g, d)
+                yield from found(q, g, _distances(q[2], g[2], metric))
 
     return pairs.repartition(F.xxhash64(F.col("q")[0]["id"], F.col("g")[0]["id"])).mapInArrow(run, schema)
 
 
-def nearest(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
-    """(q, g, d, rank): the k nearest other gallery rows of each query by L2 distance of unit vectors; ties by gallery id."""
+def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """(q, g, d, rank): the k nearest other gallery rows of each query by L2 distance of unit vectors, or by the share of
+    differing bits of codes (hamming; bits as 1 and -1); ties by gallery id."""
 
     def found(q, g, d):
         d = np.where(q[0][:, None] == g[0][None, :], np.inf, d)
@@ -47,7 +54,7 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
         at = np.isfinite(d[rows, order]).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[0], order.shape[1])[at]), pa.array(g[0][order].ravel()[at]), pa.array(d[rows, order].ravel()[at])], ["q", "g", "d"])
 
-    near = _each(queries, gallery, "id", found, "q long, g long, d double")
+    near = _each(queries, gallery, "id", found, "q long, g long, d double", metric)
     return near.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d", "g"))).where(F.col("rank") <= k)
 
 

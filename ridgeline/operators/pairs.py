@@ -64,6 +64,24 @@ def ratio_matches(near: DataFrame, ratio: float = 0.8) -> DataFrame:
     return near.withColumn("second", second).where((F.col("rank") == 1) & (F.col("d") < ratio * F.col("second")) & (F.col("second") > 1e-12)).select("q", "g", "d")
 
 
+def candidates(near: DataFrame, policy: str = "topk_or_ratio", top: int = 3, ratio: float = 0.8, most: float = 1.2, margin: float = 0.1) -> DataFrame:
+    """(q, g, d) of (q, g, d, rank) rows, two ranks or more, that go on to verification.
+
+    ratio_only: the best, if below ratio times the second and at most so far. topk_only: the first top within
+    min(most, best + margin). topk_or_ratio: the best alone where the ratio holds, else as topk_only. Each gallery row
+    is kept for its nearest query only, the first of equals.
+    """
+    if policy not in ("ratio_only", "topk_only", "topk_or_ratio"):
+        raise ValueError(f"unknown policy {policy!r}")
+    c, by = F.col, W.partitionBy("q")
+    best, second = F.min(F.when(c("rank") == 1, c("d"))).over(by), F.coalesce(F.min(F.when(c("rank") == 2, c("d"))).over(by), F.lit(float("inf")))
+    rows = near.withColumn("best", best).withColumn("second", second)
+    alone = (c("second") > 1e-12) & (c("best") < ratio * c("second")) & (c("best") <= most)
+    many = (c("rank") <= top) & (c("d") <= F.least(F.lit(most), c("best") + margin))
+    kept = {"ratio_only": alone & (c("rank") == 1), "topk_only": many, "topk_or_ratio": F.when(alone, c("rank") == 1).otherwise(many)}[policy]
+    return rows.where(kept).groupBy("g").agg(F.min_by("q", F.struct("d", "q")).alias("q"), F.min("d").alias("d")).select("q", "g", "d")
+
+
 def mutual(forward: DataFrame, backward: DataFrame) -> DataFrame:
     """Forward best matches (q, g, d) that are each other's best."""
     back = backward.where("rank = 1").select(F.col("q").alias("g"), F.col("g").alias("q"))

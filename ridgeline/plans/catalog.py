@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions import scalars
-from ridgeline.operators import blocks, codes, events, groups, pairs, verification
+from ridgeline.operators import blocks, codes, events, geometry, groups, library, negatives, pairs, verification
+from ridgeline.sources import images
 from ridgeline.sources.tables import table, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +215,102 @@ TOKEN = "coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(trim(coale
 @query("stable_ids", f"SELECT doc_id, left({TOKEN.format('source')} || '__' || {TOKEN.format('lang')} || '__' || doc_id || '__' || left(sha1(concat_ws('|', source, lang, doc_id)), 12), 180) AS stable_id, md5({TOKEN.format('text')}) AS token_md5 FROM documents")
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", scalars.stable_id(F.col("source"), F.col("lang"), F.col("doc_id")).alias("stable_id"), F.md5(scalars.sanitize_token(F.col("text"))).alias("token_md5"))
+
+
+BATCH = f"""WITH b AS (SELECT vec_id AS id, vec_id // 50 AS batch, CAST(label AS BIGINT) AS owner, CAST(embedding AS DOUBLE[]) AS v, list_reverse(v) AS p, 50 + 200 * v[1] AS x, 50 + 200 * v[2] AS y FROM embeddings),
+pairs AS (SELECT i.batch, i.id AS anchor, j.id AS candidate, i.v, i.p, j.v AS jv, j.p AS jp FROM b i JOIN b j ON i.batch = j.batch AND i.id <> j.id AND (i.owner <> j.owner OR greatest(abs(i.x - j.x), abs(i.y - j.y)) >= 20)),
+both_ AS (SELECT batch, anchor, candidate, 0 AS direction, round(sqrt(greatest(2 - 2 * list_dot_product(v, jp), 0)), 12) AS d FROM pairs UNION ALL SELECT batch, anchor, candidate, 1, round(sqrt(greatest(2 - 2 * list_dot_product(jv, p), 0)), 12) FROM pairs),
+hard AS (SELECT *, row_number() OVER (PARTITION BY batch, anchor ORDER BY d, direction, candidate) AS rank FROM both_ QUALIFY rank <= 3)"""
+
+
+def _negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 50 vectors by id; a vector's positive is its values in reverse order."""
+    v = F.col("v")
+    rows = vectors(spark, sf_dir).select(F.floor(F.col("id") / 50).alias("batch"), "id", "owner", F.col("id").alias("point"), F.lit(0).alias("frame"), (v[0] * 200 + 50).alias("x"), (v[1] * 200 + 50).alias("y"), "v", F.reverse(v).alias("p"))
+    return negatives.hard_negatives(rows, 3, True, 20.0)
+
+
+@query("hard_negatives", f"{BATCH} SELECT batch, anchor, CAST(rank AS INT) AS rank, candidate, CAST(direction AS INT) AS direction, round(d, 6) AS d FROM hard")
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _negatives(spark, sf_dir).select("batch", "anchor", F.posexplode("negatives").alias("at", "n"))
+    return found.select("batch", "anchor", (F.col("at") + 1).alias("rank"), "n.candidate", "n.direction", F.round("n.d", 6).alias("d"))
+
+
+@query("triplet_loss", f"""{BATCH}, a AS (SELECT batch, anchor, list(d ORDER BY rank) AS n FROM hard GROUP BY ALL),
+s AS (SELECT b.batch, n, round(sqrt(greatest(2 - 2 * list_dot_product(v, p), 0)), 12) AS pos, list_transform(n, lambda d: greatest(0, 1 + pos - d)) AS h FROM b LEFT JOIN a ON b.id = a.anchor),
+t AS (SELECT batch, count(n) AS anchors, count(*) FILTER (n IS NULL) AS skipped, avg(CASE WHEN len(n) > 1 THEN CAST(0.6 AS DOUBLE) * h[1] + CAST(0.4 AS DOUBLE) * list_avg(h[2:]) WHEN len(n) = 1 THEN h[1] END) AS ranking, avg(list_avg(n)) AS neg_mean, avg(pos) FILTER (n IS NOT NULL) AS pos_mean, quantile_cont(pos, 0.95) FILTER (n IS NOT NULL) AS p95, quantile_cont(pos, 0.99) FILTER (n IS NOT NULL) AS p99 FROM s GROUP BY batch),
+u AS (SELECT *, CAST(0.5 AS DOUBLE) * (greatest(0, p95 - CAST(0.5 AS DOUBLE)) ** 2 + greatest(0, p99 - CAST(0.7 AS DOUBLE)) ** 2) / 2 AS tail FROM t)
+SELECT batch, anchors, skipped, round(ranking, 6) AS ranking, round(neg_mean, 6) AS neg_mean, round(pos_mean, 6) AS pos_mean, round(p95, 6) AS p95, round(p99, 6) AS p99, round(tail, 6) AS tail, round(ranking + tail, 6) AS loss FROM u""")
+def triplet_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.triplet_loss(_negatives(spark, sf_dir))
+
+
+@query("hamming_topk", f"""WITH {EMB}, c AS (SELECT id, list_transform(v, lambda x: CASE WHEN x >= 0 THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END) AS s FROM emb)
+SELECT q.id AS q, g.id AS g, (1 - list_dot_product(q.s, g.s) / 64) / 2 AS d, CAST(row_number() OVER (PARTITION BY q.id ORDER BY (1 - list_dot_product(q.s, g.s) / 64) / 2, g.id) AS INT) AS rank FROM c q, c g WHERE q.id % 20 = 0 AND q.id <> g.id QUALIFY rank <= 10""")
+def hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors(spark, sf_dir).withColumn("v", F.transform("v", lambda x: F.when(x >= 0, 1.0).otherwise(-1.0)))
+    return blocks.nearest(rows.where("id % 20 = 0"), rows, 10, "hamming")
+
+
+@query("match_candidates", f"""WITH {EMB}, {NEAR}, r AS (SELECT q, g, d, rank, min(d) FILTER (rank = 1) OVER w AS best, min(d) FILTER (rank = 2) OVER w AS second FROM near WHERE rank <= 3 WINDOW w AS (PARTITION BY q)),
+k AS (SELECT *, best < CAST(0.97 AS DOUBLE) * second AND best <= CAST(1.2 AS DOUBLE) AS alone FROM r)
+SELECT list(q ORDER BY d, q)[1] AS q, g, round(min(d), 6) AS d FROM k WHERE CASE WHEN alone THEN rank = 1 ELSE d <= least(CAST(1.2 AS DOUBLE), best + CAST(0.03 AS DOUBLE)) END GROUP BY g""")
+def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.candidates(_near(spark, sf_dir, 3), "topk_or_ratio", 3, 0.97, 1.2, 0.03).withColumn("d", F.round("d", 6))
+
+
+@query("fused_scores", "SELECT event_id, round(CASE WHEN event_id % 15 < 4 OR event_id % 11 = 0 THEN 0 ELSE least(least((event_id % 15) / 12, 1) * CAST(0.7 AS DOUBLE) + (event_id % 101) / 100 * CAST(0.3 AS DOUBLE), 1) END, 6) AS score, CASE WHEN event_id % 15 < 4 THEN 'geometry_below_low_gate' WHEN event_id % 11 = 0 THEN 'insufficient_texture_area' ELSE 'fused_score' END AS decision FROM events")
+def fused_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    got = geometry.fused_score(n % 15, F.when(n % 11 != 0, (n % 101) / 100))
+    return table(spark, sf_dir, "events").select("event_id", F.round(got["score"], 6).alias("score"), got["decision"].alias("decision"))
+
+
+@query("patch_reasons", "SELECT CASE WHEN event_id % 13 = 0 THEN 'image_read_failed' WHEN event_id % 7 / 6 < 0.55 THEN 'overlap_too_low' WHEN event_id % 5 / 4 > 0.55 THEN 'blank_ratio_too_high' WHEN event_id % 17 < 5 THEN 'patch_std_too_low' WHEN event_id % 11 / 10 < 0.35 THEN 'valid_ratio_too_low' ELSE '' END AS reason, count(*) AS n FROM events GROUP BY 1")
+def patch_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    reason = geometry.patch_reason(n % 13 != 0, n % 7 / 6, n % 5 / 4, n % 17, n % 11 / 10)
+    return table(spark, sf_dir, "events").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("reprojection_errors", f"WITH {XY} SELECT id, round(sqrt((CAST(0.9 AS DOUBLE) * x - CAST(0.2 AS DOUBLE) * y + 3 - u) ** 2 + (CAST(0.2 AS DOUBLE) * x + CAST(0.9 AS DOUBLE) * y - 4 - v) ** 2), 6) AS error, round(greatest(0, least(300, x + 16) - greatest(0, x - 16)) * greatest(0, least(300, y + 16) - greatest(0, y - 16)) / 1024, 6) AS overlap FROM p")
+def reprojection_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = [F.lit(x) for x in (0.9, -0.2, 3.0, 0.2, 0.9, -4.0)]
+    x, y, u, v = (F.col(c) for c in "xyuv")
+    return _points(spark, sf_dir).select("id", F.round(geometry.reprojection_error(m, x, y, u, v), 6).alias("error"), F.round(geometry.overlap_ratio(x, y, F.lit(300), F.lit(300), 32), 6).alias("overlap"))
+
+
+@query("learning_log")
+def learning_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as attempts in order, against a library of 5 with two seeds; the last learned template is matched now and then."""
+    rows, n = table(spark, sf_dir, "events"), F.col("event_id")
+    seeds = rows.select(F.col("user_id").alias("identity")).distinct().select("identity", F.inline(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(f"s{i}").alias("template"), F.lit(f"s{i}").alias("content")) for i in range(2)])))
+    attempts = rows.select(F.col("user_id").alias("identity"), n.alias("ord"), F.concat(F.lit("e"), n).alias("query"), F.sha2(F.col("value").cast("string"), 256).alias("content"), (n % 10 / 10).alias("score"), F.concat(F.lit("s"), n % 3).alias("matched"), (n % 4 != 0).alias("admissible"))
+    return library.learning_log(seeds, attempts)
+
+
+@query("library_versions", "WITH v AS (SELECT user_id, ts, max(event_id) AS version FROM events WHERE event_id % 3 <> 0 GROUP BY ALL) SELECT e.event_id, e.user_id, v.version FROM (SELECT * FROM events WHERE event_id % 3 = 0) e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts")
+def library_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    versions = rows.where("event_id % 3 <> 0").select("user_id", "at", F.col("event_id").alias("version"))
+    return library.as_of(rows.where("event_id % 3 = 0"), versions, "user_id", "at", 86_400e6, "version").drop("at")
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as images: a source is an identity, and few stems recur within it."""
+    stem = F.concat("lang", F.lit("_"), (F.col("doc_id") % 300).cast("string"))
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("identity_id"), stem.alias("stem"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("rel"))
+
+
+IMAGES = "i AS (SELECT source AS identity_id, lang || '_' || (doc_id % 300) AS stem, source || '/' || doc_id AS rel FROM documents), u AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY identity_id, stem) > 1 THEN stem || '__' || left(sha1(rel), 10) ELSE stem END AS image_id FROM i)"
+
+
+@query("image_ids", f"WITH {IMAGES} SELECT identity_id, rel, image_id FROM u")
+def image_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.unique_image_ids(_images(spark, sf_dir)).select("identity_id", "rel", "image_id")
+
+
+@query("trial_images", f"WITH {IMAGES}, e AS (SELECT *, count(*) OVER (PARTITION BY identity_id) AS n, row_number() OVER (PARTITION BY identity_id ORDER BY image_id) AS k FROM u QUALIFY n >= 5), d AS (SELECT *, dense_rank() OVER (ORDER BY identity_id) AS r FROM e) SELECT identity_id, image_id FROM d WHERE r <= 3 AND k <= 4")
+def trial_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = images.with_enough(images.unique_image_ids(_images(spark, sf_dir)), 5)
+    return images.limited(rows.select("identity_id", "image_id"), 3, 4)
