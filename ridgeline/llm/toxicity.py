@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ridgeline.llm.common import arrow_map, sealed, utf8
+from ridgeline.llm.common import arrow_map, sealed, staged, utf8
 
 NEW = ["tox_p", "tox_severity", "tox_grade", "tox_toxic"]
 PREFIXES = (4, 5, 6)  # a word's features: itself and its prefixes of so many bytes
@@ -56,7 +56,7 @@ def _values(text: bytes, known: _Features) -> Counter:
     return Counter(i for w in words_of(text) for i in known[w])
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.ndarray, width: int, ridge: float = 1e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.ndarray, width: int, ridge: float = 1e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """(weights, cuts) of a cumulative-link model of grades 0..K by Adam on the mean log-loss; cuts ascend by positive steps."""
     top = int(grade.max()) if len(grade) else 1
     w, c = np.zeros(width), np.concatenate([[2.0], np.zeros(max(top - 1, 0))])
@@ -80,10 +80,11 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, grade: np.
     return w, c[0] + np.concatenate([[0.0], np.cumsum(np.exp(c[1:]))])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 4096, seed: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 4096, fewest: int = 24, seed: int = 5) -> Model:
     """Fit on at most sample labelled documents, the first by a hash of doc_id; their sparse features reach the driver.
 
-    Features: the up to so many words and word prefixes whose share of toxic texts is most above their share of clean ones.
+    Features: the up to so many words and word prefixes that are more frequent in toxic texts than in clean ones by more than
+    chance explains among all terms (likelihood ratio), and the fewest best ones where labels are too few to tell.
     The labels are binary, so grades come from the texts: toxic ones are graded 1 to 3 by thirds of how many words with such
     features they hold; clean ones are 0. Rows without doc_id, text or label are left out. Without both kinds of labels
     the model calls nothing toxic.
@@ -104,8 +105,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: in
     if not size.get(0) or not size.get(1):
         return Model({}, np.zeros(0), np.array([50.0]))
     df = held.mapInArrow(terms, "term binary, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    lift = F.log((F.col("a") + 0.5) / (size[1] + 1.0)) - F.log((F.col("b") + 0.5) / (size[0] + 1.0))
-    picked = df.where("a >= 3").withColumn("lift", lift).where("lift > 1.6").orderBy(F.desc(F.col("lift") * F.sqrt("a")), "term").limit(features).collect()
+    n1, n0, a, b = float(size[1]), float(size[0]), F.col("a").cast("double"), F.col("b").cast("double")
+    part = lambda k, of: k * F.log(F.greatest(k, F.lit(1e-9)) / ((a + b) * of / (n1 + n0)))
+    rest = lambda k, of: (of - k) * F.log(F.greatest(of - k, F.lit(1e-9)) / ((n1 + n0 - a - b) * of / (n1 + n0)))
+    df = staged(df.withColumn("g2", F.when(a / n1 > b / n0, 2 * (part(a, n1) + part(b, n0) + rest(a, n1) + rest(b, n0)))), "terms")
+    chance = 2 * float(np.log(max(df.count(), 1)))  # about one term of all would pass by chance
+    top = df.where("a >= 3 and g2 is not null").orderBy(F.desc("g2"), "term").limit(features).collect()
+    picked = [r for i, r in enumerate(top) if r["g2"] > chance or i < fewest]
     index = {bytes(r["term"]): i for i, r in enumerate(picked)}
 
     def sparse(batches):
