@@ -431,3 +431,20 @@ def test_one_of_each_group_of_near_copies(spark):
     comp = brute.components(ids, lambda x, y: alike(ids[x], ids[y]))
     assert sorted(kept) == sorted(set(comp.values()))
     assert rows(near_texts.one_of_each(table(spark, []))) == []
+
+
+def test_near_copies_with_blocks_changed(spark):
+    rng = random.Random(11)
+    some = lambda k: [f"v{rng.randrange(5000)}" for _ in range(k)]
+    texts, pairs = [], 0
+    for k in range(240):
+        size = rng.choice([12, 25, 60, 110, 250, 600, 1500])
+        w, n = some(size), max(size // 11, 1)
+        at = rng.randrange(size - n)
+        other = [w + some(int(size * 0.2)), w[: size - int(size * 0.17)], w[:at] + some(n) + w[at + n :]][k % 3]
+        texts += [" ".join(w), " ".join(other)]
+    data = list(enumerate(texts))
+    sets = {i: set(brute.shingles(t, 5)) for i, t in data}
+    gone = {i + 1 for i in range(0, len(data), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])}
+    assert len(gone) > 150
+    assert {r[0] for r in rows(near_texts.one_of_each(table(spark, data)), "doc_id")} == set(range(len(data))) - gone
