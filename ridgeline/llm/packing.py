@@ -31,6 +31,10 @@ class Encoder:
     #: Fixed value: the split pattern of the tokenizer file.
     PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+    #: The tokenizer's white space ends words, but str.split also cuts at these, for which the tokenizer has ids.
+    KEPT = "\x1c\x1d\x1e\x1f"
+    WORDS = regex.compile(r"\S+")
+
     def __init__(self, path: str, most: int = 100_000):
         from tokenizers import Tokenizer
 
@@ -54,7 +58,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):  # the file's special tokens are found across words
             return self._whole(text)
-        words = text.split()
+        words = self.WORDS.findall(text) if any(c in text for c in self.KEPT) else text.split()
         got = list(map(self.words.get, words))
         if None in got:
             if len(self.words) > self.most:

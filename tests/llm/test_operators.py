@@ -336,6 +336,15 @@ def test_plan_uses_every_item_within_capacity():
         assert used == counts
 
 
+def test_packing_keeps_control_characters():
+    import public_tokenizers
+
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    for text in [f"ab{c}cd {c} ef{c}" for c in spaces] + ["ab\x1f", "\x1c", "Ab\x1d\x1e\u2003x" + "".join(spaces)]:
+        assert encoder.encode(text) == encoder._whole(text), repr(text)
+
+
 def test_packing_no_rows(spark):
     assert rows(packing.packed_documents(table(spark, []))) == []
 
