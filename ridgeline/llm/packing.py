@@ -4,101 +4,135 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import staged
+from ridgeline.llm.common import staged, starts
 
 CAPACITY = 2048
 END = 0  # the id after each document
-GROUPS = 64  # hash groups in which the items of a length are numbered
+ITEMS = 65_536  # items of a length that are numbered in one group, about
+TEXTS_AT_ONCE = 1 << 20  # characters whose new words are learnt at once
 
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes, by a tokenizer whose ids never span white space.
 
-    Words recur, so their ids are kept: by word, and for new words by the parts that the tokenizer's own pattern splits
-    them into. Both memos are cleared when full. A text gives the same ids as the tokenizer itself.
+    Words recur, so their ids are kept by word, in two generations: when the younger is full it becomes the elder, and what
+    the elder held and nobody asked for since is dropped. What is new in many texts is learnt at once. A text gives the same
+    ids as the tokenizer itself.
     """
 
-    #: Fixed value: the split pattern of the tokenizer file.
-    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-
     #: The tokenizer's white space ends words, but str.split also cuts at these, for which the tokenizer has ids.
     KEPT = "\x1c\x1d\x1e\x1f"
-    WORDS = regex.compile(r"\S+")
 
-    def __init__(self, path: str, most: int = 100_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 200_000):
+        from tokenizers import Tokenizer, normalizers
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.plain, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
+        self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
+        self.plain.normalizer = normalizers.Sequence([])  # for ASCII words, which are lower-cased here
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
+    def encode(self, text: str) -> bytes:
+        """The tokenizer's own ids of a text."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ids(self, tokenizer, names: list[str]) -> dict[str, bytes]:
+        return {w: array("I", e.ids).tobytes() for w, e in zip(names, tokenizer.encode_batch_fast(names, add_special_tokens=False), strict=True)}
+
     def _learn(self, new: list[str]) -> None:
-        norm, split = self.tokenizer.normalizer.normalize_str, self.PARTS.findall
-        cut = {w: split(norm(w)) for w in new}
-        unseen = list({p for parts in cut.values() for p in parts if p not in self.parts})
-        for p, e in zip(unseen, self.tokenizer.encode_batch_fast(unseen, add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(e.ids, "<u4").tobytes()
-        for w, parts in cut.items():
-            self.words[w] = b"".join([self.parts[p] for p in parts])
+        """New words' ids. An ASCII word of letters and one last other character is learnt as the two parts it consists of."""
+        ascii_ = [w for w in new if w.isascii()] if self.lower else []
+        self.words.update(self._ids(self.tokenizer, [w for w in new if not w.isascii()] if ascii_ else new))
+        lower = [w.lower() for w in ascii_]
+        body = [w[:-1] if not w[-1:].isalnum() and w[:-1].isalpha() else w for w in lower]
+        got = self._ids(self.plain, list({*body, *(w[-1:] for w in lower)}))
+        self.words.update({a: got[c] if b == c else got[c] + got[b[-1]] for a, b, c in zip(ascii_, lower, body, strict=True)})
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out: list[bytes | None] = []
+        missing: set[str] = set()
+        open_: list[tuple[int, list[str]]] = []
+        for text in texts:
+            if any(c in text for c in self.KEPT) or any(s in text for s in self.special):  # special tokens are found across words
+                out.append(self.encode(text))
+                continue
+            words = text.split()
+            got = list(map(self.words.get, words))
+            if None in got:
+                missing.update([w for w, x in zip(words, got, strict=True) if x is None])
+                open_.append((len(out), words))
+                out.append(None)
+            else:
+                out.append(b"".join(got))
+        if len(self.words) + len(missing) > self.most:
+            self.elder, self.words = self.words, {}
+            missing = set().union(*(words for _, words in open_))
+        known = missing.intersection(self.elder)
+        self.words.update(zip(known, map(self.elder.__getitem__, known), strict=True))
+        self._learn(list(missing - known))
+        for i, words in open_:
+            out[i] = b"".join(map(self.words.__getitem__, words))
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}  # of this Python worker, which serves many tasks
 
-    def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):  # the file's special tokens are found across words
-            return self._whole(text)
-        words = self.WORDS.findall(text) if any(c in text for c in self.KEPT) else text.split()
-        got = list(map(self.words.get, words))
-        if None in got:
-            if len(self.words) > self.most:
-                self.words.clear()
-            if len(self.parts) > self.most:
-                self.parts.clear()
-            self._learn([w for w in set(words) if w not in self.words])
-            got = [self.words[w] for w in words]
-        return b"".join(got)
+
+def encoder_of(path: str | None) -> Encoder:
+    """The worker's encoder by a tokenizer file; None: the public word_bpe_49k.json of its machine."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def tokenised_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """(row, doc_id, piece, start, length, ids_crc32[, ids]) of each document's pieces: its ids and then END, cut only if longer than capacity.
 
-    path: the tokenizer's file, None for the public word_bpe_49k.json of each machine. A null text is empty, and gives one
-    piece of END alone. row tells repeated rows apart.
+    path: the tokenizer's file, None for the public word_bpe_49k.json of each machine. A null or empty text gives one
+    piece of END alone; a null doc_id is kept; row tells repeated rows apart; no rows give no pieces.
     """
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path is None:
-            import public_tokenizers
-
-            encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"))
-        else:
-            encoder = Encoder(path)
+        encoder = encoder_of(path)
         end = np.array([END], "<u4").tobytes()
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], [], []]
-            for row, doc, text in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for c, v in zip(cols, (row, doc, piece, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4") if keep_ids else None), strict=True):
-                        c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
-            names = ["row", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 7 if keep_ids else 6]
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.int32) for x in c] if k == 6 else c, kinds[k]) for k, c in enumerate(cols[: len(names)])], names)
+            rows, ids_of, texts = b.column("row").to_pylist(), b.column("doc_id").to_pylist(), b.column("text")
+            at = 0
+            while at < b.num_rows:
+                part, size = [], 0
+                while at + len(part) < b.num_rows and size < TEXTS_AT_ONCE:
+                    part.append(texts[at + len(part)].as_py() or "")
+                    size += len(part[-1])
+                cols: list[list] = [[], [], [], [], [], [], []]
+                for k, ids in enumerate(encoder.encode_all(part)):
+                    ids += end
+                    for piece, lo in enumerate(range(0, len(ids), 4 * capacity)):
+                        cut = ids[lo : lo + 4 * capacity]
+                        for c, v in zip(cols, (rows[at + k], ids_of[at + k], piece, lo // 4, len(cut) // 4, zlib.crc32(cut), np.frombuffer(cut, "<i4") if keep_ids else None), strict=True):
+                            c.append(v)
+                at += len(part)
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+                names = ["row", "doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 7 if keep_ids else 6]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds[: len(names)], strict=False)], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     return rows.mapInArrow(run, "row long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids)
@@ -175,47 +209,66 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
 def pack(pieces: DataFrame, capacity: int = CAPACITY, planner: Callable = pack_counts) -> DataFrame:
     """pieces (with length from 1 to capacity) and the sequence_id and offset of each; sequences are as few as the planner finds.
 
-    Only the counts of the lengths, capacity numbers at most, reach the driver, which plans the bins. Each item of a length
-    has a number among its like, from the counts of its hash groups and a place within its group, so that a frequent
-    length isn't numbered by one task. The n-th item of a length goes to the n-th place that the plan has for the length.
+    A piece as long as the capacity is a sequence by itself, with a negative id. Of the others only counts reach the driver,
+    by length and hash group, which plans the bins. Each item of a length has a number among its like, from the counts of
+    its groups and a place within its group, so that a frequent length isn't numbered by one task: groups hold about ITEMS
+    items, and are more the more items there are. The plan goes to the items as a table by length and group: the n-th item
+    of a length goes to the n-th place that the plan has for the length.
     """
-    spread = pieces.withColumn("group", F.expr(f"cast(pmod(xxhash64(row, piece), {GROUPS}) as int)"))
+    spark = pieces.sparkSession
+    names = pieces.columns
+    full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    rest = pieces.where(F.col("length") < capacity)
+    sizes = rest.groupBy("length").agg(F.count("*").alias("n")).collect()  # capacity rows at most
+    groups = spark.createDataFrame([(r["length"], -(-r["n"] // ITEMS)) for r in sizes], "length long, groups long")
+    spread = rest.join(F.broadcast(groups), "length").withColumn("group", F.expr("cast(pmod(xxhash64(row, piece), groups) as int)")).drop("groups")
     per = spread.groupBy("length", "group").agg(F.count("*").alias("n")).collect()
-    counts: dict[int, int] = defaultdict(int)
-    before: list[tuple[int, int, int]] = []
-    for r in sorted(per):
-        before.append((r["length"], r["group"], counts[r["length"]]))
-        counts[r["length"]] += r["n"]
-    slots: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)  # by length: first item, number, sequence, offset
+    counts: dict[int, int] = {r["length"]: r["n"] for r in sizes}
+    slots: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # by length: first item, its sequence, offset
     used: dict[int, int] = defaultdict(int)
     first = 0
     for content, n in sorted(planner(counts, capacity), reverse=True):
         offset = 0
         for x in content:
-            slots[x].append((used[x], n, first, offset))
+            slots[x].append((used[x], first, offset))
             used[x] += n
             offset += x
         first += n
-    starts = pieces.sparkSession.createDataFrame(before, "length long, group int, before long")  # at most GROUPS rows a length
+    table, before = [], defaultdict(int)
+    for r in sorted(per):
+        length, lo = r["length"], before[r["length"]]
+        before[length] = hi = lo + r["n"]
+        all_ = slots[length]
+        a, b = bisect.bisect_right(all_, (lo, float("inf"), 0)) - 1, bisect.bisect_left(all_, (hi, -1, 0))
+        table.append((length, r["group"], lo, [x[0] for x in all_[a:b]], [x[1] - x[0] for x in all_[a:b]], [x[2] for x in all_[a:b]]))
+    plan = spark.createDataFrame(table, "length long, group int, before long, items array<long>, shifts array<long>, offsets array<long>")
     placed = spread.withColumn("at", F.row_number().over(W.partitionBy("length", "group").orderBy("row", "piece")) - 1)
-    placed = placed.join(starts, ["length", "group"]).withColumn("at", (F.col("at") + F.col("before")).cast("long"))
+    numbered = placed.select(*[f"`{n}`" for n in names], "group", "at")
 
     def place(batches):
-        by = {x: tuple(np.array([s[k] for s in v]) for k in (0, 2, 3)) for x, v in slots.items()}
+        by: dict[tuple, tuple] = {}
         for b in batches:
-            length, at = b.column("length").to_numpy(), b.column("at").to_numpy()
+            length, group, at = (b.column(c).to_numpy() for c in ("length", "group", "at"))
             seq, off = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-            for x in np.unique(length):
-                rows = np.flatnonzero(length == x)
-                item, s, o = by[int(x)]
-                k = np.searchsorted(item, at[rows], side="right") - 1
-                seq[rows], off[rows] = s[k] + at[rows] - item[k], o[k]
-            kept = [n for n in b.schema.names if n not in ("at", "before", "group")]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(seq), pa.array(off)], [*kept, "sequence_id", "offset"])
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in placed.dtypes if n not in ("at", "before", "group"))
-    order = [n for n in placed.columns if n not in ("at", "before", "group")]
-    return placed.select(*order, "at").mapInArrow(place, f"{fields}, sequence_id long, offset long")
+            new = starts(length, group)
+            edge = np.append(np.flatnonzero(new), len(at))
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                name = (int(length[lo]), int(group[lo]))
+                if name not in by:  # rows of a group follow each other
+                    by = {name: (b.column("before")[lo].as_py(), *(np.array(b.column(c)[lo].as_py(), np.int64) for c in ("items", "shifts", "offsets")))}
+                before_, item, shift, offset = by[name]
+                n = at[lo:hi] + before_
+                k = np.searchsorted(item, n, side="right") - 1
+                seq[lo:hi], off[lo:hi] = shift[k] + n, offset[k]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(seq), pa.array(off)], [*names, "sequence_id", "offset"])
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
+    last = F.col("at") == 0  # the plan of a group travels with its first item only
+    held = numbered.join(plan, ["length", "group"])
+    for c in ("items", "shifts", "offsets"):
+        held = held.withColumn(c, F.when(last, F.col(c)))
+    held = held.sortWithinPartitions("length", "group", "at")
+    return held.mapInArrow(place, f"{fields}, sequence_id long, offset long").unionByName(full)
 
 
 def packed_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:

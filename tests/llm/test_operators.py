@@ -299,7 +299,7 @@ def test_packing_places_every_token_once(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    data = [*corpus(6, 80), (None, "no id"), (7777, "<s> special </s> Ünïcode 🙂 tokens12345"), (8888, "long " * 5000)]
+    data = [*corpus(6, 80), (None, "no id"), (9000, "x" * 3), (9001, " ".join(["full"] * 255)), (7777, "<s> special </s> Ünïcode 🙂 tokens12345"), (8888, "long " * 5000)]
     got = packing.packed_documents(table(spark, data), capacity=256).collect()
     by = {}
     for r in got:
@@ -342,10 +342,27 @@ def test_packing_keeps_control_characters():
     encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
     for text in [f"ab{c}cd {c} ef{c}" for c in spaces] + ["ab\x1f", "\x1c", "Ab\x1d\x1e\u2003x" + "".join(spaces)]:
-        assert encoder.encode(text) == encoder._whole(text), repr(text)
+        assert encoder.encode_all([text]) == [encoder.encode(text)], repr(text)
 
 
-def test_packing_no_rows(spark):
+def test_packing_knows_the_tokenizers_white_space():
+    import public_tokenizers
+
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"), 500)
+    texts = [f"ab{chr(c)}cd Ab{chr(c)} {chr(c)}. x{chr(c)}{chr(c)}y{chr(c)}'s" for c in [*range(0x3100), *range(0xA000, 0xA100), *range(0xFB00, 0x10000), *range(0x1F300, 0x1F400)]]
+    for at in range(0, len(texts), 100):
+        assert encoder.encode_all(texts[at : at + 100]) == [encoder.encode(t) for t in texts[at : at + 100]]
+
+
+def test_packing_no_rows_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS", 8)
+    got = packing.packed_documents(table(spark, [(1, "a b c"), (1, "a b c"), (None, None), (2, "")] * 20 + [(3, "w " * 15)] * 9), capacity=16).collect()
+    seqs: dict = {}
+    for r in got:
+        seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(got) == 89 and sum(n for s in seqs.values() for _, n in s) == 40 * 4 + 40 + 9 * 16
+    assert all(a + n == b for s in seqs.values() for (a, n), (b, _) in zip(sorted(s), [*sorted(s)[1:], (sum(sorted(s)[-1]), 0)], strict=True))
+    assert len(seqs) == 9 + (40 * 4 + 40) // 16 + 1
     assert rows(packing.packed_documents(table(spark, []))) == []
 
 
