@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -26,22 +27,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextmanager
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for the writes within, put back afterwards."""
+    names = {k: _NAMES[k] for k in values}
+    was = {k: spark.conf.get(name, None) for k, name in names.items()}
+    for k, name in names.items():
+        spark.conf.set(name, values[k])
+    try:
+        yield
+    finally:
+        for k, name in names.items():
+            if was[k] is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, was[k])
+
 
+_NAMES = {
+    "clean_up": "spark.sql.classic.shuffleDependency.fileCleanup.enabled",  # a write's own shuffle files, which nothing else reads
+    "all_keys": "spark.sql.requireAllClusterKeysForCoPartition",  # whether tables bucketed by one of two join keys are shuffled again
+}
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here, and a lost executor costs no recomputation.
 
-    Nothing reads the write's own shuffle files again, so Spark is told to drop them when it ends.
-    """
+def staged(df: DataFrame, name: str, **more: str) -> DataFrame:
+    """df written to the shared folder, with settings, and read again: lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with settings(spark, clean_up="true", **more):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

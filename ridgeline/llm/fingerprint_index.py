@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import anchors
-from ridgeline.llm.anchors import FIRST, REPEATED, UNSURE
-from ridgeline.llm.common import staged, starts, utf8
+from ridgeline.llm.anchors import FIRST, REPEATED, SHARED, UNSURE
+from ridgeline.llm.common import settings, staged, utf8
 
 WINDOW, GRAM = 20, 8
+COLUMNS = ["kind", "ah", "sh", "key", "lo", "n", "pkey", "plo"]
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -23,103 +25,125 @@ def word_hashes(text: bytes) -> np.ndarray:
 
 
 class LogIndex:
-    """Immutable runs of the fingerprints of all batches so far, each sorted by anchor: one run per batch, or several compacted.
+    """Immutable runs of the fingerprints of all batches so far: one run per batch, or several compacted.
 
-    A run has a row for each distinct segment that its batches had first: anchor and segment hash, and where it starts.
+    A run is a table in the warehouse, bucketed by anchor and sorted by anchor and segment hash, with a row for each distinct
+    segment that its batches had first, and where it starts. All runs have the same buckets, so a new batch is written
+    as a run once and merge-joined with the others bucket by bucket; no run is shuffled again. save and open carry the
+    index from one job to the next.
     """
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, most_runs: int = 4):
+    def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, most_runs: int = 2, ranges: int | None = None):
         self.spark, self.window, self.gram, self.most_runs = spark, window, gram, most_runs
-        self.runs: list[DataFrame] = []
-        self.age = 0
+        self.ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[str] = []
+        self.compactions = 0
 
     def absorb(self, docs: DataFrame) -> DataFrame:
-        """What the fingerprints tell of the next batch of docs (key, text), later than all before: REPEATED and UNSURE rows.
-
-        The batch's fingerprints and the runs are merged in one sorted stream per partition; what is new is written as a
-        run, and beyond most_runs the runs are compacted into one.
-        """
-        new = anchors.anchored(docs, word_hashes, self.window, self.gram, self.age)
-        merged = new
-        for run in self.runs:
-            merged = merged.unionByName(run.withColumn("again", F.lit(False)))
-        found = staged(anchors.judged(merged, keep_firsts=True), "found")
-        firsts = found.where((F.col("kind") == FIRST) & (F.col("age") == self.age))
-        self.runs.append(firsts.drop("kind"))
-        self.age += 1
+        """What the fingerprints tell of the next batch of docs (distinct key, text), whose keys are above all before: REPEATED
+        rows, whose segment is in the batch before, or in a run, at plo in pkey, and UNSURE ones, whose windows must be
+        compared, among them those of earlier batches that share an anchor with the batch's."""
+        run = self._written(anchors.judged(anchors.anchored(docs, word_hashes, self.window, self.gram), firsts=True, ranges=self.ranges))
+        new = self.spark.table(run)
+        firsts, known, seen = new.where(F.col("kind").isin(FIRST, SHARED)), [], [F.col("kind") == SHARED]
+        for i, old in enumerate(self.runs):
+            old = self._firsts(old)
+            firsts = firsts.join(old.select("ah", "sh", F.struct("key", "lo").alias(f"at{i}")).hint("merge"), ["ah", "sh"], "left")
+            firsts = firsts.join(old.select("ah").distinct().withColumn(f"seen{i}", F.lit(True)).hint("merge"), "ah", "left")
+            known.append(F.col(f"at{i}"))
+            seen.append(F.col(f"seen{i}").isNotNull())
+        met = firsts.withColumn("at", F.coalesce(*known) if known else F.lit(None).cast("struct<key:bigint,lo:int>"))
+        unsure = seen[0]
+        for x in seen[1:]:
+            unsure = unsure | x
+        met = met.where(F.col("at").isNotNull() | unsure).withColumn("kind", F.when(F.col("at").isNotNull(), REPEATED).otherwise(UNSURE))
+        met = met.withColumn("pkey", F.coalesce("at.key", "pkey")).withColumn("plo", F.coalesce("at.lo", "plo")).select(*COLUMNS)
+        found = staged(met.unionByName(new.where(F.col("kind") == REPEATED).select(*COLUMNS)), "found", all_keys="false")
+        if self.runs:
+            shared = staged(found.where(F.col("kind") == UNSURE).select("ah").distinct(), "shared")
+            for old in self.runs:
+                rows = self._firsts(old).join(shared.hint("merge"), "ah", "left_semi").withColumn("kind", F.lit(UNSURE)).select(*COLUMNS)
+                found = found.unionByName(staged(rows, "found"))
+        self.runs.append(run)
         if len(self.runs) > self.most_runs:
             self.compact()
-        return found.where(F.col("kind") != FIRST)
+        return found
+
+    def _firsts(self, run: str) -> DataFrame:
+        return self.spark.table(run).where(F.col("kind").isin(FIRST, SHARED))
+
+    def _written(self, rows: DataFrame) -> str:
+        name = f"ridgeline_run_{uuid.uuid4().hex}"
+        with settings(self.spark, clean_up="true"):
+            rows.select(*COLUMNS).write.format("parquet").bucketBy(self.ranges, "ah").sortBy("ah", "sh").saveAsTable(name)
+        return name
 
     def compact(self) -> None:
-        """One sorted run instead of all."""
-        whole = self.runs[0]
+        """One sorted run instead of all, with the earliest place of each segment; the old ones are dropped."""
+        whole = self._firsts(self.runs[0])
         for run in self.runs[1:]:
-            whole = whole.unionByName(run)
-        self.runs = [staged(whole.repartition("ah").sortWithinPartitions("ah", "sh"), "run")]
+            whole = whole.unionByName(self._firsts(run))
+        least = F.min(F.struct("key", "lo", "n")).alias("at")
+        rows = whole.repartition(self.ranges, "ah").groupBy("ah", "sh").agg(least).select(F.lit(FIRST).alias("kind"), "ah", "sh", "at.*", F.lit(0).cast("long").alias("pkey"), F.lit(-1).alias("plo"))
+        run = self._written(rows)
+        self.drop()
+        self.runs = [run]
+        self.compactions += 1
+
+    def drop(self) -> None:
+        """Deletes the runs."""
+        for run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        self.runs = []
+
+    def save(self, path: str) -> None:
+        """Writes what open needs: the runs' folders and the parameters."""
+        rows = [(self.spark.sql(f"DESCRIBE TABLE EXTENDED {run}").where("col_name = 'Location'").head()["data_type"], self.ranges, self.window, self.gram, self.most_runs, i) for i, run in enumerate(self.runs)]
+        self.spark.createDataFrame(rows, "location string, ranges int, window int, gram int, most_runs int, at int").coalesce(1).write.mode("overwrite").json(path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> LogIndex:
+        """The index that save wrote, in this or another session; its runs are read where they lie."""
+        rows = spark.read.schema("location string, ranges int, window int, gram int, most_runs int, at int").json(path).orderBy("at").collect()
+        index = cls(spark, rows[0]["window"], rows[0]["gram"], rows[0]["most_runs"], rows[0]["ranges"])
+        for r in rows:
+            name = f"ridgeline_run_{uuid.uuid4().hex}"
+            spark.sql(f"CREATE TABLE {name} ({anchors.FOUND}) USING parquet CLUSTERED BY (ah) SORTED BY (ah, sh) INTO {index.ranges} BUCKETS LOCATION '{r['location']}'")
+            index.runs.append(name)
+        return index
+
+
+def spans(texts: DataFrame, found: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Spans (key, a, b, proof) of words, from what an index tells; texts: (distinct key, text) of all batches it tells of.
+
+    Windows of UNSURE segments are compared one by one, dealt by two hashes of their words. All repeats carry the earlier
+    words as proof, against which the words are compared before they go.
+    """
+    unsure = found.where(F.col("kind") == UNSURE).select("key", "lo", "n").distinct()
+    windows = staged(anchors.judged(anchors.single_windows(texts, unsure, word_hashes, window)).where(F.col("kind") == REPEATED), "windows")
+    return anchors.proven(texts, found.where(F.col("kind") == REPEATED).unionByName(windows), window, bytes.split, b" ".join)
 
 
-def verified_spans(docs: DataFrame, unsure: DataFrame, window: int) -> DataFrame:
-    """Spans (key, a, b) of words covered by windows of UNSURE segments that start again: their words are read, and windows
-    are equal when two independent 64-bit hashes of all their words are.
+def cut(docs: DataFrame, spans_: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept) of each row of docs (key, doc_id, text) without these spans."""
 
-    Windows met earlier in the same batch are decided there, and leave the comparison, which spreads frequent passages.
-    """
+    def rows_of(batch, texts, cut_):
+        cols: list[list] = [[], [], [], []]
+        for words, spans_ in zip(texts, cut_, strict=True):
+            kept, at = [], 0
+            for a, b in spans_:
+                kept += words[at:a]
+                at = b
+            kept += words[at:]
+            joined = b" ".join(kept)
+            for c, v in zip(cols, (len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode()), strict=True):
+                c.append(v)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+    return anchors.remaining(docs, spans_, bytes.split, b" ".join, rows_of, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", ["doc_id"])
 
-    def windows(batches):
-        for b in batches:
-            parts = []
-            for key, text, rows in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("rows").to_pylist(), strict=True):
-                words = text.split()
-                seen = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-                other = np.fromiter((xxhash.xxh64_intdigest(w, 9) for w in words), np.uint64, len(words))
-                at = np.unique(np.concatenate([np.arange(r["lo"], r["lo"] + r["n"]) for r in rows]))
-                size = np.full(len(at), window)
-                block = 1 << (window.bit_length() - 1)
-                parts.append((anchors.run_hashes(anchors.power_hashes(seen, block), at, size, window), anchors.run_hashes(anchors.power_hashes(other, block), at, size, window), np.full(len(at), key), at))
-            if not parts:
-                continue
-            h1, h2, key, at = (np.concatenate(c) for c in zip(*parts, strict=True))
-            order = np.lexsort((at, key, h2, h1))
-            h1, h2, key, at = h1[order], h2[order], key[order], at[order]
-            new = starts(h1, h2)
-            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            again = ~new & ((key != key[first]) | (at != at[first]))
-            h1 = np.where(again, anchors.mixed(key.astype(np.uint64) * np.uint64(31) + at.astype(np.uint64)), h1)
-            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(key), pa.array(at.astype(np.int32)), pa.array(again)], ["h1", "h2", "key", "at", "again"])
-
-    def later(batches):
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            v = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "key", "at", "again")}
-            done = v["again"].astype(bool)
-            keys, ats = [v["key"][done]], [v["at"][done]]
-            v = {c: x[~done] for c, x in v.items()}
-            if held is not None:
-                v = {c: np.concatenate([held[c], v[c]]) for c in v}
-            if len(v["h1"]):
-                new = starts(v["h1"], v["h2"])
-                first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-                late = ~new & ((v["key"] != v["key"][first]) | (v["at"] != v["at"][first]))
-                keys.append(v["key"][late])
-                ats.append(v["at"][late])
-                held = {c: x[first[-1] : first[-1] + 1] for c, x in v.items()}
-            key, at = np.concatenate(keys), np.concatenate(ats)
-            order = np.lexsort((at, key))
-            key, at = key[order], at[order]
-            if len(key):
-                new = starts(key) | np.append(True, np.diff(at) > 1)
-                edge = np.append(np.flatnonzero(new), len(key))
-                yield pa.RecordBatch.from_arrays([pa.array(key[edge[:-1]]), pa.array(at[edge[:-1]].astype(np.int32)), pa.array((at[edge[1:] - 1] + window).astype(np.int32))], ["key", "a", "b"])
-
-    read = anchors.with_lists(docs.select("key", "text"), unsure, ["lo", "n"], "inner")
-    rows = read.mapInArrow(windows, "h1 long, h2 long, key long, at int, again boolean")
-    return rows.repartition("h1").sortWithinPartitions("h1", "h2", "key", "at").mapInArrow(later, "key long, a int, b int")
-
-
-def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3) -> DataFrame:
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 4, most_runs: int = 2) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) of each row of docs (doc_id, text).
 
     A word is removed if a window of so many words that covers it also starts earlier: in a smaller doc_id, or earlier in
@@ -128,29 +152,12 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     and get equal results; rows of one doc_id but different texts count as one after another; a null doc_id comes first.
     No rows give no rows.
     """
-    docs = anchors.document_keys(docs.select(F.col("doc_id").cast("long"), utf8().alias("text")))
-    edges = docs.agg(F.percentile_approx("key", [i / batches for i in range(1, batches)])).head()[0] or []
+    keyed, texts = anchors.document_keys(docs.select(F.col("doc_id").cast("long"), utf8().alias("text")))
+    edges = texts.agg(F.percentile_approx("key", [i / batches for i in range(1, batches)])).head()[0] or []
     edges = [None, *sorted(set(edges)), None]
-    index, found = LogIndex(docs.sparkSession, window, gram), None
+    index, found = LogIndex(docs.sparkSession, window, gram, most_runs), None
     for a, b in zip(edges[:-1], edges[1:], strict=True):
-        part = docs.where(F.lit(True) if a is None else F.col("key") > a).where(F.lit(True) if b is None else F.col("key") <= b)
-        got = index.absorb(part.select("key", "text"))
+        got = index.absorb(texts.where(F.lit(True) if a is None else F.col("key") > a).where(F.lit(True) if b is None else F.col("key") <= b))
         found = got if found is None else found.unionByName(got)
-    unsure = found.where(F.col("kind") == UNSURE).select("key", "lo", "n").distinct()
-    spans = staged(verified_spans(docs, unsure, window), "spans")
-    whole = found.where(F.col("kind") == REPEATED).select("key", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + (window - 1)).alias("b"))
-
-    def rows_of(ids, texts, cut):
-        cols: list[list] = [[], [], [], []]
-        for text, spans_ in zip(texts, cut, strict=True):
-            words, kept, at = text.split(), [], 0
-            for a, b in spans_:
-                kept += words[at:a]
-                at = b
-            kept += words[at:]
-            joined = b" ".join(kept)
-            for c, v in zip(cols, (len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode()), strict=True):
-                c.append(v)
-        return pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2]), pa.array(cols[3], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    return anchors.remaining(docs, spans.unionByName(whole), rows_of, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    index.drop()
+    return cut(keyed, spans(texts, found, window))

@@ -269,11 +269,11 @@ def one_of_each(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     similarity or more, whatever differs (for the chance of a miss see Parts). Texts without words are alike. Null texts are empty; a null doc_id counts as smallest; of rows alike in doc_id
     and text one stays. No rows give no rows.
     """
-    keyed = anchors.document_keys(sealed(docs, "doc_id", "text"))
-    texts = keyed.select("key", utf8().alias("text"))
+    keyed, distinct = anchors.document_keys(sealed(docs, "doc_id", "text"))
+    texts = distinct.select("key", utf8().alias("text"))
     classes, found = links(texts, width, similarity, radius)
     roots = staged(components(found), "roots").withColumnRenamed("node", "class")
     gone = classes.join(roots, "class", "left").where("root is not null or key != class").select("key")
-    left = keyed.select("key", "row").join(gone.distinct(), "key", "left_anti")
+    left = keyed.select("key", "row").join(gone, "key", "left_anti")
     repeated = keyed.groupBy("key").count().where("count > 1").limit(1).count() > 0
     return (left.dropDuplicates(["key"]) if repeated else left).select("row.*")

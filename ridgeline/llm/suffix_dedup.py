@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ridgeline.llm import anchors
-from ridgeline.llm.anchors import REPEATED, UNSURE
-from ridgeline.llm.common import sealed, staged, utf8
-from ridgeline.llm.induced import repeated_windows
+from ridgeline.llm.anchors import REPEATED, UNSURE, lists_of
+from ridgeline.llm.common import arrow_map, sealed, shared_dir, staged, starts, utf8
+from ridgeline.llm.induced import MOST, Folder, Sequence, repeated_windows
 
 LENGTH, GRAM = 100, 32
+HOT = 2048  # different segments of an anchor, beyond which windows are dealt by their own content
 
 
 def byte_hashes(text: bytes) -> np.ndarray:
@@ -25,55 +28,77 @@ def byte_hashes(text: bytes) -> np.ndarray:
 _TABLE = np.random.default_rng(17).integers(0, 2**64, 256, np.uint64)
 
 
-def repeated_spans(docs: DataFrame, unsure: DataFrame, length: int) -> DataFrame:
-    """Spans (key, a, b) of bytes covered by strings of UNSURE segments that start again.
+def repeated_spans(docs: DataFrame, unsure: DataFrame, length: int, most: int = MOST) -> DataFrame:
+    """Spans (key, a, b) of bytes covered by strings of UNSURE segments (key, ah, lo, n) that start again.
 
-    A segment's bytes go to the shard of its anchor, where equal strings must meet; each shard is one text, and its suffixes
-    are sorted by induction with their common prefixes.
+    A segment's bytes go to the shard of its anchor, where equal strings must meet; each shard is one text in a file, and its
+    suffixes are sorted by external induction with their common prefixes, with so many tuples in memory at most. The files
+    lie in the shared folder, if that is one that tasks can open as files, and go when the task ends.
     """
+    shared = shared_dir(docs.sparkSession).removeprefix("file://")
 
     def cut(batches):
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for key, text, rows in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("rows").to_pylist(), strict=True):
-                for r in rows:
-                    for c, v in zip(cols, (r["ah"], key, r["lo"], r["n"], text[r["lo"] : r["lo"] + r["n"] + length - 1]), strict=True):
-                        c.append(v)
-            if cols[0]:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["ah", "key", "lo", "n", "bytes"])
+            count, v = lists_of(b.column("rows"))
+            at, bytes_ = 0, []
+            for text, n in zip(b.column("text").to_pylist(), count.tolist(), strict=True):
+                bytes_ += [text[x : x + m + length - 1] for x, m in zip(v["lo"][at : at + n].tolist(), v["n"][at : at + n].tolist(), strict=True)]
+                at += n
+            if bytes_:
+                keys = np.repeat(b.column("key").to_numpy(), count)
+                yield pa.RecordBatch.from_arrays([pa.array(v["ah"]), pa.array(keys), pa.array(v["lo"]), pa.array(v["n"]), pa.array(bytes_, pa.binary())], ["ah", "key", "lo", "n", "bytes"])
 
     def sort(batches):
-        keys, los, ns, segs = [], [], [], []
-        for b in batches:
-            keys += b.column("key").to_pylist()
-            los += b.column("lo").to_pylist()
-            ns += b.column("n").to_pylist()
-            segs += b.column("bytes").to_pylist()
-        if not segs:
-            return
-        with tempfile.TemporaryDirectory() as folder:
-            again = np.flatnonzero(repeated_windows(segs, ns, length, folder))
-        first = np.cumsum(ns) - np.array(ns)
-        seg = np.searchsorted(first, again, side="right") - 1
-        at = np.array(los, np.int64)[seg] + again - first[seg]
-        new = np.ones(len(at), bool)
-        new[1:] = (np.diff(seg) != 0) | (np.diff(at) > 1)
-        edge = np.append(np.flatnonzero(new), len(at))
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.int64)[seg[edge[:-1]]]), pa.array(at[edge[:-1]].astype(np.int32)), pa.array((at[edge[1:] - 1] + length).astype(np.int32))], ["key", "a", "b"])
-
-    segments = anchors.with_lists(docs.select("key", "text"), unsure, ["ah", "lo", "n"], "inner").mapInArrow(cut, "ah long, key long, lo int, n int, bytes binary")
+        with tempfile.TemporaryDirectory(dir=shared if shared.startswith("/") and os.path.isdir(shared) else None) as name:
+            folder = Folder(name)
+            text, keys, los, ns, start = (Sequence(folder, t) for t in (np.uint16, np.int64, np.int32, np.int32, np.int64))
+            for b in batches:
+                column = b.column("bytes")
+                edge = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+                data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[edge[0] : edge[-1]]
+                size = np.diff(edge)
+                symbols = np.ones(len(data) + len(size), np.uint16)  # a 1 after each segment
+                symbols[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data.astype(np.uint16) + 2
+                start.append(text.n + np.cumsum(size + 1) - (size + 1))
+                text.append(symbols)
+                for s, c in ((keys, "key"), (los, "lo"), (ns, "n")):
+                    s.append(b.column(c).to_numpy())
+            if not keys.n:
+                return
+            text.append(np.zeros(65, np.uint16))
+            keys, los, ns, start = keys.array(), los.array(), ns.array(), start.array()
+            again = repeated_windows(text.array()[:-64], start, ns, length, folder, most)
+            for at in range(0, len(again), 1 << 20):
+                pos = at + np.flatnonzero(again[at : at + (1 << 20)])
+                if not len(pos):
+                    continue
+                seg = np.searchsorted(start, pos, side="right") - 1
+                place = los[seg] + pos - start[seg]
+                new = starts(seg) | np.append(True, np.diff(place) > 1)
+                edge = np.append(np.flatnonzero(new), len(pos))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[seg[edge[:-1]]]), pa.array(place[edge[:-1]].astype(np.int32)), pa.array((place[edge[1:] - 1] + length).astype(np.int32))], ["key", "a", "b"])
+
+    segments = anchors.with_lists(docs, unsure, ["ah", "lo", "n"], "inner").select("key", "text", "rows").mapInArrow(cut, "ah long, key long, lo int, n int, bytes binary")
     return segments.repartition("ah").sortWithinPartitions("key", "lo").mapInArrow(sort, "key long, a int, b int")
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """All spans (key, a, b) of docs (key, text) that strings of so many bytes cover which also start earlier."""
-    found = staged(anchors.judged(anchors.anchored(docs.select("key", "text"), byte_hashes, length, gram)), "found")
+def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """All spans (key, a, b, proof) of docs (distinct key, text) that strings of so many bytes cover which also start earlier.
+
+    Segments that share their anchor with different ones are sorted. An anchor with more than hot such segments is a phrase
+    that very many texts share: its windows are compared one by one instead, dealt by their own content, so no shard grows
+    with it. Segments equal by hash are repeats, and go with the earlier content as proof.
+    """
+    found = staged(anchors.judged(anchors.anchored(docs, byte_hashes, length, gram)), "found")
     unsure = found.where(F.col("kind") == UNSURE).select("key", "ah", "lo", "n")
-    more = staged(repeated_spans(docs, unsure, length), "spans")
-    whole = found.where(F.col("kind") == REPEATED).select("key", F.col("lo").alias("a"), (F.col("lo") + F.col("n") + (length - 1)).alias("b"))
-    return more.unionByName(whole)
+    repeats = found.where(F.col("kind") == REPEATED)
+    frequent = staged(unsure.groupBy("ah").count().where(F.col("count") > hot).select("ah"), "frequent")
+    if frequent.limit(1).count():
+        windows = anchors.single_windows(docs, unsure.join(frequent, "ah", "left_semi"), byte_hashes, length)
+        repeats = repeats.unionByName(staged(anchors.judged(windows), "windows").where(F.col("kind") == REPEATED))
+        unsure = unsure.join(frequent, "ah", "left_anti")
+    sorted_ = staged(repeated_spans(docs, unsure, length), "spans")
+    return sorted_.withColumn("proof", F.lit(None).cast("binary")).unionByName(anchors.proven(docs, repeats, length, bytes, bytes))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -84,11 +109,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     short texts lose nothing. Rows alike in doc_id and text are one document and get equal results; rows of one doc_id but
     different texts count as one after another; a null doc_id comes first. No rows give no rows.
     """
-    docs = anchors.document_keys(docs.select(F.col("doc_id").cast("long"), utf8().alias("text")))
+    keyed, texts = anchors.document_keys(docs.select(F.col("doc_id").cast("long"), utf8().alias("text")))
 
-    def rows_of(ids, texts, cut):
+    def rows_of(batch, texts_, cut):
         cols: list[list] = [[], [], [], [], []]
-        for text, spans_ in zip(texts, cut, strict=True):
+        for text, spans_ in zip(texts_, cut, strict=True):
             kept, at = [], 0
             for a, b in spans_:
                 kept.append(text[at:a])
@@ -97,9 +122,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             for c, v in zip(cols, (len(text), len(text) - len(joined), len(spans_), hashlib.sha256(joined).hexdigest(), joined), strict=True):
                 c.append(v)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return anchors.remaining(docs, spans(docs, length, gram), rows_of, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return anchors.remaining(keyed, spans(texts, length, gram), bytes, bytes, rows_of, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", ["doc_id"])
 
 
 def whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
@@ -114,23 +139,25 @@ def whole_characters(text: bytes, a: int, b: int) -> tuple[int, int]:
 def cut_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """docs, columns as they are, without the bytes of their texts that without_repeats removes; a character goes if all its
     bytes do, and n_chars, if there, is counted anew. No row goes, and null texts stay null."""
-    keyed = anchors.document_keys(sealed(docs, "doc_id", "text"))
-    texts = keyed.select("key", utf8().alias("text"))
-    found = anchors.with_lists(keyed, spans(texts, length, gram), ["a", "b"], "left").select("row", utf8().alias("bytes"), "rows")
-    changed = F.col("rows").isNotNull() & F.col("row.text").isNotNull()
-
-    @F.pandas_udf("string")
-    def cut(texts, rows):
-        out = []
-        for text, r in zip(texts, rows, strict=True):
-            kept, at = [], 0
-            for a, b in anchors.union_of_spans(np.array([x["a"] for x in (r if r is not None else ())], np.int64), np.array([x["b"] for x in (r if r is not None else ())], np.int64)):
+    keyed, texts = anchors.document_keys(sealed(docs, "doc_id", "text"))
+    bytes_ = texts.select("key", utf8().alias("text"))
+    found = anchors.with_lists(keyed, spans(bytes_, length, gram), ["a", "b", "proof"], "left").select("row", utf8().alias("bytes"), "rows")
+    schema = StructType([*found.select("row").schema.fields, StructField("new", StringType())])
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        count, v = lists_of(batch.column("rows"))
+        at, out = 0, []
+        for text, n in zip(batch.column("bytes").to_pylist(), count.tolist(), strict=True):
+            kept, done = [], 0
+            for a, b in anchors.checked(text, n, at, v, bytes):
                 a, b = whole_characters(text, a, b)
-                kept.append(text[at:a])
-                at = b
-            out.append(b"".join([*kept, text[at:]]).decode())
-        return texts.__class__(out)
-
-    found = found.withColumn("new", F.when(changed, cut("bytes", "rows")).otherwise(F.col("row.text")))
-    made = {"text": F.col("new"), "n_chars": F.when(changed, F.length("new")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None)).cast(dict(docs.dtypes).get("n_chars", "long"))}
+                kept.append(text[done:a])
+                done = b
+            out.append(b"".join([*kept, text[done:]]).decode() if n else None)
+            at += n
+        return pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], ["row", "new"])
+
+    found = arrow_map(found, cut, schema)
+    changed = F.col("new").isNotNull() & F.col("row.text").isNotNull()
+    made = {"text": F.when(changed, F.col("new")).otherwise(F.col("row.text")), "n_chars": F.when(changed, F.length("new")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None)).cast(dict(docs.dtypes).get("n_chars", "long"))}
     return found.select(*[(made[c] if c in made else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from ridgeline.llm import anchors, fingerprint_index, induced, licenses, mixing, near_texts, ogg, packing, quality, rabitq, simhash, suffix_dedup, toxicity  # noqa: E402
+from ridgeline.llm import anchors, common, fingerprint_index, induced, licenses, mixing, near_texts, ogg, packing, quality, rabitq, simhash, suffix_dedup, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, fp int, size int, `a.b` string"
@@ -172,6 +172,49 @@ def test_mixed_rows_hold_the_words_that_are_drawn(docs):
     assert mixing.mixed_rows(docs).columns == docs.columns
 
 
+def test_mixed_rows_of_repeated_rows(spark):
+    full = [(i, t, "en", s, None, "k", 1, 2, "z") for i, t, s in [(1, "a b c d", "x"), (1, "a b c d", "x"), (1, "a b c d", "y"), (1, "other text", "x"), (None, "e f", "y"), (None, None, None), (2, "", "x"), *((k, f"w{k} v u", "xyz"[k % 3]) for k in range(3, 60))]]
+    d = spark.createDataFrame(full, SCHEMA)
+    taken: dict = {}
+    for s, t in rows(mixing.mixed_rows(d), "source", "text"):
+        taken[s] = taken.get(s, 0) + len(brute.words(t))
+    sizes: dict = {}
+    for _, t, _, s, *_ in full:
+        sizes[s] = sizes.get(s, 0) + len(brute.words(t))
+    want = brute.mix_targets(sizes, [3, 1, 2], 1.5, 2.0)
+    assert taken == {s: round(x) for s, x in want.items() if round(x)}
+
+
+def test_shards_draw_what_the_tree_deals(spark, tmp_path):
+    blocks = spark.createDataFrame([("a", k, 2) for k in range(100)] + [("b", k, k % 2) for k in range(40)] + [(None, 0, 3)], "source string, block int, reads long")
+    quotas = spark.createDataFrame([("a", 200, 1), ("b", 20, 2), (None, 3, 3)], "source string, blocks long, rank int")
+    dealt = rows(mixing.shard_quotas(quotas, 8, 11), "shard", "source", "n", "start")
+    for s, n in (("a", 200), ("b", 20), (None, 3)):
+        mine = sorted(x for x in dealt if x[1] == s)
+        assert sum(x[2] for x in mine) == n and [x[3] for x in mine] == np.cumsum([0, *(x[2] for x in mine)])[:-1].tolist()
+    per = [sum(x[2] for x in dealt if x[0] == k) for k in range(8)]
+    assert max(per) - min(per) <= 1 and len({x[2] for x in dealt if x[1] == "a"}) > 1
+    drawn = rows(mixing.drawn_blocks(blocks, 8, 11), "source", "block", "reading", "shard")
+    assert sorted(map(str, (x[:3] for x in drawn))) == sorted(str((s, b, r)) for s, b, n in blocks.collect() for r in range(1, n + 1))
+    assert {(k, s): n for k, s, n, _ in dealt if n} == {(k, s): sum(x[0] == s and x[3] == k for x in drawn) for k, s in {(x[3], x[0]) for x in drawn}}
+    d = table(spark, corpus())
+    mixing.write_shards(d, str(tmp_path / "mix"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "mix"))
+    whole = lambda df: sorted(map(str, rows(df, "doc_id", "text")))
+    assert whole(back) == whole(mixing.mixed_rows(d, shards=4)) and {r[0] for r in rows(back, "shard")} == {0, 1, 2, 3}
+
+
+def test_the_last_document_is_cut_wherever_blocks_end(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_DIGITS", 1)
+    data = [(i, "w " * (i % 7 + 1)) for i in range(3000)]
+    got = rows(mixing.mix(table(spark, data)), "source", "target", "taken", "size")
+    by: dict = {}
+    for s, goal, n, size in got:
+        assert n <= 2 * size
+        by.setdefault((s, goal), []).append(n)
+    assert {s: sum(n) for (s, _), n in by.items()} == {s: round(goal) for s, goal in by}
+
+
 def test_hypergeometric_has_the_right_mean_and_bounds(spark):
     one = spark.range(4000).select(((F.col("id") + 0.5) / 4000).alias("u"))
     draw = mixing.hypergeometric(F.col("u"), F.lit(30).cast("long"), F.lit(70).cast("long"), F.lit(20).cast("long"))
@@ -378,7 +421,7 @@ def test_word_windows_equal_brute_force(spark, seed):
 
 def test_compacting_the_index_changes_nothing(spark):
     data = corpus(5, 30)
-    got = rows(fingerprint_index.without_repeats(table(spark, data), window=20, batches=8), "doc_id", "n_words", "n_removed", "kept_sha256")
+    got = rows(fingerprint_index.without_repeats(table(spark, data), window=20, batches=6, most_runs=1), "doc_id", "n_words", "n_removed", "kept_sha256")
     assert set(got) == brute.word_dedup(data, 20)
 
 
@@ -405,21 +448,101 @@ def test_cut_texts_keep_whole_characters_and_columns(spark):
     assert got[2]["text"] == "é" and got[2]["n_chars"] == 1 and got[3]["text"] is None and got[4]["text"] == "short"
 
 
-def test_suffix_order_is_sorted_with_common_prefixes():
+@pytest.mark.parametrize("short", [4, 1 << 15])
+def test_suffix_order_is_sorted_with_common_prefixes(monkeypatch, short):
+    monkeypatch.setattr(induced, "SHORT", short)
     rng = np.random.default_rng(1)
-    for most in (50, 10**6):
-        for symbols, n in ((3, 300), (2, 100), (30, 500)):
-            text = np.append(rng.integers(1, symbols, n), 0).astype(np.uint16)
-            with tempfile.TemporaryDirectory() as folder:
-                parts = [(np.array(p), np.array(x)) for p, x in induced.suffix_order(text, symbols, 100, folder, most)]
+    for most in (50, 700, 10**6):
+        for symbols, n in ((3, 300), (2, 100), (30, 500), (258, 3000), (1500, 2000)):
+            values = np.append(rng.integers(1, symbols, n), 0)
+            if n == 3000:
+                values[500:900] = values[1500:1900]
+            cap = 100 if symbols <= 258 else 0
+            with tempfile.TemporaryDirectory() as name:
+                folder = induced.Folder(name)
+                text = folder.text(n + 1, np.uint16 if cap else np.int32)
+                text[:] = values
+                parts = [(np.array(p), np.array(x)) for p, x in induced.suffixes(text, symbols, folder, most, cap)]
             order, lcp = np.concatenate([p for p, _ in parts]), np.concatenate([x for _, x in parts])
-            want = sorted(range(n + 1), key=lambda i: text[i:].tolist())
+            plain = values.tolist()
+            want = sorted(range(n + 1), key=lambda i: plain[i:], reverse=True)  # noqa: B023
             assert order.tolist() == want
-            for k in range(1, n + 1):
-                a, b = text[want[k - 1] :], text[want[k] :]
+            for k in range(1, (n + 1) if cap else 1):
+                a, b = values[want[k - 1] :], values[want[k] :]
                 m = min(len(a), len(b))
-                same = int(np.argmin(np.append(a[:m] == b[:m], False)))
-                assert lcp[k] == min(same, 100)
+                assert lcp[k] == min(int(np.argmin(np.append(a[:m] == b[:m], False))), 100)
+
+
+def test_a_shard_far_larger_than_the_bound_is_sorted_within_it(monkeypatch):
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(97, 101, 150).astype(np.uint8).tobytes() for _ in range(150)]
+    segments = [parts[i] for i in rng.integers(0, 150, 700)]
+    most, peaks, put = 2000, [], induced.DiskQueue.put
+
+    def watched(self, key, pos, lcp):
+        put(self, key, pos, lcp)
+        peaks.append(self.total)
+
+    monkeypatch.setattr(induced.DiskQueue, "put", watched)
+    monkeypatch.setattr(induced, "CHUNK", 1000)
+    monkeypatch.setattr(induced, "SHORT", 100)
+    raw = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.uint16) + 2, 1) for s in segments])
+    start = np.arange(700) * 151
+    with tempfile.TemporaryDirectory() as name:
+        folder = induced.Folder(name)
+        text = folder.text(len(raw) + 1, np.uint16)
+        text[:-1] = raw
+        again = np.array(induced.repeated_windows(text, start, np.full(700, 51), 100, folder, most))
+    seen, want = set(), np.zeros(len(raw) + 1, bool)
+    for s, at in zip(segments, start, strict=True):
+        for k in range(51):
+            want[at + k] = s[k : k + 100] in seen
+            seen.add(s[k : k + 100])
+    assert (again.astype(bool) == want).all() and want.any()
+    assert len(raw) > 50 * most and max(peaks) <= most
+
+
+def test_a_frequent_phrase_is_dealt_by_its_windows(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    phrase = " ".join(word() for _ in range(14))[:92]
+    long_phrase = " ".join(word() for _ in range(30))[:130]
+    texts = [" ".join(word() for _ in range(20)) + " " + rng.choice([phrase, long_phrase]) + " " + " ".join(word() for _ in range(20)) for _ in range(60)]
+    data = list(enumerate(texts))
+    docs, distinct = anchors.document_keys(table(spark, data).select("doc_id", F.col("text").cast("binary").alias("text")))
+    for hot in (3, 10**6):
+        got: dict = {i: [False] * len(t) for i, t in data}
+        for r in suffix_dedup.spans(distinct, 100, 32, hot).collect():
+            for k in range(r["a"], r["b"]):
+                got[r["key"]][k] = True
+        assert got == {i: gone for i, (_, gone) in brute.repeats(data, 100, lambda t: t.encode()).items()}
+
+
+def test_unequal_passages_of_equal_hashes_are_an_error():
+    v = {"a": np.array([0]), "b": np.array([3]), "proof": [b"abd"]}
+    with pytest.raises(ValueError):
+        anchors.checked(b"abcdef", 1, 0, v, bytes)
+    assert anchors.checked(b"abdef", 1, 0, v, bytes) == [(0, 3)]
+
+
+def test_an_index_goes_from_one_job_to_the_next(spark, tmp_path):
+    data = sorted(corpus(7, 40))
+    half = len(data) // 2
+    key = lambda rows_: spark.createDataFrame([(i, (t or "").encode()) for i, t in rows_], "key long, text binary")
+    index = fingerprint_index.LogIndex(spark, most_runs=1)
+    first = index.absorb(key(data[: half // 2])).unionByName(index.absorb(key(data[half // 2 : half])))
+    assert index.compactions == 1 and len(index.runs) == 1
+    index.save(str(tmp_path / "index"))
+    again = fingerprint_index.LogIndex.open(spark, str(tmp_path / "index"))
+    with common.settings(spark, all_keys="false"):
+        plan = spark.table(again.runs[0]).join(spark.table(index.runs[0]).hint("merge"), ["ah", "sh"])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    second = again.absorb(key(data[half:]))
+    spans = fingerprint_index.spans(key(data), first.unionByName(second))
+    got = rows(fingerprint_index.cut(key(data).withColumn("doc_id", F.col("key")), spans), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert set(got) == brute.word_dedup(data, 20)
+    index.drop()
+    again.drop()
 
 
 def test_segments_cover_every_window_once():
