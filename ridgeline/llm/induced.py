@@ -13,6 +13,7 @@ Text, types, names, sorted sequences and the queue's tuples lie in files; a boun
 
 from __future__ import annotations
 
+import os
 from collections import deque
 from collections.abc import Iterator
 from pathlib import Path
@@ -21,12 +22,13 @@ import numpy as np
 
 CHUNK = 1 << 16
 MOST = 1 << 20  # tuples in memory, unless said otherwise
+SMALL = 1 << 16  # bytes of an array that isn't worth a file
 SHORT = 1 << 15  # so short a text isn't worth an induction
 BUCKETS = 128  # ranges of names
 
 
 class Folder:
-    """Arrays in files of one folder."""
+    """Arrays in files of one folder. A file has no name any more once it is mapped, so its space is free when its array goes."""
 
     def __init__(self, path: str):
         self.path, self.made = Path(path), 0
@@ -36,14 +38,31 @@ class Folder:
         return str(self.path / f"a{self.made}")
 
     def array(self, n: int, dtype) -> np.ndarray:
-        """An array in a new file, zero at first."""
-        return np.asarray(np.memmap(self.name(), dtype, "w+", shape=max(n, 1)))[:n]
+        """An array in a new file (small ones in memory), zero at first."""
+        if n * np.dtype(dtype).itemsize <= SMALL:
+            return np.zeros(n, dtype)
+        name = self.name()
+        made = np.asarray(np.memmap(name, dtype, "w+", shape=n))
+        os.unlink(name)
+        return made
 
     def text(self, n: int, dtype) -> np.ndarray:
-        """An array followed by eight words of zeros, which words_of may read."""
+        """An array followed by zeros, which words_of may read."""
         return self.array(n + 64, dtype)[:n]
 
 
+def mapped(name: str, dtype) -> np.ndarray:
+    """The numbers of a file, which has no name any more then."""
+    made = np.asarray(np.memmap(name, dtype, "r"))
+    os.unlink(name)
+    return made
+
+
+def places(n: int):
+    """The type of positions in a text of n symbols."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 class Sequence:
     """Numbers appended to a file, read as one array."""
 
@@ -57,7 +76,7 @@ class Sequence:
 
     def array(self) -> np.ndarray:
         self.file.close()
-        return np.asarray(np.memmap(self.name, self.dtype, "r")) if self.n else np.empty(0, self.dtype)
+        return mapped(self.name, self.dtype) if self.n else np.empty(0, self.dtype)
 
 
 class DiskQueue:
@@ -85,7 +104,7 @@ class DiskQueue:
         edge = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             c = int(bucket[a])
-            part = (key[a:b], pos[a:b], lcp[a:b])
+            part = (np.broadcast_to(key[a], b - a) if self.direct else key[a:b], pos[a:b], lcp[a:b])
             if c != self.active:
                 self.parts[c].append(part)
                 self.held[c] += b - a
@@ -100,9 +119,9 @@ class DiskQueue:
             key, pos, lcp = _joined([p for p in self.parts[c] if not isinstance(p[0], str)])
             name = self.folder.name()
             with open(name, "wb") as f:
-                for x in (key, pos, lcp):
+                for x in (pos, lcp) if self.direct else (key, pos, lcp):
                     f.write(x.data)
-            self.parts[c] = [*(p for p in self.parts[c] if isinstance(p[0], str)), (name, len(key))]
+            self.parts[c] = [*(p for p in self.parts[c] if isinstance(p[0], str)), (name, len(pos), pos.dtype)]
             self.total -= self.held[c]
             self.held[c] = 0
 
@@ -113,7 +132,7 @@ class DiskQueue:
             if not waiting:
                 return None
             c = self.active = waiting[0]
-            parts, self.parts[c] = [_loaded(p) if isinstance(p[0], str) else p for p in self.parts[c]], []
+            parts, self.parts[c] = [self._loaded(c, *p) if isinstance(p[0], str) else p for p in self.parts[c]], []
             self.total -= self.held[c]
             self.held[c] = 0
             self.front = deque(parts if self.alone[c] else [_by_key(parts)])
@@ -121,6 +140,11 @@ class DiskQueue:
                 self.front = deque([_joined(parts)])
         return tuple(x[:n] for x in self.front[0])
 
+    def _loaded(self, bucket: int, name: str, n: int, dtype) -> tuple:
+        data, at, size = mapped(name, np.uint8), 0 if self.direct else 8 * n, np.dtype(dtype).itemsize * n
+        key = np.broadcast_to(np.int64(bucket), n) if self.direct else data[:at].view(np.int64)
+        return key, data[at : at + size].view(dtype), data[at + size :]
+
     def drop(self, n: int) -> None:
         """Takes away the n smallest tuples of the bucket that is read; n is not more than head gave."""
         if n == len(self.front[0][0]):
@@ -139,11 +163,6 @@ def _by_key(parts: list) -> tuple:
     return key[order], pos[order], lcp[order]
 
 
-def _loaded(part: tuple) -> tuple:
-    data, n = np.asarray(np.memmap(part[0], np.uint8, "r")), part[1]
-    return data[: 8 * n].view(np.int64), data[8 * n : 16 * n].view(np.int64), data[16 * n :]
-
-
 def bucket_edges(text: np.ndarray, symbols: int, flip: bool, most: int) -> np.ndarray:
     """First keys of a queue's buckets for a text: one bucket for each key of a small alphabet; ranges of names otherwise, with
     about equally many suffixes, where a name that is more frequent than the bound has buckets of its own."""
@@ -191,7 +210,7 @@ def lms_positions(text: np.ndarray, folder: Folder) -> tuple[np.ndarray, np.ndar
     """The LMS suffixes of a text, ascending, and whether each suffix is S; found block by block from its end."""
     n = len(text)
     types = folder.array(n, np.uint8)
-    found, at, after = folder.array(n // 2 + 2, np.int64), n // 2 + 2, None
+    found, at, after = folder.array(n // 2 + 2, places(n)), n // 2 + 2, None
     for hi in range(n, 0, -(1 << 20)):
         lo = max(0, hi - (1 << 20))
         step = np.diff(text[lo : hi + 1].astype(np.int64)) if hi < n else np.append(np.diff(text[lo:hi].astype(np.int64)), 1)
@@ -289,13 +308,13 @@ def _both_ways(text: np.ndarray, symbols: int, seeds: np.ndarray, near: np.ndarr
     for lo in range(0, len(seeds), CHUNK):
         pos = seeds[lo : lo + CHUNK]
         _give(queue, 2 * text[pos].astype(np.int64) + 1, pos, near[lo : lo + CHUNK] if cap else np.zeros(len(pos), np.uint8))
-    ls, shared = Sequence(folder, np.int64), Sequence(folder, np.uint8)
+    ls, shared = Sequence(folder, places(len(text))), Sequence(folder, np.uint8)
     for given, pos, lcp, _ in induce(text, symbols, False, queue, cap):
         ls.append(pos[~given])
         shared.append(lcp[~given])
     ls, shared = ls.array(), shared.array()
     queue = DiskQueue(bucket_edges(text, symbols, True, most), folder, most)
-    queue.put(np.array([2 * (symbols - 1)]), np.array([len(text) - 1]), np.zeros(1, np.uint8))
+    queue.put(np.array([2 * (symbols - 1)]), np.array([len(text) - 1], ls.dtype), np.zeros(1, np.uint8))
     for hi in range(len(ls), 0, -CHUNK):
         lo = max(0, hi - CHUNK)
         pos, lcp = ls[lo:hi][::-1], np.append(shared[lo + 1 : hi], shared[hi : hi + 1] if hi < len(ls) else np.uint8(0)).astype(np.uint8)[::-1]
@@ -340,7 +359,7 @@ def names_in_memory(text: np.ndarray, symbols: int, lms: np.ndarray, types: np.n
 
 def names_by_induction(text: np.ndarray, symbols: int, lms: np.ndarray, folder: Folder, most: int) -> tuple[np.ndarray, int]:
     """The same, by sorting the substrings through the disk queue."""
-    order, names = folder.array(len(lms), np.int64), folder.array(len(lms), np.int64)
+    order, names = folder.array(len(lms), lms.dtype), folder.array(len(lms), np.int32)
     at = len(lms)
     for given, pos, _, handed in _both_ways(text, symbols, lms, None, folder, most, 0):
         found = pos[~given & ~handed & (pos > 0)]  # S suffixes after an L one, by their substrings, descending
@@ -363,12 +382,13 @@ def lms_order(text: np.ndarray, symbols: int, folder: Folder, most: int) -> np.n
     """The LMS suffixes in ascending order: that of the suffixes of the string of their substrings' names."""
     lms, types = lms_positions(text, folder)
     found, count = names_in_memory(text, symbols, lms, types) if len(lms) <= most else names_by_induction(text, symbols, lms, folder, most)
-    order = folder.array(len(lms), np.int64)
+    order = folder.array(len(lms), lms.dtype)
     if count == len(lms):
         order[found] = lms
         return order
     names = folder.text(len(lms), np.int32)
     names[:] = found
+    del found, types
     at = len(lms)
     for pos, _ in suffixes(names, count, folder, most):
         order[at - len(pos) : at] = lms[pos][::-1]
