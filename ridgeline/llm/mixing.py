@@ -127,7 +127,7 @@ def _mixed(docs: DataFrame, weights, share: float, cap: float, shards: int, seed
     reads = F.col("whole") + F.when(partly, 1).otherwise(0)
     blocks = staged(blocks.withColumn("reads", reads.cast("long")).withColumn("cut", partly & (F.col("before") + F.col("block_size") > F.col("rest"))), "blocks")
     drawn = drawn_blocks(blocks, shards, seed).groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("reading", "shard"))).alias("to"))
-    blocks = blocks.alias("b").join(drawn.alias("d"), same("b", "d") & (F.col("b.block") == F.col("d.block")), "left").select("b.*", "to")
+    blocks = staged(blocks.alias("b").join(drawn.alias("d"), same("b", "d") & (F.col("b.block") == F.col("d.block")), "left").select("b.*", "to"), "drawn")
     rows = sized.alias("s").join(blocks.alias("b"), same("s", "b") & (F.col("s.block") == F.col("b.block"))).select("s.id", "s.doc_id", "s.source", "key", "size", "b.block", "source_size", "target", "whole", "before", "rest", "cut", "to", "reads")
     inner = rows.where("cut").withColumn("part", F.conv(F.substring("key", BLOCK_DIGITS + 1, PART_DIGITS), 16, 10).cast("int"))
     parts = inner.groupBy("source", "part").agg(F.sum("size").alias("part_size"))

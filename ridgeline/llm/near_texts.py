@@ -8,6 +8,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.llm import anchors
@@ -139,8 +140,9 @@ def _links_left(firsts: DataFrame, docs: DataFrame, found: DataFrame, width: int
     In a group all is compared already.
 
     Texts that share a part meet in its bucket. Each is first compared with the one that comes first in most of its buckets,
-    which joins most of what is alike by linear work. Then all pairs are counted that still are apart: as many parts must be
-    equal as the differing shingles of an alike pair leave whole, and those pairs' sets are compared.
+    which joins most of what is alike by linear work. Pairs that still are apart must share as many parts as the differing
+    shingles of an alike pair leave whole, so one of them at least is among the rarest parts of each: only so many of a text's
+    parts meet in their buckets as leave that number less one out, the most frequent ones. Those pairs' sets are compared.
     """
 
     def cut(batches):
@@ -168,9 +170,9 @@ def _links_left(firsts: DataFrame, docs: DataFrame, found: DataFrame, width: int
     buckets = staged(parts.mapInArrow(shared, "part long, key long"), "buckets")
     level = F.shiftrightunsigned("part", 53)
     parts_ = F.when(level == F.col("level"), F.col("here")).otherwise(F.col("above")).alias("parts")
-    held = buckets.join(firsts, "key").select("part", "key", "group", "n", (level == F.col("level")).alias("own"), parts_)
-    several = held.groupBy("part").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.max("own").alias("any"), F.min_by(F.struct("key", "group"), "key").alias("lead")).where("lo != hi and any")
-    held = staged(held.join(several.select("part", "lead"), "part"), "held")
+    held = buckets.join(firsts, "key").select("part", "key", "group", "n", level.alias("at"), (level == F.col("level")).alias("own"), parts_)
+    several = held.groupBy("part").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.max("own").alias("any"), F.count("*").alias("size"), F.min_by(F.struct("key", "group"), "key").alias("lead")).where("lo != hi and any")
+    held = staged(held.join(several.select("part", "lead", "size"), "part"), "held")
     pairs = held.where("group != lead.group").groupBy(F.col("key").alias("a"), F.col("lead.key").alias("b")).count().where("count >= 8")  # what shares less is left to the count of all pairs
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     roots = components(found).withColumnRenamed("node", "key")
@@ -195,13 +197,16 @@ def _links_left(firsts: DataFrame, docs: DataFrame, found: DataFrame, width: int
                 larger = np.where(g["n"][x] > g["n"][y], x, y)
                 ok = (g["root"][x] != g["root"][y]) & g["own"].astype(bool)[larger] & (n >= similarity * m - 1e-9)
                 if ok.any():
-                    x, y = x[ok], y[ok]
-                    need = np.maximum(g["parts"][x], g["parts"][y]) - np.floor((n + m)[ok] * ((1 - similarity) / (1 + similarity)) + 1e-9)
-                    a, b = np.minimum(g["key"][x], g["key"][y]), np.maximum(g["key"][x], g["key"][y])
-                    yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (a, b, need)], ["a", "b", "need"])
-
-    held = held.join(now, "key").select("part", "group", "key", "root", "n", "own", "parts").repartition("part").sortWithinPartitions("part", "group", "key")
-    met = held.mapInArrow(meet, "a long, b long, need long").groupBy("a", "b", "need").count().where("count >= need").select("a", "b")
+                    a, b = np.minimum(g["key"][x], g["key"][y])[ok], np.maximum(g["key"][x], g["key"][y])[ok]
+                    once = np.unique(np.stack([a, b]).astype(np.int64), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], ["a", "b"])
+
+    spoilt = F.floor(F.col("n") * ((1 + 1 / similarity) * (1 - similarity) / (1 + similarity)) + 1e-6)  # at most, by any alike set
+    mine = W.partitionBy("key", "at")
+    rank, number = F.row_number().over(mine.orderBy("size", "part")), F.count("*").over(mine)
+    rare = held.withColumn("rank", rank).withColumn("left", number - (F.col("parts") - spoilt)).where("rank <= left + 1 and left >= 0 or parts <= 0")
+    rare = rare.join(now, "key").select("part", "group", "key", "root", "n", "own").repartition("part").sortWithinPartitions("part", "group", "key")
+    met = rare.mapInArrow(meet, "a long, b long").distinct()
     return first.unionByName(_alike_pairs(met, docs, width, similarity))
 
 
