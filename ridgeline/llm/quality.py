@@ -67,14 +67,19 @@ class Model:
 
 
 def isotonic(x: np.ndarray, ones: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the rising step function that fits shares ones / n at ascending x best, by pooling adjacent violators."""
-    pools: list[list[float]] = []
-    for xi, a, m in zip(x, ones, n, strict=True):
-        pools.append([xi * m, a, m])
-        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-            last = pools.pop()
-            pools[-1] = [p + q for p, q in zip(pools[-1], last, strict=True)]
-    return np.array([p[0] / p[2] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
+    """Knots of the rising step function that fits shares ones / n at ascending x best, by pooling adjacent violators. Shares are
+    drawn a little to the middle, by half a one in one more row of each pool, and pooled again where that lets them fall."""
+    at, share = x.astype(float), ones / n
+    for smooth in (True, False):
+        pools: list[list[float]] = []
+        for xi, y, m in zip(at, share, n, strict=True):
+            pools.append([xi * m, y * m, m])
+            while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+                last = pools.pop()
+                pools[-1] = [p + q for p, q in zip(pools[-1], last, strict=True)]
+        at, n = np.array([p[0] / p[2] for p in pools]), np.array([p[2] for p in pools])
+        share = np.array([(p[1] + 0.5) / (p[2] + 1) if smooth else p[1] / p[2] for p in pools])
+    return at, share
 
 
 def train(stats: DataFrame, labels: DataFrame, ridge: float = 1e-3, seed: int = 3) -> Model:

@@ -86,12 +86,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: in
     Features: the up to so many words and word prefixes that are more frequent in toxic texts than in clean ones by more than
     chance explains among all terms (likelihood ratio), and the fewest best ones where labels are too few to tell.
     The labels are binary, so grades come from the texts: toxic ones are graded 1 to 3 by thirds of how many words with such
-    features they hold; clean ones are 0. Rows without doc_id, text or label are left out. Without both kinds of labels
+    features they hold, so the order of grades above 0 is the features' own; clean ones are 0. Rows without doc_id, text or label are left out. Without both kinds of labels
     the model calls nothing toxic.
     """
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = labels.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
     held = docs.where("text is not null").select("doc_id", utf8().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most sample rows of 12 bytes
+    held = staged(held, "labelled")  # the documents are read once for all that follows
 
     def terms(batches):
         for b in batches:

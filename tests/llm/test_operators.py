@@ -138,12 +138,34 @@ def test_blocks_of_a_large_bucket_count_each_link_once(spark, monkeypatch):
 
 def test_estimate_is_unbiased_and_bounded():
     rng = np.random.default_rng(3)
-    v = rng.standard_normal((400, 64))
+    v = rng.standard_normal((400, 64)) + 0.6 * rng.standard_normal(64)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    _, factor = rabitq.encode(v, 8, 8)
-    rotated = v @ rabitq.rotations(64, 64)[:64].T
-    a, b = rng.integers(0, 400, 3000), rng.integers(0, 400, 3000)
-    assert (rabitq.upper_bounds(rotated, factor, a, b) >= np.einsum("ij,ij->i", v[a], v[b])).mean() > 0.999
+    offs = []
+    for seed in range(60):  # unbiased over the random rotation
+        estimate, bound = rabitq.estimates(rabitq.encode(v, seed), 64, slice(0, 200), slice(200, 400))
+        offs.append(estimate - v[:200] @ v[200:].T)
+        assert (np.abs(offs[-1]) <= bound).all()
+    by_seed = np.mean(offs, axis=(1, 2))  # pairs share a rotation, so the rotations are what is independent
+    assert abs(by_seed.mean()) < 4 * by_seed.std() / 60**0.5 < 0.01 and np.std(offs) < bound.mean() / rabitq.EPSILON * 1.3
+    assert np.abs(np.mean(offs, axis=0)).max() < 6 * np.std(offs) / 60**0.5  # the largest of 40,000
+
+
+@pytest.mark.parametrize("whole", [20_000, 100])
+def test_planted_pairs_at_the_threshold_are_found(spark, monkeypatch, whole):
+    monkeypatch.setattr(rabitq, "WHOLE", whole)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((1500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    noise = rng.standard_normal((1500, 64))
+    noise -= (noise * base).sum(1, keepdims=True) * base
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    c = rng.uniform(0.9301, 0.95, (1500, 1))
+    near = c * base + np.sqrt(1 - c * c) * noise
+    data = [(i, v.tolist(), i % 1500 % 2) for i, v in enumerate(np.concatenate([base, near]))]
+    d = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = {r[0]: r[1:] for r in rows(rabitq.near_duplicates(d, 0.93))}
+    assert got == {i: (1, i % 1500, i < 1500) for i in range(3000)}
+    assert rows(rabitq.near_duplicates(d.limit(0))) == []
 
 
 # mixing
@@ -240,6 +262,25 @@ def test_toxicity_tells_labelled_texts_apart(spark):
     assert right / n > 0.95
 
 
+def test_scores_equal_a_plain_reading(spark):
+    index = {b"idiot": 0, b"idio*": 1, b"stupid": 2}
+    model = toxicity.Model(index, np.array([2.0, 0.5, 1.5]), np.array([1.0, 2.0, 4.0]))
+    data = [(1, None), (2, ""), (3, "clean words only"), (4, "You IDIOT, idiots!"), (4, "You IDIOT, idiots!"), (None, "stupid " * 5000), (5, "x" * 100_000), (6, "stupid-idiotic")]
+    got = toxicity.score(table(spark, data), model)
+    assert got.columns == [*table(spark, []).columns, *toxicity.NEW]
+    found = sorted(map(str, rows(got, "doc_id", "tox_p", "tox_severity", "tox_grade", "tox_toxic")))
+    want = []
+    for i, t in data:
+        words = "".join(c if c.isalpha() or ord(c) > 127 else " " for c in (t or "").lower()).split()
+        counts = [words.count("idiot"), sum(w.startswith("idio") and len(w) > 4 for w in words), words.count("stupid")]
+        z = sum(w * float(np.log1p(n)) for w, n in zip([2.0, 0.5, 1.5], counts, strict=True))
+        over = [1 / (1 + float(np.exp(c - z))) for c in (1.0, 2.0, 4.0)]
+        p = [1 - over[0], over[0] - over[1], over[1] - over[2], over[2]]
+        want.append((i, over[0], sum(over), p.index(max(p)), over[0] >= 0.5))
+    short = lambda r: (str(r[0]), round(r[1], 9), round(r[2], 9), r[3], r[4])
+    assert sorted(map(short, rows(got, "doc_id", "tox_p", "tox_severity", "tox_grade", "tox_toxic"))) == sorted(map(short, want)) and len(found) == len(data)
+
+
 def test_ordinal_fit_recovers_ordered_grades():
     rng = np.random.default_rng(0)
     x = rng.poisson(1.0, (600, 3)).astype(float)
@@ -281,6 +322,13 @@ def test_quality_of_odd_tables(spark, docs):
 
 
 def test_isotonic_rises():
+    for seed in range(50):
+        rng = np.random.default_rng(seed)
+        n = rng.integers(1, 30, 25).astype(float)
+        x, y = quality.isotonic(np.arange(25.0), np.array([rng.integers(0, m + 1) for m in n], float), n)
+        assert (np.diff(y) >= 0).all() and (np.diff(x) > 0).all() and 0 < y[0] <= y[-1] < 1
+    _, y = quality.isotonic(np.array([0.0, 1.0]), np.array([9.0, 1.0]), np.array([10.0, 1.0]))
+    assert (np.diff(y) >= 0).all()
     x = np.arange(10.0)
     _, y = quality.isotonic(x, np.array([0, 1, 0, 1, 1, 0, 1, 1, 1, 1.0]), np.ones(10))
     assert (np.diff(y) >= 0).all()
