@@ -2,97 +2,150 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Normalised sentences of public licence texts and notices, by identifier.
+#: Sentences of public licence texts and notices, by identifier.
 SENTENCES = {
-    "apache2-notice": "licensed under the apache license version 2 0",
-    "apache2-not-except": "you may not use this file except in compliance with the license",
-    "apache2-copy": "you may obtain a copy of the license at http www apache org licenses license 2 0",
-    "apache2-as-is": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "apache2-see": "see the license for the specific language governing permissions and limitations under the license",
-    "mit-notice": "released under the mit license",
-    "mit-title": "the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit-notice-kept": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "mit-as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "gpl3-notice": "this work is licensed under the gnu general public license version 3",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "gpl-see": "see the gnu general public license for more details",
-    "gpl-copy": "you should have received a copy of the gnu general public license along with this program",
-    "ccbync4-notice": "licensed under cc by nc 4 0",
-    "ccby4-notice": "licensed under cc by 4 0",
-    "ccbysa4-notice": "licensed under cc by sa 4 0",
-    "bsd-use": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-name": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "mpl2-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "apache2-notice": "Licensed under the Apache License, Version 2.0",
+    "apache2-asf": "licenses this file to You under the Apache License, Version 2.0",
+    "apache2-not-except": "you may not use this file except in compliance with the License",
+    "apache2-copy": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache2-copy-https": "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0",
+    "apache2-as-is": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
+    "apache2-see": "See the License for the specific language governing permissions and limitations under the License",
+    "mit-notice": "Released under the MIT License",
+    "mit-title": "The MIT License",
+    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    "mit-notice-kept": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    "mit-as-is": "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
+    "mit-liable": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-grant-old": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "isc-as-is": "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS",
+    "gpl3-notice": "This work is licensed under the GNU General Public License version 3",
+    "gpl3-free": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl2-free": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "lgpl3-free": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "lgpl21-free": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "agpl3-free": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "gpl-hope": "is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
+    "gpl-see": "See the GNU General Public License for more details",
+    "lgpl-see": "See the GNU Lesser General Public License for more details",
+    "agpl-see": "See the GNU Affero General Public License for more details",
+    "gpl-copy": "You should have received a copy of the GNU General Public License along with this program",
+    "ccbync4-notice": "Licensed under CC BY-NC 4.0",
+    "ccby4-notice": "Licensed under CC BY 4.0",
+    "ccbysa4-notice": "Licensed under CC BY-SA 4.0",
+    "ccby4-work": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "ccbysa4-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "ccbync4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "bsd-use": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd-name": "may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-as-is": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED",
+    "mpl2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "zlib-as-is": "This software is provided as-is, without any express or implied warranty",
+    "zlib-liable": "In no event will the authors be held liable for any damages arising from the use of this software",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "unlicense-free": "This is free and unencumbered software released into the public domain",
+    "unlicense-anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0",
 }
 
 #: Rules, each an ordered run of sentences, and the licence it shows.
 RULES = {
     "apache2-header": ("Apache-2.0", ["apache2-notice", "apache2-not-except", "apache2-copy", "apache2-as-is", "apache2-see"]),
+    "apache2-header-https": ("Apache-2.0", ["apache2-notice", "apache2-not-except", "apache2-copy-https", "apache2-as-is", "apache2-see"]),
+    "apache2-header-asf": ("Apache-2.0", ["apache2-asf", "apache2-not-except", "apache2-copy", "apache2-as-is", "apache2-see"]),
     "apache2-line": ("Apache-2.0", ["apache2-notice"]),
-    "mit-text": ("MIT", ["mit-grant", "mit-notice-kept", "mit-as-is"]),
+    "mit-text": ("MIT", ["mit-grant", "mit-notice-kept", "mit-as-is", "mit-liable"]),
+    "mit-short": ("MIT", ["mit-grant", "mit-notice-kept", "mit-as-is"]),
     "mit-line": ("MIT", ["mit-notice"]),
     "mit-heading": ("MIT", ["mit-title"]),
-    "gpl3-header": ("GPL-3.0-or-later", ["gpl-free", "gpl-hope", "gpl-see", "gpl-copy"]),
+    "isc-text": ("ISC", ["isc-grant", "isc-as-is"]),
+    "isc-text-old": ("ISC", ["isc-grant-old", "isc-as-is"]),
+    "gpl3-header": ("GPL-3.0-or-later", ["gpl3-free", "gpl-hope", "gpl-see", "gpl-copy"]),
+    "gpl2-header": ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope", "gpl-see", "gpl-copy"]),
+    "lgpl3-header": ("LGPL-3.0-or-later", ["lgpl3-free", "gpl-hope", "lgpl-see"]),
+    "lgpl21-header": ("LGPL-2.1-or-later", ["lgpl21-free", "gpl-hope", "lgpl-see"]),
+    "agpl3-header": ("AGPL-3.0-or-later", ["agpl3-free", "gpl-hope", "agpl-see"]),
     "gpl3-line": ("GPL-3.0-only", ["gpl3-notice"]),
     "ccbync4-line": ("CC-BY-NC-4.0", ["ccbync4-notice"]),
     "ccby4-line": ("CC-BY-4.0", ["ccby4-notice"]),
     "ccbysa4-line": ("CC-BY-SA-4.0", ["ccbysa4-notice"]),
-    "bsd3-text": ("BSD-3-Clause", ["bsd-use", "bsd-source", "bsd-binary", "bsd-name"]),
-    "bsd2-text": ("BSD-2-Clause", ["bsd-use", "bsd-source", "bsd-binary"]),
+    "ccby4-notice": ("CC-BY-4.0", ["ccby4-work"]),
+    "ccbysa4-notice": ("CC-BY-SA-4.0", ["ccbysa4-work"]),
+    "ccbync4-notice": ("CC-BY-NC-4.0", ["ccbync4-work"]),
+    "bsd3-text": ("BSD-3-Clause", ["bsd-use", "bsd-source", "bsd-binary", "bsd-name", "bsd-as-is"]),
+    "bsd2-text": ("BSD-2-Clause", ["bsd-use", "bsd-source", "bsd-binary", "bsd-as-is"]),
+    "mpl2-header": ("MPL-2.0", ["mpl2-notice", "mpl2-copy"]),
     "mpl2-line": ("MPL-2.0", ["mpl2-notice"]),
+    "zlib-text": ("Zlib", ["zlib-as-is", "zlib-liable", "zlib-grant"]),
+    "unlicense-text": ("Unlicense", ["unlicense-free", "unlicense-anyone"]),
+    "boost-line": ("BSL-1.0", ["boost-notice"]),
 }
 
-#: A known sentence has one of these stems, so a text with none of them needs no splitting.
-CUES = "licen|permission|warrant|redistribut|endorse|copyright"
-SPLIT = r"\n|[.!?:;]+(?=[\x20\x09-\x0D]|$)"
+#: A known sentence has one of these stems, so a text with none of them isn't looked at any further.
+CUES = "licen|permission|permitted|warrant|redistribut|endorse|public domain|anyone|liable|mpl"
+MARKS = r"(?m)^[\x20\t]*(?:#+|//+|/\*+|\*+/?|;+|--+|%+|<!--+|(?:rem|dnl)[\x20\t])"  # of a comment, at the start of a line
 JUNK = "[^a-z0-9]+"
-
-
-def _code(place: int) -> str:
-    return chr(0x4E00 + place)
+GAP = 400  # characters of unknown text, so normalised, that may stand between a rule's sentences
 
 
 def codes(sentences: dict[str, str]) -> dict[str, str]:
     """A character for each known sentence."""
-    return {s: _code(i) for i, s in enumerate(sentences)}
+    return {s: chr(0x4E00 + i) for i, s in enumerate(sentences)}
+
+
+def words_of(sentence: str) -> str:
+    """A sentence's words (runs of a-z and 0-9), each in spaces of its own."""
+    return "".join(f" {w} " for w in re.sub(JUNK, " ", sentence.lower()).split())
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), JUNK, " "))
+def ordered(sentences: dict[str, str], rules: dict) -> list[tuple[str, str, str]]:
+    """(rule, licence, pattern) of each rule, those of most sentences first: its codes, with short unknown text between them or not."""
+    code, at = codes(sentences), {s: i for i, s in enumerate(sentences)}
+    found = sorted(rules.items(), key=lambda x: (-len(x[1][1]), at[x[1][1][0]], x[0]))
+    return [(name, license_, "-?".join(code[s] for s in steps)) for name, (license_, steps) in found]
+
+
+def coded(text: Column, sentences: dict[str, str]) -> Column:
+    """A text as a character for each known sentence, "-" for short unknown text and "=" for long."""
+    code = codes(sentences)
+    plain = F.regexp_replace(F.lower(F.regexp_replace(text, MARKS, " ")), JUNK, "  ")
+    out = F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
+    for s, sentence in sorted(sentences.items(), key=lambda x: -len(words_of(x[1]))):
+        out = F.replace(out, F.lit(words_of(sentence)), F.lit(code[s]))
+    return F.regexp_replace(F.regexp_replace(out, f"[a-z0-9 ]{{{GAP + 1},}}", "="), "[a-z0-9 ]+", "-")
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: dict = RULES) -> DataFrame:
     """A row for each rule that a text matches: (doc_id, rule, license, matches, first_sentence).
 
-    Texts are split at line ends and after sentence marks; a sentence is lower-cased and what is not a-z or 0-9 becomes one
-    space. Known sentences become one character each, in order; a sentence that is unknown, but not empty, becomes "-", so
-    a rule matches only sentences that follow each other. Longer rules claim their sentences first. matches counts a rule's
-    matches, which don't overlap; first_sentence is the number (from 0) of the sentence that starts the first, empty ones
-    uncounted. Null and empty texts match nothing; repeated rows give repeated results; no rows give no rows.
+    Comment marks at the start of lines go, what is not a-z or 0-9 (lower-cased) parts words, and known sentences are found as
+    runs of words, so wrapping, case, quotes and brackets don't matter. They become one character each, in order, and unknown
+    text between them becomes "-", if it is at most 400 characters long, or "=". A rule matches its sentences in order, with nothing
+    or short unknown text between them. Longer rules claim their sentences first. matches counts a rule's matches, which don't
+    overlap; first_sentence is the number (from 0) of the item, known or unknown, that starts the first. Null and empty texts
+    match nothing; repeated rows give repeated results; other columns are not read; no rows give no rows.
     """
-    missing = [s for s in sentences.values() if not any(c in s for c in CUES.split("|"))]
+    missing = [s for s in sentences.values() if not re.search(CUES, s.lower())]
     if missing:
         raise ValueError(f"no cue is in {missing[0]!r}")
-    code, at = codes(sentences), {s: i for i, s in enumerate(sentences)}
-    known = F.create_map(*[F.lit(x) for s, text in sentences.items() for x in (text, code[s])])
     text = docs.select(F.col("doc_id"), F.col("text").alias("t")).where(F.lower("t").rlike(CUES))
-    parts = F.filter(F.transform(F.split("t", SPLIT), normalised), lambda s: s != "")
-    left = text.select("doc_id", F.array_join(F.transform(parts, lambda s: F.coalesce(known[s], F.lit("-"))), "").alias("left"))
-    left = left.where(F.col("left").rlike("[^-]"))
-    ordered = sorted(rules.items(), key=lambda x: (-len(x[1][1]), at[x[1][1][0]]))
+    left = text.select("doc_id", coded(F.col("t"), sentences).alias("left"))
+    left = left.where(F.col("left").rlike("[^-=]"))
     found = []
-    for name, (license_, steps) in ordered:
-        run = "".join(code[s] for s in steps)
-        n = ((F.length("left") - F.length(F.replace(F.col("left"), F.lit(run), F.lit("")))) / len(run)).cast("long")
-        left = left.withColumn(f"m_{name}", F.struct(F.lit(name).alias("rule"), F.lit(license_).alias("license"), n.alias("matches"), (F.instr("left", run) - 1).cast("long").alias("first_sentence")))
-        left = left.withColumn("left", F.replace(F.col("left"), F.lit(run), F.lit("-" * len(run))))
+    for name, license_, pattern in ordered(sentences, rules):
+        n = F.size(F.regexp_extract_all("left", F.lit(pattern), F.lit(0))).cast("long")
+        before = F.length(F.element_at(F.split("left", pattern, 2), 1)).cast("long")
+        left = left.withColumn(f"m_{name}", F.struct(F.lit(name).alias("rule"), F.lit(license_).alias("license"), n.alias("matches"), before.alias("first_sentence")))
+        left = left.withColumn("left", F.regexp_replace("left", pattern, "-" * len(pattern.replace("-?", ""))))
         found.append(f"m_{name}")
     hits = left.select("doc_id", F.explode(F.array(*[F.col(f"`{x}`") for x in found])).alias("m")).select("doc_id", "m.*")
     return hits.where("matches > 0")
@@ -100,18 +153,18 @@ def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: dict = R
 
 def oracle_sql(sentences: dict[str, str] = SENTENCES, rules: dict = RULES) -> str:
     """The same scan for DuckDB."""
-    code, at = codes(sentences), {s: i for i, s in enumerate(sentences)}
-    ordered = sorted(rules.items(), key=lambda x: (-len(x[1][1]), at[x[1][1][0]]))
-    known = "CASE s " + " ".join(f"WHEN '{text}' THEN '{code[s]}'" for s, text in sentences.items()) + " ELSE '-' END"
+    code = codes(sentences)
+    l = f"concat(' ', trim(regexp_replace(lower(regexp_replace(text, '{MARKS}', ' ', 'g')), '{JUNK}', '  ', 'g')), ' ')"  # noqa: E741
+    for s, sentence in sorted(sentences.items(), key=lambda x: -len(words_of(x[1]))):
+        l = f"replace({l}, '{words_of(sentence)}', '{code[s]}')"  # noqa: E741
+    l = f"regexp_replace(regexp_replace({l}, '[a-z0-9 ]{{{GAP + 1},}}', '=', 'g'), '[a-z0-9 ]+', '-', 'g')"  # noqa: E741
     steps, last, hits = [], "coded", []
-    for i, (name, (license_, steps_)) in enumerate(ordered):
-        run = "".join(code[s] for s in steps_)
-        hits.append(f"SELECT doc_id, '{name}' AS rule, '{license_}' AS license, CAST((length(l) - length(replace(l, '{run}', ''))) / {len(run)} AS BIGINT) AS matches, CAST(strpos(l, '{run}') - 1 AS BIGINT) AS first_sentence FROM {last} WHERE contains(l, '{run}')")
-        steps.append(f"s{i} AS (SELECT doc_id, replace(l, '{run}', '{'-' * len(run)}') AS l FROM {last})")
+    for i, (name, license_, pattern) in enumerate(ordered(sentences, rules)):
+        hits.append(f"SELECT doc_id, '{name}' AS rule, '{license_}' AS license, CAST(len(regexp_extract_all(l, '{pattern}')) AS BIGINT) AS matches, CAST(length(string_split_regex(l, '{pattern}')[1]) AS BIGINT) AS first_sentence FROM {last} WHERE regexp_matches(l, '{pattern}')")
+        steps.append(f"s{i} AS (SELECT doc_id, regexp_replace(l, '{pattern}', '{'-' * len(pattern.replace('-?', ''))}', 'g') AS l FROM {last})")
         last = f"s{i}"
     return f"""
-WITH cut AS (SELECT doc_id, string_split_regex(regexp_replace(text, '[.!?:;]+([\\x20\\x09-\\x0D]|$)', E'\\n', 'g'), '\\n') AS p FROM documents WHERE text IS NOT NULL),
-coded AS (SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(p, lambda x: trim(regexp_replace(lower(x), '{JUNK}', ' ', 'g'))), lambda x: x <> ''), lambda s: {known}), '') AS l FROM cut),
+WITH coded AS MATERIALIZED (SELECT doc_id, {l} AS l FROM documents WHERE text IS NOT NULL AND regexp_matches(lower(text), '{CUES}')),
 {", ".join(steps)}
 {" UNION ALL ".join(hits)}
 """

@@ -382,6 +382,83 @@ def test_license_scan_equals_sql(spark):
     assert found[10**6, "apache2-line"] == (1, 0) and found[10**6, "mit-heading"] == (1, 2) and found[10**6 + 3, "mit-line"] == (2, 0)
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """MIT License
+
+Copyright (c) 2020 A. Nobody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED."""
+
+
+def test_usual_licences_are_recognised_however_they_are_wrapped(spark):
+    texts = {"apache2-header": APACHE, "mit-text": MIT, "gpl3-header": GPL, "bsd3-text": BSD, "bsd2-text": BSD[: BSD.index("3. ")] + BSD[BSD.index("THIS") :]}
+    shapes = [lambda t: t, lambda t: " ".join(t.split()), lambda t: "".join(f"# {x}\n" for x in t.split("\n")), lambda t: "/*\n" + "".join(f" * {x}\r\n" for x in t.split("\n")) + " */\nint main;", lambda t: "".join(f"// {x}\n" for x in t.split("\n"))]
+    data = [(10 * i + k, f(t)) for i, t in enumerate(texts.values()) for k, f in enumerate(shapes)]
+    data += [(900, None), (901, ""), (902, "a permission to license nothing"), (903, MIT + "\n" + MIT), (903, MIT + "\n" + MIT), (904, "long " * 100_000 + GPL), (905, APACHE.replace("Unless", "word " * 80 + "Unless"))]
+    d = table(spark, data)
+    got = rows(licenses.scan(d), "doc_id", "rule", "matches")
+    assert {(i, r) for i, r, _ in got if i < 900} == {(10 * i + k, r) for i, r in enumerate(texts) for k in range(len(shapes))}
+    assert sorted(x for x in got if x[0] >= 900) == [(903, "mit-text", 2), (903, "mit-text", 2), (904, "gpl3-header", 1), (905, "apache2-line", 1)]
+    con = duckdb.connect()
+    con.register("documents", d.select("doc_id", "text").toArrow())
+    assert sorted(rows(licenses.scan(d))) == sorted(con.execute(f"SELECT doc_id, rule, license, matches, first_sentence FROM ({licenses.oracle_sql()})").fetchall())
+    assert rows(licenses.scan(table(spark, []))) == []
+
+
 # packing
 
 
