@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions import scalars
-from ridgeline.operators import blocks, codes, events, geometry, groups, library, negatives, pairs, verification
+from ridgeline.operators import blocks, codes, events, geometry, groups, library, negatives, pairs, stages, verification
 from ridgeline.sources import images
 from ridgeline.sources.tables import table, vectors
 
@@ -314,3 +314,55 @@ def image_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def trial_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = images.with_enough(images.unique_image_ids(_images(spark, sf_dir)), 5)
     return images.limited(rows.select("identity_id", "image_id"), 3, 4)
+
+
+#: Attempts with a count for each stage, from the numbers of order lines; some are null.
+ATTEMPTS = {
+    "id": "l_orderkey * 10 + l_linenumber",
+    "label": "CAST(CASE WHEN l_partkey % 3 = 0 THEN 1 ELSE 0 END AS INT)",
+    "templates_with_candidates": "CASE WHEN l_partkey % 5 > 0 THEN l_suppkey % 4 END",
+    "templates_with_abs_distance_pass": "l_partkey % 2",
+    "templates_with_ratio_pass": "l_linenumber % 3",
+    "templates_with_ransac_success": "l_suppkey % 5",
+    "scale_rejected": "l_orderkey % 2",
+    "templates_with_unique_inlier_ready": "l_partkey % 7",
+    "templates_with_texture_evaluated": "CASE WHEN l_linenumber <> 4 THEN l_suppkey % 3 END",
+    "templates_with_texture_available": "l_partkey % 4",
+    "templates_with_fused_score": "l_suppkey % 2",
+    "max_geometry_similarity": "CAST(l_suppkey % 100 AS DOUBLE) / 100",
+    "score": "CAST(l_partkey % 100 AS DOUBLE) / 100",
+    "num_candidates": "l_suppkey % 40",
+    "raw_inliers": "l_partkey % 30",
+    "unique_inliers": "l_partkey % 20",
+    "max_unique_inliers": "l_partkey % 25",
+    "max_candidate_query_coverage": "l_discount",
+    "mean_reproj_error": "CASE WHEN l_linenumber < 6 THEN l_tax END",
+}
+ATTEMPTS_SQL = "attempts AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in ATTEMPTS.items()) + " FROM lineitem)"
+
+
+def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in ATTEMPTS.items()])
+
+
+_NONE = {c: f"coalesce({c}, 0)" for c in (*stages.COUNTS, "score", "max_geometry_similarity")}
+
+
+@query("failure_stages", f"""WITH {ATTEMPTS_SQL}, n AS (SELECT id, {", ".join(f"{e} AS {c}" for c, e in _NONE.items())} FROM attempts WHERE label = 1 AND coalesce(score, 0) < 0.7)
+SELECT id, CASE WHEN templates_with_candidates = 0 AND templates_with_abs_distance_pass = 0 THEN 'descriptor_distance_reject'
+WHEN templates_with_candidates = 0 AND templates_with_ratio_pass = 0 THEN 'ratio_reject' WHEN templates_with_candidates = 0 THEN 'candidate_insufficient'
+WHEN templates_with_ransac_success = 0 AND scale_rejected > 0 THEN 'ransac_scale_reject' WHEN templates_with_ransac_success = 0 THEN 'ransac_failed'
+WHEN templates_with_unique_inlier_ready = 0 THEN 'unique_inlier_insufficient'
+WHEN templates_with_texture_evaluated > 0 AND templates_with_texture_available = 0 THEN 'texture_unavailable'
+WHEN templates_with_fused_score > 0 AND max_geometry_similarity >= 0.7 AND score < 0.7 THEN 'texture_fusion_reject'
+WHEN CAST(0.7 AS DOUBLE) - score <= CAST(0.05 AS DOUBLE) THEN 'threshold_edge' ELSE 'score_below_threshold' END AS stage FROM n""")
+def failure_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rejected = _attempts(spark, sf_dir).where("label = 1 and coalesce(score, 0) < 0.7D")
+    return rejected.select("id", stages.failure_stage(0.7, "topk_or_ratio", texture=True).alias("stage"))
+
+
+@query("stage_coverage", f"""WITH {ATTEMPTS_SQL} SELECT CASE WHEN label = 1 THEN 'genuine' ELSE 'impostor' END AS kind, count(*) AS count, count(*) FILTER (coalesce(templates_with_candidates, 0) > 0) AS candidate_ready,
+{", ".join(f"round(avg(CASE WHEN coalesce({c}, 0) > 0 THEN 1 ELSE 0 END), 6) AS {n}" for n, c in stages.RATES.items())}, {", ".join(f"round(avg(CAST(coalesce({c}, 0) AS DOUBLE)), 6) AS {n}" for n, c in stages.MEANS.items())} FROM attempts GROUP BY 1""")
+def stage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = stages.stage_coverage(_attempts(spark, sf_dir))
+    return got.select("kind", "count", "candidate_ready", *[F.round(c, 6).alias(c) for c in (*stages.RATES, *stages.MEANS)])
