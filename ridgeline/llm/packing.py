@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -33,58 +34,72 @@ class Encoder:
     #: The tokenizer's white space ends words, but str.split also cuts at these, for which the tokenizer has ids.
     KEPT = "\x1c\x1d\x1e\x1f"
 
+    #: Letters that lower-case one to one and have no other composed form, and a run of marks after them: two tokenizer words.
+    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+    #: Words by which a tokenizer shows that it takes simple words so.
+    PROBES = ("a", "Zug", "ÀÖØÞàöøÿß", "straße,", "word.***", "don'", "x'\"", "L@#", "é_-", "Ðing&&&")
+
     def __init__(self, path: str, most: int = 200_000):
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.plain, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
-        self.lower = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
-        self.plain.normalizer = normalizers.Sequence([])  # for ASCII words, which are lower-cased here
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        #: By byte, the character that a byte-level model has for it.
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.chars = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.elder: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.by_parts = self._shows_parts()
 
     def encode(self, text: str) -> bytes:
         """The tokenizer's own ids of a text."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _ids(self, tokenizer, names: list[str]) -> dict[str, bytes]:
-        return {w: array("I", e.ids).tobytes() for w, e in zip(names, tokenizer.encode_batch_fast(names, add_special_tokens=False), strict=True)}
+    def _of_model(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def _shows_parts(self) -> bool:
+        return all(self._of_model(m[1].lower().translate(self.chars)) + (self._of_model(m[2]) if m[2] else b"") == self.encode(w) for w in self.PROBES if (m := self.SIMPLE.fullmatch(w)))
 
     def _learn(self, new: list[str]) -> None:
-        """New words' ids. An ASCII word of letters and one last other character is learnt as the two parts it consists of."""
-        ascii_ = [w for w in new if w.isascii()] if self.lower else []
-        self.words.update(self._ids(self.tokenizer, [w for w in new if not w.isascii()] if ascii_ else new))
-        lower = [w.lower() for w in ascii_]
-        body = [w[:-1] if not w[-1:].isalnum() and w[:-1].isalpha() else w for w in lower]
-        got = self._ids(self.plain, list({*body, *(w[-1:] for w in lower)}))
-        self.words.update({a: got[c] if b == c else got[c] + got[b[-1]] for a, b, c in zip(ascii_, lower, body, strict=True)})
+        """New words' ids: simple words, if the tokenizer takes them so, by its model from their letters and marks; others by all of it."""
+        whole = new
+        if self.by_parts:
+            whole, marks, tokenize, chars, match = [], self.marks, self.tokenizer.model.tokenize, self.chars, self.SIMPLE.fullmatch
+            letters: dict[str, bytes] = {}
+            for w in new:
+                m = match(w)
+                if m is None:
+                    whole.append(w)
+                    continue
+                body, end = m[1].lower(), m[2]
+                ids = letters.get(body)
+                if ids is None:
+                    ids = letters[body] = array("I", [t.id for t in tokenize(body if body.isascii() else body.translate(chars))]).tobytes()
+                if end:
+                    if end not in marks:
+                        if len(marks) >= 10_000:
+                            marks.clear()
+                        marks[end] = self._of_model(end)
+                    ids += marks[end]
+                self.words[w] = ids
+        for w, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            self.words[w] = array("I", e.ids).tobytes()
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        out: list[bytes | None] = []
-        missing: set[str] = set()
-        open_: list[tuple[int, list[str]]] = []
-        for text in texts:
-            if any(c in text for c in self.KEPT) or any(s in text for s in self.special):  # special tokens are found across words
-                out.append(self.encode(text))
-                continue
-            words = text.split()
-            got = list(map(self.words.get, words))
-            if None in got:
-                missing.update([w for w, x in zip(words, got, strict=True) if x is None])
-                open_.append((len(out), words))
-                out.append(None)
-            else:
-                out.append(b"".join(got))
+        split = [None if any(c in t for c in self.KEPT) or any(s in t for s in self.special) else t.split() for t in texts]  # special tokens are found across words
+        asked = set().union(*(words for words in split if words))
+        missing = asked - self.words.keys()
         if len(self.words) + len(missing) > self.most:
             self.elder, self.words = self.words, {}
-            missing = set().union(*(words for _, words in open_))
-        known = missing.intersection(self.elder)
+            missing = asked
+        known = missing & self.elder.keys()
         self.words.update(zip(known, map(self.elder.__getitem__, known), strict=True))
         self._learn(list(missing - known))
-        for i, words in open_:
-            out[i] = b"".join(map(self.words.__getitem__, words))
-        return out
+        ids_of = self.words.__getitem__
+        return [self.encode(t) if words is None else b"".join(map(ids_of, words)) for t, words in zip(texts, split, strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}  # of this Python worker, which serves many tasks
