@@ -522,6 +522,18 @@ def test_packing_knows_the_tokenizers_white_space():
         assert encoder.encode_all(texts[at : at + 100]) == [encoder.encode(t) for t in texts[at : at + 100]]
 
 
+def test_packing_learns_words_by_their_parts_only_where_the_tokenizer_does():
+    import itertools
+
+    import public_tokenizers
+
+    encoder = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert encoder.by_parts
+    words = ["".join(x) for x in itertools.product(["a", "É", "ß", "Über", "x9", "naïve", "e\u0301"], *[list("'`.,s_t\"\\")] * 2)] + ["'s", "don't", "a'", "\u00b5", "\u00aaa,"]
+    assert encoder.encode_all(words) == [encoder.encode(w) for w in words]
+    assert not packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")).by_parts  # it keeps upper case
+
+
 def test_packing_no_rows_and_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(packing, "ITEMS", 8)
     got = packing.packed_documents(table(spark, [(1, "a b c"), (1, "a b c"), (None, None), (2, "")] * 20 + [(3, "w " * 15)] * 9), capacity=16).collect()
