@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ridgeline.functions.scalars import wrap_angle
+from ridgeline.functions.scalars import angle_diff, wrap_angle
 
 
 def image_pairs(images: DataFrame, cap: int) -> DataFrame:
@@ -26,27 +26,48 @@ def image_pairs(images: DataFrame, cap: int) -> DataFrame:
 def group_split(groups: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42) -> DataFrame:
     """(owner, split) of each distinct owner: hashed order, cut at half-even rounded shares, so no owner is in two splits.
 
-    The order is found within hash ranges and their counts, not in one task.
+    Of three owners or more, an empty split gets the last owner of the largest split that has two or more. The order is
+    found within hash ranges, not in one task; the counts of the 256 ranges are read at once. Null owners are left out.
     """
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("owner").cast("string")))
     rows = groups.select("owner").where("owner is not null").distinct().withColumn("key", key).withColumn("part", F.substring("key", 1, 2))
-    parts = rows.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("count").over(W.partitionBy(F.lit(1))))
-    at = rows.join(F.broadcast(parts.drop("count")), "part").withColumn("at", F.row_number().over(W.partitionBy("part").orderBy("key", "owner")) + F.col("before"))  # 256 rows
+    counts = sorted(rows.groupBy("part").count().collect())
+    before, n = [], 0
+    for part, count in counts:
+        before.append((part, n))
+        n += count
+    parts = groups.sparkSession.createDataFrame(before, "part string, before long")
+    at = rows.join(F.broadcast(parts), "part").withColumn("at", F.row_number().over(W.partitionBy("part").orderBy("key", "owner")) + F.col("before"))  # 256 rows
+    runs, lent = split_runs(n, ratios)
+    split = F.lit("test")
+    for name, (lo, hi) in runs.items():
+        split = F.when((F.col("at") > lo) & (F.col("at") <= hi), name).otherwise(split)
+    for place, name in lent.items():
+        split = F.when(F.col("at") == place, name).otherwise(split)
+    return at.select("owner", split.alias("split"))
+
+
+def split_runs(n: int, ratios: tuple[float, float, float]) -> tuple[dict[str, list[int]], dict[int, str]]:
+    """(before, last) of each split's run of the places 1 to n, and the places that an empty split got from the largest."""
     total = sum(ratios)
-    first, second = F.bround(F.col("n") * ratios[0] / total), F.bround(F.col("n") * (ratios[0] + ratios[1]) / total)
-    return at.select("owner", F.when(F.col("at") <= first, "train").when(F.col("at") <= second, "val").otherwise("test").alias("split"))
+    first, second = round(n * ratios[0] / total), round(n * (ratios[0] + ratios[1]) / total)
+    runs, lent = {"train": [0, first], "val": [first, second], "test": [second, n]}, {}
+    for name, (lo, hi) in runs.items():
+        largest = max(runs.values(), key=lambda r: r[1] - r[0])
+        if n >= 3 and lo == hi and largest[1] - largest[0] > 1:
+            lent[largest[1]] = name
+            largest[1] -= 1
+    return runs, lent
 
 
 def affine_fit(points: DataFrame, *by: str) -> DataFrame:
     """The least-squares rotation, scale and shift of (x, y) to (u, v) for each group: u = ax - by + tx, v = bx + ay + ty.
 
-    Sums of centred products in one grouping; a group whose points are all equal gets nulls.
+    Centred moments in one grouping, so far-off coordinates lose no digits; a group whose points are all equal gets nulls.
     """
-    n = F.count("*")
-    mean = points.groupBy(*by).agg(n.alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyuv"], F.sum(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("xx"), F.sum(F.col("x") * F.col("u") + F.col("y") * F.col("v")).alias("xu"), F.sum(F.col("x") * F.col("v") - F.col("y") * F.col("u")).alias("xv"))
-    c = F.col
-    d = c("xx") - c("n") * (c("mx") * c("mx") + c("my") * c("my"))
-    got = mean.withColumn("a", F.try_divide(c("xu") - c("n") * (c("mx") * c("mu") + c("my") * c("mv")), d)).withColumn("b", F.try_divide(c("xv") - c("n") * (c("mx") * c("mv") - c("my") * c("mu")), d))
+    c, cov = F.col, F.covar_pop
+    sums = points.groupBy(*by).agg(F.count("*").alias("n"), *[F.avg(k).alias(f"m{k}") for k in "xyuv"], (F.var_pop("x") + F.var_pop("y")).alias("d"), (cov("x", "u") + cov("y", "v")).alias("p"), (cov("x", "v") - cov("y", "u")).alias("q"))
+    got = sums.withColumn("a", F.try_divide("p", "d")).withColumn("b", F.try_divide("q", "d"))
     return got.select(*by, "n", "a", "b", (c("mu") - c("a") * c("mx") + c("b") * c("my")).alias("tx"), (c("mv") - c("b") * c("mx") - c("a") * c("my")).alias("ty"))
 
 
@@ -98,3 +119,40 @@ def spaced(points: DataFrame, by: str, distance: float) -> DataFrame:
         lambda a, p: F.when(F.exists(a, lambda k: F.hypot(k["x"] - p["x"], k["y"] - p["y"]) < distance), a).otherwise(F.concat(a, F.array(p))),
     )
     return points.groupBy(by).agg(kept.alias("k")).select(by, F.explode("k").alias("k")).select(by, "k.id")
+
+
+def nearby(left: DataFrame, right: DataFrame, by: str, radius: float, angle_limit: float) -> DataFrame:
+    """(by, a, b, distance): for each point of left the best point of right within the radius, in the same group.
+
+    Both: (by, id, x, y, angle), left already projected. Best: least distance plus radius times the angle's difference
+    (mod 180) in units of angle_limit, 2 at most; then the lower id. Points meet in grid cells of the radius, each left
+    point in the nine around it, so a large group is dealt by place. Null groups or places meet nothing.
+    """
+    c = F.col
+    cell = [F.floor(c(k) / radius).alias(f"c{k}") for k in "xy"]
+    around = left.select(by, c("id").alias("a"), c("x").alias("ax"), c("y").alias("ay"), c("angle").alias("aa"), *cell)
+    for k in ("cx", "cy"):
+        around = around.withColumn(k, F.explode(F.sequence(c(k) - 1, c(k) + 1)))
+    cells = right.select(by, c("id").alias("b"), c("x").alias("bx"), c("y").alias("by_"), c("angle").alias("ba"), *cell)
+    d, turn = F.hypot(c("bx") - c("ax"), c("by_") - c("ay")), angle_diff(c("ba"), c("aa"))
+    met = around.join(cells, [by, "cx", "cy"]).withColumn("distance", d).where(c("distance") <= radius)
+    cost = c("distance") + radius * F.least(F.least(turn, 180 - turn) / max(angle_limit, 1e-6), F.lit(2.0))
+    best = met.groupBy(by, "a").agg(F.min_by(F.struct("b", "distance"), F.struct(cost, "b")).alias("m"))
+    return best.select(by, "a", "m.b", "m.distance")
+
+
+def expanded(found: DataFrame, known: DataFrame, by: str) -> DataFrame:
+    """The best of each point (see nearby) that isn't known as a pair already; a known one is not replaced by the next best."""
+    return found.join(known, [by, "a", "b"], "left_anti")
+
+
+def reserved_picks(rows: DataFrame, by: str, reserve: int, most: int) -> DataFrame:
+    """(by, id, score, reserved, rank): at most `most` of each group by falling score, then id, but first the `reserve` best that are reserved.
+
+    Only each group's first rows of either kind are shuffled, so a large group stays small.
+    """
+    order = [F.desc("score"), F.col("id")]
+    some = rows.select(by, "id", "score", "reserved").withColumn("k", F.row_number().over(W.partitionBy(by, "reserved").orderBy(*order))).where(F.col("k") <= most)
+    first = F.col("reserved") & (F.col("k") <= min(reserve, most))
+    kept = some.withColumn("k", F.row_number().over(W.partitionBy(by).orderBy(F.desc(first), *order))).where(F.col("k") <= most)
+    return kept.select(by, "id", "score", "reserved", F.row_number().over(W.partitionBy(by).orderBy(*order)).alias("rank"))

@@ -85,6 +85,30 @@ def auc_eer(found: DataFrame) -> DataFrame:
     return at.agg(F.round(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2), 6).alias("auc"), F.round(F.min_by((F.col("fpr") + 1 - F.col("tpr")) / 2, F.struct(F.round(gap, 9), -F.col("score"))), 6).alias("eer"))
 
 
+def distance_metrics(rows: DataFrame) -> DataFrame:
+    """One row of what distances (d, positive) tell: means, low percentiles of the negative ones, FPR where TPR first reaches
+    0.95 (1 if never), the greatest TPR with FPR of 1e-4 or less, the area under the ROC, the interpolated equal error rate.
+
+    Distances that are null or not finite are left out, as are null kinds; the rest is taken to six decimals and counted
+    first, so that the ordered window runs over some millions of values at most. Without a kind, its rates are null.
+    """
+    c = F.col
+    counts = rows.where("positive is not null and not isnan(d) and abs(d) < double('inf')").groupBy(F.round("d", 6).alias("d")).agg(F.count_if("positive").alias("p"), F.count_if(~c("positive")).alias("n"))
+    by, every = W.orderBy("d"), W.partitionBy(F.lit(1))
+    roc = counts.select("d", "p", "n", F.try_divide(F.sum("n").over(by), F.sum("n").over(every)).alias("fpr"), F.try_divide(F.sum("p").over(by), F.sum("p").over(every)).alias("tpr"))
+    roc = roc.withColumn("f0", F.lag("fpr", 1, 0.0).over(by)).withColumn("t0", F.lag("tpr", 1, 0.0).over(by))
+    gap, gap0 = F.round(c("fpr") + c("tpr") - 1, 12), F.round(c("f0") + c("t0") - 1, 12)
+    w = F.when(gap == gap0, 0.0).otherwise(-gap0 / (gap - gap0))
+    crossing = (c("f0") + w * (c("fpr") - c("f0")) + 1 - c("t0") - w * (c("tpr") - c("t0"))) / 2
+    low = F.percentile("d", F.array(F.lit(0.01), F.lit(0.05)), c("n"))
+    got = roc.agg(
+        F.try_divide(F.sum(c("d") * c("p")), F.sum("p")).alias("pos_mean"), F.try_divide(F.sum(c("d") * c("n")), F.sum("n")).alias("neg_mean"), low.alias("low"),
+        F.coalesce(F.min(F.when(c("tpr") >= 0.95, c("fpr"))), F.when(F.sum("p") > 0, 1.0)).alias("fpr_at_tpr95"), F.coalesce(F.max(F.when(c("fpr") <= 1e-4, c("tpr"))), F.when(F.sum("n") > 0, 0.0)).alias("tpr_at_fpr_1e_4"),
+        F.sum((c("fpr") - c("f0")) * (c("tpr") + c("t0")) / 2).alias("roc_auc"), F.min_by(crossing, F.when(gap >= 0, c("d"))).alias("eer"),
+    )
+    return got.select("pos_mean", "neg_mean", c("low")[0].alias("neg_p01"), c("low")[1].alias("neg_p05"), "fpr_at_tpr95", "tpr_at_fpr_1e_4", "roc_auc", "eer")
+
+
 def failures(found: DataFrame, threshold: float, cap: int) -> DataFrame:
     """The cap worst false rejects and false accepts, by falling score, then query and owner."""
     kind = F.when(F.col("genuine") & (F.col("best") < threshold), "false_reject").when(~F.col("genuine") & (F.col("best") >= threshold), "false_accept")

@@ -75,6 +75,18 @@ def auc_eer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification.auc_eer(_scores(spark, sf_dir))
 
 
+@query("distance_metrics", f"""{SCORES}, e AS (SELECT genuine AS positive, round(2 * (1 - best), 6) AS d FROM scores), c AS (SELECT d, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS n FROM e GROUP BY d),
+r AS (SELECT d, sum(n) OVER (ORDER BY d) / sum(n) OVER () AS fpr, sum(p) OVER (ORDER BY d) / sum(p) OVER () AS tpr FROM c), l AS (SELECT *, lag(fpr, 1, 0) OVER (ORDER BY d) AS f0, lag(tpr, 1, 0) OVER (ORDER BY d) AS t0 FROM r),
+x AS (SELECT *, (f0 + t0 - 1) / ((f0 + t0 - 1) - (fpr + tpr - 1)) AS w FROM l WHERE round(fpr + tpr - 1, 12) >= 0 ORDER BY d LIMIT 1)
+SELECT round(avg(d) FILTER (positive), 6) AS pos_mean, round(avg(d) FILTER (NOT positive), 6) AS neg_mean, round(quantile_cont(d, 0.01) FILTER (NOT positive), 6) AS neg_p01, round(quantile_cont(d, 0.05) FILTER (NOT positive), 6) AS neg_p05,
+(SELECT round(min(fpr), 6) FROM l WHERE tpr >= 0.95) AS fpr_at_tpr95, (SELECT round(coalesce(max(tpr), 0), 6) FROM l WHERE fpr <= 0.0001) AS tpr_at_fpr_1e_4, (SELECT round(sum((fpr - f0) * (tpr + t0) / 2), 6) FROM l) AS roc_auc,
+(SELECT round((f0 + w * (fpr - f0) + 1 - t0 - w * (tpr - t0)) / 2, 6) FROM x) AS eer FROM e""")
+def distance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _scores(spark, sf_dir).select(F.col("genuine").alias("positive"), F.round(2 * (1 - F.col("best")), 6).alias("d"))
+    got = verification.distance_metrics(found)
+    return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
+
+
 @query("failure_topn", f"""{SCORES}, k AS (SELECT CASE WHEN genuine AND best < 0.36 THEN 'false_reject' WHEN NOT genuine AND best >= 0.36 THEN 'false_accept' END AS kind, q, owner, best FROM scores)
 SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY best DESC, q, owner) AS INT) AS rank, q, owner, best FROM k WHERE kind IS NOT NULL QUALIFY rank <= 20""")
 def failure_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +175,27 @@ def affine_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("owner", "n", *[F.round(c, 6).alias(c) for c in ("a", "b", "tx", "ty")])
 
 
+@query("radius_matches", f"""WITH {XY}, m AS (SELECT a.owner, a.id AS a, b.id AS b, sqrt((b.u - a.x) ** 2 + (b.v - a.y) ** 2) AS d FROM p a JOIN p b ON a.owner = b.owner),
+k AS (SELECT *, abs((((b * 11 - a * 7 + 180) % 360 + 360) % 360) - 180) AS turn FROM m WHERE d <= 12 QUALIFY row_number() OVER (PARTITION BY owner, a ORDER BY d + 12 * least(least(turn, 180 - turn) / CAST(20 AS DOUBLE), 2), b) = 1)
+SELECT owner, a, b, round(d, 6) AS distance FROM k WHERE (a + b) % 5 <> 0""")
+def radius_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points against the second places of others of their owner; pairs whose ids sum to a multiple of five are known."""
+    rows, n = _points(spark, sf_dir), F.col("id")
+    found = pairs.nearby(rows.select("owner", "id", "x", "y", (n * 7).alias("angle")), rows.select("owner", "id", F.col("u").alias("x"), F.col("v").alias("y"), (n * 11).alias("angle")), "owner", 12.0, 20.0)
+    known = found.where("(a + b) % 5 = 0").select("owner", "a", "b")
+    return pairs.expanded(found, known, "owner").withColumn("distance", F.round("distance", 6))
+
+
+@query("reserved_picks", """WITH r AS (SELECT o_custkey AS owner, o_orderkey AS id, CAST(o_totalprice AS DOUBLE) AS score, o_orderkey % 3 = 0 AS reserved FROM orders),
+f AS (SELECT *, reserved AND row_number() OVER (PARTITION BY owner, reserved ORDER BY score DESC, id) <= 2 AS first_ FROM r),
+k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY owner ORDER BY first_ DESC, score DESC, id) <= 5)
+SELECT owner, id, score, reserved, CAST(row_number() OVER (PARTITION BY owner ORDER BY score DESC, id) AS INT) AS rank FROM k""")
+def reserved_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), n.alias("id"), F.col("o_totalprice").cast("double").alias("score"), (n % 3 == 0).alias("reserved"))
+    return pairs.reserved_picks(rows, "owner", 2, 5)
+
+
 @query("dominant_angle", f"WITH {XY}, b AS (SELECT owner, CAST(least(floor((degrees(atan2(y - 50, x - 50)) + 180) / 10), 35) AS INT) AS bin, count(*) AS votes FROM p GROUP BY ALL) SELECT owner, list(bin ORDER BY votes DESC, bin)[1] * 10 - 180 + CAST(5 AS DOUBLE) AS angle, max(votes) AS votes FROM b GROUP BY owner")
 def dominant_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.dominant_angle(_points(spark, sf_dir), "owner", F.degrees(F.atan2(F.col("y") - 50, F.col("x") - 50)))
@@ -252,11 +285,22 @@ def hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.nearest(rows.where("id % 20 = 0"), rows, 10, "hamming")
 
 
-@query("match_candidates", f"""WITH {EMB}, {NEAR}, r AS (SELECT q, g, d, rank, min(d) FILTER (rank = 1) OVER w AS best, min(d) FILTER (rank = 2) OVER w AS second FROM near WHERE rank <= 3 WINDOW w AS (PARTITION BY q)),
-k AS (SELECT *, best < CAST(0.97 AS DOUBLE) * second AND best <= CAST(1.2 AS DOUBLE) AS alone FROM r)
-SELECT list(q ORDER BY d, q)[1] AS q, g, round(min(d), 6) AS d FROM k WHERE CASE WHEN alone THEN rank = 1 ELSE d <= least(CAST(1.2 AS DOUBLE), best + CAST(0.03 AS DOUBLE)) END GROUP BY g""")
-def match_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.candidates(_near(spark, sf_dir, 3), "topk_or_ratio", 3, 0.97, 1.2, 0.03).withColumn("d", F.round("d", 6))
+#: What each policy keeps of the nearest three.
+POLICIES = {
+    "match_candidates": ("topk_or_ratio", "CASE WHEN alone THEN rank = 1 ELSE many END"),
+    "match_candidates_ratio": ("ratio_only", "alone AND rank = 1"),
+    "match_candidates_topk": ("topk_only", "many"),
+}
+
+
+def _candidates(policy: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: pairs.candidates(_near(spark, sf_dir, 3), policy, 3, 0.97, 1.2, 0.03).withColumn("d", F.round("d", 6))
+
+
+for _name, (_policy, _kept) in POLICIES.items():
+    query(_name, f"""WITH {EMB}, {NEAR}, r AS (SELECT q, g, d, rank, min(d) FILTER (rank = 1) OVER w AS best, min(d) FILTER (rank = 2) OVER w AS second FROM near WHERE rank <= 3 WINDOW w AS (PARTITION BY q)),
+k AS (SELECT *, best < CAST(0.97 AS DOUBLE) * second AND best <= CAST(1.2 AS DOUBLE) AS alone, d <= least(CAST(1.2 AS DOUBLE), best + CAST(0.03 AS DOUBLE)) AS many FROM r)
+SELECT list(q ORDER BY d, q)[1] AS q, g, round(min(d), 6) AS d FROM k WHERE {_kept} GROUP BY g""")(_candidates(_policy))
 
 
 @query("fused_scores", "SELECT event_id, round(CASE WHEN event_id % 15 < 4 OR event_id % 11 = 0 THEN 0 ELSE least(least((event_id % 15) / 12, 1) * CAST(0.7 AS DOUBLE) + (event_id % 101) / 100 * CAST(0.3 AS DOUBLE), 1) END, 6) AS score, CASE WHEN event_id % 15 < 4 THEN 'geometry_below_low_gate' WHEN event_id % 11 = 0 THEN 'insufficient_texture_area' ELSE 'fused_score' END AS decision FROM events")

@@ -110,3 +110,31 @@ def test_csv(spark, tmp_path):
     assert spark.read.parquet(metrics).count() == 2
     with pytest.raises(ValueError, match="other columns"):
         files.append_metrics(rows.drop("x_a"), metrics)
+
+
+def test_small_splits_are_not_empty(spark):
+    from ridgeline.operators.pairs import group_split, split_runs
+
+    assert split_runs(4, (0.8, 0.1, 0.1)) == ({"train": [0, 2], "val": [3, 4], "test": [4, 4]}, {3: "test"})
+    for n, want in ((3, [1, 1, 1]), (4, [2, 1, 1]), (2, [2, 0, 0]), (0, [0, 0, 0])):
+        got = [r["split"] for r in group_split(spark.createDataFrame([(i,) for i in range(n)] * 2 + [(None,)], "owner long")).collect()]
+        assert [got.count(s) for s in ("train", "val", "test")] == want
+
+
+def test_affine_fit_of_far_points(spark):
+    from ridgeline.operators.pairs import affine_fit
+
+    far = 1e8
+    rows = [(1, far + x, far + y, 0.5 * x - 0.25 * y, 0.25 * x + 0.5 * y) for x in range(4) for y in range(4)] + [(2, 1.0, 1.0, 2.0, 2.0)] * 3
+    got = {r["g"]: r for r in affine_fit(spark.createDataFrame(rows, "g int, x double, y double, u double, v double"), "g").collect()}
+    assert abs(got[1]["a"] - 0.5) < 1e-6 and abs(got[1]["b"] - 0.25) < 1e-6 and got[2]["a"] is None
+
+
+def test_distance_metrics_of_no_rows(spark):
+    from ridgeline.operators.verification import distance_metrics
+
+    kind = "d double, positive boolean"
+    assert all(x is None for x in distance_metrics(spark.createDataFrame([], kind)).first())
+    rows = [(0.1, True), (0.2, True), (0.3, False), (0.4, False), (float("nan"), True), (None, False), (0.5, None)]
+    got = distance_metrics(spark.createDataFrame(rows, kind)).first()
+    assert (got["fpr_at_tpr95"], got["tpr_at_fpr_1e_4"], got["roc_auc"], got["eer"]) == (0.0, 1.0, 1.0, 0.0)
