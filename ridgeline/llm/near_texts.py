@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm import anchors
 from ridgeline.llm.common import sealed, spanning, staged, starts, utf8, whole_groups
 from ridgeline.llm.components import components
-from ridgeline.llm.simhash import near_links, packed_majority, shingle_hashes
+from ridgeline.llm.simhash import near_links, packed_majority, shingle_hashes, word_hashes
 
 BLOCK = 256  # texts of a group that meet in one unit of work, on each side
 
@@ -75,7 +75,7 @@ def sketches(docs: DataFrame, width: int, similarity: float) -> DataFrame:
                 s1, s2 = anchors.mixed(sh + np.uint64(1)), sh * np.uint64(0x9E3779B97F4A7C15) ^ (sh >> np.uint64(31))
                 level = parts.level(len(sh)) if len(sh) else 0
                 sums = (int(x.sum(dtype=np.uint64).view(np.int64)) for x in (s1, s2))
-                found = (packed_majority(np.unique(shingle_hashes(text, 1))), *sums, len(sh), level, *(len(np.unique(parts.signatures(sh, x))) for x in (level, level + 1)))
+                found = (packed_majority(word_hashes(text)), *sums, len(sh), level, *(len(np.unique(parts.signatures(sh, x))) for x in (level, level + 1)))
                 for c, v in zip(cols, found, strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(c, pa.int64()) for c in cols)], names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, repeat
 from math import comb
 
 import numpy as np
@@ -32,6 +32,12 @@ def shingle_hashes(text: bytes, width: int) -> np.ndarray:
     return np.fromiter((h(joined[a:b], 42) for a, b in zip(at.tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)), np.uint64, len(at))
 
 
+def word_hashes(text: bytes) -> np.ndarray:
+    """XXH64 (seed 42) of each different word of a text, in no order."""
+    words = set(text.lower().split())
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words))
+
+
 def packed_majority(h: np.ndarray) -> int:
     """A signed 64-bit number whose bits are 1 where they are in over half of these; 0 for none."""
     if not len(h):
