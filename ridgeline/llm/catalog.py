@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import fingerprint_index, licenses, mixing, ogg, packing, quality, rabitq, simhash, suffix_dedup, toxicity
+from ridgeline.llm import alignment, bitplanes, fingerprint_index, licenses, mixing, ogg, packing, quality, rabitq, simhash, suffix_dedup, toxicity, variants
 from ridgeline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,23 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What strings of 100 bytes that start earlier leave of every whole document."""
     got = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"), length=100)
     return got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, one in 199 misspelt, and the five times as frequent word that each is a variant of."""
+    words = variants.corpus_words(table(spark, sf_dir, "documents"), least_length=6, least_count=5, drop_one_in=199)
+    return variants.variant_forms(words, ratio=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op12_token_planes")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all documents written to files of byte planes, and what is read back from them."""
+    files = bitplanes.write_ids(table(spark, sf_dir, "documents"))
+    return bitplanes.read_ids(files).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document, and their counts in the corpus."""
+    return alignment.linked_counts(table(spark, sf_dir, "documents"))
