@@ -234,9 +234,14 @@ def plain_alignment(docs, tokens):
         if not text or b"".join(x for _, x in one) != (" " + text).encode() or b"".join(x for _, x in two) != (" " + text).encode():
             of.append((doc, [], []))
             continue
-        ends = [np.cumsum([len(x) for _, x in side]) for side in (one, two)]
-        both = sorted({*ends[0].tolist()} & {*ends[1].tolist()})
-        groups = [[[i for i, e in zip((t for t, _ in side), end.tolist(), strict=True) if lo < e <= hi] for side, end in zip((one, two), ends, strict=True)] for lo, hi in zip([0, *both[:-1]], both, strict=True)]
+        ends = [np.cumsum([len(x) for _, x in side]).tolist() for side in (one, two)]
+        both, groups = {*ends[0]} & {*ends[1]}, defaultdict(lambda: ([], []))
+        for k, side in enumerate((one, two)):
+            n = 0
+            for (i, _), e in zip(side, ends[k], strict=True):
+                groups[n][k].append(i)
+                n += e in both
+        groups = list(groups.values())
         links = [(p, q) for x, y in groups for p in x for q in y]
         held.update(set(links))
         of.append((doc, groups, links))
@@ -256,7 +261,7 @@ def test_two_pointers_close_groups_where_both_end():
     assert alignment.align([], [], [], []) == []
 
 
-@pytest.mark.parametrize("tokens_at_once", [alignment.BLOCK_TOKENS, 300])
+@pytest.mark.parametrize("tokens_at_once", [alignment.BLOCK_TOKENS, 5000])
 def test_links_of_documents_against_plain_version(spark, docs, tools, tokens_at_once):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = plain_alignment(rows, tools)
