@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK = 512  # vectors of a block, on average
+BLOCK = 512  # query vectors of a block, on average
+GALLERY = 2048  # gallery vectors of a block
 
 
-def blocked(vectors: DataFrame, by: str) -> DataFrame:
-    """Rows (id, owner, v) as blocks of about BLOCK rows, dealt by a hash of the column by; rows with a null stay out."""
+def blocked(vectors: DataFrame, by: str, size: int = BLOCK) -> tuple[DataFrame, int]:
+    """Rows (id, owner, v) as blocks (block, rows) of about `size` rows, dealt by a hash of the column by, and how many blocks there
+    may be; rows with a null stay out."""
     rows = vectors.where("id is not null and owner is not null and v is not null")
-    n = max(1, -(-rows.count() // BLOCK))
-    return rows.groupBy(F.expr(f"pmod(xxhash64(`{by}`), {n})").alias("block")).agg(F.collect_list(F.struct("id", "owner", "v")).alias("rows")).drop("block")
+    n = max(1, -(-rows.count() // size))
+    return rows.groupBy(F.expr(f"pmod(xxhash64(`{by}`), {n})").alias("block")).agg(F.collect_list(F.struct("id", "owner", "v")).alias("rows")), n
 
 
 def _matrix(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,7 +34,12 @@ def _distances(q: np.ndarray, g: np.ndarray, metric: str) -> np.ndarray:
 
 
 def _each(queries: DataFrame, gallery: DataFrame, by: str, found, schema: str, metric: str = "l2") -> DataFrame:
-    pairs = blocked(queries, "id").select(F.col("rows").alias("q")).crossJoin(blocked(gallery, by).select(F.col("rows").alias("g")))
+    """What found gives for each block of queries against each block of the gallery.
+
+    A gallery block is dealt once and a query block to each gallery block; they meet there, so no pair of blocks is shuffled.
+    """
+    (asked, _), (held, n) = blocked(queries, "id"), blocked(gallery, by, GALLERY)
+    pairs = asked.select(F.col("rows").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block")).join(held.select("block", F.col("rows").alias("g")), "block").select("q", "g")
 
     def run(batches):
         for b in batches:
@@ -40,7 +47,7 @@ def _each(queries: DataFrame, gallery: DataFrame, by: str, found, schema: str, m
                 q, g = _matrix(b.column("q").slice(i, 1)), _matrix(b.column("g").slice(i, 1))
                 yield from found(q, g, _distances(q[2], g[2], metric))
 
-    return pairs.repartition(F.xxhash64(F.col("q")[0]["id"], F.col("g")[0]["id"])).mapInArrow(run, schema)
+    return pairs.mapInArrow(run, schema)
 
 
 def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "l2") -> DataFrame:
@@ -58,6 +65,22 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "l2")
     return near.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d", "g"))).where(F.col("rank") <= k)
 
 
+def nearest_both(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """(back, of, to, d, rank): the k nearest gallery rows of each query (back false) and the k nearest queries of each gallery row
+    (back true), from one pass over the distances: a block gives the nearest of its rows and of its columns. See nearest."""
+
+    def found(q, g, d):
+        d = np.where(q[0][:, None] == g[0][None, :], np.inf, d)
+        for back, one, two, m in ((False, q[0], g[0], d), (True, g[0], q[0], d.T)):
+            order = np.lexsort((np.broadcast_to(two, m.shape), m), axis=1)[:, :k]
+            rows = np.arange(len(m))[:, None]
+            at = np.isfinite(m[rows, order]).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(at.sum(), back)), pa.array(np.repeat(one, order.shape[1])[at]), pa.array(two[order].ravel()[at]), pa.array(m[rows, order].ravel()[at])], ["back", "of", "to", "d"])
+
+    near = _each(queries, gallery, "id", found, "back boolean, of long, to long, d double", metric)
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("back", "of").orderBy("d", "to"))).where(F.col("rank") <= k)
+
+
 def identity_scores(queries: DataFrame, templates: DataFrame, top: int = 3) -> DataFrame:
     """A row per query and identity: (q, q_owner, owner, best, best_id, mean, top_mean) of the similarities 1 - d/2.
 

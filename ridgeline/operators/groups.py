@@ -2,31 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder (a local one only where spark.checkpoint.dir is unset) and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="ridgeline-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/groups-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ridgeline.sources.tables import written
 
 
 def point_groups(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node reachable. Nulls link nothing."""
-    now = _written(links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = written(links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "groups")
     nodes, mark = now.select(F.explode(F.array("a", "b")).alias("node")).distinct(), None
     star = lambda side, least: side.join(least, "a")
     while True:
@@ -34,7 +18,7 @@ def point_groups(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = star(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = star(large, large.groupBy("a").agg(F.min("b").alias("m"))).select(F.inline(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))))
-        now = _written(small.where("a != b").distinct())
+        now = written(small.where("a != b").distinct(), "groups")
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
         if seen == mark:
             break

@@ -103,10 +103,21 @@ def candidates(near: DataFrame, policy: str = "topk_or_ratio", top: int = 3, rat
     return rows.where(kept).groupBy("g").agg(F.min_by("q", F.struct("d", "q")).alias("q"), F.min("d").alias("d")).select("q", "g", "d")
 
 
-def mutual(forward: DataFrame, backward: DataFrame) -> DataFrame:
-    """Forward best matches (q, g, d) that are each other's best."""
-    back = backward.where("rank = 1").select(F.col("q").alias("g"), F.col("g").alias("q"))
-    return forward.where("rank = 1").join(back, ["q", "g"], "left_semi").select("q", "g", "d")
+def _both_ways(firsts: DataFrame) -> DataFrame:
+    """(q, g, d) of first neighbours (back, of, to, d) that are so both ways, met in one grouping."""
+    pair = firsts.select(F.when(F.col("back"), F.col("to")).otherwise(F.col("of")).alias("q"), F.when(F.col("back"), F.col("of")).otherwise(F.col("to")).alias("g"), "d")
+    return pair.groupBy("q", "g").agg(F.count("*").alias("n"), F.min("d").alias("d")).where("n = 2").select("q", "g", "d")
+
+
+def mutual(near: DataFrame) -> DataFrame:
+    """(q, g, d) of two-way neighbours (see blocks.nearest_both) that are each other's best."""
+    return _both_ways(near.where("rank = 1"))
+
+
+def two_way_ratio(near: DataFrame, ratio: float = 0.8) -> DataFrame:
+    """(q, g, d) of two-way neighbours, two ranks or more, that are each other's best and pass the ratio test (see ratio_matches) both ways."""
+    second = F.coalesce(F.lead("d").over(W.partitionBy("back", "of").orderBy("rank")), F.lit(float("inf")))
+    return _both_ways(near.withColumn("second", second).where((F.col("rank") == 1) & (F.col("d") < ratio * F.col("second")) & (F.col("second") > 1e-12)))
 
 
 def spaced(points: DataFrame, by: str, distance: float) -> DataFrame:

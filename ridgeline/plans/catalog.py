@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.functions import scalars
-from ridgeline.operators import blocks, codes, events, geometry, groups, library, negatives, pairs, stages, verification
+from ridgeline.operators import blocks, codes, events, geometry, groups, library, matching, negatives, pairs, stages, verification
 from ridgeline.sources import images
-from ridgeline.sources.tables import table, vectors
+from ridgeline.sources.tables import table, vectors, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,9 +122,20 @@ SIDES = f"sides AS (SELECT a.id AS a, b.id AS b, round(sqrt(greatest(2 - 2 * lis
 
 @query("mutual_nn", f"WITH {EMB}, {SIDES}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS f, row_number() OVER (PARTITION BY b ORDER BY d, a) AS k FROM sides) SELECT a AS q, b AS g, round(d, 6) AS d FROM r WHERE f = 1 AND k = 1")
 def mutual_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.mutual(_near_both(spark, sf_dir, 1)).withColumn("d", F.round("d", 6))
+
+
+def _near_both(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Enrolled vectors and the others, nearest both ways."""
     rows = verification.enrolled(vectors(spark, sf_dir))
-    a, b = rows.where("enrolled").drop("enrolled"), rows.where("not enrolled").drop("enrolled")
-    return pairs.mutual(blocks.nearest(a, b, 1), blocks.nearest(b, a, 1)).withColumn("d", F.round("d", 6))
+    return blocks.nearest_both(rows.where("enrolled").drop("enrolled"), rows.where("not enrolled").drop("enrolled"), k)
+
+
+@query("two_way_ratio", f"""WITH {EMB}, {SIDES}, r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS f, row_number() OVER (PARTITION BY b ORDER BY d, a) AS k FROM sides),
+s AS (SELECT *, coalesce(lead(d) OVER (PARTITION BY a ORDER BY f), 'inf') AS f2, coalesce(lead(d) OVER (PARTITION BY b ORDER BY k), 'inf') AS k2 FROM r)
+SELECT a AS q, b AS g, round(d, 6) AS d FROM s WHERE f = 1 AND k = 1 AND d < 0.99 * f2 AND d < 0.99 * k2 AND f2 > 1e-12 AND k2 > 1e-12""")
+def two_way_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.two_way_ratio(_near_both(spark, sf_dir, 2), 0.99).withColumn("d", F.round("d", 6))
 
 
 @query("point_groups", f"""WITH RECURSIVE {EMB}, {SIDES}, e AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS f FROM sides) WHERE f <= 2),
@@ -175,6 +186,72 @@ def affine_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("owner", "n", *[F.round(c, 6).alias(c) for c in ("a", "b", "tx", "ty")])
 
 
+#: Each enrolled point and its ten nearest others; two thirds of them lie where one map of their owner puts them, the rest anywhere.
+CAND = f"""{EMB}, {SIDES}, {XY}, near10 AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 10),
+cand AS (SELECT p.owner, n.a * 1000000 + n.b AS id, n.a AS q, n.b AS g, n.d, p.x, p.y, CASE WHEN (n.a * 7 + n.b) % 3 <> 0 THEN CAST(0.9 AS DOUBLE) * p.x - CAST(0.3 AS DOUBLE) * p.y + 12 + o.x / 100 ELSE o.x END AS u,
+CASE WHEN (n.a * 7 + n.b) % 3 <> 0 THEN CAST(0.3 AS DOUBLE) * p.x + CAST(0.9 AS DOUBLE) * p.y - 7 + o.y / 100 ELSE o.y END AS v, CAST((n.a * 13 + n.b * 7) % 40 - 2 AS DOUBLE) AS angle FROM near10 n JOIN p ON p.id = n.a JOIN p o ON o.id = n.b)"""
+ROBUST = f"""{CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY md5('7|' || id), id) - 1 AS i, count(*) OVER (PARTITION BY owner) AS n FROM cand),
+ends AS (SELECT s.owner, t.h, p1.x AS x1, p1.y AS y1, p1.u AS u1, p1.v AS v1, p2.x - p1.x AS dx, p2.y - p1.y AS dy, p2.u - p1.u AS du, p2.v - p1.v AS dv FROM (SELECT DISTINCT owner, n FROM r) s JOIN range(256) t(h) ON t.h < s.n * (s.n - 1)
+JOIN r p1 ON p1.owner = s.owner AND p1.i = t.h % s.n JOIN r p2 ON p2.owner = s.owner AND p2.i = (t.h % s.n + 1 + (t.h // s.n) % (s.n - 1)) % s.n),
+turned AS (SELECT *, (dx * du + dy * dv) / (dx * dx + dy * dy) AS a, (dx * dv - dy * du) / (dx * dx + dy * dy) AS b FROM ends WHERE dx * dx + dy * dy <> 0),
+maps AS (SELECT owner, h, a, b, u1 - a * x1 + b * y1 AS tx, v1 - b * x1 - a * y1 AS ty FROM turned),
+votes AS (SELECT m.owner, m.h, m.a, m.b, m.tx, m.ty, count(*) AS n, count(*) FILTER ((m.a * c.x - m.b * c.y + m.tx - c.u) ** 2 + (m.b * c.x + m.a * c.y + m.ty - c.v) ** 2 <= 25) AS inliers FROM maps m JOIN cand c USING (owner) GROUP BY ALL),
+best AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY owner ORDER BY inliers DESC, h) = 1),
+inl AS (SELECT c.* FROM cand c JOIN best m USING (owner) WHERE (m.a * c.x - m.b * c.y + m.tx - c.u) ** 2 + (m.b * c.x + m.a * c.y + m.ty - c.v) ** 2 <= 25),
+mid AS (SELECT owner, avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv FROM inl GROUP BY owner),
+ab AS (SELECT owner, any_value(mx) AS mx, any_value(my) AS my, any_value(mu) AS mu, any_value(mv) AS mv, sum((x - mx) * (u - mu) + (y - my) * (v - mv)) / sum((x - mx) ** 2 + (y - my) ** 2) AS a, sum((x - mx) * (v - mv) - (y - my) * (u - mu)) / sum((x - mx) ** 2 + (y - my) ** 2) AS b FROM inl JOIN mid USING (owner) GROUP BY owner),
+fit AS (SELECT owner, a, b, mu - a * mx + b * my AS tx, mv - b * mx - a * my AS ty FROM ab)"""
+#: The plain greedy pass, edge by edge.
+GREEDY = f"""{ROBUST}, scored AS (SELECT i.*, sqrt((f.a * i.x - f.b * i.y + f.tx - i.u) ** 2 + (f.b * i.x + f.a * i.y + f.ty - i.v) ** 2) AS error FROM inl i JOIN fit f USING (owner)),
+costs AS (SELECT *, d + CAST(0.05 AS DOUBLE) * error AS cost FROM scored), queue AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY cost, q, g) AS k FROM costs),
+pass(owner, k, uq, ug, taken) AS (SELECT DISTINCT owner, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), false FROM queue
+UNION ALL SELECT p.owner, e.k, CASE WHEN ok THEN list_append(uq, e.q) ELSE uq END, CASE WHEN ok THEN list_append(ug, e.g) ELSE ug END, ok FROM (SELECT p.*, NOT list_contains(uq, e.q) AND NOT list_contains(ug, e.g) AS ok, e.k AS ek, e.q, e.g FROM pass p JOIN queue e ON e.owner = p.owner AND e.k = p.k + 1) p JOIN queue e ON e.owner = p.owner AND e.k = p.ek),
+kept AS (SELECT e.* FROM queue e JOIN pass p ON p.owner = e.owner AND p.k = e.k AND p.taken)"""
+
+
+def _seen_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = verification.enrolled(vectors(spark, sf_dir))
+    near = blocks.nearest(rows.where("enrolled").drop("enrolled"), rows.where("not enrolled").drop("enrolled"), 10)
+    p, c = _points(spark, sf_dir), F.col
+    placed = near.join(p.select("owner", c("id").alias("q"), "x", "y"), "q").join(p.select(c("id").alias("g"), c("x").alias("ox"), c("y").alias("oy")), "g")
+    true = (c("q") * 7 + c("g")) % 3 != 0
+    u = F.when(true, 0.9 * c("x") - 0.3 * c("y") + 12 + c("ox") / 100).otherwise(c("ox"))
+    v = F.when(true, 0.3 * c("x") + 0.9 * c("y") - 7 + c("oy") / 100).otherwise(c("oy"))
+    return placed.select("owner", (c("q") * 1000000 + c("g")).alias("id"), "q", "g", "d", "x", "y", u.alias("u"), v.alias("v"), ((c("q") * 13 + c("g") * 7) % 40 - 2).cast("double").alias("angle"))
+
+
+@query("robust_affine", f"WITH {ROBUST} SELECT m.owner, m.n, m.inliers, m.h, round(f.a, 6) AS a, round(f.b, 6) AS b, round(f.tx, 6) AS tx, round(f.ty, 6) AS ty FROM best m JOIN fit f USING (owner)")
+def robust_affine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = matching.robust_affine(_seen_candidates(spark, sf_dir), "owner")
+    return got.select("owner", "n", "inliers", "guess.h", *[F.round(k, 6).alias(k) for k in ("a", "b", "tx", "ty")])
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, the map of each owner, and its one-to-one inliers."""
+    candidates = written(_seen_candidates(spark, sf_dir), "candidates")
+    maps = matching.robust_affine(candidates, "owner")
+    found = matching.inliers(candidates, maps, "owner").withColumn("cost", F.col("d") + 0.05 * F.col("error"))
+    return candidates, maps, matching.one_to_one(found, "owner")
+
+
+@query("verified_matches", f"WITH RECURSIVE {GREEDY} SELECT owner, q, g, round(cost, 6) AS cost, round(error, 6) AS error FROM kept")
+def verified_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that agree with their owner's map, each point in one of them, cheapest first."""
+    return _matches(spark, sf_dir)[2].select("owner", "q", "g", F.round("cost", 6).alias("cost"), F.round("error", 6).alias("error"))
+
+
+@query("match_summary", f"""WITH RECURSIVE {GREEDY}, n AS (SELECT owner, count(*) AS candidates FROM cand GROUP BY owner),
+bins AS (SELECT owner, CAST(least(floor((angle + 180) / 10), 35) AS INT) AS bin, count(*) AS votes FROM kept GROUP BY ALL), main AS (SELECT owner, list(bin ORDER BY votes DESC, bin)[1] * 10 - 180 + CAST(5 AS DOUBLE) AS main_angle FROM bins GROUP BY owner),
+e AS (SELECT owner, count(*) AS matches, avg(error) AS mean_error, avg(CASE WHEN abs(angle - main_angle) <= 15 THEN 1 ELSE 0 END) AS consistency, any_value(main_angle) AS main_angle FROM kept JOIN main USING (owner) GROUP BY owner),
+j AS (SELECT n.owner, n.candidates, coalesce(sqrt(f.a * f.a + f.b * f.b) BETWEEN CAST(0.75 AS DOUBLE) AND CAST(1.35 AS DOUBLE), false) AS success, b.inliers, e.*EXCLUDE (owner), degrees(atan2(f.b, f.a)) AS rotation, sqrt(f.a * f.a + f.b * f.b) AS scale FROM n LEFT JOIN best b USING (owner) LEFT JOIN fit f USING (owner) LEFT JOIN e USING (owner))
+SELECT owner, candidates, success, CASE WHEN success THEN inliers ELSE 0 END AS inliers, CASE WHEN success THEN coalesce(matches, 0) ELSE 0 END AS matches, round(CASE WHEN success THEN rotation ELSE 0 END, 6) AS rotation, round(CASE WHEN success THEN scale ELSE 0 END, 6) AS scale,
+round(CASE WHEN success THEN mean_error ELSE 0 END, 6) AS mean_error, CASE WHEN success THEN main_angle ELSE 0 END AS main_angle, round(CASE WHEN success THEN consistency ELSE 0 END, 6) AS consistency FROM j""")
+def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates, maps, kept = _matches(spark, sf_dir)
+    got = matching.pair_summary(candidates, maps, kept, "owner")
+    return got.select("owner", "candidates", "success", "inliers", "matches", *[F.round(k, 6).alias(k) for k in ("rotation", "scale", "mean_error", "main_angle", "consistency")])
+
+
 @query("radius_matches", f"""WITH {XY}, m AS (SELECT a.owner, a.id AS a, b.id AS b, sqrt((b.u - a.x) ** 2 + (b.v - a.y) ** 2) AS d FROM p a JOIN p b ON a.owner = b.owner),
 k AS (SELECT *, abs((((b * 11 - a * 7 + 180) % 360 + 360) % 360) - 180) AS turn FROM m WHERE d <= 12 QUALIFY row_number() OVER (PARTITION BY owner, a ORDER BY d + 12 * least(least(turn, 180 - turn) / CAST(20 AS DOUBLE), 2), b) = 1)
 SELECT owner, a, b, round(d, 6) AS distance FROM k WHERE (a + b) % 5 <> 0""")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,3 +18,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def vectors(spark: SparkSession, folder: str) -> DataFrame:
     """(id, owner, v) of the embeddings: the identity is the label, values are doubles."""
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("owner"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder (a local one only where spark.checkpoint.dir is unset) and read again: lineage ends here."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="ridgeline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
