@@ -12,18 +12,18 @@ BLOCK = 512  # query vectors of a block, on average
 GALLERY = 2048  # gallery vectors of a block
 
 
-def blocked(vectors: DataFrame, by: str, size: int = BLOCK) -> tuple[DataFrame, int]:
-    """Rows (id, owner, v) as blocks (block, rows) of about `size` rows, dealt by a hash of the column by, and how many blocks there
+def blocked(vectors: DataFrame, by: str, size: int = BLOCK, more: tuple[str, ...] = ()) -> tuple[DataFrame, int]:
+    """Rows (id, owner, v, more) as blocks (block, rows) of about `size` rows, dealt by a hash of the column by, and how many blocks there
     may be; rows with a null stay out."""
     rows = vectors.where("id is not null and owner is not null and v is not null")
     n = max(1, -(-rows.count() // size))
-    return rows.groupBy(F.expr(f"pmod(xxhash64(`{by}`), {n})").alias("block")).agg(F.collect_list(F.struct("id", "owner", "v")).alias("rows")), n
+    return rows.groupBy(F.expr(f"pmod(xxhash64(`{by}`), {n})").alias("block")).agg(F.collect_list(F.struct("id", "owner", "v", *more)).alias("rows")), n
 
 
-def _matrix(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _matrix(rows, more: tuple[str, ...] = ()) -> tuple[np.ndarray, ...]:
     flat = rows.flatten() if hasattr(rows, "flatten") else rows
     v = flat.field("v")
-    return flat.field("id").to_numpy(), flat.field("owner").to_numpy(), v.flatten().to_numpy().reshape(len(flat), -1)
+    return flat.field("id").to_numpy(), flat.field("owner").to_numpy(), v.flatten().to_numpy().reshape(len(flat), -1), *(flat.field(c).to_numpy() for c in more)
 
 
 def _distances(q: np.ndarray, g: np.ndarray, metric: str) -> np.ndarray:
@@ -33,18 +33,19 @@ def _distances(q: np.ndarray, g: np.ndarray, metric: str) -> np.ndarray:
     return np.round(np.sqrt(np.maximum(2 - 2 * (q @ g.T), 0)), 12)
 
 
-def _each(queries: DataFrame, gallery: DataFrame, by: str, found, schema: str, metric: str = "l2") -> DataFrame:
+def each(queries: DataFrame, gallery: DataFrame, by: str, found, schema: str, metric: str = "l2", asked_more: tuple[str, ...] = (), held_more: tuple[str, ...] = ()) -> DataFrame:
     """What found gives for each block of queries against each block of the gallery.
 
+    found takes the columns (ids, owners, vectors, then the numbers that are asked for besides) of either and their distances.
     A gallery block is dealt once and a query block to each gallery block; they meet there, so no pair of blocks is shuffled.
     """
-    (asked, _), (held, n) = blocked(queries, "id"), blocked(gallery, by, GALLERY)
+    (asked, _), (held, n) = blocked(queries, "id", BLOCK, asked_more), blocked(gallery, by, GALLERY, held_more)
     pairs = asked.select(F.col("rows").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("block")).join(held.select("block", F.col("rows").alias("g")), "block").select("q", "g")
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                q, g = _matrix(b.column("q").slice(i, 1)), _matrix(b.column("g").slice(i, 1))
+                q, g = _matrix(b.column("q").slice(i, 1), asked_more), _matrix(b.column("g").slice(i, 1), held_more)
                 yield from found(q, g, _distances(q[2], g[2], metric))
 
     return pairs.mapInArrow(run, schema)
@@ -61,7 +62,7 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "l2")
         at = np.isfinite(d[rows, order]).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q[0], order.shape[1])[at]), pa.array(g[0][order].ravel()[at]), pa.array(d[rows, order].ravel()[at])], ["q", "g", "d"])
 
-    near = _each(queries, gallery, "id", found, "q long, g long, d double", metric)
+    near = each(queries, gallery, "id", found, "q long, g long, d double", metric)
     return near.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d", "g"))).where(F.col("rank") <= k)
 
 
@@ -77,7 +78,7 @@ def nearest_both(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "
             at = np.isfinite(m[rows, order]).ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.full(at.sum(), back)), pa.array(np.repeat(one, order.shape[1])[at]), pa.array(two[order].ravel()[at]), pa.array(m[rows, order].ravel()[at])], ["back", "of", "to", "d"])
 
-    near = _each(queries, gallery, "id", found, "back boolean, of long, to long, d double", metric)
+    near = each(queries, gallery, "id", found, "back boolean, of long, to long, d double", metric)
     return near.withColumn("rank", F.row_number().over(W.partitionBy("back", "of").orderBy("d", "to"))).where(F.col("rank") <= k)
 
 
@@ -98,5 +99,5 @@ def identity_scores(queries: DataFrame, templates: DataFrame, top: int = 3) -> D
             yield pa.RecordBatch.from_arrays([pa.array(q[0]), pa.array(q[1]), pa.array(np.full(len(d), owner)), pa.array(mine.max(1)), pa.array(g[0][at][best]), pa.array(mine.mean(1)), pa.array(high.mean(1))], ["q", "q_owner", "owner", "best", "best_id", "mean", "top_mean"])
 
     schema = "q long, q_owner long, owner long, best double, best_id long, mean double, top_mean double"
-    got = _each(queries, templates, "owner", found, schema)
+    got = each(queries, templates, "owner", found, schema)
     return got.select("q", "q_owner", "owner", *[F.round(c, 6).alias(c) for c in ("best", "mean", "top_mean")], "best_id")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.functions import scalars
-from ridgeline.operators import blocks, codes, events, geometry, groups, library, matching, negatives, pairs, stages, verification
+from ridgeline.operators import blocks, codes, events, geometry, groups, learning, library, matching, negatives, pairs, stages, verification
 from ridgeline.sources import images
 from ridgeline.sources.tables import table, vectors, written
 
@@ -410,6 +411,50 @@ def learning_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.learning_log(seeds, attempts)
 
 
+RULES = learning.Rules(unlock=0.32, learn=0.33, most_common=0.6, least_pixels=256, size=4)
+#: The first two vectors of an owner are seeds, the others queries in order; the fold over each owner's library, step by step.
+ONLINE = f"""{EMB}, t AS (SELECT id, owner, rn, v, CAST(id % 37 AS VARCHAR) AS content, 200 * v[1] AS x, 200 * v[2] AS y FROM emb),
+fold AS (SELECT owner, CAST(2 AS BIGINT) AS k, list({{'id': id, 'content': content, 'x': x, 'y': y, 'v': v, 'kept': true}} ORDER BY rn) AS lib, CAST(NULL AS BIGINT) AS id, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS BIGINT) AS matched, false AS accepted, false AS learned, CAST(NULL AS BIGINT) AS replaced, '' AS reasons, 0 AS confirmations, CAST(NULL AS DOUBLE) AS common_ratio, 0 AS updates FROM t WHERE rn <= 2 GROUP BY owner
+UNION ALL SELECT owner, k, CASE WHEN NOT accepted THEN lib WHEN NOT learned THEN touched ELSE list_concat([{{'id': id, 'content': content, 'x': x, 'y': y, 'v': v, 'kept': false}}], CASE WHEN replaced IS NULL THEN touched ELSE list_filter(touched, lambda z: z.id <> replaced) END) END,
+id, score, matched, accepted, learned, CASE WHEN learned THEN replaced END, CASE WHEN NOT accepted THEN 'unlock_failed' WHEN learned THEN 'accepted' WHEN why <> '' THEN why ELSE 'template_library_full_and_all_templates_protected' END, CASE WHEN accepted AND sure THEN 1 ELSE 0 END, CASE WHEN accepted THEN share END, CASE WHEN learned THEN 2 WHEN accepted THEN 1 ELSE 0 END
+FROM (SELECT *, accepted AND why = '' AND (len(lib) < 4 OR replaced IS NOT NULL) AS learned FROM (SELECT *, concat_ws(',', CASE WHEN twice THEN 'duplicate_template_content' END, CASE WHEN NOT sure THEN 'no_high_score_low_overlap_match' END) AS why, CASE WHEN len(lib) >= 4 THEN list_filter(touched, lambda z: NOT z.kept)[-1].id END AS replaced
+FROM (SELECT *, share * 10000 AS pixels, score >= CAST(0.33 AS DOUBLE) AND share > 0 AND share * 10000 >= 256 AND share <= CAST(0.6 AS DOUBLE) AS sure, list_contains(list_transform(lib, lambda z: z.content), content) AS twice
+FROM (SELECT *, m.id AS matched, score >= CAST(0.32 AS DOUBLE) AS accepted, list_concat([m], list_filter(lib, lambda z: z.id <> m.id)) AS touched, greatest(100 - abs(x - m.x), 0) * greatest(100 - abs(y - m.y), 0) / 10000 AS share
+FROM (SELECT *, list_max(sims) AS score, lib[list_position(sims, list_max(sims))] AS m FROM (SELECT f.owner, e.rn AS k, f.lib, e.id, e.content, e.x, e.y, e.v, list_transform(f.lib, lambda z: round(greatest(1 - sqrt(greatest(2 - 2 * list_dot_product(z.v, e.v), 0)) / 2, 0), 12)) AS sims FROM fold f JOIN t e ON e.owner = f.owner AND e.rn = f.k + 1))))))),
+log AS (SELECT * FROM fold WHERE id IS NOT NULL)"""
+
+
+def _online(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each owner's first two vectors as seeds, the others as queries in the order of ids; boxes of 100 by 100 from the first components."""
+    c, by = F.col, W.partitionBy("owner").orderBy("id")
+    box = F.array(c("v")[0] * 200, c("v")[1] * 200, F.lit(100.0), F.lit(100.0))
+    rows = vectors(spark, sf_dir).select(c("owner").alias("identity"), "id", (c("id") % 37).cast("string").alias("content"), "v", box.alias("box"), F.row_number().over(by).alias("rank"))
+    return rows.where("rank <= 2"), rows.where("rank > 2").withColumn("ord", c("id"))
+
+
+@query("online_log", f"WITH RECURSIVE {ONLINE} SELECT owner AS identity, id AS query, round(score, 6) AS score, matched, accepted, learned, replaced, reasons, confirmations, round(common_ratio, 6) AS common_ratio, len(lib) AS templates, CAST(sum(updates) OVER (ORDER BY id) AS BIGINT) AS update_counter FROM log")
+def online_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query's genuine attempt, what its library learned from it and why not, and the count of updates so far."""
+    log, _ = learning.attempts(*_online(spark, sf_dir), RULES)
+    return log.select("identity", "query", F.round("score", 6).alias("score"), "matched", "accepted", "learned", "replaced", F.array_join("reasons", ",").alias("reasons"), "confirmations", F.round("common_ratio", 6).alias("common_ratio"), "templates", "update_counter")
+
+
+@query("online_attempts", f"""WITH RECURSIVE {ONLINE}, lives AS (SELECT l.id, l.owner, l.v, l.born, r.id AS dead FROM (SELECT id, owner, v, -1 AS born FROM t WHERE rn <= 2 UNION ALL SELECT t.id, t.owner, t.v, t.id FROM t JOIN log ON log.id = t.id AND log.learned) l LEFT JOIN log r ON r.owner = l.owner AND r.replaced = l.id),
+others AS (SELECT q.id AS query, l.owner AS identity, round(greatest(1 - sqrt(greatest(2 - 2 * list_dot_product(l.v, q.v), 0)) / 2, 0), 12) AS s, l.id FROM t q JOIN lives l ON q.rn > 2 AND l.owner <> q.owner AND l.born < q.id AND (l.dead IS NULL OR q.id <= l.dead)),
+b AS (SELECT query, identity, max(s) AS s, list(id ORDER BY s DESC, id)[1] AS matched FROM others GROUP BY ALL)
+SELECT id AS query, owner AS identity, true AS genuine, round(score, 6) AS score, matched, accepted FROM log UNION ALL SELECT query, identity, false, round(s, 6), matched, s >= CAST(0.32 AS DOUBLE) FROM b""")
+def online_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query against its own library, then against all others as they are at that time."""
+    _, every = learning.attempts(*_online(spark, sf_dir), RULES)
+    return every.select("query", "identity", "genuine", F.round("score", 6).alias("score"), "matched", "accepted")
+
+
+@query("online_summary", f"WITH RECURSIVE {ONLINE} SELECT (SELECT count(*) FROM t WHERE rn <= 2) AS initial_template_count, count(*) AS num_queries_processed, count(*) FILTER (accepted) AS num_unlock_accepts, count(*) FILTER (learned) AS num_templates_learned, count(replaced) AS num_templates_replaced, CAST(sum(updates) AS BIGINT) AS update_counter, 4 AS max_active_templates FROM log")
+def online_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds, queries_ = _online(spark, sf_dir)
+    return learning.learning_summary(seeds, learning.genuine_log(seeds, queries_, RULES), RULES)
+
+
 @query("library_versions", "WITH v AS (SELECT user_id, ts, max(event_id) AS version FROM events WHERE event_id % 3 <> 0 GROUP BY ALL) SELECT e.event_id, e.user_id, v.version FROM (SELECT * FROM events WHERE event_id % 3 = 0) e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts")
 def library_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
