@@ -32,7 +32,7 @@ def test_an_attempt_names_every_reason_and_moves_what_matched():
     assert got[2:5] == (True, True, 5) and [t.id for t in library] == [6, 2, 1]
     library[0].protected = True
     assert attempt(library, template(7, 0.05, "e", (5, 5, 10, 10)), rules)[5] == ["template_library_full_and_all_templates_protected"]
-    assert attempt(library, template(8, 4.0, "f"), rules)[1:6] == (2, False, False, None, ["unlock_failed"])
+    assert attempt(library, template(8, 4.0, "f"), rules)[1:6] == (6, False, False, None, ["unlock_failed"])
     assert attempt([], template(9, 0.0), rules) == (0.0, None, False, False, None, ["unlock_failed"], 0, None, 0, 0)
     assert attempt([template(1, 0.0)], template(2, 0.0, "new", (50, 50, 10, 10)), rules)[5] == ["no_high_score_low_overlap_match"]
 
