@@ -164,6 +164,7 @@ def impostor_scores(queries: DataFrame, templates: DataFrame) -> DataFrame:
 def attempts(seeds: DataFrame, queries: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
     """(log, attempts): genuine_log with update_counter, all updates of all libraries up to the row; and (ord, query, identity, genuine,
     score, matched, accepted) of each query against its own library before it learns and all others as of then."""
+    queries = queries.dropna(subset=["identity", "ord", "id", "v", "box"])
     log = written(genuine_log(seeds, queries, rules), "learning")
     others = impostor_scores(queries, lives(seeds, queries, log))
     own = log.select("ord", "query", "identity", F.lit(True).alias("genuine"), "score", "matched", "accepted")
