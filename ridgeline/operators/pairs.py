@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.functions.scalars import angle_diff, wrap_angle
+from ridgeline.sources.tables import written
 
 
 def image_pairs(images: DataFrame, cap: int) -> DataFrame:
@@ -120,16 +121,45 @@ def two_way_ratio(near: DataFrame, ratio: float = 0.8) -> DataFrame:
     return _both_ways(near.withColumn("second", second).where((F.col("rank") == 1) & (F.col("d") < ratio * F.col("second")) & (F.col("second") > 1e-12)))
 
 
-def spaced(points: DataFrame, by: str, distance: float) -> DataFrame:
-    """Greedy thinning: within each group by falling score (then id), a point stays unless it is closer than distance to one
-    that stayed. A group is one image pair's candidates, hundreds at most."""
-    item = F.struct((-F.col("score")).alias("s"), "id", "x", "y")
-    kept = F.aggregate(
-        F.array_sort(F.collect_list(item)),
-        F.expr("cast(array() as array<struct<s:double,id:bigint,x:double,y:double>>)"),
-        lambda a, p: F.when(F.exists(a, lambda k: F.hypot(k["x"] - p["x"], k["y"] - p["y"]) < distance), a).otherwise(F.concat(a, F.array(p))),
-    )
-    return points.groupBy(by).agg(kept.alias("k")).select(by, F.explode("k").alias("k")).select(by, "k.id")
+def spaced(points: DataFrame, by: str, distance: float, sides: tuple[tuple[str, str], ...] = (("x", "y"),)) -> DataFrame:
+    """(by, id): greedy thinning within each group by falling score (then id): a point stays unless, on any of its sides, it is
+    closer than distance to one that stayed. Rows with a null are left out; ids are unique in their group.
+
+    Cells of the distance over root 2 hold one staying point at most. In each round a point stays that is the best of those left
+    in the 25 cells around it on every side, and what is close to it goes; the best point left always stays, so rounds end,
+    after as many as the longest run of ever better neighbours. Points meet the best of cells and points that stay, never all
+    others of a cell or group, and each round is written.
+    """
+    c, close = F.col, distance / 2**0.5
+    rank = F.struct((-c("score")).alias("s"), "id")
+    cells = {f"{s}{k}": F.floor(c(x) / close) for s, side in enumerate(sides) for k, x in enumerate(side)} if distance > 0 else {}
+    flat = [x for side in sides for x in side]
+    now = points.select(by, "id", "score", *flat).dropna()
+    if distance <= 0:
+        return now.select(by, "id")
+    now = written(now.select(by, "id", rank.alias("rank"), *flat, *[v.alias(f"_c{k}") for k, v in cells.items()]), "points")
+    stay = now.limit(0).select(by, "id")
+    spread = F.sequence(F.lit(-2), F.lit(2))
+
+    def around(df: DataFrame, s: int) -> DataFrame:
+        for k in (0, 1):
+            df = df.withColumn("_d", F.explode(spread)).withColumn(f"_c{s}{k}", c(f"_c{s}{k}") + c("_d")).drop("_d")
+        return df
+
+    while now.limit(1).count():
+        best = now
+        for s in range(len(sides)):
+            at = [by, f"_c{s}0", f"_c{s}1"]
+            least = around(now.groupBy(*at).agg(F.min("rank").alias("r")), s).groupBy(*at).agg(F.min("r").alias(f"_r{s}"))
+            best = best.join(least, at).where(c("rank") == c(f"_r{s}")).drop(f"_r{s}")
+        best = written(best.select(now.columns), "stay")
+        stay, left = stay.unionByName(best.select(by, "id")), now
+        for s, (x, y) in enumerate(sides):
+            near = around(best.select(by, c(x).alias("_x"), c(y).alias("_y"), *[c(f"_c{s}{k}") for k in (0, 1)]), s).withColumnsRenamed({by: "_by", f"_c{s}0": "_k0", f"_c{s}1": "_k1"})
+            met = (c(by) == c("_by")) & (c(f"_c{s}0") == c("_k0")) & (c(f"_c{s}1") == c("_k1")) & (F.hypot(c(x) - c("_x"), c(y) - c("_y")) < distance)
+            left = left.join(near, met, "left_anti")
+        now = written(left, "points")
+    return stay
 
 
 def nearby(left: DataFrame, right: DataFrame, by: str, radius: float, angle_limit: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.functions import scalars
-from ridgeline.operators import blocks, codes, events, geometry, groups, learning, library, matching, negatives, pairs, stages, verification
+from ridgeline.operators import batches, blocks, codes, events, geometry, groups, learning, library, matching, negatives, numbering, pairs, stages, verification
 from ridgeline.sources import images
 from ridgeline.sources.tables import table, vectors, written
 
@@ -279,11 +279,69 @@ def dominant_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.dominant_angle(_points(spark, sf_dir), "owner", F.degrees(F.atan2(F.col("y") - 50, F.col("x") - 50)))
 
 
-@query("spaced_points")
+def _spaced_sql(near: str) -> str:
+    """The plain greedy pass, point by point; k is a point that stayed, e the next."""
+    return f"""WITH RECURSIVE {XY}, s AS (SELECT p.*, CAST(embedding[5] AS DOUBLE) AS score FROM p JOIN embeddings ON vec_id = id), e AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY score DESC, id) AS n FROM s),
+pass AS (SELECT owner, CAST(1 AS BIGINT) AS n, [{{'id': id, 'x': x, 'y': y, 'u': u, 'v': v}}] AS kept FROM e WHERE n = 1
+UNION ALL SELECT p.owner, e.n, CASE WHEN len(list_filter(p.kept, lambda k: {near})) = 0 THEN list_append(p.kept, {{'id': e.id, 'x': e.x, 'y': e.y, 'u': e.u, 'v': e.v}}) ELSE p.kept END FROM pass p JOIN e ON e.owner = p.owner AND e.n = p.n + 1)
+SELECT owner, k.id AS id FROM (SELECT owner, unnest(kept) AS k FROM pass QUALIFY row_number() OVER (PARTITION BY owner ORDER BY n DESC) = 1)"""
+
+
+@query("spaced_points", _spaced_sql("sqrt((k.x - e.x) ** 2 + (k.y - e.y) ** 2) < 20"))
 def spaced_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.spaced(_points(spark, sf_dir), "owner", 20.0)
 
 
+@query("spaced_pairs", _spaced_sql("sqrt((k.x - e.x) ** 2 + (k.y - e.y) ** 2) < 12 OR sqrt((k.u - e.u) ** 2 + (k.v - e.v) ** 2) < 12"))
+def spaced_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As spaced_points, by either of two places."""
+    return pairs.spaced(_points(spark, sf_dir), "owner", 12.0, (("x", "y"), ("u", "v")))
+
+
+RECORDS = "r AS (SELECT l_suppkey AS owner, l_suppkey || '-' || CAST(l_quantity AS BIGINT) % 7 AS pair, l_partkey % 400 AS point, l_orderkey * 10 + l_linenumber AS id FROM lineitem), o AS (SELECT DISTINCT owner, pair FROM r)"
+FILLED = """q AS (SELECT *, {base} + CASE WHEN row_number() OVER (PARTITION BY batch ORDER BY md5(concat_ws('|', {seed}, batch, owner)), owner) <= {rest} THEN 1 ELSE 0 END AS quota FROM sched),
+one AS (SELECT q.batch, q.owner, q.pair, q.quota, r.point, md5(concat_ws('|', {seed}, q.batch, r.id)) AS k, r.id FROM q JOIN r USING (owner, pair) QUALIFY row_number() OVER (PARTITION BY batch, q.owner, q.pair, point ORDER BY k, r.id) = 1),
+pick AS (SELECT *, row_number() OVER (PARTITION BY batch, owner, pair ORDER BY k, id, point) - 1 AS i, least(count(*) OVER (PARTITION BY batch, owner, pair), quota) AS m FROM one QUALIFY i < quota),
+slots AS (SELECT p.*, s.slot FROM pick p, range({base} + 1) s(slot) WHERE s.slot < p.quota AND s.slot % p.m = p.i)
+SELECT batch, row_number() OVER (PARTITION BY batch ORDER BY md5(concat_ws('|', {seed}, batch, owner, slot)), owner, slot) - 1 AS place, owner, pair, point, id, slot >= m AS again FROM slots"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as matched points: a supplier is an owner, a few of its quantities a pair of images, parts are points."""
+    c = F.col
+    pair = F.concat(c("l_suppkey").cast("string"), F.lit("-"), (c("l_quantity").cast("long") % 7).cast("string"))
+    return table(spark, sf_dir, "lineitem").select(c("l_suppkey").alias("owner"), pair.alias("pair"), (c("l_partkey") % 400).alias("point"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("id"))
+
+
+@query("validation_batches", f"""WITH {RECORDS}, f AS (SELECT owner FROM o GROUP BY owner ORDER BY md5('42|' || owner), owner LIMIT 6), n AS (SELECT owner, count(*) AS n FROM o WHERE owner IN (FROM f) GROUP BY owner),
+c AS (SELECT o.owner, o.pair, n.n, t.cycle, row_number() OVER (PARTITION BY o.owner, t.cycle ORDER BY md5(concat_ws('|', 42, t.cycle, o.owner, o.pair)), o.pair) AS place FROM o JOIN n USING (owner), range(20) t(cycle) WHERE t.cycle * n.n < 20),
+sched AS (SELECT cycle * n + place - 1 AS batch, owner, pair FROM c WHERE cycle * n + place - 1 < 20), {FILLED.format(base=32 // 6, rest=32 % 6, seed=42)}""")
+def validation_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty fixed batches of 32 from six suppliers; their pairs recur once all have been."""
+    return batches.validation_batches(_records(spark, sf_dir), 32, 20, 6)
+
+
+@query("training_batches", f"""WITH {RECORDS}, w AS (SELECT owner, count(*) OVER () AS n FROM o GROUP BY owner),
+a AS (SELECT owner, t.cycle, n // 4 AS each_, row_number() OVER (PARTITION BY t.cycle ORDER BY md5(concat_ws('|', 45, t.cycle, owner)), owner) - 1 AS spot FROM w, range(30) t(cycle) WHERE t.cycle * (n // 4) < 30),
+b AS (SELECT spot // 4 + cycle * each_ AS batch, owner FROM a WHERE spot < each_ * 4 AND spot // 4 + cycle * each_ < 30),
+sched AS (SELECT batch, owner, pair FROM b JOIN o USING (owner) QUALIFY row_number() OVER (PARTITION BY batch, owner ORDER BY md5(concat_ws('|', 45, batch, owner, pair)), pair) = 1), {FILLED.format(base=30 // 4, rest=30 % 4, seed=45)}""")
+def training_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epoch 3 of thirty batches of 30, four suppliers in each."""
+    return batches.training_batches(_records(spark, sf_dir), 30, 4, 30, seed=42, epoch=3)
+
+
+@query("group_numbers", """WITH r AS (SELECT l_suppkey AS owner, l_orderkey * 10 + l_linenumber AS id, l_returnflag AS a, l_linestatus AS b FROM lineitem), f AS (SELECT owner, min(id) AS first FROM r GROUP BY owner),
+s AS (SELECT owner, frame, min(spot) AS first FROM (SELECT owner, a AS frame, 2 * id AS spot FROM r UNION ALL SELECT owner, b, 2 * id + 1 FROM r) GROUP BY ALL)
+SELECT 'owner' AS kind, owner, '' AS frame, row_number() OVER (ORDER BY first, owner) - 1 AS number FROM f UNION ALL SELECT 'frame', owner, frame, row_number() OVER (ORDER BY first, owner, frame) - 1 FROM s""")
+def group_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers, and the frames of the first and second image of each row, numbered as they first come up."""
+    c, rows = F.col, table(spark, sf_dir, "lineitem")
+    r = rows.select(c("l_suppkey").alias("owner"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), "l_returnflag", "l_linestatus")
+    frames = r.select("owner", F.inline(F.array(*[F.struct(c(k).alias("frame"), (2 * c("id") + i).alias("at")) for i, k in enumerate(("l_returnflag", "l_linestatus"))])))
+    owners = numbering.first_appearance(r, ["owner"], "id", "number").select(F.lit("owner").alias("kind"), "owner", F.lit("").alias("frame"), "number")
+    return owners.unionByName(numbering.first_appearance(frames, ["owner", "frame"], "at", "number").select(F.lit("frame").alias("kind"), "owner", "frame", "number"))
+
+
 @query("counts_by_key", "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
 def counts_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))

@@ -1,7 +1,5 @@
 """Every query of the library against its SQL on the smallest tables, and what SQL can't express against plain Python."""
 
-import math
-
 import duckdb
 import pytest
 
@@ -33,18 +31,6 @@ def test_query_equals_sql(spark, con, name):
     assert len(got) == len(want) and plain(got) == plain(want)
 
 
-def test_spaced_points_are_greedy(spark):
-    from ridgeline.plans.catalog import _points
-
-    kept: dict = {}
-    for r in sorted(_points(spark, SF).collect(), key=lambda r: (-r["score"], r["id"])):
-        mine = kept.setdefault(r["owner"], [])
-        if all(math.hypot(r["x"] - k["x"], r["y"] - k["y"]) >= 20 for k in mine):
-            mine.append(r)
-    got = {(r["owner"], r["id"]) for r in QUERIES["spaced_points"](spark, SF).collect()}
-    assert got == {(o, r["id"]) for o, rows in kept.items() for r in rows}
-
-
 def test_groups_of_chains(spark):
     from ridgeline.operators.groups import point_groups
 
