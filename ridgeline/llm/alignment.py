@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,20 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm.bitplanes import from_planes, to_planes
-from ridgeline.llm.chunks import SPACE, Memo, byte_level_cuts, chunks, sections
+from ridgeline.llm.chunks import MIXED, SPACE, Memo, Numbers, WordIds, byte_characters, byte_level_cuts, chunks, parts, sections
 from ridgeline.llm.common import staged
 
-BLOCK_TOKENS = 1 << 22  # of the first tokenizer: when a task has so many, it passes on what it has counted
+BLOCK_PARTS = 1 << 21  # of texts: when a task has so many, it passes on what it has counted
 BLOCK_DOCS = 1 << 15
 SHIFT = 32  # a pair of ids is one long, the first tokenizer's id in the high bits
 
 
-def byte_characters() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 stands for itself, the rest is numbered from 256 on."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-
-
 def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> list[tuple[int, int, int, int]]:
     """(a from, a to, b from, b to) of each group: two pointers over the cumulative ends of the tokens, a group closes where both end."""
     groups, i, j, end_a, end_b = [], 0, 0, 0, 0
@@ -48,7 +44,8 @@ def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> l
 
 
 class Aligner:
-    """Tokens, groups and links of space+text, learnt once a chunk: white space starts a token of either tokenizer, so it starts a group."""
+    """Tokens, groups and links of space+text, learnt once a part of a chunk: white space starts a token of either tokenizer, and so
+    do marks after letters, so all of these start a group. What the two vocabularies don't show to be so is taken whole."""
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
@@ -63,43 +60,55 @@ class Aligner:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
-        self.blank = self.b.piece_to_id("▁")
-        #: No piece has white space but in front, nor any other than blanks with more: pieces never reach across chunks.
+        self.lead = [self.b.piece_to_id("▁"), next(i for i, x in enumerate(self.bytes_b) if self.b.is_byte(i) and x == b"\n")]
+        plain = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
+        #: A piece has white space in front only, or is white space; then pieces never reach across chunks. Texts with other
+        #: white space than that are taken whole.
         own = re.compile(f"▁*[^▁{SPACE}]*|[{SPACE}]", re.DOTALL)
-        self.cuts = byte_level_cuts(self.a) and all(own.fullmatch(p) for i, p in enumerate(pieces) if not self.b.is_byte(i))
-        self.memo = Memo(self.learn, 60_000)
-
-    def pieces(self, new: list[str]) -> list[list[int] | None]:
-        """The second tokenizer's ids of chunks; it puts a blank before each text, which a chunk that starts with one has already."""
-        found = self.b.encode([x[1:] if x[0] == " " else x for x in new], num_threads=1)
-        return [ids if x[0] == " " else ids[1:] if ids[:1] == [self.blank] else None for x, ids in zip(new, found, strict=True)]
-
-    def learn(self, new: list[str]) -> list[tuple | None]:
-        """(tokens of either, groups, links, the groups as text, different pairs, how often each) of chunks; None where either side's bytes differ."""
-        out: list[tuple | None] = []
-        for x, e, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self.pieces(new), strict=True):
-            a, want = e.ids, x.encode()
-            if b is None or b"".join(map(self.bytes_a.__getitem__, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
-                out.append(None)
+        self.glued = {c for p in plain if not own.fullmatch(p) for c in re.findall(f"[▁{SPACE}]", p)} - {"▁"}
+        self.cuts = byte_level_cuts(self.a) and not self.glued & {" ", "\n"} and all(own.fullmatch(p) or self.glued & set(p) for p in plain) and not any(MIXED.search(p) for p in plain)
+        self.ids_a = WordIds(self.a)
+        self.parts, self.memo = Memo(parts, 200_000), Memo(self.learn, 150_000)
+        self.shown = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
+
+    def piece_ids(self, part: str) -> list[int] | None:
+        """The second tokenizer's ids of a part. It puts a blank before each text, which a part that starts with one has already;
+        before others a line end keeps the blank apart, as no piece holds one."""
+        if part[0] == " ":
+            return self.b.encode(part[1:])
+        ids = self.b.encode("\n" + part)
+        return ids[2:] if ids[:2] == self.lead else None
+
+    def learn(self, part: str) -> tuple | None:
+        """(tokens of either, groups, links, the groups as text, different pairs, how often each) of a part; None where either side's bytes differ."""
+        a, b, want, shown = self.ids_a(part), self.piece_ids(part), part.encode(), self.shown
+        if b is None or b"".join(map(self.bytes_a.__getitem__, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
+            return None
+        pairs: dict[int, int] = {}
+        text, links = [], 0
+        groups = align(a, b, self.size_a, self.size_b)
+        for i, k, j, m in groups:
+            if k - i == 1 and m - j == 1:
+                links += 1
+                text.append(f"{shown[a[i]]}|{shown[b[j]]}")
+                pair = a[i] << SHIFT | b[j]
+                pairs[pair] = pairs.get(pair, 0) + 1
                 continue
-            pairs: dict[int, int] = {}
-            text, links = [], 0
-            groups = align(a, b, self.size_a, self.size_b)
-            for i, k, j, m in groups:
-                links += (k - i) * (m - j)
-                one, two = a[i:k], b[j:m]
-                text.append(f"{','.join(map(str, one))}|{','.join(map(str, two))}")
-                if k - i == 1 and m - j == 1:
-                    pair = one[0] << SHIFT | two[0]
-                    pairs[pair] = pairs.get(pair, 0) + 1
-                else:
-                    twos = Counter(two).items()
-                    for p, n in Counter(one).items():
-                        for q, o in twos:
-                            pair = p << SHIFT | q
-                            pairs[pair] = pairs.get(pair, 0) + n * o
-            out.append((len(a), len(b), len(groups), links, ";".join(text), np.array(list(pairs), np.int64).tobytes(), np.array(list(pairs.values()), np.int64).tobytes()))
-        return out
+            links += (k - i) * (m - j)
+            one, two = a[i:k], b[j:m]
+            text.append(f"{','.join([shown[x] for x in one])}|{','.join([shown[x] for x in two])}")
+            if len(one) * len(two) <= 16:
+                for p in one:
+                    for q in two:
+                        pair = p << SHIFT | q
+                        pairs[pair] = pairs.get(pair, 0) + 1
+            else:
+                twos = Counter(two).items()
+                for p, n in Counter(one).items():
+                    for q, o in twos:
+                        pair = p << SHIFT | q
+                        pairs[pair] = pairs.get(pair, 0) + n * o
+        return (len(a), len(b), len(groups), links, ";".join(text), array("q", pairs).tobytes(), array("q", pairs.values()).tobytes())
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}  # of this Python worker, which serves many tasks
@@ -144,30 +153,36 @@ def runs(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Some documents of a task: which chunks each has, which pairs each chunk links, how many of the documents hold a pair linked."""
+    """Some documents of a task: which parts each has, which pairs each part links, how many of the documents hold a pair linked."""
 
     def __init__(self) -> None:
-        self.at: dict[str, int] = {}
+        self.at = Numbers()
         self.records: list[tuple] = []
-        self.docs: list[tuple] = []  # doc_id, digest, different chunks, how often each
-        self.tokens = 0
+        self.texts: list[str] = []
+        self.bad: set[int] = set()
+        self.docs: list[tuple] = []  # doc_id, digest, different parts, how often each
+        self.size = 0  # parts of all documents
 
     def add(self, aligner: Aligner, doc_id: int | None, text: str | None) -> None:
-        digest, found, tokens = hashlib.sha256(), [], 0
-        for k, part in enumerate(sections(" " + text) if aligner.cuts else [" " + text]) if text else ():
-            cut = chunks(part) if aligner.cuts else [part]
-            known = aligner.memo.of(set(cut))
-            records = [known[c] for c in cut]
-            if None in records:
-                found, tokens = [], 0
+        digest, found = hashlib.sha256(), []
+        cuts = aligner.cuts and not any(c in (text or "") for c in aligner.glued)
+        for k, section in enumerate(sections(" " + text) if cuts else [" " + text]) if text else ():
+            cut = chain.from_iterable(map(aligner.parts.__getitem__, chunks(section))) if cuts else [section]
+            numbers = list(map(self.at.__getitem__, cut))
+            for x in self.at.names[len(self.records) :]:
+                record = aligner.memo[x]
+                if record is None:
+                    self.bad.add(len(self.records))
+                self.records.append(record or (0, 0, 0, 0, "", b"", b""))
+                self.texts.append(self.records[-1][4])
+            if self.bad and not self.bad.isdisjoint(numbers):
+                found = []
                 break
-            digest.update((";" * bool(k) + ";".join([r[4] for r in records])).encode())
-            for c in set(cut) - self.at.keys():
-                self.at[c] = len(self.records)
-                self.records.append(known[c])
-            found.append(np.fromiter(map(self.at.__getitem__, cut), np.int64, len(cut)))
-            tokens += sum(r[0] for r in records)
-        self.tokens += tokens
+            digest.update((";" * bool(k) + ";".join(map(self.texts.__getitem__, numbers))).encode())
+            found.append(np.array(numbers))
+            self.size += len(numbers)
+        aligner.parts.turn()
+        aligner.memo.turn()
         self.docs.append((doc_id, digest.hexdigest() if found else "", *np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)))
 
     def row(self, number: int) -> tuple:
@@ -176,12 +191,15 @@ class Block:
         often = np.frombuffer(b"".join(r[6] for r in self.records), np.int64)
         sizes = np.array([len(r[5]) // 8 for r in self.records], np.int64)
         first = np.cumsum(sizes) - sizes
-        docs_of = np.zeros(len(pairs), np.int64)
+        docs_of, last = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
         sums = np.zeros((len(self.docs), 4), np.int64)
-        for k, (_, _, chunk, n) in enumerate(self.docs):
-            if len(chunk):
-                docs_of[np.unique(pair[runs(first[chunk], sizes[chunk])])] += 1
-                sums[k] = n @ each[chunk]
+        for k, (_, _, part, n) in enumerate(self.docs):
+            if len(part):
+                held = pair[runs(first[part], sizes[part])]
+                place = np.arange(len(held))
+                last[held] = place
+                docs_of[held[last[held] == place]] += 1  # each pair once
+                sums[k] = n @ each[part]
         links = packed(np.array([len(d[2]) for d in self.docs]), *(np.concatenate(x) for x in zip(*((d[2], d[3]) for d in self.docs), strict=True)), sizes, pair, often)
         return (number, [d[0] for d in self.docs], [d[1] for d in self.docs], *sums.T, links, pairs, docs_of)
 
@@ -189,8 +207,8 @@ class Block:
 _ROW = "block long, doc_ids array<long>, digests array<string>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, links binary, pairs array<long>, docs array<long>"
 
 
-def aligned_blocks(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """A row for each block of documents of a task: their own counts and digests, which chunks they have (links, see Block),
+def aligned_blocks(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, block_parts: int = BLOCK_PARTS) -> DataFrame:
+    """A row for each block of documents of a task: their own counts and digests, which parts they have (links, see Block),
     and the different pairs with the number of the block's documents that hold each linked."""
 
     def run(batches):
@@ -205,7 +223,7 @@ def aligned_blocks(docs: DataFrame, path_a: str | None = None, path_b: str | Non
         for b in batches:
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 block.add(tool, doc, text.as_py())
-                if block.tokens >= block_tokens or len(block.docs) >= BLOCK_DOCS:
+                if block.size >= block_parts or len(block.docs) >= BLOCK_DOCS:
                     yield batch()
                     block, n = Block(), n + 1
         if block.docs:
@@ -214,7 +232,7 @@ def aligned_blocks(docs: DataFrame, path_a: str | None = None, path_b: str | Non
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROW)
 
 
-def linked_counts(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def linked_counts(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, block_parts: int = BLOCK_PARTS) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each row of docs (doc_id, text).
 
     Tokens of space+text by a byte-level tokenizer (a) and a piece model (b, which adds the space). Offsets where tokens of both
@@ -223,11 +241,11 @@ def linked_counts(docs: DataFrame, path_a: str | None = None, path_b: str | None
     is of `a1,a2|b1;a3|b2,b3`. Null and empty texts, and those that either side changes, have zeros and ''.
 
     Tasks count pairs by blocks of documents, so a frequent pair is a row a block. Blocks get back the counts of their own pairs
-    alone; a document's links are sums over its chunks, so no table of documents and pairs is ever made. Null and repeated
+    alone; a document's links are sums over its parts, so no table of documents and pairs is ever made. Null and repeated
     doc_ids are kept; no rows give no rows.
     """
     c = F.col
-    blocks = staged(aligned_blocks(docs, path_a, path_b, block_tokens), "aligned")
+    blocks = staged(aligned_blocks(docs, path_a, path_b, block_parts), "aligned")
     pairs = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "docs")).alias("at", "x")).select("block", "at", c("x.pairs").alias("pair"), c("x.docs").alias("docs")).where("docs > 0")
     counts = pairs.groupBy("pair").agg(F.sum("docs").alias("count")).withColumn("a", F.shiftright("pair", SHIFT))
     best = counts.groupBy("a").agg(F.max("count").alias("best"))
@@ -241,15 +259,15 @@ def linked_counts(docs: DataFrame, path_a: str | None = None, path_b: str | None
             for k in range(b.num_rows):
                 of = {n: b.column(n)[k] for n in b.schema.names}
                 ids = {n: of[n].values for n in ("doc_ids", "digests", "n_a", "n_b", "n_groups", "n_links")}
-                chunk_n, chunk, n, sizes, pair, often = unpacked(of["links"].as_py())
+                part_n, part, n, sizes, pair, often = unpacked(of["links"].as_py())
                 count, top = (np.zeros(int(pair.max()) + 1 if len(pair) else 0, np.int64) for _ in range(2))
                 if of["at"].is_valid:
                     at = of["at"].values.to_numpy()
                     count[at], top[at] = of["count"].values.to_numpy(), of["top"].values.to_numpy(zero_copy_only=False)
                 sums = []
                 for value in (top, count):
-                    per_chunk = np.diff(np.cumsum(np.append(0, value[pair] * often))[np.cumsum(np.append(0, sizes))])
-                    sums.append(np.diff(np.cumsum(np.append(0, per_chunk[chunk] * n))[np.cumsum(np.append(0, chunk_n))]))
+                    per_part = np.diff(np.cumsum(np.append(0, value[pair] * often))[np.cumsum(np.append(0, sizes))])
+                    sums.append(np.diff(np.cumsum(np.append(0, per_part[part] * n))[np.cumsum(np.append(0, part_n))]))
                 yield pa.RecordBatch.from_arrays([ids["doc_ids"], *(ids[x] for x in names[1:5]), *map(pa.array, sums), ids["digests"]], names)
 
     return held.mapInArrow(finish, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

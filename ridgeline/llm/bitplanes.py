@@ -6,6 +6,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ridgeline.llm.chunks import Memo, byte_level_cuts, chunks, sections
+from ridgeline.llm.chunks import Memo, WordIds, byte_level_cuts, chunks, parts, sections
 from ridgeline.llm.common import shared_dir, staged
 
 MAGIC = b"IDPLANES"
@@ -187,7 +188,9 @@ class ByteIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuts = byte_level_cuts(self.tokenizer)
-        self.memo = Memo(lambda new: [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)])
+        ids = WordIds(self.tokenizer)
+        self.words = Memo(lambda part: array("I", ids(part)).tobytes(), 300_000)
+        self.memo = Memo(lambda chunk: b"".join(map(self.words.__getitem__, parts(chunk))), 200_000)  # most chunks are a known word and marks
 
     def of(self, text: str) -> Iterator[np.ndarray]:
         """The tokenizer's own ids of the text, section by section."""
@@ -195,8 +198,9 @@ class ByteIds:
             yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
             return
         for part in sections(text):
-            cut = chunks(part)
-            yield np.frombuffer(b"".join(map(self.memo.of(set(cut)).__getitem__, cut)), "<u4")
+            yield np.frombuffer(b"".join(map(self.memo.__getitem__, chunks(part))), "<u4")
+            self.memo.turn()
+            self.words.turn()
 
 
 _IDS: dict[str, ByteIds] = {}  # of this Python worker, which serves many tasks

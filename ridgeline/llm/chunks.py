@@ -14,6 +14,10 @@ EDGE = re.compile(f"[^{SPACE}](?=[{SPACE}])")
 ODD = re.compile("[\t\v\f\r\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]")
 ODD_ASCII = ("\t", "\v", "\f", "\r", "\x1f", "  ", " \n", "\n ", "\n\n")
 SECTION = 1 << 20  # characters of a text that are cut at once
+_LETTERS, _MARKS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-/:-@\[-`{-~"
+SIMPLE = re.compile(f"(\n?)( ?[{_LETTERS}]+)([{_MARKS}]*)")
+WORD = re.compile(f" ?[{_LETTERS}]+")
+MIXED = re.compile(f"[{_LETTERS}][{_MARKS}]")
 
 
 def chunks(text: str) -> list[str]:
@@ -34,6 +38,37 @@ def sections(text: str, most: int = SECTION) -> Iterator[str]:
         at = end
 
 
+def parts(chunk: str) -> tuple[str, ...]:
+    """A chunk of letters and marks as (line end, letters with their blank, marks), what there is of each; any other chunk as it is."""
+    m = SIMPLE.fullmatch(chunk)
+    return tuple(x for x in m.groups() if x) if m else (chunk,)
+
+
+def byte_characters() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 stands for itself, the rest is numbered from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+class WordIds:
+    """Ids of parts of chunks, without special tokens, by a tokenizer of the tokenizers library. Words of letters go straight to its
+    model, where it shows on samples that it takes them so (which saves it building offsets); others go the whole way."""
+
+    PROBES = ("a", " Zug", " \u00c0\u00d6\u00d8\u00de\u00e0\u00f6\u00f8\u00ff\u00df", " stra\u00dfe", "don", " whenin", "\u00c9t\u00e9")
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        shown = {b: c for c, b in byte_characters().items()}
+        self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in (32, *range(0xC0, 0x100))}
+        self.straight = byte_level_cuts(tokenizer) and all(self._of_model(w) == tokenizer.encode(w, add_special_tokens=False).ids for w in self.PROBES)
+
+    def _of_model(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(word.translate(self.shown))]
+
+    def __call__(self, part: str) -> list[int]:
+        return self._of_model(part) if self.straight and WORD.fullmatch(part) else self.tokenizer.encode(part, add_special_tokens=False).ids
+
+
 def byte_level_cuts(tokenizer) -> bool:
     """Whether a tokenizer of the tokenizers library takes chunks one by one: its pattern keeps white space at the front of a word."""
     d = json.loads(tokenizer.to_str())
@@ -41,23 +76,37 @@ def byte_level_cuts(tokenizer) -> bool:
     return d["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not d["post_processor"]
 
 
-class Memo:
-    """What was learnt of strings, in two generations of at most `most` entries each: when the younger is full it becomes the
-    elder, and what nobody asks for again is forgotten with it. learn takes new strings, many at once."""
+class Memo(dict):
+    """What was learnt of strings, each when it is first asked for, in two generations: turn() makes the younger the elder when it
+    has more than `most` entries, and what nobody asks for again is forgotten with it. What is longer than LONG isn't kept."""
 
-    def __init__(self, learn: Callable[[list[str]], list], most: int = 150_000):
+    LONG = 100
+
+    def __init__(self, learn: Callable[[str], object], most: int = 150_000):
+        super().__init__()
         self.learn, self.most = learn, most
-        self.young: dict[str, object] = {}
         self.elder: dict[str, object] = {}
 
-    def of(self, asked: set[str]) -> dict:
-        """A dictionary that has all that is asked for."""
-        missing = asked - self.young.keys()
-        if len(self.young) + len(missing) > self.most:
-            self.elder, self.young = self.young, {}
-            missing = asked
-        known = missing & self.elder.keys()
-        self.young.update(zip(known, map(self.elder.__getitem__, known), strict=True))
-        if new := list(missing - known):
-            self.young.update(zip(new, self.learn(new), strict=True))
-        return self.young
+    def __missing__(self, x: str):
+        found = self.elder[x] if x in self.elder else self.learn(x)
+        if len(x) <= self.LONG:
+            self[x] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.elder = dict(self)
+            self.clear()
+
+
+class Numbers(dict):
+    """Strings numbered as they are first asked for; names has them in that order."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.names: list[str] = []
+
+    def __missing__(self, x: str) -> int:
+        self[x] = n = len(self.names)
+        self.names.append(x)
+        return n

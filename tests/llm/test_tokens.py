@@ -17,7 +17,7 @@ from ridgeline.llm import alignment, bitplanes, catalog, chunks, variants
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 SCHEMA = "doc_id long, text string, word string, n long, pairs string, `a.b` string, start long"
-ODD_TEXTS = [None, "", " ", "\n", "  two  blanks \n\t tab\r\nend ", "<|endoftext|> in <|endoftext|>text", "nul\0 and \x1c\x1d\x1f marks", "▁ piece blank ▁▁", "naïve café — “quotes” … 日本語テキスト \U0001f600\U0001f600", "a<0x41>b </s> <s>", "x\xa0y　z \xa0  w", "a" * 3000, "word " * 500 + "\n" * 50, "é" * 400]
+ODD_TEXTS = [None, "", " ", "\n", "  two  blanks \n\t tab\r\nend ", "<|endoftext|> in <|endoftext|>text", "nul\0 and \x1c\x1d\x1f marks", "▁ piece blank ▁▁", "naïve café — “quotes” … 日本語テキスト \U0001f600\U0001f600", "a<0x41>b </s> <s>", "x\xa0y　z \xa0  w", "code();\r\n  if x {\r\n}\r\nend.\rmore", "a" * 3000, "word " * 500 + "\n" * 50, "é" * 400]
 
 
 def table(spark, texts, ids=None):
@@ -51,13 +51,18 @@ def test_chunks_join_to_the_text_and_cut_before_white_space_only(text):
     assert all(re.match(f"[{chunks.SPACE}]", c) for c in chunks.chunks(text)[1:])
 
 
+def test_parts_join_to_the_chunk():
+    assert [chunks.parts(c) for c in (" word", "Word,", "\nWord.***", " d'or", " été:", "  x", "4.0")] == [(" word",), ("Word", ","), ("\n", "Word", ".***"), (" d'or",), (" été", ":"), ("  x",), ("4.0",)]
+
+
 def test_memo_forgets_by_generations_and_learns_once():
     learnt = []
-    memo = chunks.Memo(lambda new: learnt.extend(new) or [x.upper() for x in new], most=3)
-    for asked in ({"a", "b"}, {"a", "c"}, {"d"}, {"a"}, {"a", "b", "c", "d", "e"}):
-        known = memo.of(asked)
-        assert all(known[x] == x.upper() for x in asked)
-    assert learnt.count("a") == 1
+    memo = chunks.Memo(lambda x: learnt.append(x) or x.upper(), most=2)
+    for asked in ("ab", "ac", "d", "a", "abcde", "a" * 200, "a" * 200):
+        assert [memo[x] for x in asked.split("-")] == [asked.upper()]
+        assert memo[asked[:1]] == asked[:1].upper()
+        memo.turn()
+    assert learnt.count("a") == 1 and learnt.count("a" * 200) == 2 and len(memo) <= 2
 
 
 # Spelling variants
@@ -216,7 +221,7 @@ def tools():
 
     a, b = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     a.encode_special_tokens = True
-    characters = alignment.byte_characters()
+    characters = chunks.byte_characters()
     assert decoders.ByteLevel().decode([k for k, v in characters.items() if v < 128]) == "".join(chr(v) for k, v in characters.items() if v < 128) and sorted(characters.values()) == list(range(256))
 
     def tokens(text):
@@ -261,11 +266,11 @@ def test_two_pointers_close_groups_where_both_end():
     assert alignment.align([], [], [], []) == []
 
 
-@pytest.mark.parametrize("tokens_at_once", [alignment.BLOCK_TOKENS, 5000])
-def test_links_of_documents_against_plain_version(spark, docs, tools, tokens_at_once):
+@pytest.mark.parametrize("parts_at_once", [alignment.BLOCK_PARTS, 5000])
+def test_links_of_documents_against_plain_version(spark, docs, tools, parts_at_once):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = plain_alignment(rows, tools)
-    assert got(alignment.linked_counts(docs, block_tokens=tokens_at_once), *ALIGNED) == want
+    assert got(alignment.linked_counts(docs, block_parts=parts_at_once), *ALIGNED) == want
     assert sum(r[1] == 0 for r in want) >= 4 and any(r[4] > r[3] for r in want)
     assert alignment.linked_counts(docs.limit(0)).count() == 0
 
