@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,3 +38,36 @@ def library_contents(touches: DataFrame, owner: str, item: str, order: list[str]
     """
     last = touches.groupBy(owner, item).agg(F.max(F.struct(*order)).alias("last"))
     return last.withColumn("position", F.row_number().over(W.partitionBy(owner).orderBy(F.desc("last")))).where(F.col("position") <= size).select(owner, item, "position")
+
+
+def early_stop(rows: DataFrame, least: float = 0.0, patience: int = 5) -> DataFrame:
+    """rows (run, step, score) with reference, stale and stopped: an improvement is a score above reference * (1 + least), which then
+    becomes the reference and sets stale to 0; else stale counts up. The first score is the first reference. From stale =
+    patience on (0: never) a run has stopped: its later rows are left out.
+
+    Each row needs the state before it. A run's rows stream through one task in the order of step, which holds three numbers.
+    Rows with a null or nan are left out; steps are unique in their run.
+    """
+    clean = rows.select("run", "step", F.col("score").cast("double").alias("score")).dropna()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, reference, stale, over = None, 0.0, 0, False
+        for b in batches:
+            keep, refs, counts, ends = [], [], [], []
+            for k, (name, score) in enumerate(zip(b.column("run").to_pylist(), b.column("score").to_pylist(), strict=True)):
+                if name != now:
+                    now, reference, stale, over = name, score, 0, False
+                elif over:
+                    continue
+                elif score > reference * (1 + least):
+                    reference, stale = score, 0
+                else:
+                    stale += 1
+                over = 0 < patience <= stale
+                for c, v in zip((keep, refs, counts, ends), (k, reference, stale, over), strict=True):
+                    c.append(v)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in ("run", "step", "score")), pa.array(refs, pa.float64()), pa.array(counts, pa.int64()), pa.array(ends, pa.bool_())], ["run", "step", "score", "reference", "stale", "stopped"])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in clean.dtypes)
+    return clean.repartition("run").sortWithinPartitions("run", "step").mapInArrow(run, f"{kinds}, reference double, stale long, stopped boolean")

@@ -27,3 +27,19 @@ def first_appearance(rows: DataFrame, key: list[str], order: str, name: str) ->
     keys of one least order are numbered by themselves."""
     firsts = rows.groupBy(*key).agg(F.min(order).alias("first")).where("first is not null")
     return dense_numbers(firsts, ["first", *key], name)
+
+
+def running_sums(rows: DataFrame, order: list[str], sums: list[str]) -> DataFrame:
+    """rows, each of a place of its own in the order, with upto_<name> for each of sums: the sum of the column up to and with the row;
+    all_<name>: its sum over all rows. Ranges of the order are summed within, and carried over as one row for each range."""
+    c = F.col
+    parts = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = parts.groupBy("_part").agg(*[F.sum(x).alias(f"_{x}") for x in sums])
+    upto, every = W.orderBy("_part"), W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    carried = totals.select("_part", *[(F.sum(f"_{x}").over(upto) - c(f"_{x}")).alias(f"_before_{x}") for x in sums], *[F.sum(f"_{x}").over(every).alias(f"all_{x}") for x in sums])
+    within = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    got = parts
+    for x in sums:
+        got = got.withColumn(f"_upto_{x}", F.sum(x).over(within))
+    got = got.join(F.broadcast(carried), "_part")  # a row for each shuffle partition
+    return got.select(*[f"`{x}`" for x in rows.columns], *[(c(f"_before_{x}") + c(f"_upto_{x}")).alias(f"upto_{x}") for x in sums], *[f"all_{x}" for x in sums])

@@ -52,9 +52,10 @@ def failure_stage(threshold: float, candidate_policy: str = "topk_or_ratio", tex
 
 def stage_coverage(attempts: DataFrame) -> DataFrame:
     """A row for genuine and for impostor attempts (label 1 or not): their number, how many have candidates, the shares that reach
-    each stage, and means of the best template's numbers. Nulls count as 0; a kind without attempts has no row."""
+    each stage, and means of the best template's numbers. Nulls count as 0; a kind without attempts has zeros."""
     kind = F.when(F.coalesce(F.col("label").cast("int"), F.lit(0)) == 1, "genuine").otherwise("impostor").alias("kind")
     share = lambda name: F.avg((_number(name) > 0).cast("int"))
     measures = [F.count("*").alias("count"), F.count_if(_number("templates_with_candidates") > 0).alias("candidate_ready")]
     measures += [share(c).alias(n) for n, c in RATES.items()] + [F.avg(_number(c)).alias(n) for n, c in MEANS.items()]
-    return attempts.groupBy(kind).agg(*measures)
+    spine = attempts.sparkSession.createDataFrame([("genuine",), ("impostor",)], "kind string")
+    return spine.join(attempts.groupBy(kind).agg(*measures), "kind", "left").fillna(0)

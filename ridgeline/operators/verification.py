@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.operators.blocks import identity_scores
+from ridgeline.operators.numbering import running_sums
 
 
 def enrolled(vectors: DataFrame, count: int = 5, strategy: str = "first") -> DataFrame:
@@ -85,28 +86,72 @@ def auc_eer(found: DataFrame) -> DataFrame:
     return at.agg(F.round(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2), 6).alias("auc"), F.round(F.min_by((F.col("fpr") + 1 - F.col("tpr")) / 2, F.struct(F.round(gap, 9), -F.col("score"))), 6).alias("eer"))
 
 
-def distance_metrics(rows: DataFrame) -> DataFrame:
+def distance_metrics(rows: DataFrame, digits: int | None = None) -> DataFrame:
     """One row of what distances (d, positive) tell: means, low percentiles of the negative ones, FPR where TPR first reaches
     0.95 (1 if never), the greatest TPR with FPR of 1e-4 or less, the area under the ROC, the interpolated equal error rate.
 
-    Distances that are null or not finite are left out, as are null kinds; the rest is taken to six decimals and counted
-    first, so that the ordered window runs over some millions of values at most. Without a kind, its rates are null.
+    Distances that are null or not finite are left out, as are null kinds; the rest is taken as it is, or to so many digits.
+    Distances are counted first, and the counts summed up within ranges and carried over these, so that no task orders all of
+    them. Without a kind, its rates are null.
     """
     c = F.col
-    counts = rows.where("positive is not null and not isnan(d) and abs(d) < double('inf')").groupBy(F.round("d", 6).alias("d")).agg(F.count_if("positive").alias("p"), F.count_if(~c("positive")).alias("n"))
-    by, every = W.orderBy("d"), W.partitionBy(F.lit(1))
-    roc = counts.select("d", "p", "n", F.try_divide(F.sum("n").over(by), F.sum("n").over(every)).alias("fpr"), F.try_divide(F.sum("p").over(by), F.sum("p").over(every)).alias("tpr"))
-    roc = roc.withColumn("f0", F.lag("fpr", 1, 0.0).over(by)).withColumn("t0", F.lag("tpr", 1, 0.0).over(by))
+    d = c("d") if digits is None else F.round("d", digits)
+    counts = rows.where("positive is not null and not isnan(d) and abs(d) < double('inf')").groupBy(d.alias("d")).agg(F.count_if("positive").alias("p"), F.count_if(~c("positive")).alias("n"))
+    at = running_sums(counts, ["d"], ["p", "n"])
+    rate = lambda x, of: F.try_divide(x, c(f"all_{of}"))
+    roc = at.select("d", "p", "n", "upto_n", "all_n", "all_p", rate(c("upto_n"), "n").alias("fpr"), rate(c("upto_p"), "p").alias("tpr"), rate(c("upto_n") - c("n"), "n").alias("f0"), rate(c("upto_p") - c("p"), "p").alias("t0"))
     gap, gap0 = F.round(c("fpr") + c("tpr") - 1, 12), F.round(c("f0") + c("t0") - 1, 12)
     w = F.when(gap == gap0, 0.0).otherwise(-gap0 / (gap - gap0))
     crossing = (c("f0") + w * (c("fpr") - c("f0")) + 1 - c("t0") - w * (c("tpr") - c("t0"))) / 2
-    low = F.percentile("d", F.array(F.lit(0.01), F.lit(0.05)), c("n"))
+    spot = {q: (c("all_n") - 1) * q for q in (0.01, 0.05)}
+    value = lambda k: F.min(F.when((c("all_n") > 0) & (c("upto_n") > k), c("d")))
+    low = {f"neg_p{round(q * 100):02}": (value(F.floor(x)), value(F.ceil(x)), F.max(x - F.floor(x))) for q, x in spot.items()}
     got = roc.agg(
-        F.try_divide(F.sum(c("d") * c("p")), F.sum("p")).alias("pos_mean"), F.try_divide(F.sum(c("d") * c("n")), F.sum("n")).alias("neg_mean"), low.alias("low"),
+        F.try_divide(F.sum(c("d") * c("p")), F.sum("p")).alias("pos_mean"), F.try_divide(F.sum(c("d") * c("n")), F.sum("n")).alias("neg_mean"), *[(a + (b - a) * f).alias(name) for name, (a, b, f) in low.items()],
         F.coalesce(F.min(F.when(c("tpr") >= 0.95, c("fpr"))), F.when(F.sum("p") > 0, 1.0)).alias("fpr_at_tpr95"), F.coalesce(F.max(F.when(c("fpr") <= 1e-4, c("tpr"))), F.when(F.sum("n") > 0, 0.0)).alias("tpr_at_fpr_1e_4"),
         F.sum((c("fpr") - c("f0")) * (c("tpr") + c("t0")) / 2).alias("roc_auc"), F.min_by(crossing, F.when(gap >= 0, c("d"))).alias("eer"),
     )
-    return got.select("pos_mean", "neg_mean", c("low")[0].alias("neg_p01"), c("low")[1].alias("neg_p05"), "fpr_at_tpr95", "tpr_at_fpr_1e_4", "roc_auc", "eer")
+    return got.select("pos_mean", "neg_mean", "neg_p01", "neg_p05", "fpr_at_tpr95", "tpr_at_fpr_1e_4", "roc_auc", "eer")
+
+
+def kinds(rows: DataFrame, by: str, measures: list) -> DataFrame:
+    """The measures of genuine and of impostor rows (by: a boolean), a row for each, zeros where a kind has none."""
+    spine = rows.sparkSession.createDataFrame([(True,), (False,)], f"{by} boolean")
+    return spine.join(rows.groupBy(by).agg(*measures), by, "left").fillna(0)
+
+
+def score_summary(rows: DataFrame, threshold: float) -> DataFrame:
+    """(genuine, count, texture_evaluated, texture_available, fused_score_count, mean_*, *_accept, decision_changed) of attempts
+    (genuine, score, geometry, texture, evaluated, available, decision): both kinds always. Nulls count as 0, false or another decision."""
+    number = lambda name: F.coalesce(F.col(name), F.lit(0.0))
+    score, geometry = number("score") >= threshold, number("geometry") >= threshold
+    flags = {"texture_evaluated": F.col("evaluated"), "texture_available": F.col("available"), "fused_score_count": F.col("decision") == "fused_score", "match_score_accept": score, "geometry_only_accept": geometry, "decision_changed": score != geometry}
+    measures = [F.count("*").alias("count"), *[F.count_if(v).alias(k) for k, v in flags.items()], *[F.avg(number(k)).alias(f"mean_{k}") for k in ("score", "geometry", "texture")]]
+    return kinds(rows.withColumn("genuine", F.coalesce("genuine", F.lit(False))), "genuine", measures)
+
+
+def identity_fusion(templates: DataFrame, stop: float | None = None, counts: tuple[str, ...] = (), most: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each query and identity of its templates' results (q, owner, pos, template, score, quality, ...), scanned in the order of pos.
+
+    stop: the scan ends with the first template that reaches it; later ones don't count. best_score, mean_score, top_mean (of the
+    three best), best_template and best_pos (by score, then quality, then the first), templates scanned, stopped, and of the
+    columns named the count of rows above 0 (with_<name>) and the most (max_<name>). Nulls count as 0. Where the scan ends is
+    found and left by before rows meet, so what is shuffled again is what was scanned.
+    """
+    c = F.col
+    number = lambda name: F.coalesce(c(name).cast("double"), F.lit(0.0))
+    rows = templates.withColumn("score", number("score")).withColumn("quality", number("quality"))
+    if stop is not None:
+        ends = F.min(F.when(c("score") >= stop, c("pos"))).over(W.partitionBy("q", "owner"))
+        rows = rows.withColumn("_end", ends).where("_end is null or pos <= _end")
+    item = F.struct("score", "quality", (-c("pos")).alias("p"), "template")
+    top = F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 3)  # of one identity's templates, as many as it may enrol
+    got = rows.groupBy("q", "owner").agg(
+        F.max(item).alias("b"), F.avg("score").alias("mean_score"), F.aggregate(top, F.lit(0.0), lambda a, x: a + x).alias("_top"), F.count("*").alias("templates"),
+        *[F.count_if(number(k) > 0).alias(f"with_{k}") for k in counts], *[F.max(number(k)).alias(f"max_{k}") for k in most],
+    )
+    stopped = F.lit(False) if stop is None else c("b.score") >= stop
+    return got.select("q", "owner", c("b.score").alias("best_score"), "mean_score", (c("_top") / F.least(c("templates"), F.lit(3))).alias("top_mean"), c("b.template").alias("best_template"), (-c("b.p")).alias("best_pos"), "templates", stopped.alias("stopped"), *[f"with_{k}" for k in counts], *[f"max_{k}" for k in most])
 
 
 def failures(found: DataFrame, threshold: float, cap: int) -> DataFrame:

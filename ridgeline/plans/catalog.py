@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ridgeline.functions import scalars
-from ridgeline.operators import batches, blocks, codes, events, geometry, groups, learning, library, matching, negatives, numbering, pairs, stages, verification
-from ridgeline.sources import images
-from ridgeline.sources.tables import table, vectors, written
+from ridgeline.operators import batches, blocks, codes, events, geometry, groups, learning, library, losses, matching, negatives, numbering, pairs, stages, verification
+from ridgeline.sources import images, templates, versions
+from ridgeline.sources.tables import shared_folder, table, vectors, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,6 +89,72 @@ def distance_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
 
 
+@query("distance_metrics_exact", f"""WITH {EMB}, e AS (SELECT a.owner = b.owner AS positive, {L2.replace("q.v", "a.v").replace("g.v", "b.v")} AS d FROM emb a, emb b WHERE a.id % 20 = 0 AND a.id <> b.id), c AS (SELECT d, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS n FROM e GROUP BY d),
+r AS (SELECT d, sum(n) OVER (ORDER BY d) / sum(n) OVER () AS fpr, sum(p) OVER (ORDER BY d) / sum(p) OVER () AS tpr FROM c), l AS (SELECT *, lag(fpr, 1, 0) OVER (ORDER BY d) AS f0, lag(tpr, 1, 0) OVER (ORDER BY d) AS t0 FROM r),
+x AS (SELECT *, (f0 + t0 - 1) / ((f0 + t0 - 1) - (fpr + tpr - 1)) AS w FROM l WHERE round(fpr + tpr - 1, 12) >= 0 ORDER BY d LIMIT 1)
+SELECT round(avg(d) FILTER (positive), 6) AS pos_mean, round(avg(d) FILTER (NOT positive), 6) AS neg_mean, round(quantile_cont(d, 0.01) FILTER (NOT positive), 6) AS neg_p01, round(quantile_cont(d, 0.05) FILTER (NOT positive), 6) AS neg_p05,
+(SELECT round(min(fpr), 6) FROM l WHERE tpr >= 0.95) AS fpr_at_tpr95, (SELECT round(coalesce(max(tpr), 0), 6) FROM l WHERE fpr <= 0.0001) AS tpr_at_fpr_1e_4, (SELECT round(sum((fpr - f0) * (tpr + t0) / 2), 6) FROM l) AS roc_auc,
+(SELECT round((f0 + w * (fpr - f0) + 1 - t0 - w * (tpr - t0)) / 2, 6) FROM x) AS eer FROM e""")
+def distance_metrics_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all distances of every twentieth vector to all others; positive: of one owner. Distances are taken as they are."""
+    rows = vectors(spark, sf_dir)
+    near = blocks.nearest(rows.where("id % 20 = 0"), rows, 1 << 30)
+    owners = rows.select("id", "owner")
+    found = near.join(owners.select(F.col("id").alias("q"), F.col("owner").alias("a")), "q").join(owners.select(F.col("id").alias("g"), F.col("owner").alias("b")), "g")
+    got = verification.distance_metrics(found.select("d", (F.col("a") == F.col("b")).alias("positive")))
+    return got.select(*[F.round(c, 6).alias(c) for c in got.columns])
+
+
+SUMMED = "s AS (SELECT o_orderkey AS id, o_custkey % 3 = 0 AS genuine, CAST(o_totalprice AS DOUBLE) / 500000 AS score, CAST(o_custkey % 100 AS DOUBLE) / 100 AS geometry, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderkey % 50 AS DOUBLE) / 50 END AS texture, o_orderkey % 4 <> 0 AS evaluated, o_orderkey % 8 > 2 AS available, CASE o_orderkey % 3 WHEN 0 THEN 'fused_score' WHEN 1 THEN 'geometry_below_low_gate' END AS decision FROM orders)"
+
+
+@query("score_summary", f"""WITH {SUMMED}, k AS (SELECT unnest([true, false]) AS genuine) SELECT k.genuine, count(id) AS count, count(*) FILTER (evaluated) AS texture_evaluated, count(*) FILTER (available) AS texture_available, count(*) FILTER (decision = 'fused_score') AS fused_score_count, count(*) FILTER (score >= CAST(0.4 AS DOUBLE)) AS match_score_accept, count(*) FILTER (geometry >= CAST(0.4 AS DOUBLE)) AS geometry_only_accept,
+count(*) FILTER ((score >= CAST(0.4 AS DOUBLE)) <> (geometry >= CAST(0.4 AS DOUBLE))) AS decision_changed, round(coalesce(avg(score), 0), 6) AS mean_score, round(coalesce(avg(geometry), 0), 6) AS mean_geometry, round(coalesce(avg(coalesce(texture, 0)), 0), 6) AS mean_texture FROM k LEFT JOIN s USING (genuine) GROUP BY k.genuine""")
+def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as attempts with geometry and texture scores."""
+    c, n = F.col, F.col("o_orderkey")
+    texture = F.when(n % 7 != 0, (n % 50).cast("double") / 50)
+    decision = F.when(n % 3 == 0, "fused_score").when(n % 3 == 1, "geometry_below_low_gate")
+    rows = table(spark, sf_dir, "orders").select((c("o_custkey") % 3 == 0).alias("genuine"), (c("o_totalprice").cast("double") / 500000).alias("score"), ((c("o_custkey") % 100).cast("double") / 100).alias("geometry"), texture.alias("texture"), (n % 4 != 0).alias("evaluated"), (n % 8 > 2).alias("available"), decision.alias("decision"))
+    got = verification.score_summary(rows, 0.4)
+    return got.select(*[F.round(x, 6).alias(x) if x.startswith("mean_") else x for x in got.columns])
+
+
+FUSED = "f AS (SELECT l_orderkey AS q, l_suppkey % 2 AS owner, l_linenumber * 1000 + l_partkey % 1000 AS pos, l_partkey AS template, CAST(l_discount AS DOUBLE) * 10 AS score, CAST(l_tax AS DOUBLE) AS quality, CASE WHEN l_partkey % 5 = 0 THEN NULL ELSE l_suppkey % 4 END AS candidates, l_partkey % 3 AS inliers FROM lineitem)"
+
+
+def _fusion_sql(stop: str) -> str:
+    return f"""WITH {FUSED}, k AS (SELECT *, min(CASE WHEN score >= {stop} THEN pos END) OVER (PARTITION BY q, owner) AS last_ FROM f), s AS (SELECT * FROM k WHERE last_ IS NULL OR pos <= last_)
+SELECT q, owner, round(max(score), 6) AS best_score, round(avg(score), 6) AS mean_score, round(list_avg(list(score ORDER BY score DESC)[1:3]), 6) AS top_mean, list(template ORDER BY score DESC, quality DESC, pos, template DESC)[1] AS best_template, list(pos ORDER BY score DESC, quality DESC, pos)[1] AS best_pos, count(*) AS templates, max(score) >= {stop} AS stopped,
+count(*) FILTER (coalesce(candidates, 0) > 0) AS with_candidates, count(*) FILTER (inliers > 0) AS with_inliers, CAST(max(coalesce(candidates, 0)) AS DOUBLE) AS max_candidates, CAST(max(inliers) AS DOUBLE) AS max_inliers FROM s GROUP BY q, owner"""
+
+
+@query("identity_fusion", _fusion_sql("CAST(0.8 AS DOUBLE)"))
+def identity_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as templates' results, scanned in order until one reaches 0.8."""
+    c = F.col
+    candidates = F.when(c("l_partkey") % 5 != 0, c("l_suppkey") % 4)
+    rows = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("q"), (c("l_suppkey") % 2).alias("owner"), (c("l_linenumber") * 1000 + c("l_partkey") % 1000).alias("pos"), c("l_partkey").alias("template"), (c("l_discount").cast("double") * 10).alias("score"), c("l_tax").cast("double").alias("quality"), candidates.alias("candidates"), (c("l_partkey") % 3).alias("inliers"))
+    got = verification.identity_fusion(rows, 0.8, ("candidates", "inliers"), ("candidates", "inliers"))
+    return got.select(*[F.round(x, 6).alias(x) if x in ("best_score", "mean_score", "top_mean") else x for x in got.columns])
+
+
+@query("binary_losses", f"""WITH {EMB}, p AS (SELECT owner AS batch, (rn + 1) // 2 AS pair, (rn + 1) % 2 AS side, list_transform(v[1:16], lambda x: least(greatest(4 * x, -1), 1)) AS c, v FROM emb), full_ AS (SELECT batch, pair FROM p GROUP BY ALL HAVING count(*) = 2), d AS (SELECT p.*, row_number() OVER (PARTITION BY batch ORDER BY pair, side) AS i FROM p JOIN full_ USING (batch, pair)),
+rel AS (SELECT a.batch, sum((list_cosine_similarity(a.c, b.c) - list_cosine_similarity(a.v, b.v)) ** 2) / count(*) AS teacher_similarity FROM d a JOIN d b ON a.batch = b.batch AND a.i <> b.i GROUP BY a.batch),
+con AS (SELECT a.batch, avg((1 - list_dot_product(a.c, b.c) / 16) / 2) AS positive_consistency FROM d a JOIN d b ON a.batch = b.batch AND a.pair = b.pair AND a.side = 0 AND b.side = 1 GROUP BY a.batch),
+bit AS (SELECT batch, i, k, c[k + 1] AS x FROM d, range(16) r(k)), m AS (SELECT batch, k, avg(x) AS m FROM bit GROUP BY ALL), q AS (SELECT batch, avg((1 - abs(x)) ** 2) AS quantization FROM bit GROUP BY batch), bal AS (SELECT batch, avg(m ** 2) AS balance FROM m GROUP BY batch),
+cov AS (SELECT a.batch, a.k AS ka, b.k AS kb, sum((a.x - ma.m) * (b.x - mb.m)) / (count(*) - 1) AS cv FROM bit a JOIN bit b ON a.batch = b.batch AND a.i = b.i AND a.k <> b.k JOIN m ma ON ma.batch = a.batch AND ma.k = a.k JOIN m mb ON mb.batch = b.batch AND mb.k = b.k GROUP BY ALL), dec AS (SELECT batch, avg(cv ** 2) AS decorrelation FROM cov GROUP BY batch), n AS (SELECT batch, count(*) AS n FROM d GROUP BY batch)
+SELECT batch, n, round(teacher_similarity, 6) AS teacher_similarity, round(positive_consistency, 6) AS positive_consistency, round(quantization, 6) AS quantization, round(balance, 6) AS balance, round(decorrelation, 6) AS decorrelation, round(teacher_similarity / 2 + positive_consistency / 10 + quantization / 10 + balance / 50 + decorrelation / 50, 6) AS loss FROM n JOIN rel USING (batch) JOIN con USING (batch) JOIN q USING (batch) JOIN bal USING (batch) JOIN dec USING (batch)""")
+def binary_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each owner's vectors as a batch of consecutive pairs: 16 clipped components as bits, all as the teacher's descriptor."""
+    c, rn = F.col, F.row_number().over(W.partitionBy("owner").orderBy("id"))
+    bits = F.transform(F.slice("v", 1, 16), lambda x: F.least(F.greatest(4 * x, F.lit(-1.0)), F.lit(1.0)))
+    rows = vectors(spark, sf_dir).select(c("owner").alias("batch"), F.floor((rn + 1) / 2).alias("pair"), ((rn + 1) % 2).alias("side"), bits.alias("c"), "v")
+    two = [F.max(F.when(c("side") == k, c(x))).alias(name) for name, k, x in (("anchor", 0, "c"), ("positive", 1, "c"), ("anchor_teacher", 0, "v"), ("positive_teacher", 1, "v"))]
+    got = losses.binary_losses(rows.groupBy("batch", "pair").agg(*two).drop("pair"), 16, 64)
+    return got.select("batch", "n", *[F.round(x, 6).alias(x) for x in got.columns[2:]])
+
+
 @query("failure_topn", f"""{SCORES}, k AS (SELECT CASE WHEN genuine AND best < 0.36 THEN 'false_reject' WHEN NOT genuine AND best >= 0.36 THEN 'false_accept' END AS kind, q, owner, best FROM scores)
 SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY best DESC, q, owner) AS INT) AS rank, q, owner, best FROM k WHERE kind IS NOT NULL QUALIFY rank <= 20""")
 def failure_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -513,6 +580,76 @@ def online_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.learning_summary(seeds, learning.genuine_log(seeds, queries_, RULES), RULES)
 
 
+STEPS = "e AS (SELECT user_id % 50 AS run, event_id AS step, CAST(value AS DOUBLE) AS score, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS k FROM events WHERE value IS NOT NULL)"
+
+
+@query("early_stop", f"""WITH RECURSIVE {STEPS}, f AS (SELECT run, step, score, k, score AS reference, CAST(0 AS BIGINT) AS stale FROM e WHERE k = 1
+UNION ALL SELECT e.run, e.step, e.score, e.k, CASE WHEN e.score > f.reference * CAST(1.05 AS DOUBLE) THEN e.score ELSE f.reference END, CASE WHEN e.score > f.reference * CAST(1.05 AS DOUBLE) THEN 0 ELSE f.stale + 1 END FROM f JOIN e ON e.run = f.run AND e.k = f.k + 1 WHERE f.stale < 15)
+SELECT run, step, score, reference, stale, stale >= 15 AS stopped FROM f""")
+def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the scores of fifty runs; a run stops after 15 events without a gain of five per cent."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("run"), F.col("event_id").alias("step"), F.col("value").alias("score"))
+    return events.early_stop(rows, 0.05, 15)
+
+
+ENROLLED = f"""{EMB}, n AS (SELECT *, count(*) OVER (PARTITION BY owner) AS n FROM emb), s AS (SELECT *, greatest(1, n // 5) AS step, row_number() OVER (PARTITION BY owner ORDER BY md5('7|' || id), id) AS r FROM n)"""
+
+
+@query("enrolment", f"WITH {ENROLLED} SELECT id, rn <= 5 AS first, (rn - 1) % step = 0 AND (rn - 1) // step < 5 AS stride, r <= 5 AS random FROM s")
+def enrolment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which vectors each way of enrolment takes."""
+    rows = vectors(spark, sf_dir)
+    every = [verification.enrolled(rows, 5, k).select("id", F.col("enrolled").alias(k)) for k in ("first", "stride", "random")]
+    return every[0].join(every[1], "id").join(every[2], "id")
+
+
+@query("match_quality", """WITH p AS (SELECT o_orderkey AS id, CAST(o_custkey % 60 AS DOUBLE) AS a, CAST(o_orderkey % 11 AS DOUBLE) / 10 AS b, CAST(o_totalprice AS DOUBLE) / 500000 AS c, CAST(o_custkey % 90 AS DOUBLE) / 10 - 1 AS d FROM orders)
+SELECT id, round(CAST(0.55 AS DOUBLE) * least(a / 40, 1) + CAST(0.2 AS DOUBLE) * b + CAST(0.15 AS DOUBLE) * c + CAST(0.1 AS DOUBLE) * least(greatest(1 - d / 5, 0), 1), 6) AS quality, round(exp(-greatest(d, 0) / 3), 6) AS closeness, round(least(greatest(CAST(0.28 AS DOUBLE) * b + CAST(0.22 AS DOUBLE) * exp(-c / CAST(0.7 AS DOUBLE)) + CAST(0.24 AS DOUBLE) * exp(-greatest(d, 0) / 5) + CAST(0.18 AS DOUBLE) * exp(-a / 30) + CAST(0.08 AS DOUBLE) * c, 0), 1), 6) AS stability FROM p""")
+def match_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of matches from counts, shares and errors that orders stand for."""
+    c = F.col
+    p = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), (c("o_custkey") % 60).cast("double").alias("a"), ((c("o_orderkey") % 11).cast("double") / 10).alias("b"), (c("o_totalprice").cast("double") / 500000).alias("c"), ((c("o_custkey") % 90).cast("double") / 10 - 1).alias("d"))
+    return p.select("id", F.round(geometry.quality_score(c("a"), c("b"), c("c"), c("d")), 6).alias("quality"), F.round(scalars.exp_score(c("d"), 3.0), 6).alias("closeness"), F.round(scalars.stability_score(c("b"), c("c"), c("d"), c("a"), c("b"), c("c"), c("b")), 6).alias("stability"))
+
+
+TEMPLATES = "t AS (SELECT CAST(label AS BIGINT) AS identity, CAST(vec_id // 3 AS VARCHAR) AS image, list_transform(embedding[1:4], lambda x: CAST(round(x * 1000) AS INT)) AS p, list_transform(embedding, lambda x: CAST(round(x * 100) AS INT)) AS d, vec_id FROM embeddings), g AS (SELECT identity, image, list(p ORDER BY vec_id) AS points, list(d ORDER BY vec_id) AS descriptors FROM t GROUP BY ALL), h AS (SELECT *, sha256('[' || array_to_string(flatten(points), ',') || ']|[' || array_to_string(flatten(descriptors), ',') || ']') AS hash FROM g)"
+
+
+def _templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three consecutive vectors of an owner as the points of an image; whole numbers, so that both sides write them alike."""
+    c = F.col
+    whole = lambda of, by: F.transform(of, lambda x: F.round(x.cast("double") * by).cast("int"))
+    rows = table(spark, sf_dir, "embeddings").select(c("label").cast("long").alias("identity"), F.floor(c("vec_id") / 3).cast("string").alias("image"), F.struct("vec_id", whole(F.slice("embedding", 1, 4), 1000).alias("p"), whole(c("embedding"), 100).alias("d")).alias("x"))
+    some = rows.groupBy("identity", "image").agg(F.sort_array(F.collect_list("x")).alias("x")).select("identity", "image", c("x.p").alias("points"), c("x.d").alias("descriptors"))
+    return some.withColumn("hash", templates.content_hash(F.flatten("points"), F.flatten("descriptors")))
+
+
+@query("template_hashes", f"WITH {TEMPLATES} SELECT identity, image, len(points) AS points, hash FROM h")
+def template_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _templates(spark, sf_dir).select("identity", "image", F.size("points").alias("points"), "hash")
+
+
+@query("templates_to_build", f"WITH {TEMPLATES} SELECT identity, image, CASE WHEN CAST(image AS BIGINT) % 5 = 0 THEN 'changed' ELSE hash END AS hash FROM h WHERE CAST(image AS BIGINT) % 5 = 0 OR CAST(image AS BIGINT) % 7 = 0")
+def templates_to_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates are published as a version, with the list of their identities, and read from it; every fifth image has changed since, every seventh was never built."""
+    every, image = written(_templates(spark, sf_dir), "images"), F.col("image").cast("long")
+    folder = f"{shared_folder(spark)}/templates-{uuid.uuid4().hex}"
+    built = templates.with_contract(every.where(image % 7 != 0), templates.Contract(dimension=64))
+    versions.publish({"templates": built, "identities": templates.identity_templates(built)}, folder)
+    stored = versions.published(spark, folder)["templates"]
+    templates.comparable(stored, built)
+    return templates.to_build(every.select("identity", "image", F.when(image % 5 == 0, "changed").otherwise(F.col("hash")).alias("hash")), stored)
+
+
+@query("template_problems", f"WITH {TEMPLATES}, b AS (SELECT identity, image, CAST(image AS BIGINT) % 6 AS k, len(points) AS n FROM h) SELECT identity, image, CASE k WHEN 0 THEN 'no_keypoints' WHEN 1 THEN 'descriptor_count_differs' WHEN 2 THEN 'descriptor_width_differs' ELSE 'descriptor_holds_null' END AS problem FROM b WHERE k < 4")
+def template_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates that are damaged in one of four ways by their image's number."""
+    c, k = F.col, F.col("image").cast("long") % 6
+    points = F.when(k == 0, F.slice("points", 1, 0)).otherwise(c("points"))
+    descriptors = F.when(k == 1, F.slice("descriptors", 1, F.size("descriptors") - 1)).when(k == 2, F.transform("descriptors", lambda d: F.slice(d, 1, 63))).when(k == 3, F.transform("descriptors", lambda d: F.transform(d, lambda x, i: F.when(i != 0, x)))).otherwise(c("descriptors"))
+    return templates.problems(_templates(spark, sf_dir).withColumn("points", points).withColumn("descriptors", descriptors), templates.Contract(dimension=64))
+
+
 @query("library_versions", "WITH v AS (SELECT user_id, ts, max(event_id) AS version FROM events WHERE event_id % 3 <> 0 GROUP BY ALL) SELECT e.event_id, e.user_id, v.version FROM (SELECT * FROM events WHERE event_id % 3 = 0) e ASOF LEFT JOIN v ON e.user_id = v.user_id AND e.ts >= v.ts")
 def library_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
@@ -585,8 +722,8 @@ def failure_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejected.select("id", stages.failure_stage(0.7, "topk_or_ratio", texture=True).alias("stage"))
 
 
-@query("stage_coverage", f"""WITH {ATTEMPTS_SQL} SELECT CASE WHEN label = 1 THEN 'genuine' ELSE 'impostor' END AS kind, count(*) AS count, count(*) FILTER (coalesce(templates_with_candidates, 0) > 0) AS candidate_ready,
-{", ".join(f"round(avg(CASE WHEN coalesce({c}, 0) > 0 THEN 1 ELSE 0 END), 6) AS {n}" for n, c in stages.RATES.items())}, {", ".join(f"round(avg(CAST(coalesce({c}, 0) AS DOUBLE)), 6) AS {n}" for n, c in stages.MEANS.items())} FROM attempts GROUP BY 1""")
+@query("stage_coverage", f"""WITH {ATTEMPTS_SQL}, k AS (SELECT unnest(['genuine', 'impostor']) AS kind), g AS (SELECT CASE WHEN label = 1 THEN 'genuine' ELSE 'impostor' END AS kind, count(*) AS count, count(*) FILTER (coalesce(templates_with_candidates, 0) > 0) AS candidate_ready,
+{", ".join(f"round(avg(CASE WHEN coalesce({c}, 0) > 0 THEN 1 ELSE 0 END), 6) AS {n}" for n, c in stages.RATES.items())}, {", ".join(f"round(avg(CAST(coalesce({c}, 0) AS DOUBLE)), 6) AS {n}" for n, c in stages.MEANS.items())} FROM attempts GROUP BY 1) SELECT kind, coalesce(COLUMNS(* EXCLUDE (kind)), 0) FROM k LEFT JOIN g USING (kind)""")
 def stage_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = stages.stage_coverage(_attempts(spark, sf_dir))
     return got.select("kind", "count", "candidate_ready", *[F.round(c, 6).alias(c) for c in (*stages.RATES, *stages.MEANS)])

@@ -20,14 +20,18 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("owner"), F.col("embedding").cast("array<double>").alias("v"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder (a local one only where spark.checkpoint.dir is unset) and read again: lineage ends here."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share: spark.checkpoint.dir; a local one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="ridgeline-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: lineage ends here."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
