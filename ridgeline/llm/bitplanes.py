@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ridgeline.llm.chunks import Memo, WordIds, byte_level_cuts, chunks, parts, sections
+from ridgeline.llm.chunks import MARKS, Memo, WordIds, byte_level_cuts, chunks, sections
 from ridgeline.llm.common import shared_dir, staged
 
 MAGIC = b"IDPLANES"
@@ -188,9 +188,19 @@ class ByteIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuts = byte_level_cuts(self.tokenizer)
-        ids = WordIds(self.tokenizer)
-        self.words = Memo(lambda part: array("I", ids(part)).tobytes(), 300_000)
-        self.memo = Memo(lambda chunk: b"".join(map(self.words.__getitem__, parts(chunk))), 200_000)  # most chunks are a known word and marks
+        self.ids = WordIds(self.tokenizer)
+        self.memo = Memo(self.learn, 400_000)
+
+    def learn(self, chunk: str) -> bytes:
+        """Ids of a chunk, put together where its pattern cuts it: marks after a letter or digit, and one line end before
+        something else, are words of their own."""
+        body = chunk.rstrip(MARKS)
+        if body and body[-1].isalnum():
+            if len(body) < len(chunk):
+                return self.memo[body] + self.memo[chunk[len(body) :]]
+            if chunk[0] == "\n" and len(chunk) > 1 and not chunk[1].isspace():
+                return self.memo["\n"] + self.memo[chunk[1:]]
+        return array("I", self.ids(chunk)).tobytes()
 
     def of(self, text: str) -> Iterator[np.ndarray]:
         """The tokenizer's own ids of the text, section by section."""
@@ -200,7 +210,6 @@ class ByteIds:
         for part in sections(text):
             yield np.frombuffer(b"".join(map(self.memo.__getitem__, chunks(part))), "<u4")
             self.memo.turn()
-            self.words.turn()
 
 
 _IDS: dict[str, ByteIds] = {}  # of this Python worker, which serves many tasks

@@ -16,7 +16,7 @@ ODD_ASCII = ("\t", "\v", "\f", "\r", "\x1f", "  ", " \n", "\n ", "\n\n")
 SECTION = 1 << 20  # characters of a text that are cut at once
 _LETTERS, _MARKS = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", r"!-/:-@\[-`{-~"
 SIMPLE = re.compile(f"(\n?)( ?[{_LETTERS}]+)([{_MARKS}]*)")
-WORD = re.compile(f" ?[{_LETTERS}]+")
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 MIXED = re.compile(f"[{_LETTERS}][{_MARKS}]")
 
 
@@ -54,19 +54,22 @@ class WordIds:
     """Ids of parts of chunks, without special tokens, by a tokenizer of the tokenizers library. Words of letters go straight to its
     model, where it shows on samples that it takes them so (which saves it building offsets); others go the whole way."""
 
-    PROBES = ("a", " Zug", " \u00c0\u00d6\u00d8\u00de\u00e0\u00f6\u00f8\u00ff\u00df", " stra\u00dfe", "don", " whenin", "\u00c9t\u00e9")
+    PROBES = ("a", " Zug", " \u00c0\u00d6\u00d8\u00de\u00e0\u00f6\u00f8\u00ff\u00df", " stra\u00dfe", "don", " whenin", "\u00c9t\u00e9", " \u65e5\u672c", "\u0416\u043e\u03b1")
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         shown = {b: c for c, b in byte_characters().items()}
-        self.shown = {c: "".join(shown[b] for b in chr(c).encode()) for c in (32, *range(0xC0, 0x100))}
+        self.shown, self.blank = shown, shown[32]
         self.straight = byte_level_cuts(tokenizer) and all(self._of_model(w) == tokenizer.encode(w, add_special_tokens=False).ids for w in self.PROBES)
 
     def _of_model(self, word: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(word.translate(self.shown))]
+        plain = word.replace(" ", self.blank) if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        return [t.id for t in self.tokenizer.model.tokenize(plain)]
 
     def __call__(self, part: str) -> list[int]:
-        return self._of_model(part) if self.straight and WORD.fullmatch(part) else self.tokenizer.encode(part, add_special_tokens=False).ids
+        if self.straight and part.removeprefix(" ").isalpha():
+            return self._of_model(part)
+        return self.tokenizer.encode(part, add_special_tokens=False).ids
 
 
 def byte_level_cuts(tokenizer) -> bool:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -181,6 +182,14 @@ def test_ids_are_the_tokenizers(byte_bpe, text):
     assert [i for p in bitplanes.byte_ids(None).of(text) for i in p.tolist()] == byte_bpe.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_random_texts_are_the_tokenizers(byte_bpe):
+    rng = random.Random(1)
+    encoder = bitplanes.byte_ids(None)
+    for _ in range(4000):
+        text = "".join(rng.choice("aZ\u00e9\u00df\u65e5\u0416'\"-.,4\u00bd\u00b2\n \t\xa0_<|>sdt\u0301\u1e3f\u00aa\u2019\r") for _ in range(rng.randint(1, 12)))
+        assert [i for p in encoder.of(text) for i in p.tolist()] == byte_bpe.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("bits", [False, True])
 def test_ids_of_documents_from_files(spark, docs, byte_bpe, bits):
     files = bitplanes.write_ids(docs, bits=bits, block=100, text_bytes=20_000)
