@@ -312,7 +312,51 @@ def test_quality_never_reads_held_out_labels(spark):
     out = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2")
     flipped = labels.withColumn("quality", F.when(out, 1 - F.col("quality")).otherwise(F.col("quality")))
     assert sorted(rows(quality.quality_scores(d, labels))) == sorted(rows(quality.quality_scores(d, flipped)))
-    assert {h: zlib.crc32(str(i).encode()) % 4 == 2 for i, h in rows(quality.quality_scores(d, labels), "doc_id", "held_out")}.keys() <= {True, False}
+    got = rows(quality.quality_scores(d, labels), "doc_id", "held_out")
+    assert len(got) == d.count() and all(h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h in got)
+
+
+def plain_pools(at, ones, n):
+    """Rising shares: any two neighbours that don't rise are merged, as long as there are any."""
+    for smooth in (True, False):
+        pools = [(x * m, y, m) for x, y, m in zip(at, ones, n, strict=True)]
+        while (k := next((k for k in range(len(pools) - 1) if pools[k][1] / pools[k][2] >= pools[k + 1][1] / pools[k + 1][2]), None)) is not None:
+            pools[k : k + 2] = [tuple(p + q for p, q in zip(*pools[k : k + 2], strict=True))]
+        at, n = [x / m for x, _, m in pools], [m for *_, m in pools]
+        ones = [(y + 0.5) / (m + 1) * m if smooth else y for _, y, m in pools]
+    return np.array(at), np.array(ones) / np.array(n)
+
+
+def test_quality_equals_dense_normal_equations(spark):
+    """All scores from one matrix of all labelled rows in memory and from pools merged one by one."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    odd = [(10**7, None, 1), (10**7 + 1, "", 0), (10**7 + 2, "word " * 200_000, 1), (10**7 + 3, "again", 1), (10**7 + 3, "again", 0), (10**7 + 4, "\n \n", None)]
+    d = d.select("doc_id", "text").unionByName(spark.createDataFrame([x[:2] for x in odd], "doc_id long, text string")).withColumn("score", F.lit("a clashing name"))
+    labels = labels.select("doc_id", "quality").unionByName(spark.createDataFrame([(i, q) for i, _, q in odd], "doc_id long, quality int"))
+    texts = rows(d, "doc_id", "text")
+    stats = np.array([quality.statistics((t or "").encode()) for _, t in texts])
+    best: dict[int, float] = {}
+    for i, q in rows(labels, "doc_id", "quality"):
+        if q is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            best[i] = max(best.get(i, 0.0), float(q))
+    part = dict(rows(d.select("doc_id", F.expr("pmod(xxhash64(doc_id, 77), 4)").alias("p"))))
+    fit, rest = ([k for k, (i, _) in enumerate(texts) if i in best and (part[i] != 0) == side] for side in (True, False))
+    y = lambda at: np.array([best[texts[k][0]] for k in at])
+    mean, scale = stats[fit].mean(0), np.maximum(stats[fit].std(0), 1e-6)
+    rng = np.random.default_rng(3)
+    directions, phases = rng.standard_normal((quality.WIDTH, stats.shape[1])) / np.sqrt(stats.shape[1]), rng.uniform(0, 2 * np.pi, quality.WIDTH)
+    x = np.clip((stats - mean) / scale, -6, 6)
+    f = np.column_stack([np.ones(len(x)), x, np.sqrt(2 / quality.WIDTH) * np.cos(x @ directions.T + phases)])
+    raw = f @ np.linalg.solve(f[fit].T @ f[fit] + 1e-3 * len(fit) * np.eye(f.shape[1]), f[fit].T @ y(fit))
+    cells: dict[int, list] = {}
+    for k, v in zip(rest, y(rest), strict=True):
+        cells.setdefault(int((np.clip(raw[k], -1, 2) + 1) / 3 * quality.BINS), []).append(v)
+    bins = sorted(cells)
+    knots, levels = plain_pools([(b + 0.5) / quality.BINS * 3 - 1 for b in bins], [sum(cells[b]) for b in bins], [len(cells[b]) for b in bins])
+    want = sorted((i, round(float(v), 6)) for (i, _), v in zip(texts, np.clip(np.interp(raw, knots, levels), 0, 1), strict=True))
+    got = rows(quality.quality_scores(d, labels), "doc_id", "held_out", "score", "predicted")
+    assert np.allclose([s for _, s in sorted((i, s) for i, _, s, _ in got)], [s for _, s in want], atol=1e-5)
+    assert all(p == (s >= 0.7) and h == (zlib.crc32(str(i).encode()) % 4 == 2) for i, h, s, p in got)
 
 
 def test_quality_of_odd_tables(spark, docs):
@@ -337,6 +381,15 @@ def test_isotonic_rises():
 # Ogg
 
 
+def test_media_of_odd_tables(spark):
+    d = table(spark, [(1, None), (2, ""), (3, "same"), (3, "same"), (4, "x" * 64)])
+    got = sorted(rows(ogg.media_features(ogg.media_column(d)), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "feature", "error"))
+    assert [g[:3] for g in got] == [(1, 0, 64), (2, 0, 64), (3, 4, 64), (3, 4, 64), (4, 64, 64)] and got[2] == got[3] and got[0][3:] == got[1][3:] and all(g[5] is None for g in got)
+    feature = dict(x.split("=") for x in got[4][4].split(";"))
+    assert feature["mean"] == f"{ord('x'):.6f}" and feature["peak"] == str(ord("x")) and feature["levels"] == "1" and int(feature["end_us"]) == 64 * 1_000_000 // int(feature["rate"])
+    assert rows(ogg.media_features(ogg.media_column(table(spark, [])))) == []
+
+
 def test_media_round_trip(spark):
     data = [*corpus(3, 10), (1000, "é" * 40_000), (1001, "a" * 64), (1002, "b" * 4096 * 80)]
     d = table(spark, data)
@@ -444,6 +497,21 @@ IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
 DISCLAIMED."""
 
 
+def test_titles_tags_and_denials(spark):
+    texts = {
+        "The MIT License is a permissive licence, wrote the blogger.": None, "This project is not under the MIT License": None, "It is not released under the MIT License, sadly.": None, "an MIT license": None, "not licensed under CC BY 4.0": None,
+        "# MIT License\n\nfoo": "MIT", "text\n  The MIT License (MIT)  \nmore": "MIT", "MIT License\r\nx": "MIT", "  GNU GENERAL PUBLIC LICENSE\n     Version 2, June 1991\n": "GPL-2.0-only", "Released under the MIT License": "MIT",
+        "// SPDX-License-Identifier: Apache-2.0\ncode": "Apache-2.0", "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later", "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0", "is licensed under the GNU General Public License version 2": "GPL-2.0-only",
+        "has waived all copyright and related or neighboring rights to this work": "CC0-1.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License.": "GPL-3.0-only",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at": "EPL-2.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.": "CC-BY-ND-4.0",
+    }
+    d = spark.createDataFrame([(k, t, "r", "l") for k, t in enumerate(texts)], "doc_id long, text string, rule string, left string")
+    assert sorted(rows(licenses.scan(d), "doc_id", "license")) == [(k, x) for k, x in enumerate(texts.values()) if x]
+    con = duckdb.connect()
+    con.register("documents", d.select("doc_id", "text").toPandas())
+    assert sorted(rows(licenses.scan(d))) == sorted(con.execute(f"SELECT doc_id, rule, license, matches, first_sentence FROM ({licenses.oracle_sql()})").fetchall())
+
+
 def test_usual_licences_are_recognised_however_they_are_wrapped(spark):
     texts = {"apache2-header": APACHE, "mit-text": MIT, "gpl3-header": GPL, "bsd3-text": BSD, "bsd2-text": BSD[: BSD.index("3. ")] + BSD[BSD.index("THIS") :]}
     shapes = [lambda t: t, lambda t: " ".join(t.split()), lambda t: "".join(f"# {x}\n" for x in t.split("\n")), lambda t: "/*\n" + "".join(f" * {x}\r\n" for x in t.split("\n")) + " */\nint main;", lambda t: "".join(f"// {x}\n" for x in t.split("\n"))]
