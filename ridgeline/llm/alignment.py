@@ -19,7 +19,7 @@ from ridgeline.llm.bitplanes import from_planes, to_planes
 from ridgeline.llm.chunks import MIXED, SPACE, Memo, Numbers, WordIds, byte_characters, byte_level_cuts, chunks, parts, sections
 from ridgeline.llm.common import staged
 
-BLOCK_PARTS = 1 << 21  # of texts: when a task has so many, it passes on what it has counted
+BLOCK_PARTS = 1 << 20  # of texts: when a task has so many, it passes on what it has counted
 BLOCK_DOCS = 1 << 15
 SHIFT = 32  # a pair of ids is one long, the first tokenizer's id in the high bits
 
@@ -68,21 +68,30 @@ class Aligner:
         self.glued = {c for p in plain if not own.fullmatch(p) for c in re.findall(f"[▁{SPACE}]", p)} - {"▁"}
         self.cuts = byte_level_cuts(self.a) and not self.glued & {" ", "\n"} and all(own.fullmatch(p) or self.glued & set(p) for p in plain) and not any(MIXED.search(p) for p in plain)
         self.ids_a = WordIds(self.a)
-        self.parts, self.memo = Memo(parts, 200_000), Memo(self.learn, 150_000)
+        #: A byte-level vocabulary with all bytes changes no text.
+        self.keeps_a = byte_level_cuts(self.a) and {bytes([k]) for k in range(256)} <= set(self.bytes_a)
+        self.parts, self.memo = Memo(parts, 120_000), Memo(lambda part: self.learn(part, self.piece_ids([part])[0]), 220_000)
         self.shown = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
 
-    def piece_ids(self, part: str) -> list[int] | None:
-        """The second tokenizer's ids of a part. It puts a blank before each text, which a part that starts with one has already;
+    def piece_ids(self, new: list[str]) -> list[list[int] | None]:
+        """The second tokenizer's ids of parts. It puts a blank before each text, which a part that starts with one has already;
         before others a line end keeps the blank apart, as no piece holds one."""
-        if part[0] == " ":
-            return self.b.encode(part[1:])
-        ids = self.b.encode("\n" + part)
-        return ids[2:] if ids[:2] == self.lead else None
-
-    def learn(self, part: str) -> tuple | None:
-        """(tokens of either, groups, links, the groups as text, different pairs, how often each) of a part; None where either side's bytes differ."""
-        a, b, want, shown = self.ids_a(part), self.piece_ids(part), part.encode(), self.shown
-        if b is None or b"".join(map(self.bytes_a.__getitem__, a)) != want or b"".join(map(self.bytes_b.__getitem__, b)) != want:
+        found = self.b.encode([x[1:] if x[0] == " " else "\n" + x for x in new], num_threads=1)
+        return [ids if x[0] == " " else ids[2:] if ids[:2] == self.lead else None for x, ids in zip(new, found, strict=True)]
+
+    def records(self, asked: list[str]) -> list[tuple | None]:
+        """What learn has of each; parts that nobody asked for lately are learnt together."""
+        memo, elder = self.memo, self.memo.elder
+        new = [x for x in asked if x not in memo and x not in elder and len(x) <= memo.LONG]
+        if new:
+            memo.update(zip(new, map(self.learn, new, self.piece_ids(new)), strict=True))
+        return list(map(memo.__getitem__, asked))
+
+    def learn(self, part: str, b: list[int] | None) -> tuple | None:
+        """(tokens of either, groups, links, the groups as text, different pairs, how often each if not once) of a part whose ids by
+        the second tokenizer are b; None where either side's bytes differ."""
+        a, want, shown = self.ids_a(part), part.encode(), self.shown
+        if b is None or b"".join(map(self.bytes_b.__getitem__, b)) != want or not (self.keeps_a or b"".join(map(self.bytes_a.__getitem__, a)) == want):
             return None
         pairs: dict[int, int] = {}
         text, links = [], 0
@@ -99,16 +108,16 @@ class Aligner:
             text.append(f"{','.join([shown[x] for x in one])}|{','.join([shown[x] for x in two])}")
             if len(one) * len(two) <= 16:
                 for p in one:
+                    p <<= SHIFT
                     for q in two:
-                        pair = p << SHIFT | q
-                        pairs[pair] = pairs.get(pair, 0) + 1
+                        pairs[p | q] = pairs.get(p | q, 0) + 1
             else:
                 twos = Counter(two).items()
                 for p, n in Counter(one).items():
                     for q, o in twos:
                         pair = p << SHIFT | q
                         pairs[pair] = pairs.get(pair, 0) + n * o
-        return (len(a), len(b), len(groups), links, ";".join(text), array("q", pairs).tobytes(), array("q", pairs.values()).tobytes())
+        return (len(a), len(b), len(groups), links, ";".join(text), array("q", pairs).tobytes(), None if len(pairs) == links else array("q", pairs.values()).tobytes())
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}  # of this Python worker, which serves many tasks
@@ -169,11 +178,10 @@ class Block:
         for k, section in enumerate(sections(" " + text) if cuts else [" " + text]) if text else ():
             cut = chain.from_iterable(map(aligner.parts.__getitem__, chunks(section))) if cuts else [section]
             numbers = list(map(self.at.__getitem__, cut))
-            for x in self.at.names[len(self.records) :]:
-                record = aligner.memo[x]
+            for record in aligner.records(self.at.names[len(self.records) :]):
                 if record is None:
                     self.bad.add(len(self.records))
-                self.records.append(record or (0, 0, 0, 0, "", b"", b""))
+                self.records.append(record or (0, 0, 0, 0, "", b"", None))
                 self.texts.append(self.records[-1][4])
             if self.bad and not self.bad.isdisjoint(numbers):
                 found = []
@@ -186,9 +194,10 @@ class Block:
         self.docs.append((doc_id, digest.hexdigest() if found else "", *np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)))
 
     def row(self, number: int) -> tuple:
-        each = np.array([r[:4] for r in self.records], np.int64).reshape(-1, 4)
+        each = np.array([np.fromiter((r[k] for r in self.records), np.int64, len(self.records)) for k in range(4)]).T
         pairs, pair = np.unique(np.frombuffer(b"".join(r[5] for r in self.records), np.int64), return_inverse=True)
-        often = np.frombuffer(b"".join(r[6] for r in self.records), np.int64)
+        once = np.ones(max((len(r[5]) // 8 for r in self.records), default=0), np.int64)
+        often = np.concatenate([np.empty(0, np.int64), *(once[: len(r[5]) // 8] if r[6] is None else np.frombuffer(r[6], np.int64) for r in self.records)])
         sizes = np.array([len(r[5]) // 8 for r in self.records], np.int64)
         first = np.cumsum(sizes) - sizes
         docs_of, last = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
