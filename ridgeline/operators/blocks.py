@@ -99,5 +99,4 @@ def identity_scores(queries: DataFrame, templates: DataFrame, top: int = 3) -> D
             yield pa.RecordBatch.from_arrays([pa.array(q[0]), pa.array(q[1]), pa.array(np.full(len(d), owner)), pa.array(mine.max(1)), pa.array(g[0][at][best]), pa.array(mine.mean(1)), pa.array(high.mean(1))], ["q", "q_owner", "owner", "best", "best_id", "mean", "top_mean"])
 
     schema = "q long, q_owner long, owner long, best double, best_id long, mean double, top_mean double"
-    got = each(queries, templates, "owner", found, schema)
-    return got.select("q", "q_owner", "owner", *[F.round(c, 6).alias(c) for c in ("best", "mean", "top_mean")], "best_id")
+    return each(queries, templates, "owner", found, schema).select("q", "q_owner", "owner", "best", "mean", "top_mean", "best_id")

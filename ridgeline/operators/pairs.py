@@ -31,7 +31,7 @@ def group_split(groups: DataFrame, ratios: tuple[float, float, float] = (0.8, 0.
     found within hash ranges, not in one task; the counts of the 256 ranges are read at once. Null owners are left out.
     """
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("owner").cast("string")))
-    rows = groups.select("owner").where("owner is not null").distinct().withColumn("key", key).withColumn("part", F.substring("key", 1, 2))
+    rows = written(groups.select("owner").where("owner is not null").distinct().withColumn("key", key).withColumn("part", F.substring("key", 1, 2)), "owners")
     counts = sorted(rows.groupBy("part").count().collect())
     before, n = [], 0
     for part, count in counts:

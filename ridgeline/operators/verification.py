@@ -32,15 +32,13 @@ def scores(vectors: DataFrame, count: int = 5) -> DataFrame:
 
 
 def cumulative(found: DataFrame) -> DataFrame:
-    """(score, far_n, frr_n, impostors, genuines) for each distinct score as threshold: accepted impostors, rejected genuines.
-
-    Scores are counted first, so the single ordered window runs over distinct scores only (six decimals: a million at most).
-    """
-    by = found.groupBy(F.col("best").alias("score")).agg(F.count_if("genuine").alias("g"), F.count_if(~F.col("genuine")).alias("i"))
-    up = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    low = W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy(F.lit(1))
-    return by.select("score", F.sum("i").over(up).alias("far_n"), F.coalesce(F.sum("g").over(low), F.lit(0)).alias("frr_n"), F.sum("i").over(every).alias("impostors"), F.sum("g").over(every).alias("genuines"))
+    """(score, g, i, far_n, frr_n, impostors, genuines) for each distinct score as threshold: the genuine and impostor rows of that
+    score, accepted impostors, rejected genuines, and all of either. Scores are taken as they are and counted first; counts are
+    summed up within ranges of scores and carried over these, so that no task orders all of them."""
+    c = F.col
+    by = found.groupBy(c("best").alias("score")).agg(F.count_if("genuine").alias("g"), F.count_if(~c("genuine")).alias("i"))
+    at = running_sums(by, ["score"], ["g", "i"])
+    return at.select("score", "g", "i", (c("all_i") - c("upto_i") + c("i")).alias("far_n"), (c("upto_g") - c("g")).alias("frr_n"), c("all_i").alias("impostors"), c("all_g").alias("genuines"))
 
 
 def rates(n: str, of: str, name: str):
@@ -78,10 +76,8 @@ def per_owner_rates(found: DataFrame, threshold: float) -> DataFrame:
 
 def auc_eer(found: DataFrame) -> DataFrame:
     """Area under the tie-collapsed ROC by trapezoids, and the equal error rate at the vertex where FAR and FRR are nearest."""
-    c = cumulative(found).select("score", (F.col("far_n") / F.col("impostors")).alias("fpr"), F.col("frr_n").alias("fr"), "genuines")
-    by = W.orderBy(F.desc("score"))
-    at = c.withColumn("tpr", 1 - F.col("fr") / F.col("genuines"))
-    at = at.withColumn("f0", F.coalesce(F.lag("fpr").over(by), F.lit(0.0))).withColumn("t0", F.coalesce(F.lag("tpr").over(by), F.lit(0.0)))
+    c, share = F.col, lambda n, of: F.try_divide(n, F.col(of))
+    at = cumulative(found).select("score", share(c("far_n"), "impostors").alias("fpr"), (1 - share(c("frr_n"), "genuines")).alias("tpr"), share(c("far_n") - c("i"), "impostors").alias("f0"), (1 - share(c("frr_n") + c("g"), "genuines")).alias("t0"))
     gap = F.abs(F.col("fpr") - (1 - F.col("tpr")))
     return at.agg(F.round(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2), 6).alias("auc"), F.round(F.min_by((F.col("fpr") + 1 - F.col("tpr")) / 2, F.struct(F.round(gap, 9), -F.col("score"))), 6).alias("eer"))
 

@@ -38,7 +38,8 @@ scores AS (SELECT q, q_owner, owner, q_owner = owner AS genuine, round(max(s), 6
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verification.scores(vectors(spark, sf_dir), count=5)
+    """Scores to six decimals, as the SQL has them; the operators take them as they are."""
+    return verification.scores(vectors(spark, sf_dir), count=5).withColumns({c: F.round(c, 6) for c in ("best", "mean", "top_mean")})
 
 
 @query("far_frr_table", f"""{SCORES}, t AS (SELECT round(CAST(0.2 AS DOUBLE) + i * CAST(0.01 AS DOUBLE), 10) AS threshold FROM range(37) r(i))
@@ -55,7 +56,7 @@ def identity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("threshold_curve", f"""{SCORES}, c AS (SELECT best AS score, count(*) FILTER (genuine) AS g, count(*) FILTER (NOT genuine) AS i FROM scores GROUP BY best)
 SELECT score, CAST(sum(i) OVER (ORDER BY score DESC) AS BIGINT) AS far_n, CAST(sum(g) OVER (ORDER BY score) - g AS BIGINT) AS frr_n, CAST(sum(i) OVER () AS BIGINT) AS impostors, CAST(sum(g) OVER () AS BIGINT) AS genuines FROM c""")
 def threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verification.cumulative(_scores(spark, sf_dir))
+    return verification.cumulative(_scores(spark, sf_dir)).drop("g", "i")
 
 
 @query("zero_far_point", f"""{SCORES}, m AS (SELECT max(best) FILTER (NOT genuine) AS threshold_above FROM scores)
