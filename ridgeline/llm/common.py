@@ -46,6 +46,8 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
 
 _NAMES = {
     "clean_up": "spark.sql.classic.shuffleDependency.fileCleanup.enabled",  # a write's own shuffle files, which nothing else reads
+    "ordered": "spark.sql.legacy.bucketedTableScan.outputOrdering",  # whether a bucket of one sorted file is known to be sorted
+    "sort_agg": "spark.sql.execution.replaceHashWithSortAgg",  # whether sorted rows are grouped in their order
     "all_keys": "spark.sql.requireAllClusterKeysForCoPartition",  # whether tables bucketed by one of two join keys are shuffled again
 }
 

@@ -750,6 +750,24 @@ def test_an_index_goes_from_one_job_to_the_next(spark, tmp_path):
     again.drop()
 
 
+def test_runs_are_merged_in_the_order_they_are_stored_in(spark):
+    data = sorted(corpus(9, 40))
+    key = lambda rows_: spark.createDataFrame([(i, (t or "").encode()) for i, t in rows_], "key long, text binary").repartition(3)
+    index = fingerprint_index.LogIndex(spark, most_runs=4)
+    for k in range(3):
+        index.absorb(key(data[k::3]))
+    newest, index.runs = index.runs[-1], index.runs[:-1]
+    assert len(index.runs) == 2
+    with common.settings(spark, **index.ORDERED):
+        plan = index.met(spark.table(newest))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 4 and "Sort [" not in plan and "Exchange" not in plan
+    where = spark.sql(f"DESCRIBE TABLE EXTENDED {newest}").where("col_name = 'Location'").head()["data_type"]
+    assert common.shared_dir(spark) in where
+    index.runs.append(newest)
+    index.drop()
+    assert not spark.catalog.databaseExists(index.base)
+
+
 def test_segments_cover_every_window_once():
     rng = np.random.default_rng(2)
     sym = rng.integers(0, 2**63, 500).astype(np.uint64)
