@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.operators.verification import distance_metrics
+
 
 def hard_negatives(rows: DataFrame, top: int = 3, same_owner: bool = False, separation: float = 0.0) -> DataFrame:
     """(batch, anchor, positive_dist, negatives): each anchor's nearest legal negatives (d, direction, candidate), nearest first.
@@ -57,3 +59,26 @@ def triplet_loss(found: DataFrame, margin: float = 1.0, top1_weight: float = 0.6
     tail = lambda q, target: F.pow(F.greatest(F.lit(0.0), c(q) - target), 2)
     got = got.withColumn("tail", tail_weight * (tail("p95", p95_target) + tail("p99", p99_target)) / 2)
     return got.select("batch", "anchors", "skipped", *[F.round(x, 6).alias(x) for x in ("ranking", "neg_mean", "pos_mean", "p95", "p99", "tail")], F.round(c("ranking") + c("tail"), 6).alias("loss"))
+
+
+def validation_summary(found: DataFrame, top: int = 3, margin: float = 1.0) -> DataFrame:
+    """One row over all batches of found (see hard_negatives, with all legal negatives of each anchor): what the whole pool of
+    distances tells (see distance_metrics), and the margin loss over each anchor's nearest `top` alone.
+
+    Anchors without negatives are skipped and counted; their positives count nowhere. loss: the mean over anchors of their mean
+    hinge; active_triplet_ratio: the share of anchors with a hinge above 0. Without any valid anchor the query fails.
+    """
+    c = F.col
+    valid = found.where(F.size("negatives") > 0)
+    pool = valid.select(F.inline(F.concat(F.array(F.struct(c("positive_dist").alias("d"), F.lit(True).alias("positive"))), F.transform("negatives", lambda x: F.struct(x["d"].alias("d"), F.lit(False).alias("positive"))))))
+    hinges = F.transform(F.slice("negatives", 1, top), lambda x: F.greatest(F.lit(0.0), margin + c("positive_dist") - x["d"]))
+    mean = F.aggregate("h", F.lit(0.0), lambda a, x: a + x) / F.size("h")
+    ok, size = c("n") > 0, F.size("negatives")
+    rows = found.select("batch", size.alias("n"), hinges.alias("h"))
+    counts = rows.agg(
+        F.countDistinct("batch").alias("batches"), F.count_if(ok).alias("valid_anchor_count"), F.count_if(~ok).alias("skipped_anchor_count"),
+        F.avg(F.when(ok, mean)).alias("loss"), F.avg(F.when(ok, F.exists("h", lambda x: x > 0).cast("int"))).alias("active_triplet_ratio"),
+    )
+    checked = F.when(c("valid_anchor_count") > 0, c("valid_anchor_count")).otherwise(F.raise_error(F.lit("every anchor has zero legal negatives in its batch")).cast("long"))
+    counts = counts.withColumn("valid_anchor_count", checked).withColumn("valid_anchor_ratio", F.try_divide(c("valid_anchor_count"), c("valid_anchor_count") + c("skipped_anchor_count")))
+    return counts.crossJoin(distance_metrics(pool, positive_at=(0.95, 0.99)))  # one row each

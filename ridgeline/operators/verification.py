@@ -82,9 +82,10 @@ def auc_eer(found: DataFrame) -> DataFrame:
     return at.agg(F.round(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2), 6).alias("auc"), F.round(F.min_by((F.col("fpr") + 1 - F.col("tpr")) / 2, F.struct(F.round(gap, 9), -F.col("score"))), 6).alias("eer"))
 
 
-def distance_metrics(rows: DataFrame, digits: int | None = None) -> DataFrame:
+def distance_metrics(rows: DataFrame, digits: int | None = None, positive_at: tuple[float, ...] = ()) -> DataFrame:
     """One row of what distances (d, positive) tell: means, low percentiles of the negative ones, FPR where TPR first reaches
-    0.95 (1 if never), the greatest TPR with FPR of 1e-4 or less, the area under the ROC, the interpolated equal error rate.
+    0.95 (1 if never), the greatest TPR with FPR of 1e-4 or less, the area under the ROC, the interpolated equal error rate; and
+    pos_pNN, the percentiles of the positive ones that are asked for.
 
     Distances that are null or not finite are left out, as are null kinds; the rest is taken as it is, or to so many digits.
     Distances are counted first, and the counts summed up within ranges and carried over these, so that no task orders all of
@@ -95,19 +96,22 @@ def distance_metrics(rows: DataFrame, digits: int | None = None) -> DataFrame:
     counts = rows.where("positive is not null and not isnan(d) and abs(d) < double('inf')").groupBy(d.alias("d")).agg(F.count_if("positive").alias("p"), F.count_if(~c("positive")).alias("n"))
     at = running_sums(counts, ["d"], ["p", "n"])
     rate = lambda x, of: F.try_divide(x, c(f"all_{of}"))
-    roc = at.select("d", "p", "n", "upto_n", "all_n", "all_p", rate(c("upto_n"), "n").alias("fpr"), rate(c("upto_p"), "p").alias("tpr"), rate(c("upto_n") - c("n"), "n").alias("f0"), rate(c("upto_p") - c("p"), "p").alias("t0"))
+    roc = at.select("d", "p", "n", "upto_n", "all_n", "upto_p", "all_p", rate(c("upto_n"), "n").alias("fpr"), rate(c("upto_p"), "p").alias("tpr"), rate(c("upto_n") - c("n"), "n").alias("f0"), rate(c("upto_p") - c("p"), "p").alias("t0"))
     gap, gap0 = F.round(c("fpr") + c("tpr") - 1, 12), F.round(c("f0") + c("t0") - 1, 12)
     w = F.when(gap == gap0, 0.0).otherwise(-gap0 / (gap - gap0))
     crossing = (c("f0") + w * (c("fpr") - c("f0")) + 1 - c("t0") - w * (c("tpr") - c("t0"))) / 2
-    spot = {q: (c("all_n") - 1) * q for q in (0.01, 0.05)}
-    value = lambda k: F.min(F.when((c("all_n") > 0) & (c("upto_n") > k), c("d")))
-    low = {f"neg_p{round(q * 100):02}": (value(F.floor(x)), value(F.ceil(x)), F.max(x - F.floor(x))) for q, x in spot.items()}
+    value = lambda of, k: F.min(F.when((c(f"all_{of}") > 0) & (c(f"upto_{of}") > k), c("d")))
+    low = {}
+    for of, name, at_ in (("n", "neg", (0.01, 0.05)), ("p", "pos", positive_at)):
+        for q in at_:
+            spot = (c(f"all_{of}") - 1) * q
+            low[f"{name}_p{round(q * 100):02}"] = (value(of, F.floor(spot)), value(of, F.ceil(spot)), F.max(spot - F.floor(spot)))
     got = roc.agg(
         F.try_divide(F.sum(c("d") * c("p")), F.sum("p")).alias("pos_mean"), F.try_divide(F.sum(c("d") * c("n")), F.sum("n")).alias("neg_mean"), *[(a + (b - a) * f).alias(name) for name, (a, b, f) in low.items()],
         F.coalesce(F.min(F.when(c("tpr") >= 0.95, c("fpr"))), F.when(F.sum("p") > 0, 1.0)).alias("fpr_at_tpr95"), F.coalesce(F.max(F.when(c("fpr") <= 1e-4, c("tpr"))), F.when(F.sum("n") > 0, 0.0)).alias("tpr_at_fpr_1e_4"),
         F.sum((c("fpr") - c("f0")) * (c("tpr") + c("t0")) / 2).alias("roc_auc"), F.min_by(crossing, F.when(gap >= 0, c("d"))).alias("eer"),
     )
-    return got.select("pos_mean", "neg_mean", "neg_p01", "neg_p05", "fpr_at_tpr95", "tpr_at_fpr_1e_4", "roc_auc", "eer")
+    return got.select("pos_mean", "neg_mean", *low, "fpr_at_tpr95", "tpr_at_fpr_1e_4", "roc_auc", "eer")
 
 
 def kinds(rows: DataFrame, by: str, measures: list) -> DataFrame:

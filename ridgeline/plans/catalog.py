@@ -460,11 +460,11 @@ both_ AS (SELECT batch, anchor, candidate, 0 AS direction, round(sqrt(greatest(2
 hard AS (SELECT *, row_number() OVER (PARTITION BY batch, anchor ORDER BY d, direction, candidate) AS rank FROM both_ QUALIFY rank <= 3)"""
 
 
-def _negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _negatives(spark: SparkSession, sf_dir: str, top: int = 3) -> DataFrame:
     """Batches of 50 vectors by id; a vector's positive is its values in reverse order."""
     v = F.col("v")
     rows = vectors(spark, sf_dir).select(F.floor(F.col("id") / 50).alias("batch"), "id", "owner", F.col("id").alias("point"), F.lit(0).alias("frame"), (v[0] * 200 + 50).alias("x"), (v[1] * 200 + 50).alias("y"), "v", F.reverse(v).alias("p"))
-    return negatives.hard_negatives(rows, 3, True, 20.0)
+    return negatives.hard_negatives(rows, top, True, 20.0)
 
 
 @query("hard_negatives", f"{BATCH} SELECT batch, anchor, CAST(rank AS INT) AS rank, candidate, CAST(direction AS INT) AS direction, round(d, 6) AS d FROM hard")
@@ -482,6 +482,20 @@ def triplet_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.triplet_loss(_negatives(spark, sf_dir))
 
 
+@query("validation_summary", f"""{BATCH}, a AS (SELECT anchor, count(*) AS k FROM both_ GROUP BY anchor), s AS (SELECT b.batch, b.id, a.k, round(sqrt(greatest(2 - 2 * list_dot_product(v, p), 0)), 12) AS pos FROM b LEFT JOIN a ON b.id = a.anchor),
+h AS (SELECT s.id, avg(greatest(0, 1 + s.pos - hard.d)) AS loss, max(greatest(0, 1 + s.pos - hard.d)) > 0 AS active FROM s JOIN hard ON s.id = hard.anchor GROUP BY s.id),
+e AS (SELECT true AS positive, pos AS d FROM s WHERE k > 0 UNION ALL SELECT false, d FROM both_), c AS (SELECT d, count(*) FILTER (positive) AS p, count(*) FILTER (NOT positive) AS n FROM e GROUP BY d),
+r AS (SELECT d, sum(n) OVER (ORDER BY d) / sum(n) OVER () AS fpr, sum(p) OVER (ORDER BY d) / sum(p) OVER () AS tpr FROM c), l AS (SELECT *, lag(fpr, 1, 0) OVER (ORDER BY d) AS f0, lag(tpr, 1, 0) OVER (ORDER BY d) AS t0 FROM r),
+x AS (SELECT *, (f0 + t0 - 1) / ((f0 + t0 - 1) - (fpr + tpr - 1)) AS w FROM l WHERE round(fpr + tpr - 1, 12) >= 0 ORDER BY d LIMIT 1)
+SELECT (SELECT count(DISTINCT batch) FROM s) AS batches, (SELECT count(k) FROM s) AS valid_anchor_count, (SELECT count(*) - count(k) FROM s) AS skipped_anchor_count, (SELECT round(count(k) / count(*), 6) FROM s) AS valid_anchor_ratio, (SELECT round(avg(loss), 6) FROM h) AS loss, (SELECT round(avg(CAST(active AS INT)), 6) FROM h) AS active_triplet_ratio,
+round(avg(d) FILTER (positive), 6) AS pos_mean, round(avg(d) FILTER (NOT positive), 6) AS neg_mean, round(quantile_cont(d, 0.01) FILTER (NOT positive), 6) AS neg_p01, round(quantile_cont(d, 0.05) FILTER (NOT positive), 6) AS neg_p05, round(quantile_cont(d, 0.95) FILTER (positive), 6) AS pos_p95, round(quantile_cont(d, 0.99) FILTER (positive), 6) AS pos_p99,
+(SELECT round(min(fpr), 6) FROM l WHERE tpr >= 0.95) AS fpr_at_tpr95, (SELECT round(coalesce(max(tpr), 0), 6) FROM l WHERE fpr <= 0.0001) AS tpr_at_fpr_1e_4, (SELECT round(sum((fpr - f0) * (tpr + t0) / 2), 6) FROM l) AS roc_auc, (SELECT round((f0 + w * (fpr - f0) + 1 - t0 - w * (tpr - t0)) / 2, 6) FROM x) AS eer FROM e""")
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all batches: rates of the whole candidate pool, loss values of each anchor's nearest three."""
+    got = negatives.validation_summary(_negatives(spark, sf_dir, 1 << 30), 3)
+    return got.select(*[F.round(x, 6).alias(x) if t == "double" else x for x, t in got.dtypes])
+
+
 @query("hamming_topk", f"""WITH {EMB}, c AS (SELECT id, list_transform(v, lambda x: CASE WHEN x >= 0 THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END) AS s FROM emb)
 SELECT q.id AS q, g.id AS g, (1 - list_dot_product(q.s, g.s) / 64) / 2 AS d, CAST(row_number() OVER (PARTITION BY q.id ORDER BY (1 - list_dot_product(q.s, g.s) / 64) / 2, g.id) AS INT) AS rank FROM c q, c g WHERE q.id % 20 = 0 AND q.id <> g.id QUALIFY rank <= 10""")
 def hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

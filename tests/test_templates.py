@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ridgeline.operators import events, losses, numbering, stages, verification
+from ridgeline.operators import events, losses, negatives, numbering, stages, verification
 from ridgeline.sources import templates, versions
 from ridgeline.sources.templates import Contract
 
@@ -109,6 +109,21 @@ def test_losses_against_plain_matrices(spark):
         losses.binary_losses(df, 4, 6, {"balance": -1.0})
 
 
+def test_validation_tells_the_pool_from_what_was_chosen(spark):
+    """The pool of candidates stays the same while the chosen ones change: rates stay, the loss doesn't."""
+    def rows(first):
+        pool = {1: [0.1, 0.7, 0.8, 0.9], 2: [0.6, 0.7, 0.8, 0.9], 3: []}
+        order = lambda v: sorted(v, key=lambda d: (d != first, d))
+        return spark.createDataFrame([(0, a, 0.2, [(d, 0, k) for k, d in enumerate(order(v))]) for a, v in pool.items()], "batch long, anchor long, positive_dist double, negatives array<struct<d:double,direction:int,candidate:long>>")
+
+    near, far = (negatives.validation_summary(rows(d), 1, 0.8).head() for d in (0.1, 0.7))
+    assert near["fpr_at_tpr95"] == far["fpr_at_tpr95"] == 0.125 and near["neg_mean"] == far["neg_mean"] and near["loss"] > far["loss"]
+    assert (near["valid_anchor_count"], near["skipped_anchor_count"], near["batches"]) == (2, 1, 1) and math.isclose(near["valid_anchor_ratio"], 2 / 3) and near["pos_p95"] == 0.2
+    assert math.isclose(near["loss"], (0.9 + 0.4) / 2) and math.isclose(far["loss"], 0.3) and near["active_triplet_ratio"] == 1
+    with pytest.raises(Exception, match="zero legal negatives"):
+        negatives.validation_summary(rows(0.1).where("anchor = 3")).collect()
+
+
 def test_scans_end_with_the_first_good_template(spark):
     rows = [("q", 1, 1, "a", 0.5, 0.1, 3), ("q", 1, 2, "b", 0.9, 0.1, 0), ("q", 1, 3, "c", 0.95, 0.2, 5), ("q", 2, 1, "d", 0.4, 0.1, None), ("q", 2, 2, "e", 0.4, 0.3, 1), ("q", 2, 3, "f", 0.4, 0.3, 1), ("q", 3, 1, "g", None, None, None)]
     df = spark.createDataFrame(rows, "q string, owner int, pos int, template string, score double, quality double, k int")
