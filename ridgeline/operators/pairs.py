@@ -14,10 +14,11 @@ def image_pairs(images: DataFrame, cap: int) -> DataFrame:
     """(owner, a, b): the first cap unordered pairs of each owner's ids, in the order of (a, b).
 
     A pair's number follows from the ranks of its ids, so each id states its own partners' ranks and only the pairs asked for
-    are made: at most cap rows for each owner.
+    are made: at most cap rows for each owner. The first cap + 1 ids of an owner make them all, and only these are shuffled.
     """
     by = W.partitionBy("owner")
-    ranked = images.select("owner", "id", F.row_number().over(by.orderBy("id")).alias("i"), F.count("*").over(by).alias("n"))
+    first = images.select("owner", "id", F.row_number().over(by.orderBy("id")).alias("i")).where(F.col("i") <= cap + 1)
+    ranked = first.withColumn("n", F.count("*").over(by))
     before = (F.col("i") - 1) * F.col("n") - F.col("i") * (F.col("i") - 1) / 2
     last = F.least(F.col("n"), F.col("i") + cap - before).cast("int")
     left = ranked.where(F.col("i") < last).select("owner", F.col("id").alias("a"), F.explode(F.sequence(F.col("i") + 1, last)).alias("i"))

@@ -41,6 +41,21 @@ def cumulative(found: DataFrame) -> DataFrame:
     return at.select("score", "g", "i", (c("all_i") - c("upto_i") + c("i")).alias("far_n"), (c("upto_g") - c("g")).alias("frr_n"), c("all_i").alias("impostors"), c("all_g").alias("genuines"))
 
 
+def threshold_rates(found: DataFrame, configured: tuple[float, ...] = (), auto: tuple[float, float, float] | None = None) -> DataFrame:
+    """(threshold, fa, fr, far, frr) at each configured threshold (0, 0.5 and 1 without any), each of an even grid (low, high, step), and
+    each finite score, all to ten decimals, from 0 to 1, once. Scores are counted, and counts summed up to each threshold within
+    ranges of both, so scores and thresholds aren't joined."""
+    c = F.col
+    grid = [auto[0] + k * auto[2] for k in range(round((auto[1] - auto[0]) / auto[2]) + 1)] if auto else []
+    counts = found.where("best is not null and not isnan(best) and abs(best) < double('inf')").groupBy(c("best").alias("at")).agg(F.count_if("genuine").alias("g"), F.count_if(~c("genuine")).alias("i"))
+    fixed = found.sparkSession.createDataFrame([(float(x),) for x in (*(configured or (0.0, 0.5, 1.0)), *grid)], "at double")
+    marks = fixed.unionByName(counts.select("at")).select(F.round("at", 10).alias("at")).where("at between 0 and 1").distinct()
+    both = counts.withColumn("kind", F.lit(1)).unionByName(marks.select("at", F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("i"), F.lit(0).alias("kind")))
+    at = running_sums(both, ["at", "kind"], ["g", "i"]).where("kind = 0")  # a threshold comes before the scores that reach it
+    got = at.select(c("at").alias("threshold"), (c("all_i") - c("upto_i")).alias("fa"), c("upto_g").alias("fr"), "all_i", "all_g")
+    return got.select("threshold", "fa", "fr", F.try_divide("fa", "all_i").alias("far"), F.try_divide("fr", "all_g").alias("frr"))
+
+
 def rates(n: str, of: str, name: str):
     """n / of to six decimals; null where of is 0."""
     return F.round(F.try_divide(F.col(n), F.col(of)), 6).alias(name)

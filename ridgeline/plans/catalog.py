@@ -59,6 +59,14 @@ def threshold_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification.cumulative(_scores(spark, sf_dir)).drop("g", "i")
 
 
+@query("threshold_rates", f"""{SCORES}, t AS (SELECT DISTINCT round(x, 10) AS threshold FROM (SELECT unnest([CAST(0.3 AS DOUBLE), CAST(0.35 AS DOUBLE)]) AS x UNION ALL SELECT CAST(0.2 AS DOUBLE) + i * CAST(0.05 AS DOUBLE) FROM range(17) r(i) UNION ALL SELECT best FROM scores) WHERE round(x, 10) BETWEEN 0 AND 1),
+n AS (SELECT count(*) FILTER (genuine) AS g, count(*) FILTER (NOT genuine) AS i FROM scores) SELECT threshold, count(*) FILTER (NOT genuine AND best >= threshold) AS fa, count(*) FILTER (genuine AND best < threshold) AS fr, round(count(*) FILTER (NOT genuine AND best >= threshold) / any_value(n.i), 6) AS far, round(count(*) FILTER (genuine AND best < threshold) / any_value(n.g), 6) AS frr FROM t, scores, n GROUP BY threshold""")
+def threshold_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At two configured thresholds, an even grid and every score."""
+    got = verification.threshold_rates(_scores(spark, sf_dir), (0.3, 0.35), (0.2, 1.0, 0.05))
+    return got.select("threshold", "fa", "fr", F.round("far", 6).alias("far"), F.round("frr", 6).alias("frr"))
+
+
 @query("zero_far_point", f"""{SCORES}, m AS (SELECT max(best) FILTER (NOT genuine) AS threshold_above FROM scores)
 SELECT threshold_above, count(*) FILTER (genuine AND best <= coalesce(threshold_above, -1)) AS fr, round(fr / count(*) FILTER (genuine), 6) AS frr, CAST(CASE WHEN count(*) FILTER (NOT genuine) > 0 THEN 0 END AS DOUBLE) AS far FROM scores, m GROUP BY threshold_above""")
 def zero_far_point(spark: SparkSession, sf_dir: str) -> DataFrame:
