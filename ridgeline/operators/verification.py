@@ -175,3 +175,20 @@ def failures(found: DataFrame, threshold: float, cap: int) -> DataFrame:
     bad = found.withColumn("kind", kind).where("kind is not null")
     rank = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("best"), "q", "owner"))
     return bad.withColumn("rank", rank).where(F.col("rank") <= cap).select("kind", "rank", "q", "owner", "best")
+
+
+def extreme_cases(rows: DataFrame, top: int, bottom: int, least: int = 3) -> DataFrame:
+    """(side, rank, q_owner, q, inliers, score, quality): the top cases by unique inliers, then score, quality, owner and query, and the
+    bottom ones the other way round, of those with `least` unique inliers or more. Only so many rows of a task are ordered again."""
+    order = ["inliers", "score", "quality", "q_owner", "q"]
+    some = rows.select(*order)
+    best = some.orderBy(*[F.desc(c) for c in order]).limit(max(0, top)).withColumn("side", F.lit("top")).withColumn("rank", F.row_number().over(W.orderBy(*[F.desc(c) for c in order])))
+    worst = some.where(F.col("inliers") >= max(0, least)).orderBy(*order).limit(max(0, bottom)).withColumn("side", F.lit("bottom")).withColumn("rank", F.row_number().over(W.orderBy(*order)))
+    return best.unionByName(worst).select("side", "rank", "q_owner", "q", "inliers", "score", "quality")
+
+
+def nearest_candidates(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """Each group's `most` candidates of least d, ties by q, then g; all of them if most is 0 or less."""
+    if most <= 0:
+        return rows
+    return rows.withColumn("_k", F.row_number().over(W.partitionBy(by).orderBy("d", "q", "g"))).where(F.col("_k") <= most).drop("_k")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ridgeline.functions import scalars
+from ridgeline.functions import arrays, scalars
 from ridgeline.operators import batches, blocks, codes, events, geometry, groups, learning, library, losses, matching, negatives, numbering, pairs, stages, verification
 from ridgeline.sources import images, templates, versions
 from ridgeline.sources.tables import shared_folder, table, vectors, written
@@ -237,6 +237,52 @@ def bit_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.bit_statistics(vectors(spark, sf_dir).select(codes.signs(F.col("v")).alias("bits")))
 
 
+XY = "p AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS owner, 50 + 200 * CAST(embedding[1] AS DOUBLE) AS x, 50 + 200 * CAST(embedding[2] AS DOUBLE) AS y, 50 + 200 * CAST(embedding[3] AS DOUBLE) AS u, 50 + 200 * CAST(embedding[4] AS DOUBLE) AS v FROM embeddings)"
+#: Each enrolled point and its ten nearest others; two thirds of them lie where one map of their owner puts them, the rest anywhere.
+CAND = f"""{EMB}, {SIDES}, {XY}, near10 AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 10),
+cand AS (SELECT p.owner, n.a * 1000000 + n.b AS id, n.a AS q, n.b AS g, n.d, p.x, p.y, CASE WHEN (n.a * 7 + n.b) % 3 <> 0 THEN CAST(0.9 AS DOUBLE) * p.x - CAST(0.3 AS DOUBLE) * p.y + 12 + o.x / 100 ELSE o.x END AS u,
+CASE WHEN (n.a * 7 + n.b) % 3 <> 0 THEN CAST(0.3 AS DOUBLE) * p.x + CAST(0.9 AS DOUBLE) * p.y - 7 + o.y / 100 ELSE o.y END AS v, CAST((n.a * 13 + n.b * 7) % 40 - 2 AS DOUBLE) AS angle FROM near10 n JOIN p ON p.id = n.a JOIN p o ON o.id = n.b)"""
+
+
+@query("array_norms", f"""WITH {EMB}, p AS (SELECT id, v, list_transform(v, lambda x: abs(x)) AS a, list_transform(v, lambda x: round(128 + 300 * x)) AS g FROM emb), s AS (SELECT *, sqrt(list_sum(list_transform(v[1:20], lambda x: x * x))) AS n, list_transform(a, lambda x: sqrt(x / (list_sum(a) + 1e-12))) AS r, list_avg(g) AS m, list_stddev_pop(g) AS sd FROM p)
+SELECT id, round(v[3] / greatest(n, 1e-12), 6) AS unit, round(r[5] / (sqrt(list_sum(list_transform(r, lambda x: x * x))) + 1e-12), 6) AS root, round(sd, 6) AS std, round((g[7] - m) / greatest(sd, 1e-6), 6) AS standardised, round(len(list_filter(g, lambda x: x > 120)) / len(g), 6) AS valid,
+CAST(list_sum(list_transform(range(8), lambda i: CASE WHEN v[i + 1] > 0 THEN 1 << CAST(7 - i AS INT) ELSE 0 END)) AS INT) AS big, CAST(list_sum(list_transform(range(8), lambda i: CASE WHEN v[i + 1] >= 0 THEN 1 << CAST(i AS INT) ELSE 0 END)) AS INT) AS little, '{arrays.transform_id("walsh", 64, "big", False)}' AS transform FROM s""")
+def array_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One value of each normalisation of a vector, patch statistics, and its first byte in either bit order."""
+    c, v = F.col, F.col("v")
+    rows = vectors(spark, sf_dir).select("id", "v", F.transform("v", F.abs).alias("a"), F.transform("v", lambda x: F.round(128 + 300 * x)).alias("g"))
+    values = {"unit": arrays.unit(F.slice(v, 1, 20))[2], "root": arrays.rootsift(c("a"))[4], "std": arrays.mean_std(c("g"))[1], "standardised": arrays.standardised(c("g"))[6], "valid": arrays.share_above(c("g"), 120)}
+    codes_ = {"big": arrays.packed(arrays.bits_of(v, False), 64, "big")[0], "little": arrays.packed(arrays.bits_of(v), 64)[0]}
+    return rows.select("id", *[F.round(x, 6).alias(k) for k, x in values.items()], *[x.alias(k) for k, x in codes_.items()], F.lit(arrays.transform_id("walsh", 64, "big", False)).alias("transform"))
+
+
+@query("checkpoint_scores", """WITH m AS (SELECT event_id AS epoch, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST(value AS DOUBLE) / 40 END AS loss, CAST(event_id % 17 AS DOUBLE) / 10 AS pm, CAST(event_id % 23 AS DOUBLE) / 10 AS nm, CAST(event_id % 13 AS DOUBLE) / 10 AS fpr, CASE WHEN event_id % 7 = 0 THEN CAST('nan' AS DOUBLE) ELSE CAST(event_id % 29 AS DOUBLE) / 10 END AS p95, CAST(value AS DOUBLE) AS whole FROM events)
+SELECT epoch, round(CAST(0.3 AS DOUBLE) * CASE WHEN loss IS NULL THEN 0 ELSE 1 - least(greatest(loss / 3, 0), 1) END + CAST(0.2 AS DOUBLE) * least(greatest((nm - pm) / 2, 0), 1) + CAST(0.35 AS DOUBLE) * (1 - least(fpr, 1)) + CAST(0.15 AS DOUBLE) * CASE WHEN isnan(p95) THEN 0 ELSE 1 - least(p95 / 2, 1) END, 6) AS score, round(greatest(0, whole - coalesce(loss, 0) - pm), 6) AS core FROM m""")
+def checkpoint_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as epochs with the measures of a validation, some missing."""
+    n, value = F.col("event_id"), F.col("value").cast("double")
+    tenth = lambda k: (n % k).cast("double") / 10
+    loss, p95 = F.when(n % 5 != 0, value / 40), F.when(n % 7 == 0, float("nan")).otherwise(tenth(29))
+    return table(spark, sf_dir, "events").select(n.alias("epoch"), F.round(arrays.checkpoint_score(loss, tenth(17), tenth(23), tenth(13), p95), 6).alias("score"), F.round(arrays.core_time(value, loss, tenth(17)), 6).alias("core"))
+
+
+CASES = "c AS (SELECT o_custkey % 40 AS q_owner, o_orderkey AS q, o_orderkey % 12 AS u, CAST(o_totalprice AS DOUBLE) AS score, CAST(o_custkey % 7 AS DOUBLE) AS quality FROM orders)"
+
+
+@query("extreme_cases", f"""WITH {CASES}, t AS (SELECT 'top' AS side, row_number() OVER (ORDER BY u DESC, score DESC, quality DESC, q_owner DESC, q DESC) AS rank, * FROM c QUALIFY rank <= 25), b AS (SELECT 'bottom' AS side, row_number() OVER (ORDER BY u, score, quality, q_owner, q) AS rank, * FROM c WHERE u >= 3 QUALIFY rank <= 15)
+SELECT side, CAST(rank AS INT) AS rank, q_owner, q, u AS inliers, score, quality FROM (FROM t UNION ALL FROM b)""")
+def extreme_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    rows = table(spark, sf_dir, "orders").select((c("o_custkey") % 40).alias("q_owner"), c("o_orderkey").alias("q"), (c("o_orderkey") % 12).alias("inliers"), c("o_totalprice").cast("double").alias("score"), (c("o_custkey") % 7).cast("double").alias("quality"))
+    return verification.extreme_cases(rows, 25, 15, 3)
+
+
+@query("nearest_candidates", f"WITH {CAND} SELECT owner, q, g, round(d, 6) AS d FROM cand QUALIFY row_number() OVER (PARTITION BY owner ORDER BY d, q, g) <= 20")
+def nearest_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest candidates of each owner."""
+    return verification.nearest_candidates(_seen_candidates(spark, sf_dir), "owner", 20).select("owner", "q", "g", F.round("d", 6).alias("d"))
+
+
 @query("image_pairs", f"WITH {EMB} SELECT owner, a, b FROM (SELECT p.owner, p.id AS a, q.id AS b, row_number() OVER (PARTITION BY p.owner ORDER BY p.id, q.id) AS n FROM emb p JOIN emb q ON p.owner = q.owner AND p.id < q.id) WHERE n <= 100")
 def image_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.image_pairs(vectors(spark, sf_dir), 100)
@@ -247,7 +293,6 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.group_split(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner")))
 
 
-XY = "p AS (SELECT vec_id AS id, CAST(label AS BIGINT) AS owner, 50 + 200 * CAST(embedding[1] AS DOUBLE) AS x, 50 + 200 * CAST(embedding[2] AS DOUBLE) AS y, 50 + 200 * CAST(embedding[3] AS DOUBLE) AS u, 50 + 200 * CAST(embedding[4] AS DOUBLE) AS v FROM embeddings)"
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,10 +308,6 @@ def affine_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("owner", "n", *[F.round(c, 6).alias(c) for c in ("a", "b", "tx", "ty")])
 
 
-#: Each enrolled point and its ten nearest others; two thirds of them lie where one map of their owner puts them, the rest anywhere.
-CAND = f"""{EMB}, {SIDES}, {XY}, near10 AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) <= 10),
-cand AS (SELECT p.owner, n.a * 1000000 + n.b AS id, n.a AS q, n.b AS g, n.d, p.x, p.y, CASE WHEN (n.a * 7 + n.b) % 3 <> 0 THEN CAST(0.9 AS DOUBLE) * p.x - CAST(0.3 AS DOUBLE) * p.y + 12 + o.x / 100 ELSE o.x END AS u,
-CASE WHEN (n.a * 7 + n.b) % 3 <> 0 THEN CAST(0.3 AS DOUBLE) * p.x + CAST(0.9 AS DOUBLE) * p.y - 7 + o.y / 100 ELSE o.y END AS v, CAST((n.a * 13 + n.b * 7) % 40 - 2 AS DOUBLE) AS angle FROM near10 n JOIN p ON p.id = n.a JOIN p o ON o.id = n.b)"""
 ROBUST = f"""{CAND}, r AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY md5('7|' || id), id) - 1 AS i, count(*) OVER (PARTITION BY owner) AS n FROM cand),
 ends AS (SELECT s.owner, t.h, p1.x AS x1, p1.y AS y1, p1.u AS u1, p1.v AS v1, p2.x - p1.x AS dx, p2.y - p1.y AS dy, p2.u - p1.u AS du, p2.v - p1.v AS dv FROM (SELECT DISTINCT owner, n FROM r) s JOIN range(256) t(h) ON t.h < s.n * (s.n - 1)
 JOIN r p1 ON p1.owner = s.owner AND p1.i = t.h % s.n JOIN r p2 ON p2.owner = s.owner AND p2.i = (t.h % s.n + 1 + (t.h // s.n) % (s.n - 1)) % s.n),

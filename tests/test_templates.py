@@ -132,3 +132,27 @@ def test_scans_end_with_the_first_good_template(spark):
     assert (got[2]["best_template"], got[2]["best_pos"], got[2]["stopped"]) == ("e", 2, False) and (got[3]["best_score"], got[3]["templates"]) == (0.0, 1)
     full = {r["owner"]: r for r in verification.identity_fusion(df).collect()}
     assert full[1]["best_template"] == "c" and not full[1]["stopped"] and math.isclose(full[1]["top_mean"], 2.35 / 3)
+
+
+def test_arrays_of_numbers(spark):
+    from ridgeline.functions import arrays
+
+    df = spark.createDataFrame([(1, [3.0, 4.0, 0.0]), (2, [0.0, 0.0, 0.0]), (3, [])], "id int, v array<double>")
+    v = F.col("v")
+    mean, std = arrays.mean_std(v)
+    got = {r["id"]: r for r in df.select("id", arrays.unit(v).alias("unit"), arrays.rootsift(v).alias("root"), mean.alias("mean"), std.alias("std"), arrays.standardised(v).alias("z"), arrays.share_above(v, 3).alias("share")).collect()}
+    assert got[1]["unit"] == [0.6, 0.8, 0.0] and got[2]["unit"] == [0.0] * 3 and got[2]["z"] == [0.0] * 3
+    assert np.allclose(got[1]["root"], np.sqrt([3 / 7, 4 / 7, 0])) and math.isclose(got[1]["std"], np.std([3, 4, 0])) and math.isclose(got[1]["share"], 1 / 3)
+    assert got[3]["mean"] is None and got[3]["share"] is None and got[3]["unit"] == []
+    rng = np.random.default_rng(3)
+    bits = [rng.integers(0, 2, n).tolist() for n in (8, 13, 64)]
+    for b in bits:
+        row = spark.createDataFrame([(b,)], "b array<int>").select(*[arrays.packed(F.col("b"), len(b), o).alias(o) for o in ("little", "big")]).head()
+        assert all(row[o] == np.packbits(b, bitorder=o).tolist() for o in ("little", "big"))
+    signs = df.where("id = 1").select(arrays.bits_of(v, False).alias("a"), arrays.bits_of(v).alias("b")).head()
+    assert signs["a"] == [1, 1, 0] and signs["b"] == [1, 1, 1]
+    assert arrays.transform_id("t", 8, "big", True) == arrays.transform_id("t", 8, "big", True) != arrays.transform_id("t", 8, "little", True)
+    one = lambda *x: df.limit(1).select(arrays.checkpoint_score(*[F.lit(y).cast("double") for y in x]).alias("s")).head()["s"]
+    best = one(0.6, 0.2, 0.7, 0.2, 0.4)
+    assert math.isclose(best, 0.69) and all(one(*x) > best for x in ((0.5, 0.2, 0.7, 0.2, 0.4), (0.6, 0.1, 0.7, 0.2, 0.4), (0.6, 0.2, 0.8, 0.2, 0.4), (0.6, 0.2, 0.7, 0.1, 0.4), (0.6, 0.2, 0.7, 0.2, 0.3)))
+    assert one(None, None, math.nan, math.inf, None) == 0.0
