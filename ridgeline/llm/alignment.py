@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -93,31 +94,33 @@ class Aligner:
         a, want, shown = self.ids_a(part), part.encode(), self.shown
         if b is None or b"".join(map(self.bytes_b.__getitem__, b)) != want or not (self.keeps_a or b"".join(map(self.bytes_a.__getitem__, a)) == want):
             return None
-        pairs: dict[int, int] = {}
-        text, links = [], 0
+        keys, text, links, large = [], [], 0, None
         groups = align(a, b, self.size_a, self.size_b)
         for i, k, j, m in groups:
             if k - i == 1 and m - j == 1:
                 links += 1
                 text.append(f"{shown[a[i]]}|{shown[b[j]]}")
-                pair = a[i] << SHIFT | b[j]
-                pairs[pair] = pairs.get(pair, 0) + 1
+                keys.append(a[i] << SHIFT | b[j])
                 continue
-            links += (k - i) * (m - j)
+            n = (k - i) * (m - j)
+            links += n
             one, two = a[i:k], b[j:m]
             text.append(f"{','.join([shown[x] for x in one])}|{','.join([shown[x] for x in two])}")
-            if len(one) * len(two) <= 16:
+            if n <= 1024:
                 for p in one:
                     p <<= SHIFT
-                    for q in two:
-                        pairs[p | q] = pairs.get(p | q, 0) + 1
-            else:
-                twos = Counter(two).items()
+                    keys += [p | q for q in two]
+            else:  # ids recur, so their different pairs are fewer
+                large, twos = large or Counter(), Counter(two).items()
                 for p, n in Counter(one).items():
                     for q, o in twos:
-                        pair = p << SHIFT | q
-                        pairs[pair] = pairs.get(pair, 0) + n * o
-        return (len(a), len(b), len(groups), links, ";".join(text), array("q", pairs).tobytes(), None if len(pairs) == links else array("q", pairs.values()).tobytes())
+                        large[p << SHIFT | q] += n * o
+        often = None
+        if large or len(set(keys)) < len(keys):
+            counts = Counter(keys)
+            counts.update(large or ())
+            keys, often = counts, array("q", counts.values()).tobytes()
+        return (len(a), len(b), len(groups), links, ";".join(text), array("q", keys).tobytes(), often)
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}  # of this Python worker, which serves many tasks
@@ -196,10 +199,11 @@ class Block:
     def row(self, number: int) -> tuple:
         each = np.array([np.fromiter((r[k] for r in self.records), np.int64, len(self.records)) for k in range(4)]).T
         pairs, pair = np.unique(np.frombuffer(b"".join(r[5] for r in self.records), np.int64), return_inverse=True)
-        once = np.ones(max((len(r[5]) // 8 for r in self.records), default=0), np.int64)
-        often = np.concatenate([np.empty(0, np.int64), *(once[: len(r[5]) // 8] if r[6] is None else np.frombuffer(r[6], np.int64) for r in self.records)])
         sizes = np.array([len(r[5]) // 8 for r in self.records], np.int64)
-        first = np.cumsum(sizes) - sizes
+        first, often = np.cumsum(sizes) - sizes, np.ones(len(pair), np.int64)
+        for k, r in enumerate(self.records):
+            if r[6] is not None:
+                often[first[k] : first[k] + sizes[k]] = np.frombuffer(r[6], np.int64)
         docs_of, last = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
         sums = np.zeros((len(self.docs), 4), np.int64)
         for k, (_, _, part, n) in enumerate(self.docs):
@@ -229,14 +233,18 @@ def aligned_blocks(docs: DataFrame, path_a: str | None = None, path_b: str | Non
             types = [pa.int64(), longs, strings, longs, longs, longs, longs, pa.binary(), longs, longs]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(block.row(part + n), types, strict=True)], [x.split()[0] for x in _ROW.split(", ")])
 
-        for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                block.add(tool, doc, text.as_py())
-                if block.size >= block_parts or len(block.docs) >= BLOCK_DOCS:
-                    yield batch()
-                    block, n = Block(), n + 1
-        if block.docs:
-            yield batch()
+        gc.disable()  # nothing that is kept is part of a cycle, and looking for some again and again takes a sixth of the time
+        try:
+            for b in batches:
+                for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+                    block.add(tool, doc, text.as_py())
+                    if block.size >= block_parts or len(block.docs) >= BLOCK_DOCS:
+                        yield batch()
+                        block, n = Block(), n + 1
+            if block.docs:
+                yield batch()
+        finally:
+            gc.enable()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROW)
 

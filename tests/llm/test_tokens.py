@@ -299,6 +299,19 @@ def test_blocks_of_any_size_count_alike(tools):
         whole = held
 
 
+def test_pairs_of_a_group_are_counted_alike_at_any_size(monkeypatch):
+    """All tokens as one group: many are counted by their different ids."""
+    monkeypatch.setattr(alignment, "align", lambda a, b, size_a, size_b: [(0, len(a), 0, len(b))])
+    tool = alignment.aligner(None, None)
+    for n in (1, 3, 60):
+        part = " the cat" * n
+        a, b = tool.ids_a(part), tool.piece_ids([part])[0]
+        found = tool.learn(part, b)
+        keys = np.frombuffer(found[5], np.int64).tolist()
+        often = [1] * len(keys) if found[6] is None else np.frombuffer(found[6], np.int64).tolist()
+        assert found[2:4] == (1, len(a) * len(b)) and dict(zip(keys, often, strict=True)) == Counter(p << 32 | q for p in a for q in b)
+
+
 def test_packed_arrays_round_trip():
     arrays = [np.array([], np.int64), np.array([5, -1, 1 << 40]), np.arange(1000)]
     assert all((x == y).all() and len(x) == len(y) for x, y in zip(arrays, alignment.unpacked(alignment.packed(*arrays)), strict=True))
