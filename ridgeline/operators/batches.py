@@ -33,20 +33,15 @@ def cyclic_pairs(pairs: DataFrame, batches: int, seed: int) -> DataFrame:
 
 def cyclic_owners(owners: DataFrame, batches: int, count: int, seed: int) -> DataFrame:
     """(batch, owner): `count` different owners a batch. A shuffle of all owners is cut into batches, then the next; those left at
-    its end, fewer than count, wait for another. Owners are numbered once for each shuffle that is needed."""
+    its end, fewer than count, wait for another. All shuffles are numbered in one pass."""
     c = F.col
     n = owners.count()
     each = n // count
     if not each:
         raise ValueError(f"{count} owners a batch are asked for, there are {n}")
-    parts = []
-    for cycle in range(-(-batches // each)):
-        placed = dense_numbers(owners.select("owner", shuffled(seed, cycle, c("owner")).alias("k")), ["k", "owner"], "at")
-        parts.append(placed.where(c("at") < each * count).select((F.floor(c("at") / count) + cycle * each).alias("batch"), "owner"))
-    got = parts[0]
-    for p in parts[1:]:
-        got = got.unionByName(p)
-    return got.where(c("batch") < batches)
+    rows = owners.select("owner", F.explode(F.sequence(F.lit(0), F.lit(-(-batches // each) - 1))).alias("cycle"))
+    placed = dense_numbers(rows.withColumn("k", shuffled(seed, c("cycle"), c("owner"))), ["cycle", "k", "owner"], "at").withColumn("at", c("at") - c("cycle") * n)
+    return placed.where(c("at") < each * count).select((F.floor(c("at") / count) + c("cycle") * each).alias("batch"), "owner").where(c("batch") < batches)
 
 
 def random_pairs(scheduled: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
