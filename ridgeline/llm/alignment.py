@@ -76,9 +76,11 @@ class Aligner:
 
     def piece_ids(self, new: list[str]) -> list[list[int] | None]:
         """The second tokenizer's ids of parts. It puts a blank before each text, which a part that starts with one has already;
-        before others a line end keeps the blank apart, as no piece holds one."""
-        found = self.b.encode([x[1:] if x[0] == " " else "\n" + x for x in new], num_threads=1)
-        return [ids if x[0] == " " else ids[2:] if ids[:2] == self.lead else None for x, ids in zip(new, found, strict=True)]
+        before others a line end keeps the blank apart, as no piece holds one. So it does for a blank alone, as nothing is put
+        before an empty text."""
+        led = [x[0] == " " and x != " " for x in new]
+        found = self.b.encode([x[1:] if own else "\n" + x for x, own in zip(new, led, strict=True)], num_threads=1)
+        return [ids if own else ids[2:] if ids[:2] == self.lead else None for own, ids in zip(led, found, strict=True)]
 
     def records(self, asked: list[str]) -> list[tuple | None]:
         """What learn has of each; parts that nobody asked for lately are learnt together."""

@@ -312,6 +312,13 @@ def test_pairs_of_a_group_are_counted_alike_at_any_size(monkeypatch):
         assert found[2:4] == (1, len(a) * len(b)) and dict(zip(keys, often, strict=True)) == Counter(p << 32 | q for p in a for q in b)
 
 
+def test_texts_that_end_in_a_blank_keep_their_tokens(spark, tools):
+    """A blank alone is a part of its own, which the second tokenizer must not take for an empty text."""
+    rows = [(k, t) for k, t in enumerate(["a ", "the word ", " ", "  ", "a  ", "x\n ", "word " * 300, "a \u2003", "a\u2581 ", "the word"])]
+    found = got(alignment.linked_counts(spark.createDataFrame(rows, "doc_id long, text string")), *ALIGNED)
+    assert found == plain_alignment(rows, tools) and sum(r[1] == 0 for r in found) == 1
+
+
 def test_packed_arrays_round_trip():
     arrays = [np.array([], np.int64), np.array([5, -1, 1 << 40]), np.arange(1000)]
     assert all((x == y).all() and len(x) == len(y) for x, y in zip(arrays, alignment.unpacked(alignment.packed(*arrays)), strict=True))
