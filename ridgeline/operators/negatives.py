@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.operators.blocks import in_order, unit_distances
 from ridgeline.operators.verification import distance_metrics
 
 
@@ -16,7 +17,8 @@ def hard_negatives(rows: DataFrame, top: int = 3, same_owner: bool = False, sepa
     rows: (batch, id, owner, point, frame, x, y, v, p), p the positive of v, both unit vectors. An anchor's candidates are the
     other rows' positives (direction 0) and, for its own positive, the other rows' anchors (direction 1). Rows of the same
     point are never legal, rows of the same owner only with same_owner, and then only where their frames differ or their
-    places are separation or more apart in x or y. Ties go by direction, then id. A batch is one unit of work: its size is
+    places are separation or more apart in x or y. Ties go by direction, then id; both directions often tie, so
+    products are summed value by value and not in a matrix product's own order. A batch is one unit of work: its size is
     the trainer's batch size, and only the chosen negatives leave it. An anchor without any has an empty list.
     """
 
@@ -24,7 +26,7 @@ def hard_negatives(rows: DataFrame, top: int = 3, same_owner: bool = False, sepa
         t = t.sort_by("id")
         ids, owner, point, frame, x, y = (t[c].to_numpy() for c in ("id", "owner", "point", "frame", "x", "y"))
         v, p = (np.stack(t[c].to_numpy()) for c in ("v", "p"))
-        d = np.round(np.sqrt(np.maximum(2 - 2 * (v @ p.T), 0)), 12)
+        d = unit_distances(in_order(v, p))
         illegal = point[:, None] == point[None, :]
         same = owner[:, None] == owner[None, :]
         if not same_owner:
