@@ -2,9 +2,13 @@
 
 import math
 
+import duckdb
 import numpy as np
 
 from ridgeline.operators import negatives
+from ridgeline.plans import all_queries
+
+QUERIES, ORACLES = all_queries()
 
 
 def units(n, seed, width=64):
@@ -27,3 +31,16 @@ def test_negatives_of_both_directions_tie_as_in_sql(spark):
     d = [[distance(x, y[::-1]) for y in v] for x in v]
     for i in range(len(v)):
         assert found[i] == sorted([(d[i][j], 0, j) for j in range(len(v)) if j != i] + [(d[j][i], 1, j) for j in range(len(v)) if j != i])
+
+
+def test_halves_of_float_products_round_as_in_sql(spark, tmp_path):
+    near = [np.float32((k + 0.5) / 100) for k in range(-60, 60)]
+    odd = [float(x) for x in near if float(x * np.float32(100)) % 1 == 0.5 and (float(x) * 100) % 1 != 0.5]
+    assert len(odd) >= 10
+    spark.createDataFrame([(i, [*odd[:8], *([0.25] * 56)], 1) for i in range(4)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("template_hashes", "templates_to_build"):
+        got = QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
+        assert want and sorted(map(tuple, got.collect())) == sorted(want)
