@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,16 +14,21 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once for a row. A lambda that holds it as an expression works it out for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unit(v: Column, least: float = 1e-12) -> Column:
     """The vector at length 1; divided by `least` if it is shorter."""
     norm = F.sqrt(total(F.transform(v, lambda x: x * x)))
-    return F.transform(v, lambda x: x / F.greatest(norm, F.lit(least)))
+    return once(F.greatest(norm, F.lit(least)), lambda n: F.transform(v, lambda x: x / n))
 
 
 def rootsift(v: Column) -> Column:
     """Values from 0 on as shares of their sum, their roots, at length 1."""
-    shares = F.transform(v, lambda x: F.sqrt(x / (total(v) + 1e-12)))
-    return F.transform(shares, lambda x: x / (F.sqrt(total(F.transform(shares, lambda y: y * y))) + 1e-12))
+    shares = once(total(v) + 1e-12, lambda n: F.transform(v, lambda x: F.sqrt(x / n)))
+    return once(shares, lambda r: once(F.sqrt(total(F.transform(r, lambda y: y * y))) + 1e-12, lambda n: F.transform(r, lambda x: x / n)))
 
 
 def mean_std(v: Column) -> tuple[Column, Column]:
@@ -35,7 +41,7 @@ def mean_std(v: Column) -> tuple[Column, Column]:
 def standardised(v: Column) -> Column:
     """Values less their mean, by their standard deviation, 1e-6 at least."""
     mean, std = mean_std(v)
-    return F.transform(v, lambda x: (x - mean) / F.greatest(std, F.lit(1e-6)))
+    return once(F.struct(mean.alias("mean"), F.greatest(std, F.lit(1e-6)).alias("std")), lambda s: F.transform(v, lambda x: (x - s["mean"]) / s["std"]))
 
 
 def share_above(v: Column, threshold: float) -> Column:

@@ -1,10 +1,12 @@
 """Distances, whole numbers and normalisations that must be what SQL and plain Python have, also at size."""
 
 import math
+import time
 
 import duckdb
 import numpy as np
 
+from ridgeline.functions import arrays
 from ridgeline.operators import negatives
 from ridgeline.plans import all_queries
 
@@ -44,3 +46,13 @@ def test_halves_of_float_products_round_as_in_sql(spark, tmp_path):
         got = QUERIES[name](spark, str(tmp_path))
         want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
         assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_sums_of_a_vector_are_not_worked_out_for_each_value(spark):
+    v = np.abs(units(1, 5, 1500)[0])
+    began = time.time()
+    df = spark.createDataFrame([(v.tolist(),)], "v array<double>")
+    one = df.select(arrays.unit(df.v).alias("u"), arrays.rootsift(df.v).alias("r"), arrays.standardised(df.v).alias("s")).first()
+    root = np.sqrt(v / (v.sum() + 1e-12))
+    assert np.allclose(one["u"], v / np.linalg.norm(v)) and np.allclose(one["r"], root / (np.linalg.norm(root) + 1e-12)) and np.allclose(one["s"], (v - v.mean()) / v.std())
+    assert time.time() - began < 20
