@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 
 from ridgeline.functions import arrays
-from ridgeline.operators import negatives
+from ridgeline.operators import blocks, negatives
 from ridgeline.plans import all_queries
 
 QUERIES, ORACLES = all_queries()
@@ -56,3 +56,16 @@ def test_sums_of_a_vector_are_not_worked_out_for_each_value(spark):
     root = np.sqrt(v / (v.sum() + 1e-12))
     assert np.allclose(one["u"], v / np.linalg.norm(v)) and np.allclose(one["r"], root / (np.linalg.norm(root) + 1e-12)) and np.allclose(one["s"], (v - v.mean()) / v.std())
     assert time.time() - began < 20
+
+
+def test_blocks_meet_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    monkeypatch.setattr(blocks, "GALLERY", 8)
+    monkeypatch.setattr(blocks, "PARTS", 3, raising=False)
+    v = units(90, 8)
+    rows = spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(v)], "id long, owner long, v array<double>")
+    near = blocks.nearest(rows.where("id % 3 = 0"), rows, 4)
+    got = sorted((r["q"], r["rank"], r["g"], r["d"]) for r in near.collect())
+    want = [(q, k + 1, g, d) for q in range(0, 90, 3) for k, (d, g) in enumerate(sorted((distance(v[q], v[g]), g) for g in range(90) if g != q)[:4])]
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], atol=1e-11)
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
