@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ridgeline.operators.blocks import identity_scores
+from ridgeline.operators.blocks import each, identity_scores
 from ridgeline.operators.numbering import running_sums
+from ridgeline.sources.tables import written
 
 
 def enrolled(vectors: DataFrame, count: int = 5, strategy: str = "first") -> DataFrame:
@@ -109,6 +115,12 @@ def distance_metrics(rows: DataFrame, digits: int | None = None, positive_at: tu
     c = F.col
     d = c("d") if digits is None else F.round("d", digits)
     counts = rows.where("positive is not null and not isnan(d) and abs(d) < double('inf')").groupBy(d.alias("d")).agg(F.count_if("positive").alias("p"), F.count_if(~c("positive")).alias("n"))
+    return _counted_metrics(counts, positive_at)
+
+
+def _counted_metrics(counts: DataFrame, positive_at: tuple[float, ...]) -> DataFrame:
+    """See distance_metrics; counts: (d, p, n), the positive and negative rows of each distance."""
+    c = F.col
     at = running_sums(counts, ["d"], ["p", "n"])
     rate = lambda x, of: F.try_divide(x, c(f"all_{of}"))
     roc = at.select("d", "p", "n", "upto_n", "all_n", "upto_p", "all_p", rate(c("upto_n"), "n").alias("fpr"), rate(c("upto_p"), "p").alias("tpr"), rate(c("upto_n") - c("n"), "n").alias("f0"), rate(c("upto_p") - c("p"), "p").alias("t0"))
@@ -129,6 +141,93 @@ def distance_metrics(rows: DataFrame, digits: int | None = None, positive_at: tu
     return got.select("pos_mean", "neg_mean", *low, "fpr_at_tpr95", "tpr_at_fpr_1e_4", "roc_auc", "eer")
 
 
+def pooled_metrics(queries: DataFrame, gallery: DataFrame, positive_at: tuple[float, ...] = (), cell_rows: int = 1 << 18, at_once: int | None = None) -> DataFrame:
+    """distance_metrics of the distances (see blocks.nearest) of all queries to all other gallery rows, positive within an owner.
+
+    The pairs are never held at once. One pass counts and sums them in even cells of distance, at most 65,536, so it is known in which
+    cells the percentiles and rates lie. Only these cells give each distance with its counts; any other stands for all of its rows.
+    The area under the ROC needs the order within each cell: rounds of cells with at_once pairs (by default more with more rows)
+    compute their distances again and order a cell at a time. Blocks pass on equal distances once.
+    """
+    c, spark = F.col, queries.sparkSession
+    size = queries.count() * gallery.count()
+    cells = 1 << min(16, max(4, (size // cell_rows).bit_length() + 3))  # distances fill a part of them
+    at_once = at_once or max(1 << 27, size // max(1, queries.count()) << 11)
+    cell = lambda d: np.minimum((d * (cells / 2)).astype(np.int64), cells - 1)
+
+    def pools(q, g, d):
+        known = np.isfinite(d) & (q[0][:, None] != g[0][None, :])
+        same = q[1][:, None] == g[1][None, :]
+        return d[known & same], d[known & ~same]
+
+    def counted(q, g, d):
+        (p, n), k = pools(q, g, d), {"minlength": cells}
+        found = [np.bincount(cell(p), **k), np.bincount(cell(n), **k), *(np.bincount(cell(x), x, **k).astype(float) for x in (p, n))]  # of no rows they are integers
+        at = np.flatnonzero(found[0] + found[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at]) for x in found)], ["cell", "p", "n", "sum_p", "sum_n"])
+
+    table = each(queries, gallery, "id", counted, "cell long, p long, n long, sum_p double, sum_n double").groupBy("cell").agg(*[F.sum(x).alias(x) for x in ("p", "n", "sum_p", "sum_n")]).toPandas()
+    p, n = (np.bincount(table["cell"], table[x], cells).astype(np.int64) for x in "pn")
+    upto_p, upto_n = np.cumsum(p), np.cumsum(n)
+    all_p, all_n = int(upto_p[-1]), int(upto_n[-1])
+    spots = set()  # the cells that hold what is asked for
+    for upto, total, shares in ((upto_n, all_n, (0.01, 0.05)), (upto_p, all_p, positive_at)):
+        for k in (f((total - 1) * x) for x in shares for f in (math.floor, math.ceil)):
+            spots.add(int(np.searchsorted(upto, k, "right")))
+    if all_p:
+        spots.add(int(np.argmax(upto_p / all_p >= 0.95)))
+    if all_n:
+        spots.add(int(np.argmax(upto_n / all_n > 1e-4)))
+    if all_p and all_n:
+        spots.add(int(np.argmax(np.round(upto_n / all_n + upto_p / all_p - 1, 12) >= 0)))
+    exact = np.isin(np.arange(cells), list(spots)) & (p + n > 0)
+    wanted = exact | ((p > 0) & (n > 0))
+    held = np.where(wanted, p + n, 0)
+    turn = np.where(wanted, (np.cumsum(held) - held) // at_once, -1)
+
+    def dealt(now):
+        def found(q, g, d):
+            for positive, x in zip((True, False), pools(q, g, d), strict=True):
+                x = np.sort(x[turn[cell(x)] == now])
+                first = np.flatnonzero(np.diff(x, prepend=-1.0))
+                x, times = x[first], np.diff(np.append(first, len(x)))
+                of = cell(x)
+                starts = np.flatnonzero(np.diff(of, prepend=-1))
+                ends = pa.array(np.append(starts, len(x)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (x, times.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(of[starts]), pa.array(np.full(len(starts), positive)), *lists], ["cell", "positive", "d", "times"])
+
+        return each(queries, gallery, "id", found, "cell long, positive boolean, d array<double>, times array<int>")
+
+    def ordered(t: pa.Table) -> pa.Table:
+        sides = []
+        for positive in (True, False):
+            side = t.filter(pc.equal(t["positive"], positive))
+            d, times = (side[x].combine_chunks().flatten().to_numpy().astype(k) for x, k in (("d", float), ("times", np.int64)))
+            order = np.argsort(d)
+            sides.append((d[order], times[order]))
+        (dp, tp), (dn, tn) = sides
+        before = np.append(0, np.cumsum(tp))
+        wins = int(((before[np.searchsorted(dp, dn, "left")] + before[np.searchsorted(dp, dn, "right")]) * tn).sum())  # twice the positives below, and those level
+        values = np.unique(np.concatenate([dp, dn])) if exact[t["cell"][0].as_py()] else np.array([np.nan])
+        ends = [np.diff(np.append(0, np.append(0, np.cumsum(k))[np.searchsorted(d, values, "right")])) for d, k in sides]
+        return pa.table({"wins": pa.array([float(wins), *[0.0] * (len(values) - 1)]), "d": values, "p": ends[0], "n": ends[1]})
+
+    done = None
+    for now in range(int(turn.max()) + 1):
+        some = written(dealt(now).groupBy("cell").applyInArrow(ordered, "wins double, d double, p long, n long"), "ordered", clean_up=True)
+        done = some if done is None else done.unionByName(some)
+    rest = [((k + 0.5) * 2 / cells, int(p[k]), int(n[k])) for k in np.flatnonzero((p + n > 0) & ~exact).tolist()]
+    counts = spark.createDataFrame(rest, "d double, p long, n long")
+    if done is None:
+        return _counted_metrics(counts, positive_at)
+    wins = done.agg(F.sum("wins")).first()[0] / 2 + float(n.astype(float) @ (upto_p - p).astype(float))
+    got = _counted_metrics(counts.unionByName(done.where("not isnan(d)").select("d", "p", "n")), positive_at)
+    means = {f"{of}_mean": F.lit(float(table[f"sum_{of[0]}"].sum() / total) if total else None).cast("double") for of, total in (("pos", all_p), ("neg", all_n))}
+    area = F.lit(wins / all_p / all_n if all_p and all_n else None).cast("double")
+    return got.withColumns({**means, "roc_auc": area})
+
+
 def kinds(rows: DataFrame, by: str, measures: list) -> DataFrame:
     """The measures of genuine and of impostor rows (by: a boolean), a row for each, zeros where a kind has none."""
     spine = rows.sparkSession.createDataFrame([(True,), (False,)], f"{by} boolean")

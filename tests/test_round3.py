@@ -69,3 +69,26 @@ def test_blocks_meet_without_a_broadcast(spark, monkeypatch):
     want = [(q, k + 1, g, d) for q in range(0, 90, 3) for k, (d, g) in enumerate(sorted((distance(v[q], v[g]), g) for g in range(90) if g != q)[:4])]
     assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want], atol=1e-11)
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pooled_metrics_are_those_of_all_pairs(spark):
+    from ridgeline.operators import verification
+
+    v = units(120, 11, 8)
+    v[40:60] = v[40]  # ties
+    rows = spark.createDataFrame([(i, i % 3, x.tolist()) for i, x in enumerate(v)] + [(200, None, v[0].tolist()), (201, 1, None)], "id long, owner long, v array<double>")
+    asked = rows.where("id % 2 = 0")
+    pairs = blocks.nearest(asked, rows, 1 << 30).selectExpr("d", "q % 3 = g % 3 AS positive")
+    want = verification.distance_metrics(pairs, positive_at=(0.95,)).first()
+    for cell_rows, at_once in ((1 << 18, None), (50, 900)):
+        got = verification.pooled_metrics(asked, rows, (0.95,), cell_rows, at_once)
+        one = got.first()
+        assert one.asDict().keys() == want.asDict().keys() and all(math.isclose(one[k], want[k], rel_tol=1e-12, abs_tol=1e-12) for k in want.asDict())
+    one_owner = verification.pooled_metrics(asked.where("owner = 0"), rows.where("owner = 0")).first()
+    assert one_owner["roc_auc"] is None and one_owner["neg_mean"] is None and one_owner["pos_mean"] > 0
+    assert verification.pooled_metrics(asked.limit(0), rows).first()["pos_mean"] is None
+
+
+def test_all_distances_are_not_shuffled_as_rows(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "nearest", lambda *a, **k: (_ for _ in ()).throw(AssertionError("ranks every pair")))
+    assert QUERIES["distance_metrics_exact"](spark, "/root/testdata/sf0.001").count() == 1
