@@ -92,3 +92,25 @@ def test_pooled_metrics_are_those_of_all_pairs(spark):
 def test_all_distances_are_not_shuffled_as_rows(spark, monkeypatch):
     monkeypatch.setattr(blocks, "nearest", lambda *a, **k: (_ for _ in ()).throw(AssertionError("ranks every pair")))
     assert QUERIES["distance_metrics_exact"](spark, "/root/testdata/sf0.001").count() == 1
+
+
+def test_pairs_within_a_radius_are_hashed_not_sorted(spark):
+    from ridgeline.operators import pairs
+
+    rng = np.random.default_rng(4)
+    rows = [(0, i, float(x), float(y), float(a)) for i, (x, y, a) in enumerate(zip(rng.integers(0, 30, 200), rng.integers(0, 30, 200), rng.integers(0, 4, 200) * 45, strict=True))]
+    df = spark.createDataFrame(rows, "g int, id long, x double, y double, angle double")
+    near = pairs.nearby(df, df.withColumn("x", df.x + 1), "g", 6.0, 20.0)
+    got = {r["a"]: (r["b"], r["distance"]) for r in near.collect()}
+    want = {}
+    for _, i, x, y, a in rows:
+        found = []
+        for _, j, u, v, b in rows:
+            d, turn = math.hypot(u + 1 - x, v - y), abs((b - a + 180) % 360 - 180)
+            if d <= 6:
+                found.append((d + 6 * min(min(turn, 180 - turn) / 20, 2), j, d))
+        if found:
+            want[i] = min(found)[1:]
+    assert got == want
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan.split("== Initial Plan ==")[0] and "min(cost" in plan
