@@ -35,22 +35,23 @@ def nearest(words: DataFrame) -> DataFrame:
     Replacements: each place of a word names a wildcard group (place, what stands before, what stands after), which keeps its
     size and its first two words only; a group's words differ in one code point, so a group is as large as the alphabet at most.
     Indels: each word's different deletions meet the vocabulary, at most a row for each place of the word.
+    Tables meet in merge joins: Spark takes what explode makes of a vocabulary for small, and would collect it to be broadcast.
     """
     c = F.col
     cells = words.select("word", "n", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("p")).select("word", "n", "p", F.substring("word", F.lit(1), c("p") - 1).alias("prefix"), F.substring("word", c("p") + 1, F.length("word")).alias("suffix"))
     ranked = F.struct((-c("n")).alias("m"), c("word").alias("w"))
     groups = cells.groupBy("p", "prefix", "suffix").agg(F.count("*").alias("size"), F.slice(F.sort_array(F.collect_list(ranked)), 1, 2).alias("top")).where("size > 1")
     other = F.when(c("top")[0]["w"] == c("word"), c("top")[1]).otherwise(c("top")[0])
-    replaced = cells.join(groups, ["p", "prefix", "suffix"]).select("word", (c("size") - 1).alias("near"), other.alias("best"))
+    replaced = cells.join(groups.hint("merge"), ["p", "prefix", "suffix"]).select("word", (c("size") - 1).alias("near"), other.alias("best"))
 
     shorter = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word")), lambda p: F.concat(F.substring("word", F.lit(1), p - 1), F.substring("word", p + 1, F.length("word")))))
     deleted = words.select(c("word").alias("long"), c("n").alias("long_n"), F.explode(shorter).alias("word"))
-    met = deleted.join(words, "word")
+    met = deleted.join(words.hint("merge"), "word")
     sides = F.explode(F.array(F.struct(c("word").alias("word"), F.struct((-c("long_n")).alias("m"), c("long").alias("w")).alias("best")), F.struct(c("long").alias("word"), ranked.alias("best"))))
     indels = met.select(sides.alias("s")).select("s.word", F.lit(1).cast("long").alias("near"), "s.best")
 
     found = replaced.unionByName(indels).groupBy("word").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
-    return words.join(found, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), c("best.w").alias("near"), (-c("best.m")).alias("near_n"))
+    return words.join(found.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), c("best.w").alias("near"), (-c("best.m")).alias("near_n"))
 
 
 def variant_forms(words: DataFrame, ratio: int = 5) -> DataFrame:
@@ -67,8 +68,8 @@ def variant_forms(words: DataFrame, ratio: int = 5) -> DataFrame:
     paths = forms.where("form is not null").select("word", c("form").alias("to"))
     while True:
         step = paths.select(c("word").alias("to"), c("to").alias("next"))
-        paths = staged(paths.join(step, "to", "left").select("word", F.coalesce("next", "to").alias("to"), c("next").isNotNull().alias("moved")), "paths")
+        paths = staged(paths.join(step.hint("merge"), "to", "left").select("word", F.coalesce("next", "to").alias("to"), c("next").isNotNull().alias("moved")), "paths")
         if not paths.where("moved").limit(1).count():
             break
         paths = paths.select("word", "to")
-    return forms.join(paths.select("word", c("to").alias("root")), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return forms.join(paths.select("word", c("to").alias("root")).hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

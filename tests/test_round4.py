@@ -33,3 +33,14 @@ def test_ratio_matches_ask_for_every_vector(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(blocks, "SIDE", side)
         got = sorted(tuple(r) for r in QUERIES["ratio_matches"](spark, str(tmp_path)).select("q", "g", "d").collect())
         assert [x[:2] for x in got] == [x[:2] for x in want] and all(math.isclose(x[2], y[2], abs_tol=1e-6) for x, y in zip(got, want, strict=True))
+
+
+def test_spelling_variants_meet_without_a_broadcast(spark):
+    from ridgeline.llm import variants
+
+    words = spark.createDataFrame([("harbour", 50), ("harbor", 5), ("harbours", 7), ("garbour", 1), ("lantern", 9)], "word string, n long")
+    got = variants.variant_forms(words)
+    for df in (variants.nearest(words), got):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r["word"]: (r["form"], r["root"]) for r in got.collect()} == {"harbour": (None, "harbour"), "harbor": ("harbour", "harbour"), "harbours": ("harbour", "harbour"), "garbour": ("harbour", "harbour"), "lantern": (None, "lantern")}
