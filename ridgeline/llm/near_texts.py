@@ -143,6 +143,7 @@ def _links_left(firsts: DataFrame, docs: DataFrame, found: DataFrame, width: int
     which joins most of what is alike by linear work. Pairs that still are apart must share as many parts as the differing
     shingles of an alike pair leave whole, so one of them at least is among the rarest parts of each: only so many of a text's
     parts meet in their buckets as leave that number less one out, the most frequent ones. Those pairs' sets are compared.
+    Parts are many rows a text, in small files, so they are never joined by broadcast.
     """
 
     def cut(batches):
@@ -170,9 +171,9 @@ def _links_left(firsts: DataFrame, docs: DataFrame, found: DataFrame, width: int
     buckets = staged(parts.mapInArrow(shared, "part long, key long"), "buckets")
     level = F.shiftrightunsigned("part", 53)
     parts_ = F.when(level == F.col("level"), F.col("here")).otherwise(F.col("above")).alias("parts")
-    held = buckets.join(firsts, "key").select("part", "key", "group", "n", level.alias("at"), (level == F.col("level")).alias("own"), parts_)
+    held = buckets.join(firsts.hint("merge"), "key").select("part", "key", "group", "n", level.alias("at"), (level == F.col("level")).alias("own"), parts_)
     several = held.groupBy("part").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.max("own").alias("any"), F.count("*").alias("size"), F.min_by(F.struct("key", "group"), "key").alias("lead")).where("lo != hi and any")
-    held = staged(held.join(several.select("part", "lead", "size"), "part"), "held")
+    held = staged(held.join(several.select("part", "lead", "size").hint("merge"), "part"), "held")
     pairs = held.where("group != lead.group").groupBy(F.col("key").alias("a"), F.col("lead.key").alias("b")).count().where("count >= 8")  # what shares less is left to the count of all pairs
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     roots = components(found).withColumnRenamed("node", "key")
@@ -205,7 +206,7 @@ def _links_left(firsts: DataFrame, docs: DataFrame, found: DataFrame, width: int
     mine = W.partitionBy("key", "at")
     rank, number = F.row_number().over(mine.orderBy("size", "part")), F.count("*").over(mine)
     rare = held.withColumn("rank", rank).withColumn("left", number - (F.col("parts") - spoilt)).where("rank <= left + 1 and left >= 0 or parts <= 0")
-    rare = rare.join(now, "key").select("part", "group", "key", "root", "n", "own").repartition("part").sortWithinPartitions("part", "group", "key")
+    rare = rare.join(now.hint("merge"), "key").select("part", "group", "key", "root", "n", "own").repartition("part").sortWithinPartitions("part", "group", "key")
     met = rare.mapInArrow(meet, "a long, b long").distinct()
     return first.unionByName(_alike_pairs(met, docs, width, similarity))
 

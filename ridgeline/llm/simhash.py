@@ -145,6 +145,8 @@ def near_links(classes: DataFrame, radius: int) -> DataFrame:
     Each fingerprint goes to a bucket per covering mask. A bucket of over 2048 fingerprints is searched again by the same
     pigeonhole on its free bits, until so few bits are free that no bucket can be larger; so no group of like
     fingerprints meets whole in one task. Buckets are verified by population counts and give a star per component.
+    Buckets meet their counts in a merge join: Spark takes what explode makes of the fingerprints for small, and would collect
+    it, a row for each mask, to be broadcast.
     """
     n, p, corr = bit_statistics(classes)
     level = {m: [m] for m in covering_masks(list(range(BITS)), radius, max(n, 1), p, corr)}
@@ -153,7 +155,7 @@ def near_links(classes: DataFrame, radius: int) -> DataFrame:
     while True:
         keyed = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         counts = keyed.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        keyed = staged(keyed.join(counts, ["mask", "key"]), "buckets")
+        keyed = staged(keyed.join(counts.hint("merge"), ["mask", "key"]), "buckets")
         small = _verified(keyed.where(F.col("n") <= BUCKET), radius)
         found = small if found is None else found.union(small)
         over = {r["mask"] for r in keyed.where(F.col("n") > BUCKET).select("mask").distinct().collect()}  # masks of this level only

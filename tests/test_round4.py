@@ -44,3 +44,15 @@ def test_spelling_variants_meet_without_a_broadcast(spark):
         df.collect()
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert {r["word"]: (r["form"], r["root"]) for r in got.collect()} == {"harbour": (None, "harbour"), "harbor": ("harbour", "harbour"), "harbours": ("harbour", "harbour"), "garbour": ("harbour", "harbour"), "lantern": (None, "lantern")}
+
+
+def test_buckets_of_fingerprints_meet_without_a_broadcast(spark, tmp_path, monkeypatch):
+    from ridgeline.llm import simhash
+
+    plans, write = [], simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, name, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name, **k))
+    fps = [(x << 8 | y,) for x in (3, 5, 1000) for y in (0, 1, 2)]
+    spark.createDataFrame(fps, "fp long").write.parquet(f"{tmp_path}/fps")
+    links = simhash.near_links(spark.read.parquet(f"{tmp_path}/fps"), 2).collect()
+    assert {x for r in links for x in r} >= {3 << 8, 3 << 8 | 1, 1000 << 8}
+    assert plans and not any("Broadcast" in p for p in plans)
