@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ridgeline.operators.blocks import each, identity_scores
+from ridgeline.operators.blocks import BLOCK, each, identity_scores, parts_met, unit_distances
 from ridgeline.operators.numbering import running_sums
 from ridgeline.sources.tables import written
 
@@ -141,13 +141,73 @@ def _counted_metrics(counts: DataFrame, positive_at: tuple[float, ...]) -> DataF
     return got.select("pos_mean", "neg_mean", *low, "fpr_at_tpr95", "tpr_at_fpr_1e_4", "roc_auc", "eer")
 
 
-def pooled_metrics(queries: DataFrame, gallery: DataFrame, positive_at: tuple[float, ...] = (), cell_rows: int = 1 << 18, at_once: int | None = None) -> DataFrame:
+def _pools(held, asked):
+    """The distances of each block of rows asked for to each block of those held (see blocks.parts_met): of one owner, and of two."""
+    ids, owners, v = (x[np.argsort(held[1], kind="stable")] for x in held)
+    for block in asked:
+        q, own, x = (y[np.argsort(block[1], kind="stable")] for y in block)
+        edge = np.append(np.flatnonzero(np.append(True, own[1:] != own[:-1])), len(own)).tolist() if len(own) else [0]
+        for lo in range(0, len(ids), BLOCK):
+            here, theirs = ids[lo : lo + BLOCK], owners[lo : lo + BLOCK]
+            d = unit_distances(x @ v[lo : lo + BLOCK].T)
+            itself = np.flatnonzero(np.isin(q, here))
+            for i in itself:
+                d[i, here == q[i]] = np.nan
+            sides: tuple[list, list] = ([np.empty(0)], [np.empty(0)])
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                left, right = np.searchsorted(theirs, own[a], "left"), np.searchsorted(theirs, own[a], "right")
+                sides[0].append(d[a:b, left:right].ravel())
+                sides[1].extend((d[a:b, :left].ravel(), d[a:b, right:].ravel()))
+            p, n = (np.concatenate(x) for x in sides)
+            if len(itself) or not np.isfinite(d.sum()):
+                p, n = p[np.isfinite(p)], n[np.isfinite(n)]
+            yield p, n
+
+
+def _fine_area(queries: DataFrame, gallery: DataFrame, p: np.ndarray, n: np.ndarray, fine: int) -> tuple[float, float]:
+    """How many pairs of a positive and a negative distance have the positive one first, and how many share a cell besides, of those that
+    share one of the even cells, which hold p and n distances. These are cut into about so many finer ones, the more the more such
+    pairs they have. A task counts its distances in all finer cells; its counts are summed up a stretch of cells at a time."""
+    cells, width = len(p), 1 << 14
+    weight = np.sqrt(p.astype(float) * n)
+    parts = np.ceil(weight * (fine / weight.sum())).astype(np.int64)  # 0 where nothing is to be told apart
+    first, total = np.cumsum(parts) - parts, int(parts.sum())
+
+    def counted(held, asked):
+        found = [np.zeros(-(-total // width) * width, np.int32) for _ in range(2)]
+        for pools in _pools(held, asked):
+            for count, d in zip(found, pools, strict=True):
+                x = d * (cells / 2)
+                c = np.minimum(x.astype(np.int64), cells - 1)
+                m = parts[c]
+                at = first[c] + np.clip(((x - c) * m).astype(np.int64), 0, np.maximum(m - 1, 0))
+                np.add.at(count, at[m > 0], np.int32(1))
+        both = [x.reshape(-1, width) for x in found]
+        for k in np.flatnonzero((both[0] | both[1]).any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), *(pa.ListArray.from_arrays(pa.array([0, width], pa.int32()), pa.array(x[k])) for x in both)], ["stretch", "p", "n"])
+
+    def summed(t: pa.Table) -> pa.Table:
+        pos, neg = (t[x].combine_chunks().flatten().to_numpy().reshape(-1, width).sum(0, dtype=np.int64).astype(float) for x in ("p", "n"))
+        return pa.table({"stretch": t["stretch"][:1], "p": [pos.sum()], "n": [neg.sum()], "before": [float(neg @ (np.cumsum(pos) - pos))], "level": [float(pos @ neg)]})
+
+    got = parts_met(queries, gallery, counted, "stretch long, p array<int>, n array<int>").groupBy("stretch").applyInArrow(summed, "stretch long, p double, n double, before double, level double").toPandas().sort_values("stretch")
+    pos, neg = got["p"].to_numpy(), got["n"].to_numpy()
+    held = np.where(parts > 0, p, 0).astype(float)
+    across = float(np.where(parts > 0, n, 0) @ (np.cumsum(held) - held))  # of different even cells, which the caller knows
+    return float(got["before"].sum() + neg @ (np.cumsum(pos) - pos)) - across, float(got["level"].sum())
+
+
+def pooled_metrics(queries: DataFrame, gallery: DataFrame, positive_at: tuple[float, ...] = (), cell_rows: int = 1 << 18, at_once: int | None = None, digits: int | None = None, fine: int = 1 << 22) -> DataFrame:
     """distance_metrics of the distances (see blocks.nearest) of all queries to all other gallery rows, positive within an owner.
 
     The pairs are never held at once. One pass counts and sums them in even cells of distance, at most 65,536, so it is known in which
     cells the percentiles and rates lie. Only these cells give each distance with its counts; any other stands for all of its rows.
     The area under the ROC needs the order within each cell: rounds of cells with at_once pairs (by default more with more rows)
     compute their distances again and order a cell at a time. Blocks pass on equal distances once.
+
+    digits: the area is asked for to so many decimals only. Then, where one round would not do, distances are counted again in finer
+    cells (about `fine`; four and sixteen times as many, these in four passes, if they tell more), and nothing is ordered if the area has
+    the same decimals wherever the distances of a cell lie in it. Else it is ordered as above, so the decimals are right either way.
     """
     c, spark = F.col, queries.sparkSession
     size = queries.count() * gallery.count()
@@ -160,13 +220,18 @@ def pooled_metrics(queries: DataFrame, gallery: DataFrame, positive_at: tuple[fl
         same = q[1][:, None] == g[1][None, :]
         return d[known & same], d[known & ~same]
 
-    def counted(q, g, d):
-        (p, n), k = pools(q, g, d), {"minlength": cells}
-        found = [np.bincount(cell(p), **k), np.bincount(cell(n), **k), *(np.bincount(cell(x), x, **k).astype(float) for x in (p, n))]  # of no rows they are integers
-        at = np.flatnonzero(found[0] + found[1])
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at]) for x in found)], ["cell", "p", "n", "sum_p", "sum_n"])
-
-    table = each(queries, gallery, "id", counted, "cell long, p long, n long, sum_p double, sum_n double").groupBy("cell").agg(*[F.sum(x).alias(x) for x in ("p", "n", "sum_p", "sum_n")]).toPandas()
+    def counted(held, asked):
+        found, sums = np.zeros((2, cells), np.int64), np.zeros((2, cells))
+        for both in _pools(held, asked):
+            for k, x in enumerate(both):
+                c = cell(x)
+                found[k] += np.bincount(c, minlength=cells)
+                if k or len(x):
+                    sums[k] += np.bincount(c, x, cells)
+        at = np.flatnonzero(found.sum(0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at]) for x in (*found, *sums))], ["cell", "p", "n", "sum_p", "sum_n"])
+
+    table = parts_met(queries, gallery, counted, "cell long, p long, n long, sum_p double, sum_n double").groupBy("cell").agg(*[F.sum(x).alias(x) for x in ("p", "n", "sum_p", "sum_n")]).toPandas()
     p, n = (np.bincount(table["cell"], table[x], cells).astype(np.int64) for x in "pn")
     upto_p, upto_n = np.cumsum(p), np.cumsum(n)
     all_p, all_n = int(upto_p[-1]), int(upto_n[-1])
@@ -181,6 +246,38 @@ def pooled_metrics(queries: DataFrame, gallery: DataFrame, positive_at: tuple[fl
     if all_p and all_n:
         spots.add(int(np.argmax(np.round(upto_n / all_n + upto_p / all_p - 1, 12) >= 0)))
     exact = np.isin(np.arange(cells), list(spots)) & (p + n > 0)
+    means = {f"{of}_mean": F.lit(float(table[f"sum_{of[0]}"].sum() / total) if total else None).cast("double") for of, total in (("pos", all_p), ("neg", all_n))}
+    rest = [((k + 0.5) * 2 / cells, int(p[k]), int(n[k])) for k in np.flatnonzero((p + n > 0) & ~exact).tolist()]
+    counts = spark.createDataFrame(rest, "d double, p long, n long")
+
+    def settled() -> float | None:
+        """The area, if its decimals are certain from counts."""
+        unit, apart = 10.0**digits, float(n.astype(float) @ (upto_p - p).astype(float))
+        share = np.cumsum(np.sqrt(p.astype(float) * n))
+        for times, passes in ((1, 1), (4, 1), (16, 4)):
+            of = np.minimum((share / max(share[-1], 1) * passes).astype(int), passes - 1)
+            some = [np.where(of == k, (p, n), 0) for k in range(passes)]
+            more, level = np.sum([_fine_area(queries, gallery, *x, fine * times // passes) for x in some if (x.min(0) > 0).any()] or [(0.0, 0.0)], axis=0)
+            low, high = (x / all_p / all_n for x in (apart + more, apart + more + level))
+            if math.floor((low - 1e-9) * unit + 0.5) == math.floor((high + 1e-9) * unit + 0.5):
+                return (low + high) / 2
+            middle = (low + high) / 2 * unit
+            if abs(middle - math.floor(middle) - 0.5) < (high - low) * unit / 64:  # still in doubt with cells 16 times as fine
+                return None
+        return None
+
+    def of_spots(held, asked):
+        for both in _pools(held, asked):
+            for k, x in enumerate(both):
+                d, times = np.unique(x[exact[cell(x)]], return_counts=True)
+                if len(d):
+                    none = np.zeros(len(d), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(none if k else times), pa.array(times if k else none)], ["d", "p", "n"])
+
+    known = settled() if digits is not None and all_p and all_n and size > at_once else None  # one round orders as fast as these count
+    if known is not None:
+        some = parts_met(queries, gallery, of_spots, "d double, p long, n long").groupBy("d").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+        return _counted_metrics(counts.unionByName(some), positive_at).withColumns({**means, "roc_auc": F.lit(known)})
     wanted = exact | ((p > 0) & (n > 0))
     held = np.where(wanted, p + n, 0)
     turn = np.where(wanted, (np.cumsum(held) - held) // at_once, -1)
@@ -217,13 +314,10 @@ def pooled_metrics(queries: DataFrame, gallery: DataFrame, positive_at: tuple[fl
     for now in range(int(turn.max()) + 1):
         some = written(dealt(now).groupBy("cell").applyInArrow(ordered, "wins double, d double, p long, n long"), "ordered", clean_up=True)
         done = some if done is None else done.unionByName(some)
-    rest = [((k + 0.5) * 2 / cells, int(p[k]), int(n[k])) for k in np.flatnonzero((p + n > 0) & ~exact).tolist()]
-    counts = spark.createDataFrame(rest, "d double, p long, n long")
     if done is None:
         return _counted_metrics(counts, positive_at)
     wins = done.agg(F.sum("wins")).first()[0] / 2 + float(n.astype(float) @ (upto_p - p).astype(float))
     got = _counted_metrics(counts.unionByName(done.where("not isnan(d)").select("d", "p", "n")), positive_at)
-    means = {f"{of}_mean": F.lit(float(table[f"sum_{of[0]}"].sum() / total) if total else None).cast("double") for of, total in (("pos", all_p), ("neg", all_n))}
     area = F.lit(wins / all_p / all_n if all_p and all_n else None).cast("double")
     return got.withColumns({**means, "roc_auc": area})
 
